@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, language_id, mixing, quality, token_counts, top_k, toxicity
+from . import chat_format, decontamination, language_id, mixing, quality, token_counts, top_k, toxicity
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,7 +53,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op6_toxicity, op7_language_id, op8_quality, op9_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k)}
 
 
 OP2_SQL = r"""
@@ -84,6 +88,21 @@ FROM f GROUP BY conv_id
 """
 
 
+_OP5_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_OP5_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP5_WORDS} AS w FROM benchmark),
+bw AS (SELECT item, w[i:i + 12] AS g, least(13, len(w)) AS n FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dg AS (SELECT rid, i, n, w[i:i + n - 1] AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT rid, i, dg.n, item FROM dg JOIN bw ON dg.g = bw.g AND dg.n = bw.n),
+c AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
 OP9_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -95,4 +114,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op9_top_k": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL}
