@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, mixing, quality, token_counts, top_k, toxicity
+from . import chat_format, decontamination, language_id, mixing, quality, suffix_dedup, token_counts, top_k, toxicity
 from .common import fold, table
 
 
@@ -26,6 +26,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,7 +57,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k)}
 
 
 OP2_SQL = r"""
