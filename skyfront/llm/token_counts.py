@@ -15,6 +15,7 @@ give a row; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -45,52 +46,64 @@ def unigram_vocabulary(path: str = VOCABULARY, scores: str = "zipf") -> dict[str
 
 
 class ForwardTrie:
-    """Trie of pre-tokens whose nodes hold the best forward score and its token count."""
+    """Trie of pre-tokens whose nodes hold the best forward score, its token count, and the pieces still open there.
 
-    def __init__(self, vocabulary: dict[str, float], max_nodes: int = 400_000, max_depth: int = 200) -> None:
-        self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
+    A piece is open at a node if the string to the node ends with a proper prefix of it; the list holds the
+    place reached in the vocabulary's own trie and the forward score at the piece's start.
+    """
+
+    def __init__(self, vocabulary: dict[str, float], max_nodes: int = 150_000, max_depth: int = 200) -> None:
         self.fallback = min(vocabulary.values(), default=0.0) - 10.0
         self.max_nodes, self.max_depth = max_nodes, max_depth
+        self.pieces: dict = {}
+        for piece, score in vocabulary.items():
+            at = self.pieces
+            for char in piece:
+                at = at.setdefault(char, {})
+            at[""] = score
         self.clear()
 
     def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.nodes: list[tuple[float, int]] = [(0.0, 0)]
-
-    def step(self, text: str, end: int, forward: list[tuple[float, int]]) -> tuple[float, int]:
-        """Best (score, -tokens) of text[:end], given those of all shorter prefixes."""
-        get, best = self.vocabulary.get, (-math.inf, 0)
-        for start in range(max(0, end - self.longest), end):
-            if (p := get(text[start:end])) is not None:
-                score, tokens = forward[start]
-                best = max(best, (score + p, tokens - 1))
-        if get(text[end - 1]) is None:
-            n = len(text[end - 1].encode("utf-8", "surrogatepass"))
-            score, tokens = forward[end - 1]
-            best = max(best, (score + n * self.fallback, tokens - n))
-        return best
+        self.size = 1
+        self.root = (0.0, 0, [], {})
+
+    def step(self, char: str, score: float, tokens: int, open_: list) -> tuple[float, int, list, dict]:
+        """The node below one with this score, token count and open pieces."""
+        best, fewest, still = -math.inf, 0, []
+        place = self.pieces.get(char)
+        if place is not None:
+            if (p := place.get("")) is not None:
+                best, fewest = score + p, tokens + 1
+            if len(place) > 1:
+                still.append((place, score, tokens))
+        if best == -math.inf:
+            n = len(char.encode("utf-8", "surrogatepass"))
+            best, fewest = score + n * self.fallback, tokens + n
+        for place, start, count in open_:
+            if (place := place.get(char)) is not None:
+                if (p := place.get("")) is not None:
+                    if (total := start + p) > best or total == best and count + 1 < fewest:
+                        best, fewest = total, count + 1
+                    if len(place) == 1:
+                        continue
+                still.append((place, start, count))
+        return best, fewest, still, {}
 
     def count(self, pretoken: str) -> int:
         """Tokens of one pre-token; prefixes already in the trie are not scored again."""
-        forward = [(0.0, 0)]
-        if len(pretoken) > self.max_depth:  # too rare to share: the same recurrence without nodes
-            for end in range(1, len(pretoken) + 1):
-                forward.append(self.step(pretoken, end, forward))
-            return -forward[-1][1]
-        node = 0
-        for end, char in enumerate(pretoken, 1):
-            child = self.children[node].get(char)
+        node, keep = self.root, len(pretoken) <= self.max_depth
+        for char in pretoken:
+            child = node[3].get(char)
             if child is None:
-                child = self.children[node][char] = len(self.nodes)
-                self.children.append({})
-                self.nodes.append(self.step(pretoken, end, forward))
+                child = self.step(char, node[0], node[1], node[2])
+                if keep:  # a longer one is too rare to share: the same recurrence without nodes
+                    node[3][char] = child
+                    self.size += 1
             node = child
-            forward.append(self.nodes[node])
-        return -self.nodes[node][1]
+        return node[1]
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: dict[str, float] | None = None, max_nodes: int = 400_000, max_words: int = 200_000) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: dict[str, float] | None = None, max_nodes: int = 150_000, max_words: int = 200_000) -> DataFrame:
     """One row per document: id, n_tokens and n_pretokens (longs).
 
     ``max_nodes`` and ``max_words`` bound a task's trie and its table of terminal counts; beyond them
@@ -101,6 +114,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # nodes are many and never form a cycle
         trie, terminal = ForwardTrie(shared.value, max_nodes), {}
         for pdf in batches:
             tokens, pretokens = [], []
@@ -110,7 +124,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     if len(terminal) + len(new) > max_words:
                         terminal.clear()
                         new = sorted(words)
-                    if len(trie.nodes) > max_nodes:
+                    if trie.size > max_nodes:
                         trie.clear()
                     for w in new:
                         terminal[w] = trie.count(MARK + w)
