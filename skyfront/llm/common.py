@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,59 @@ def lower_ascii(text: Column) -> Column:
 def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The ``n`` rows (all, if fewer) whose keys hash lowest: the same rows however the table is partitioned."""
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(n)
+
+
+#: Bits of the map that :func:`bit_map` makes: 4 MB, whatever the input.
+MAP_BITS = 1 << 25
+
+
+def _bits(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u = name.view(np.uint64) if name.dtype == np.int64 else name.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        v = u * np.uint64(0x9E3779B97F4A7C15)
+    return (u ^ v >> np.uint64(32)) % np.uint64(MAP_BITS), (v >> np.uint64(20)) % np.uint64(MAP_BITS)
+
+
+def bit_map(names: DataFrame) -> np.ndarray:
+    """A bit map of fixed size of a column ``name`` of longs, for sparing a shuffle rows that can't have a partner.
+
+    It answers "may be there": a full map lets everything pass, and the join that follows decides.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = np.zeros(MAP_BITS // 64, np.uint64)
+        for pdf in batches:
+            for bit in _bits(pdf["name"].to_numpy(np.int64)):
+                np.bitwise_or.at(words, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        at = np.flatnonzero(words)
+        yield pd.DataFrame({"at": at, "bits": words[at].view(np.int64)})
+
+    got = names.mapInPandas(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = np.zeros(MAP_BITS // 64, np.uint64)
+    words[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return words
+
+
+def may_hold(words: np.ndarray, names: np.ndarray) -> np.ndarray:
+    out = np.ones(len(names), bool)
+    for bit in _bits(names):
+        out &= (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)) == 1
+    return out
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(v, label): the least vertex of the component of each vertex that has an edge.
+
+    Each round takes the least label of the neighbours, then the label of that label, so that chains
+    halve; every round is checkpointed, and nothing but a count comes to the driver.
+    """
+    both = materialize(edges.select(F.col(a).alias("v"), F.col(b).alias("u")).unionByName(edges.select(F.col(b).alias("v"), F.col(a).alias("u"))).distinct())
+    labels = materialize(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("label")))
+    while True:
+        seen = both.join(labels.select(F.col("v").alias("u"), F.col("label").alias("near")), "u").groupBy("v").agg(F.min("near").alias("near"))
+        hop = labels.join(seen, "v").select("v", "label", F.least("label", "near").alias("new"))
+        jump = labels.select(F.col("v").alias("new"), F.col("label").alias("far"))
+        new = materialize(hop.join(jump, "new", "left").select("v", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
+        labels = new.select("v", F.col("new").alias("label"))
+        if not new.where("label <> new").limit(1).count():
+            return labels

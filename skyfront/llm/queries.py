@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, mixing, quality, suffix_dedup, token_counts, top_k, toxicity
+from . import chat_format, decontamination, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
 from .common import fold, table
 
 
@@ -56,8 +56,18 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k, op10_ngram_join, pipeline)}
 
 
 OP2_SQL = r"""
