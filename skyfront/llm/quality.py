@@ -160,13 +160,14 @@ def score(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_c
     keep = keep or [id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    rows = docs.select(*keep, F.col(text_col).alias("_scored_text"))
+    own = text_col if text_col in keep else "_scored_text"
+    rows = docs.select(*keep, *([] if own in keep else [F.col(text_col).alias(own)]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array([features(t or "") for t in pdf["_scored_text"]]).reshape(-1, N_FEATURES)
+            x = np.array([features(t or "") for t in pdf[own]]).reshape(-1, N_FEATURES)
             y = shared.value.score(x) if shared.value else np.full(len(x), 0.5)
-            blank = [not (t or "").strip() for t in pdf["_scored_text"]]
+            blank = [not (t or "").strip() for t in pdf[own]]
             yield pdf[keep].assign(_score=np.where(blank, 0.0, y))
 
     return rows.mapInPandas(run, f"{kinds}, _score double").withColumnRenamed("_score", "score")
