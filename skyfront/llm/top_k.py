@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rows of a shard and of a block of queries (at 64 components, 16 MB each).
-BLOCK = 32_768
+#: Rows of a shard and of a block of queries (at 64 components, 8 MB each).
+BLOCK = 16_384
 LEAF = 256
 EXACT = float(1 << 52)
 
@@ -148,6 +148,7 @@ def _find(candidates: DataFrame, queries: DataFrame, k: int, leaf: int) -> DataF
         return pd.DataFrame({"query_id": qi[row], "vec_id": np.asarray(found, np.int64), "score": np.asarray(score).astype(np.int64)})
 
     keys = ["dim", "shard", "block"]
+    queries, candidates = queries.toDF(*queries.columns), candidates.toDF(*candidates.columns)  # both come from one table
     return queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
