@@ -1 +1 @@
-
+"""Scalar helpers, NumPy kernels and SQL registration."""

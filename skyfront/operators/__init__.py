@@ -1 +1 @@
-
+"""Operators on DataFrames of points."""

@@ -1 +1 @@
-
+"""Reading, writing and generating sets of points."""

@@ -1 +1 @@
-
+"""Skylines over streams."""
