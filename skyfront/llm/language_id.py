@@ -18,7 +18,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,10 +39,58 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text or "")
 
 
-def _feature_names(word: str) -> list[str]:
-    w = word.lower()
-    marked = f"^{w}$"
-    return ["b", f"w{w}", f"n{min(len(w), 12)}", f"c{word.istitle():d}{word.isupper():d}", *(f"p{w[:k]}" for k in range(1, min(4, len(w)) + 1)), *(f"s{w[-k:]}" for k in range(1, min(4, len(w)) + 1)), *{f"t{marked[i : i + 3]}" for i in range(len(marked) - 2)}]
+_U = np.uint64
+
+
+def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    x = a.astype(_U) * _U(0x9E3779B97F4A7C15) ^ (np.asarray(b).astype(_U) + _U(0x632BE59BD9B4E019)) * _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    x *= _U(0xBF58476D1CE4E5B9)
+    return x ^ x >> _U(29)
+
+
+def word_features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of many words at once: (feature numbers, where each word's begin).
+
+    Per word: a constant, the word, its length (to 12), its case, prefixes and suffixes of 1 to 4
+    characters, the trigrams of the framed word, and the language of a lexicon word.
+    """
+    lower = [w.lower() for w in words]
+    framed = "".join(f"\x02{w}\x03" for w in lower)
+    codes = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(w) + 2 for w in lower], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    n, every = len(words), np.arange(len(words))
+    owner = np.repeat(every, sizes)
+    place = np.arange(len(codes)) - begin[owner]
+    rest = sizes[owner] - 1 - place
+    feature, of = [], []
+
+    def add(which: np.ndarray, value: np.ndarray, kind: int) -> None:
+        feature.append(_mix(value, kind))
+        of.append(which)
+
+    with np.errstate(over="ignore"):
+        add(every, np.zeros(n, np.int64), 0)
+        named = _mix(codes, place)
+        add(every, np.add.reduceat(named, begin), 1)
+        add(every, np.minimum(sizes, 14), 2)
+        add(every, np.array([2 * w.istitle() + w.isupper() for w in words]), 3)
+        # affixes: running sums of the characters, named by their distance from the word's start or end
+        from_start, from_end = np.cumsum(named), np.cumsum(_mix(codes, rest)[::-1])[::-1]
+        for k in range(1, 5):
+            longer = np.flatnonzero(sizes - 2 >= k)
+            first, last = begin[longer], begin[longer] + sizes[longer] - 1
+            add(longer, from_start[first + k] - from_start[first], 10 + k)
+            add(longer, from_end[last - k] - from_end[last], 20 + k)
+        mid = np.flatnonzero(rest >= 2)
+        add(owner[mid], _mix(_mix(codes[mid], codes[mid + 1]), codes[mid + 2].astype(_U)), 4)
+        listed = [(i, k) for i, w in enumerate(lower) if (k := lexicon.get(w)) is not None]
+        if listed:
+            add(np.array([i for i, _ in listed]), np.array([k for _, k in listed]), 5)
+    of, feature = np.concatenate(of), np.concatenate(feature)
+    order = np.argsort(of, kind="stable")
+    return (feature[order] % _U(DIMENSIONS)).astype(np.int64), np.searchsorted(of[order], every)
 
 
 @dataclass
@@ -53,16 +100,11 @@ class CRF:
     transitions: np.ndarray  # log scores, from x to
     lexicon: dict[str, int]
 
-    def features(self, word: str) -> list[int]:
-        names = _feature_names(word)
-        if (k := self.lexicon.get(word.lower())) is not None:
-            names.append(f"L{k}")
-        return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in names]
-
-    def emission(self, word: str) -> np.ndarray:
-        """Exponentiated emission scores, the largest scaled to 1."""
-        s = self.weights[self.features(word)].sum(0)
-        return np.exp(np.maximum(s - s.max(), -30))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Exponentiated emission scores of words, the largest of each scaled to 1."""
+        flat, starts = word_features(words, self.lexicon)
+        s = np.add.reduceat(self.weights[flat], starts)
+        return np.exp(np.maximum(s - s.max(1, keepdims=True), -30))
 
 
 def forward_backward(chains: list[np.ndarray], emission: np.ndarray, transitions: np.ndarray, words: bool = False, pairs: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -124,7 +166,7 @@ def build_lexicon(texts: list[str], tags: list[int], n_languages: int, top: int
     return lexicon
 
 
-def fit(texts: list[str], tags: list[str], rounds: int = 30, rate: float = 0.4, seed: int = 0) -> CRF:
+def fit(texts: list[str], tags: list[str], rounds: int = 20, rate: float = 0.4, seed: int = 0) -> CRF:
     """Maximum likelihood by AdaGrad over chains of lines."""
     languages = sorted(set(tags))
     numbers = [languages.index(t) for t in tags]
@@ -146,10 +188,9 @@ def fit(texts: list[str], tags: list[str], rounds: int = 30, rate: float = 0.4,
         at += len(part)
         chains.append(np.concatenate([x for x, _ in part]))
         truths.append(np.concatenate([np.full(len(x), y) for x, y in part]))
-    rows = [model.features(w) for w in seen]
-    starts = np.cumsum([0, *map(len, rows)])[:-1]
-    flat = np.concatenate([np.array(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    rows = [*seen]
+    flat, starts = word_features(rows, model.lexicon)
+    owner = np.repeat(np.arange(len(rows)), np.diff([*starts, len(flat)]))
     truth_words = np.zeros((len(rows), k))
     observed = np.zeros((k, k))
     for c, y in zip(chains, truths, strict=True):
@@ -194,31 +235,27 @@ class Tagger:
 
     def clear(self) -> None:
         self.ids: dict[str, int] = {}
-        self.table = np.empty((1024, len(self.model.languages)))
-
-    def chain(self, text: str | None) -> np.ndarray:
-        ids = self.ids
-        try:
-            return np.fromiter(map(ids.__getitem__, words := words_of(text)), np.int64, len(words))
-        except KeyError:
-            out = []
-            for w in words:
-                if (i := ids.get(w)) is None:
-                    if any(map(str.isalpha, w)):
-                        i = ids[w] = len(ids)
-                        if i >= len(self.table):
-                            self.table = np.concatenate([self.table, np.empty_like(self.table)])
-                        self.table[i] = self.model.emission(w)
-                    else:
-                        continue
-                out.append(i)
-            return np.array(out, np.int64)
+        self.table = np.empty((0, len(self.model.languages)))
+
+    def learn(self, new: list[str]) -> None:
+        """Scores words that the table lacks; words without a letter stay out."""
+        new = [w for w in new if any(map(str.isalpha, w))]
+        if new:
+            at = len(self.ids)
+            self.ids.update(zip(new, range(at, at + len(new)), strict=True))
+            self.table = np.concatenate([self.table[:at], self.model.emissions(new)])
+
+    def chains(self, texts: list[str | None]) -> list[np.ndarray]:
+        words = [words_of(t) for t in texts]
+        if len(self.ids) > self.max_words:
+            self.clear()
+        self.learn(sorted({w for own in words for w in own if w not in self.ids}))
+        get = self.ids.get
+        return [np.array([i for i in map(get, own) if i is not None], np.int64) for own in words]
 
     def marginals(self, texts: list[str | None], words: bool = False, block: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """Mean distribution of each text, in order (empty without letters), and of its words if asked for."""
-        if len(self.ids) > self.max_words:
-            self.clear()
-        chains = [self.chain(t) for t in texts]
+        chains = self.chains(texts)
         results: list[tuple[np.ndarray, np.ndarray | None]] = [(np.empty(0), None)] * len(texts)
         order = sorted((i for i, c in enumerate(chains) if len(c)), key=lambda i: -len(chains[i]))
         at = 0
