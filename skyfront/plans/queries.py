@@ -445,10 +445,12 @@ def vorob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.level_volumes(part(spark, sf_dir), PS, "p_brand", REF, UP).select("level", r("hypervolume", 4))
 
 
-@query(f"""WITH {BRANDS}, {surfaces('p')}, f AS (SELECT t, x AS f1, m AS f2 FROM e), v AS ({staircase('f', 't')}), s AS ({staircase('p', 's')}), a AS (SELECT avg(coalesce(hypervolume, 0)) AS average FROM l LEFT JOIN s USING (s)),
-t2 AS (SELECT unnest(range(1, (SELECT n + 1 FROM n))) AS t),
-k AS (SELECT count(*) FILTER (coalesce(hypervolume, 0) > average) + 1 AS level FROM t2 LEFT JOIN v USING (t), a)
-SELECT x AS p_retailprice, -m AS p_size FROM e WHERE t = (SELECT level FROM k)""")
+@query(f"""WITH RECURSIVE {BRANDS}, {surfaces('p')}, f AS (SELECT t, x AS f1, m AS f2 FROM e), v AS ({staircase('f', 't')}), s AS ({staircase('p', 's')}), g AS (SELECT avg(coalesce(hypervolume, 0)) AS average FROM l LEFT JOIN s USING (s)),
+k AS (SELECT unnest(range(1, (SELECT n + 1 FROM n))) AS t), h AS (SELECT t, coalesce(hypervolume, 0) AS hv FROM k LEFT JOIN v USING (t)),
+r AS (SELECT 0.0::DOUBLE AS a, 100.0::DOUBLE AS b, 50.0::DOUBLE AS c, NULL::DOUBLE AS before, hv AS now FROM h, n WHERE t = greatest(1, ceil(n * 50.0 / 100 - 1.4901161193847656e-8))
+  UNION ALL SELECT q.a, q.b, (q.a + q.b) / 2, q.now, hv FROM (SELECT CASE WHEN now > average THEN c ELSE a END AS a, CASE WHEN now > average THEN b ELSE c END AS b, now FROM r, g WHERE before IS NULL OR before <> now) q, h, n
+  WHERE h.t = greatest(1, ceil(n * ((q.a + q.b) / 2) / 100 - 1.4901161193847656e-8)))
+SELECT x AS p_retailprice, -m AS p_size FROM e, n WHERE t = (SELECT greatest(1, ceil(n.n * c / 100 - 1.4901161193847656e-8)) FROM r ORDER BY b - a LIMIT 1)""")
 def vorob_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.vorob_t(part(spark, sf_dir), PS, "p_brand", REF, UP).expectation
 
