@@ -9,7 +9,7 @@ at most ``max_hot``) last.  The order is cut into fragments.
 Documents of equal sets are one class, represented once.  In a first round each class is paired with one
 likely partner, the class that leads a group of equal min-hash; the links found make components.  Then the prefixes
 are joined; a pair is left out if both are of one component already (its link would change none), if
-their sizes differ too much, or if 256 parity bits show that the sets differ in more places than linked sets can.
+their sizes differ too much, or if parity bits (256, then 1024) show that the sets differ in more places than linked ones can.
 
 **Verification.**  For each pair the overlaps in the fragments are counted separately and summed.
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, connected_components, materialize, may_hold
 
-#: Fragments of the order, min-hashes of the first round, bits of the parity map / 64.
-FRAGMENTS, SIGNATURES, PARITY = 8, 6, 4
+#: Fragments of the order, min-hashes of the first round, bits of the parity maps / 64: the one that goes with every prefix, and a finer one for pairs.
+FRAGMENTS, SIGNATURES, PARITY, FINE = 8, 6, 4, 16
 #: A task reports n-grams in at least this share of the documents of a batch.
 HOT_SHARE, MAX_HOT = 0.004, 50_000
 CHUNK = 1 << 19
@@ -121,17 +121,16 @@ def _needed(total: Column | int, percent: int) -> Column | int:
 
 
 def _describe(texts: pd.Series, n: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Each text's set and its row: class key (two longs), size, parity bits, min-hashes."""
+    """Each text's set and its row: class key (two longs), size, parity bits, finer ones, min-hashes."""
     for s in ngram_sets([(t or "").encode() for t in texts], n):
         if not len(s):
-            yield s, [0, 0, 0, [0] * PARITY, []]
+            yield s, [0, 0, 0, [0] * PARITY, [0] * FINE, []]
             continue
         a, b = np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64).tolist()
-        parity = np.bincount(((s >> _U(17)) % _U(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-        bits = np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+        bits, fine = (np.packbits((np.bincount(((s >> _U(17)) % _U(64 * w)).astype(np.int64), minlength=64 * w) & 1).astype(np.uint8)).view(np.int64).tolist() for w in (PARITY, FINE))
         with np.errstate(over="ignore"):
             low = [int((_mix(s, x)).min().view(np.int64)) for x in _SALT]
-        yield s, [a, b, len(s), bits, low]
+        yield s, [a, b, len(s), bits, fine, low]
 
 
 def _rows(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
@@ -143,15 +142,15 @@ def _rows(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [*_describe(pdf["_text"], n)]
-            out = pd.DataFrame([r for _, r in found], columns=["_a", "_b", "n_shingles", "_bits", "_low"])
+            out = pd.DataFrame([r for _, r in found], columns=["_a", "_b", "n_shingles", "_bits", "_fine", "_low"])
             yield pd.concat([pdf[[*keep, "_name"]].reset_index(drop=True), out], axis=1).assign(_gram=None, _n=0)
             grams, count = np.unique(np.concatenate([s for s, _ in found]), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0))
             hot = np.flatnonzero(count >= max(8, HOT_SHARE * len(pdf)))
             if len(hot):
                 head = {c: pd.Series([None] * len(hot), dtype=object) for c in keep}
-                yield pd.DataFrame({**head, "_name": 0, "_a": 0, "_b": 0, "n_shingles": 0, "_bits": [[0] * PARITY] * len(hot), "_low": [[]] * len(hot), "_gram": grams[hot].view(np.int64), "_n": count[hot]})
+                yield pd.DataFrame({**head, "_name": 0, "_a": 0, "_b": 0, "n_shingles": 0, "_bits": [[0] * PARITY] * len(hot), "_fine": [[0] * FINE] * len(hot), "_low": [[]] * len(hot), "_gram": grams[hot].view(np.int64), "_n": count[hot]})
 
-    return rows.mapInPandas(run, f"{kinds}_name long, _a long, _b long, n_shingles int, _bits array<long>, _low array<long>, _gram long, _n long")
+    return rows.mapInPandas(run, f"{kinds}_name long, _a long, _b long, n_shingles int, _bits array<long>, _fine array<long>, _low array<long>, _gram long, _n long")
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -162,6 +161,15 @@ def _alike(x: str, y: str, percent: int) -> Column:
     return (needed <= F.least(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (apart <= total - 2 * needed)
 
 
+def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the finer parity bits leave possible."""
+    own = classes.select("key", "n", "fine")
+    both = pairs.join(own.toDF("a", "na", "x"), "a").join(own.toDF("b", "nb", "y"), "b")
+    total = F.col("na") + F.col("nb")
+    apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(FINE)), F.lit(0))
+    return both.where(apart <= total - 2 * _needed(total, percent)).select("a", "b")
+
+
 def _likely_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Each class with at most one other: of the leaders of its min-hash groups, the one whose bits differ least."""
     me = F.struct("key", "n", "bits")
@@ -175,7 +183,7 @@ def _likely_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
     """The pairs that link: overlaps counted by fragment and summed."""
-    pairs = materialize(pairs)
+    pairs = materialize(_close(pairs, classes, percent))
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = materialize(wanted.join(classes.select("key", "n", "name"), "key"))
     shared = docs.sparkSession.sparkContext.broadcast((bit_map(wanted.select("name")), hot))
@@ -198,7 +206,6 @@ def _verified(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFra
 
     parts = rows.mapInPandas(run, "ka long, kb long, fragment int, grams array<long>").select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("key"), "fragment", "grams")
     parts = parts.join(wanted.select("key"), "key", "left_semi").groupBy("key", "fragment").agg(F.first("grams").alias("grams"))
-    parts = parts.repartition("key")
     left = parts.select(F.col("key").alias("a"), "fragment", F.col("grams").alias("own"))
     right = parts.select(F.col("key").alias("b"), "fragment", F.col("grams").alias("other"))
     counted = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", F.size(F.array_intersect("own", "other")).alias("overlap"))
@@ -249,8 +256,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     hot = np.sort(hot["_gram"].to_numpy(np.int64).view(np.uint64))
     rows = rows.where("_gram IS NULL")
     key = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    sets = rows.where("n_shingles > 0").select(key.alias("key"), F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), F.col("_bits").alias("bits"), F.col("_low").alias("low"), F.col("_name").alias("name"))
-    classes = sets.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("low").alias("low"), F.min("name").alias("name"))
+    sets = rows.where("n_shingles > 0").select(key.alias("key"), F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), F.col("_bits").alias("bits"), F.col("_fine").alias("fine"), F.col("_low").alias("low"), F.col("_name").alias("name"))
+    classes = sets.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine"), F.min("low").alias("low"), F.min("name").alias("name"))
     classes = materialize(classes)
     links = _verified(docs, text_col, classes, _likely_pairs(classes, percent), n, percent, hot)
     labels = connected_components(links)
