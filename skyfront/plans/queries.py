@@ -498,3 +498,32 @@ def read_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared}/skyfront-sets-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     text_sets.write_datasets(transform.numbered_sets(part(spark, sf_dir), "p_brand"), path, PS)
     return text_sets.read_datasets(spark, f"{path}/*.txt", PS).select(*PS)
+
+
+# --- SQL text and streams
+
+
+@query(f"WITH {POINTS}, v AS ({staircase('p', 'p_type')}) SELECT p_type, round(hypervolume, 4) AS hypervolume FROM v")
+def hv_in_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.sql import register
+
+    register(spark)
+    minimised(spark, sf_dir).createOrReplaceTempView("skyfront_part")
+    return spark.sql(f"SELECT p_type, round(hv(array(p_retailprice, p_size), array({R1}D, {R2}D)), 4) AS hypervolume FROM skyfront_part GROUP BY p_type")
+
+
+@query(f"WITH p AS (SELECT p_partkey, p_brand, p_retailprice, p_size, {COSTS} FROM part) SELECT DISTINCT p_brand, p_retailprice, p_size FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.p_brand = p.p_brand AND {beats(2)})")
+def streaming_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from ..streaming.archive import skyline_archive
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfront-")
+    place = f"{shared}/skyfront-stream-{uuid.uuid4().hex}"
+    schema = read(spark, sf_dir, "part").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir).select("p_brand", *PS)
+    q = skyline_archive(stream, f"{place}/archive", f"{place}/checkpoint", PS, UP, "p_brand")
+    q.processAllAvailable()
+    last = q.lastProgress
+    q.stop()
+    return spark.read.parquet(f"{place}/archive/batch={last.batchId if last.numInputRows else last.batchId - 1}").select("p_brand", *PS)
