@@ -120,17 +120,24 @@ def _needed(total: Column | int, percent: int) -> Column | int:
     return (top + low - 1) // low if isinstance(total, int) else F.ceil(top / F.lit(low)).cast("int")
 
 
+def _parity(s: np.ndarray, words: int) -> np.ndarray:
+    """Bit maps of 64 * words bits in which each member flips one; a map of a power of two folds to smaller ones."""
+    odd = np.bincount(((s >> _U(17)) % _U(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(texts: pd.Series, n: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Each text's set and its row: class key (two longs), size, parity bits, finer ones, min-hashes."""
+    """Each text's set and its row: class key (two longs), size, parity bits, finer ones, for large sets ones that grow with the set, min-hashes."""
     for s in ngram_sets([(t or "").encode() for t in texts], n):
         if not len(s):
-            yield s, [0, 0, 0, [0] * PARITY, [0] * FINE, []]
+            yield s, [0, 0, 0, [0] * PARITY, [0] * FINE, [], []]
             continue
         a, b = np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64).tolist()
-        bits, fine = (np.packbits((np.bincount(((s >> _U(17)) % _U(64 * w)).astype(np.int64), minlength=64 * w) & 1).astype(np.uint8)).view(np.int64).tolist() for w in (PARITY, FINE))
+        bits, fine = (_parity(s, w).tolist() for w in (PARITY, FINE))
+        wide = _parity(s, 1 << (2 * len(s) // 64).bit_length()).tolist() if len(s) > 24 * FINE else []
         with np.errstate(over="ignore"):
             low = [int((_mix(s, x)).min().view(np.int64)) for x in _SALT]
-        yield s, [a, b, len(s), bits, fine, low]
+        yield s, [a, b, len(s), bits, fine, wide, low]
 
 
 def _rows(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
@@ -142,15 +149,15 @@ def _rows(docs: DataFrame, text_col: str, n: int, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [*_describe(pdf["_text"], n)]
-            out = pd.DataFrame([r for _, r in found], columns=["_a", "_b", "n_shingles", "_bits", "_fine", "_low"])
+            out = pd.DataFrame([r for _, r in found], columns=["_a", "_b", "n_shingles", "_bits", "_fine", "_wide", "_low"])
             yield pd.concat([pdf[[*keep, "_name"]].reset_index(drop=True), out], axis=1).assign(_gram=None, _n=0)
             grams, count = np.unique(np.concatenate([s for s, _ in found]), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0))
             hot = np.flatnonzero(count >= max(8, HOT_SHARE * len(pdf)))
             if len(hot):
                 head = {c: pd.Series([None] * len(hot), dtype=object) for c in keep}
-                yield pd.DataFrame({**head, "_name": 0, "_a": 0, "_b": 0, "n_shingles": 0, "_bits": [[0] * PARITY] * len(hot), "_fine": [[0] * FINE] * len(hot), "_low": [[]] * len(hot), "_gram": grams[hot].view(np.int64), "_n": count[hot]})
+                yield pd.DataFrame({**head, "_name": 0, "_a": 0, "_b": 0, "n_shingles": 0, "_bits": [[0] * PARITY] * len(hot), "_fine": [[0] * FINE] * len(hot), "_wide": [[]] * len(hot), "_low": [[]] * len(hot), "_gram": grams[hot].view(np.int64), "_n": count[hot]})
 
-    return rows.mapInPandas(run, f"{kinds}_name long, _a long, _b long, n_shingles int, _bits array<long>, _fine array<long>, _low array<long>, _gram long, _n long")
+    return rows.mapInPandas(run, f"{kinds}_name long, _a long, _b long, n_shingles int, _bits array<long>, _fine array<long>, _wide array<long>, _low array<long>, _gram long, _n long")
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -162,22 +169,41 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the finer parity bits leave possible."""
+    """The pairs that the finer parity bits leave possible: 1024, then for large sets as many as the set's size asks for."""
     own = classes.select("key", "n", "fine")
     both = pairs.join(own.toDF("a", "na", "x"), "a").join(own.toDF("b", "nb", "y"), "b")
     total = F.col("na") + F.col("nb")
     apart = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(FINE)), F.lit(0))
-    return both.where(apart <= total - 2 * _needed(total, percent)).select("a", "b")
+    left = materialize(both.where(apart <= total - 2 * _needed(total, percent)).select("a", "b", (total - 2 * _needed(total, percent)).alias("most")))
+    wide = classes.where(F.size("wide") > 0).select("key", "wide")
+    large = left.join(wide.toDF("a", "x"), "a", "left").join(wide.toDF("b", "y"), "b", "left")
+    kinds = left.select("a", "b").schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            stay = []
+            for x, y, most in zip(pdf["x"], pdf["y"], pdf["most"], strict=True):
+                if x is None or y is None:
+                    stay.append(True)
+                    continue
+                x, y = (np.asarray(v, np.int64).view(np.uint64) for v in (x, y))  # bits of negative numbers are counted by absolute value
+                w = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, w)) for v in (x, y))
+                stay.append(int(np.bitwise_count(x ^ y).sum()) <= most)
+            yield pdf.loc[stay, ["a", "b"]]
+
+    return large.mapInPandas(run, kinds)
 
 
 def _likely_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Each class with at most one other: of the leaders of its min-hash groups, the one whose bits differ least."""
-    me = F.struct("key", "n", "bits")
-    each = classes.select(me.alias("y"), "copies", F.posexplode("low").alias("i", "low"))
-    lead = each.groupBy("i", "low").agg(F.max(F.struct("copies", F.xxhash64("y.key", "i").alias("turn"), "y")).alias("best"), F.count("*").alias("c")).where("c > 1")
-    pairs = each.join(lead.select("i", "low", F.col("best.y").alias("x")), ["i", "low"]).where((F.col("x.key") != F.col("y.key")) & _alike("x", "y", percent))
+    each = classes.select("key", "copies", F.posexplode("low").alias("i", "low"))
+    lead = each.groupBy("i", "low").agg(F.max(F.struct("copies", F.xxhash64("key", "i").alias("turn"), "key")).alias("best"), F.count("*").alias("c")).where("c > 1")
+    pairs = each.select("i", "low", F.col("key").alias("b")).join(lead.select("i", "low", F.col("best.key").alias("a")), ["i", "low"]).where("a <> b").select("a", "b").distinct()
+    own = classes.select("key", F.struct("n", "bits").alias("of"))
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(_alike("x", "y", percent))
     apart = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITY)), F.lit(0))
-    best = pairs.groupBy(F.col("y.key").alias("b")).agg(F.min(F.struct(apart.alias("apart"), F.col("x.key").alias("a"))).alias("m"))
+    best = both.groupBy("b").agg(F.min(F.struct(apart.alias("apart"), "a")).alias("m"))
     return best.select(F.least("m.a", "b").alias("a"), F.greatest("m.a", "b").alias("b")).distinct()
 
 
@@ -241,9 +267,9 @@ def _open_pairs(prefixes: DataFrame, classes: DataFrame, labels: DataFrame, perc
     by_gram = Window.partitionBy("gram")
     key = F.struct("a", "b")
     shared = prefixes.repartition("gram").select("gram", key.alias("key")).withColumn("lo", F.min("key").over(by_gram)).withColumn("hi", F.max("key").over(by_gram)).where("lo <> hi").select("gram", "key")
-    about = classes.select("key", "n", "bits").join(labels.select(F.col("v").alias("key"), "label"), "key", "left").select("key", "n", "bits", F.coalesce("label", "key").alias("label"))
-    shared = shared.join(about, "key").repartition("gram").distinct()
-    many = shared.withColumn("lo", F.min("label").over(by_gram)).withColumn("hi", F.max("label").over(by_gram)).where("lo <> hi").drop("lo", "hi")
+    named = shared.distinct().join(labels.select(F.col("v").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key")).repartition("gram")
+    many = named.withColumn("lo", F.min("label").over(by_gram)).withColumn("hi", F.max("label").over(by_gram)).where("lo <> hi").drop("lo", "hi")
+    many = many.join(classes.select("key", "n", "bits"), "key").repartition("gram")
     x, y = many.alias("x"), many.alias("y")
     pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent))
     return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
@@ -256,8 +282,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     hot = np.sort(hot["_gram"].to_numpy(np.int64).view(np.uint64))
     rows = rows.where("_gram IS NULL")
     key = F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    sets = rows.where("n_shingles > 0").select(key.alias("key"), F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), F.col("_bits").alias("bits"), F.col("_fine").alias("fine"), F.col("_low").alias("low"), F.col("_name").alias("name"))
-    classes = sets.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine"), F.min("low").alias("low"), F.min("name").alias("name"))
+    sets = rows.where("n_shingles > 0").select(key.alias("key"), F.col(id_col).alias("id"), F.col("n_shingles").alias("n"), F.col("_bits").alias("bits"), F.col("_fine").alias("fine"), F.col("_wide").alias("wide"), F.col("_low").alias("low"), F.col("_name").alias("name"))
+    classes = sets.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine"), F.min("wide").alias("wide"), F.min("low").alias("low"), F.min("name").alias("name"))
     classes = materialize(classes)
     links = _verified(docs, text_col, classes, _likely_pairs(classes, percent), n, percent, hot)
     labels = connected_components(links)

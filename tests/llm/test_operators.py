@@ -369,6 +369,24 @@ def test_ngram_join(spark, n, percent):
     assert ngram_join.near_duplicates(documents(spark, texts).limit(0), n, percent).count() == 0
 
 
+def test_ngram_join_of_long_texts(spark):
+    rng = random.Random(14)
+    base = [f"u{rng.randrange(10**6)}" for _ in range(900)]
+    texts = []
+    for edits in (0, 2, 10, 14, 18, 18, 25, 40):
+        copy = base[:]
+        for _ in range(edits):
+            copy[rng.randrange(900)] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(documents(spark, texts), 4, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 4, 85)]
+    sets = [*ngram_join.ngram_sets([t.encode() for t in texts], 4)]
+    for a in sets:
+        for b in sets:
+            x, y = (ngram_join._parity(s, 32).view(np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(common.connected_components(edges).collect())
