@@ -149,8 +149,13 @@ def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFr
         for pdf in batches:
             raw, keys = [t.encode() for t in pdf["text"]], pdf["key"].to_numpy()
             sizes = np.array([len(b) for b in raw])
+            last = None
             for text, pos, c, w, *_ in leading_positions(raw, length, core):
-                yield pd.DataFrame({"core": c, "whole": w, "key": keys[text], "at": sizes[text].astype(np.int64) << 32 | pos})
+                # a position that leads strings of two pieces of a long text comes last in one and first in the next: it is one position
+                new = int((text[0], pos[0]) == last)
+                last = (text[-1], pos[-1])
+                text, pos = text[new:], pos[new:]
+                yield pd.DataFrame({"core": c[new:], "whole": w[new:], "key": keys[text], "at": sizes[text].astype(np.int64) << 32 | pos})
 
     return rows.mapInPandas(run, "core long, whole long, key long, at long")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from skyfront.llm import chat_format, common, decontamination, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
@@ -156,6 +157,23 @@ def test_long_texts_by_pieces(monkeypatch):
     assert pieces == at_once
 
 
+def test_long_texts_keep_what_is_unique(spark, monkeypatch):
+    rng = random.Random(15)
+    long = " ".join(f"u{rng.randrange(10**9)}" for _ in range(900))
+    texts = [long, long[2000:2600] + " " + " ".join(f"v{rng.randrange(10**9)}" for _ in range(500)), "short", None, *[" ".join(f"t{rng.randrange(10**9)}" for _ in range(600))] * 2]
+    want = suffix_dedup.brute_force(texts)
+    assert want[0][1] == 600
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # workers get the patched size
+    try:
+        for chunk in (1 << 6, 1 << 10):
+            monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+            for hot in (suffix_dedup.HOT, 1):
+                rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts), hot=hot)).collect()
+                assert [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["doc_id"])] == want, (chunk, hot)
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
 # --- 5 decontamination
 
 
