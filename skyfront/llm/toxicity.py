@@ -44,8 +44,10 @@ SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[{re.escape(MARKS)}]{{1,2}}[^\W_]){{3
 MIXED = re.compile(rf"(?:[^\W\d_]|[{_LOOK}]|(?<=[^\W\d_])[.\-_](?=[^\W\d_]))*[^\W\d_](?:[^\W\d_]|[{_LOOK}]|(?<=[^\W\d_])[.\-_](?=[^\W\d_]))*")
 ODD = re.compile(rf"[{_LOOK}._\-]|(.)\1\1", re.IGNORECASE)
 _ANY = r"[^\W\d_]"
-#: What makes a token worth decoding: a sign between letters, a look-alike digit or sign at an end, a letter three times.
-CANDIDATE = re.compile(rf"{_ANY}[{_LOOK}._\-]+{_ANY}|(?<!\S)[0-9@$€£¢!|]+{_ANY}|{_ANY}[0-9@$€£¢]+(?!\S)|({_ANY})\1\1", re.IGNORECASE)
+#: Signs that are punctuation at the end of a word, and look-alikes that are not.
+_EDGE, _HARD = "!|*#(<.,_-~'`", "0-9@$€£¢+"
+#: What any match of MIXED has that ODD is to find in without its _EDGE: a sign between letters, a look-alike that is no punctuation on either side of a letter, a letter three times.
+CANDIDATE = re.compile(rf"{_ANY}[{_LOOK}._\-]+{_ANY}|[{_HARD}][{_LOOK}]*{_ANY}|{_ANY}[{_LOOK}]*[{_HARD}]|({_ANY})\1\1", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 48  # a longer token isn't one obfuscated word
@@ -148,7 +150,7 @@ class Restorer:
 
         def token(m: re.Match) -> str:
             t = m[0]
-            core = t.strip("!|+*#(<.,_-~'`") if t[-1] in "!|+*#(<.,_-~'`" or t[0] in "!|+*#(<.,_-~'`" else t
+            core = t.strip(_EDGE)
             if not core or len(core) > LONGEST or not ODD.search(core):
                 return t
             return t.replace(core, self.decode(core), 1)

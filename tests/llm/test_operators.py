@@ -223,6 +223,29 @@ def test_proximity(spark):
 # --- 6 toxicity
 
 
+def restorer(*lines):
+    counts = np.zeros(toxicity.CLASSES**3, np.int64)
+    for t in lines * 200:
+        c = np.concatenate([[0, 0], toxicity._codes(t), [0, 0]])
+        np.add.at(counts, c[:-2] * toxicity.CLASSES**2 + c[1:-1] * toxicity.CLASSES + c[2:], 1)
+    return toxicity.Restorer(counts)
+
+
+@pytest.mark.parametrize(("text", "want"), [("dumba$$!", "dumbass!"), ("dumba55,", "dumbass,"), ("a$$, yes", "ass, yes"), ("a55.", "ass."), ('"$hit"', '"shit"'), ('"1diot', '"idiot'), ("(4ss)", "(ass)"), ("[1diot]", "[idiot]"), ("+rash", "trash"), ("shi+!", "shit!"), ("so,a55:yes", "so,ass:yes"), ("plain (text), 'quoted'! #tag *bold*", "plain (text), 'quoted'! #tag *bold*")])
+def test_restore_next_to_punctuation(text, want):
+    assert restorer("dumbass ass shit idiot trash yes so").restore(text) == want
+
+
+def test_candidates_are_all_odd_matches():
+    rng = random.Random(16)
+    r = restorer("an idiot")
+    for _ in range(4000):
+        text = "".join(rng.choice("ab1$+!(.,- \"é") for _ in range(rng.randint(1, 12)))
+        odd = [m[0] for m in toxicity.MIXED.finditer(text) if toxicity.ODD.search(m[0].strip(toxicity._EDGE))]
+        assert not odd or toxicity.CANDIDATE.search(text), text
+        r.restore(text)
+
+
 def test_restore():
     rng = random.Random(7)
     counts = np.zeros(toxicity.CLASSES**3, np.int64)
