@@ -379,8 +379,8 @@ a AS (SELECT e.t, e.x, e.m, count(*) FILTER (side = 0) AS l, count(*) FILTER (si
 d AS (SELECT t, x, m, floor((nl + nr) / 2) * (CAST(l AS DOUBLE) / nl - CAST(r AS DOUBLE) / nr) AS diff FROM a, k)"""
 
 
-def two_types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    events = read(spark, sf_dir, "events").where("user_id % 6 = 0").select("event_type", "user_id", F.round("value", 2).alias("f1"), (F.col("user_id") % 13 + F.col("event_id") % 29).cast("double").alias("f2"))
+def two_types(spark: SparkSession, sf_dir: str, every: int = 6) -> tuple[DataFrame, DataFrame]:
+    events = read(spark, sf_dir, "events").where(F.col("user_id") % every == 0).select("event_type", "user_id", F.round("value", 2).alias("f1"), (F.col("user_id") % 13 + F.col("event_id") % 29).cast("double").alias("f2"))
     ends = read(spark, sf_dir, "events").agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
     return events.where(F.col("event_type") == ends["a"]), events.where(F.col("event_type") == ends["b"])
 
@@ -412,6 +412,31 @@ def eafdiff_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("level", "colour", "side", F.size("vertices").alias("n_vertices"))
 
 
+# the four above read the users that their SQL reads, one in six; these read all
+
+
+@query()
+def eafdiff_points_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attainment.eafdiff(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id").select("f1", "f2", r("diff")).distinct()
+
+
+@query()
+def eafdiff_rectangles_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = attainment.eafdiff_rectangles(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id")
+    return d.select("xmin", "ymin", F.least("xmax", F.lit(1e6)).alias("xmax"), F.least("ymax", F.lit(1e6)).alias("ymax"), r("diff")).distinct()
+
+
+@query()
+def choose_eafdiff_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attainment.choose_eafdiff(attainment.eafdiff(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id"), left=False).select("f1", "f2", r("diff")).distinct()
+
+
+@query()
+def eafdiff_polygons_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = attainment.eafdiff_polygons(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id")
+    return p.select("level", "colour", "side", F.size("vertices").alias("n_vertices"))
+
+
 @query()
 def largest_eafdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.largest_eafdiff_table(part(spark, sf_dir), PS, "p_type", "p_brand", REF, UP).withColumn("value", F.round("value", 4))

@@ -29,6 +29,20 @@ def test_query(spark, db, name):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("name", ["eafdiff_points", "eafdiff_rectangles", "choose_eafdiff"])
+def test_eafdiff_of_all_users(spark, db, name):
+    got = points.QUERIES[f"{name}_all_users"](spark, SMALL)
+    sql = points.SQL[name].replace(" AND user_id % 6 = 0", "")
+    assert sql != points.SQL[name]
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > points.QUERIES[name](spark, SMALL).count()
+
+
+def test_eafdiff_polygons_of_all_users(spark):
+    p = points.attainment.eafdiff_polygons(*points.two_types(spark, SMALL, 1), ["f1", "f2"], "user_id")
+    assert points.QUERIES["eafdiff_polygons_all_users"](spark, SMALL).count() == p.count() > points.QUERIES["eafdiff_polygons"](spark, SMALL).count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
