@@ -4,7 +4,7 @@
 
 **Channel.**  A token that may be obfuscated (letters mixed with look-alike digits and signs, a letter
 three times or more, single letters set apart) is read as a lattice: a sign may stand for a letter, a
-repeated letter may be one or two, a mark between single letters may be dropped, each at a cost.  Viterbi
+repeated letter may be one or two, a mark between single letters may be dropped or end a word, each at a cost.  Viterbi
 decoding under the language model picks the cheapest word.  Other tokens stand as they are.
 
 **Score.**  On the fitting sample every word and word prefix gets a shrunk log-odds of toxic against
@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 MARKS = " .-_*~'`,/\\"
 _LOOK = re.escape("".join(LOOKALIKES))
 SPACED = re.compile(rf"(?<![^\W_])[^\W_](?:[{re.escape(MARKS)}]{{1,2}}[^\W_]){{3,}}(?![^\W_])")
+GAP = re.compile(rf"([{re.escape(MARKS)}]{{1,2}})")
 MIXED = re.compile(rf"(?:[^\W\d_]|[{_LOOK}]|(?<=[^\W\d_])[.\-_](?=[^\W\d_]))*[^\W\d_](?:[^\W\d_]|[{_LOOK}]|(?<=[^\W\d_])[.\-_](?=[^\W\d_]))*")
 ODD = re.compile(rf"[{_LOOK}._\-]|(.)\1\1", re.IGNORECASE)
 _ANY = r"[^\W\d_]"
@@ -50,7 +52,9 @@ _EDGE, _HARD = "!|*#(<.,_-~'`", "0-9@$€£¢+"
 CANDIDATE = re.compile(rf"{_ANY}[{_LOOK}._\-]+{_ANY}|[{_HARD}][{_LOOK}]*{_ANY}|{_ANY}[{_LOOK}]*[{_HARD}]|({_ANY})\1\1", re.IGNORECASE)
 TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST = 48  # a longer token isn't one obfuscated word
+CACHED = 48  # longer tokens are decoded each time
+#: Costs of reading a gap in a spaced run as a word's end: a gap like the others, and one longer than the shortest.
+WORD_END, LONG_GAP = 3.0, 0.0
 
 CLASSES = 64
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
@@ -123,26 +127,45 @@ class Restorer:
             at = end
         return out
 
-    def decode(self, token: str) -> str:
+    def spaced_lattice(self, run: str) -> list[list[tuple[str, float]]]:
+        """The lattice of single letters set apart, where each gap may also end a word."""
+        parts = GAP.split(run)
+        shortest = min(map(len, parts[1::2]))
+        out = []
+        for k, part in enumerate(parts):
+            readings = self.lattice(part)
+            if k % 2:
+                if len(readings) == 2:  # two different marks
+                    readings = [[(a + b, x + y) for a, x in readings[0] for b, y in readings[1]]]
+                longer = len(part) > shortest
+                readings = [[*((a, x + 3.0 * longer) for a, x in readings[0]), (" ", LONG_GAP if longer else WORD_END)]]
+            out += readings
+        return out
+
+    def decode(self, token: str, spaced: bool = False) -> str:
         if (known := self.cache.get(token)) is not None:
             return known
-        states = {(0, 0): (0.0, "")}
-        for readings in self.lattice(token):
+        states, settled = {(0, 0): (0.0, "")}, ""
+        for k, readings in enumerate(self.spaced_lattice(token) if spaced else self.lattice(token), 1):
             new: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (cost, text) in states.items():
                 for letters, extra in readings:
                     x, y, total = a, b, cost + extra
                     for ch in letters:
-                        z = _CODE.get(ch, _OTHER)
+                        z = 0 if ch == " " else _CODE.get(ch, _OTHER)
                         total += self.cost[x, y, z]
                         x, y = y, z
                     if (old := new.get((x, y))) is None or (total, text + letters) < old:
                         new[x, y] = (total, text + letters)
             states = new
-        best = min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
-        if len(self.cache) > self.max_words:
-            self.cache.clear()
-        self.cache[token] = best
+            if k % 64 == 0:  # what all readings begin with is put aside, so that time is linear in the length
+                n = len(common := commonprefix([text for _, text in states.values()]))
+                settled, states = settled + common, {s: (cost, text[n:]) for s, (cost, text) in states.items()}
+        best = settled + min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in states.items())[1]
+        if len(token) <= CACHED:
+            if len(self.cache) > self.max_words:
+                self.cache.clear()
+            self.cache[token] = best
         return best
 
     def restore(self, text: str) -> str:
@@ -151,12 +174,12 @@ class Restorer:
         def token(m: re.Match) -> str:
             t = m[0]
             core = t.strip(_EDGE)
-            if not core or len(core) > LONGEST or not ODD.search(core):
+            if not core or not ODD.search(core):
                 return t
             return t.replace(core, self.decode(core), 1)
 
         if SPACED.search(text):
-            text = SPACED.sub(lambda m: self.decode(m[0]) if len(m[0]) <= LONGEST else m[0], text)
+            text = SPACED.sub(lambda m: self.decode(m[0], True), text)
         if not CANDIDATE.search(text):
             return text
         return TOKEN.sub(lambda m: MIXED.sub(token, m[0]) if CANDIDATE.search(m[0]) else m[0], text)

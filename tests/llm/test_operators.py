@@ -236,6 +236,14 @@ def test_restore_next_to_punctuation(text, want):
     assert restorer("dumbass ass shit idiot trash yes so").restore(text) == want
 
 
+def test_restore_long_runs():
+    r = restorer("you are an idiot and a stupid loser", "the moron is here", "go away now", "you are a stupid idiot go away now")
+    assert r.restore("y o u a r e a s t u p i d i d i o t g o a w a y n o w") == "you are a stupid idiot go away now"
+    assert r.restore("y o u  a r e  a  s t u p i d  i d i o t") == "you are a stupid idiot"
+    assert r.restore("y o u a r e a n i d i o t " * 40 + "!").split() == ["you", "are", "an", "idiot"] * 40 + ["!"]
+    assert r.restore("stu" + "u" * 60 + "pid l0" + "0" * 60 + "ser").split() == ["stupid", "loser"]
+
+
 def test_candidates_are_all_odd_matches():
     rng = random.Random(16)
     r = restorer("an idiot")
