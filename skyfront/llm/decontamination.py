@@ -3,8 +3,8 @@
 An item's *windows* are its runs of ``window`` words (the whole item, if it has fewer).  Each window is
 looked for by its rarest term, by counts over all training texts: the index holds, for these terms, a posting
 per occurrence with document, position and the words around it.  A posting list is met with the windows
-that its term leads, shifted by the term's offset; the other terms of the window are then met, rarest first, at
-their own offsets, which leaves the exact phrase matches.  Proximity matches take the two rarest terms
+that its term leads, shifted by the term's offset, and the words around it are compared with the whole window,
+which leaves the exact phrase matches; the lists of the window's other terms are not intersected.  Proximity matches take the two rarest terms
 of an item and pair their postings of one document that stand at most ``slop`` words out of place.
 
 The benchmark is the small side.  Its anchor terms go into the plan as a set, at most ``terms_per_pass`` of them
