@@ -34,6 +34,14 @@ def test_stages(spark):
     assert mixed and all(0 < r["taken"] <= 3 * r["size"] for r in mixed)
 
 
+def test_run_writes_stages(spark, monkeypatch):
+    plain = [(n, lambda spark, docs, sf_dir, k=k: docs.where(F.col("doc_id") % 7 != k)) for k, (n, _) in enumerate(corpus_pipeline.STAGES)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", plain)
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.inputFiles() and all("/skyfront-pipeline-" in f and "/3/" in f for f in out.inputFiles())
+    assert out.count() == spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id % 7 > 4").count()
+
+
 def test_names():
     names = set(queries())
     assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"} and set(oracle_sql()) <= names
