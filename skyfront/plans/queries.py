@@ -496,6 +496,13 @@ def hv_approx_rphi_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approx.rphi_2d(df, ["f1", "f2"], 10).select(r("hypervolume", 5))
 
 
+@query(f"""WITH {POINTS}, f AS (SELECT {R1} - f1 AS z1, {R2} - f2 AS z2 FROM p WHERE f1 < {R1} AND f2 < {R2}),
+a AS (SELECT ((0.5 + (i + 1) * ((sqrt(5.0::DOUBLE) - 1) / 2)) % 1.0) * pi() / 2 AS a FROM range(4096) g(i)), b AS (SELECT a, max(least(z1 / sin(a), z2 / cos(a))) AS m FROM a, f GROUP BY a)
+SELECT round(avg(m * m) * pi() / 4, 5) AS hypervolume FROM b""")
+def hv_approx_rphi_2d_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return approx.rphi_2d(part(spark, sf_dir), PS, REF, UP).select(r("hypervolume", 5))
+
+
 def _approx(method: str) -> Query:
     return lambda spark, sf_dir: approx.hv_approx(three(spark, sf_dir), [*PS, "third"], [*REF, 30.0], [*UP, False], nsamples=65_536, seed=42, method=method, by="p_type")
 

@@ -43,6 +43,11 @@ def test_eafdiff_polygons_of_all_users(spark):
     assert points.QUERIES["eafdiff_polygons_all_users"](spark, SMALL).count() == p.count() > points.QUERIES["eafdiff_polygons"](spark, SMALL).count()
 
 
+def test_rphi_2d_of_a_table(spark, db):
+    got = points.QUERIES["hv_approx_rphi_2d_part"](spark, SMALL).first()[0]
+    assert got == pytest.approx(db.execute(points.SQL["hv_approx_rphi_2d_part"]).fetchone()[0], abs=1e-5) and got > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
