@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,20 +16,57 @@ SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/skyfront-checkpoint"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the session's shared folder.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (a local test session)
-    a temporary folder is used.  The files go when nothing refers to the result any more, if
-    the session has ``spark.cleaner.referenceTracking.cleanCheckpoints`` on.
+    The files go when nothing refers to the result any more, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` on.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skyfront-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a column of strings, without copying it; nulls have none."""
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, kind)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, at.astype(np.int64) - at[0]
+
+
+def slices(raw: np.ndarray, offsets: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, offsets) of runs of texts of at most ``size`` bytes, or of one longer text."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
+        yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def text_slices(batch: pa.RecordBatch, name: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """A batch by runs of rows whose texts have at most ``size`` bytes (or by one row), with the texts."""
+    for lo, hi, _, _ in slices(*utf8(batch.column(name)), size):
+        part = batch.slice(lo, hi - lo)
+        yield part, part.column(name).to_pylist()
+
+
+def release() -> None:
+    """Give a task's freed memory back to the system, as Python workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -310,6 +311,10 @@ def test_forward_backward_is_exact():
                 want[k, s] += w
         assert np.allclose(own, want / z) and np.allclose(total, want.sum(0) / z)
     assert pairs.sum() == pytest.approx(sum(len(c) - 1 for c in chains))
+    for segment in (1, 2, 3):
+        again = np.zeros((3, 3))
+        other, _ = language_id.forward_backward(chains, e, t, True, again, segment)
+        assert np.allclose(other, sums) and np.allclose(again, pairs)
 
 
 def test_language(spark):
@@ -429,13 +434,45 @@ def test_ngram_join_of_long_texts(spark):
         texts.append(" ".join(copy))
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(documents(spark, texts), 4, 85).collect()}
     assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 4, 85)]
-    sets = [*ngram_join.ngram_sets([t.encode() for t in texts], 4)]
+    sets = ngram_join.ngram_sets(*common.utf8(pa.array(texts)), 4)
     for a in sets:
         for b in sets:
-            x, y = (ngram_join._parity(s, 32).view(np.uint64) for s in (a, b))
+            x, y = (ngram_join._parity(s, np.zeros(len(s), np.int64), 1, 32)[0].view(np.uint64) for s in (a, b))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_ngram_sets_by_pieces():
+    rng = random.Random(16)
+    texts = ["", " \t", "A", *ODD[5:], *(" ".join("ab" * rng.randint(1, 60) for _ in range(rng.randint(1, 30))) + rng.choice(["", " ", "\n"]) for _ in range(30))]
+    whole = ngram_join.ngram_sets(*common.utf8(pa.array(texts)), 3)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t.translate(UPPER)) for t in texts]
+    assert [len(s) for s in whole] == [len({tuple(w[i : i + 3]) for i in range(len(w) - 2)}) if len(w) >= 3 else len(w) > 0 for w in words]
+    for piece in (1, 7, 64, 1000):
+        assert all(np.array_equal(a, b) for a, b in zip(whole, ngram_join.ngram_sets(*common.utf8(pa.array(texts)), 3, piece), strict=True))
+    for t, own in zip(texts, whole, strict=True):
+        assert np.array_equal(own, ngram_join.ngram_sets(*common.utf8(pa.array([t])), 3)[0])
+
+
+def test_words_that_polynomials_confuse():
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64 whatever the base."""
+    for size in (1024, 2048, 4096):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(size))
+        a, b = ngram_join.ngram_sets(*common.utf8(pa.array([word, word.translate(str.maketrans("ab", "ba"))])), 4)
+        assert a[0] != b[0]
+
+
+@pytest.mark.parametrize("percent", [40, 69, 70, 80, 85, 95])
+def test_prefixes_miss_no_link(percent):
+    """Sets that link and differ share a run among the first that are looked at."""
+    rng, r = random.Random(percent), ngram_join.run_length(percent)
+    for _ in range(400):
+        x = set(rng.sample(range(10**6), rng.randint(1, 60)))
+        y = (x - set(rng.sample(sorted(x), rng.randint(0, len(x) // 2)))) | set(rng.sample(range(10**6), rng.randint(0, len(x) // 3)))
+        if y and x != y and 100 * len(x & y) >= percent * len(x | y):
+            runs = [{tuple(s[i : i + r]) for i in range(ngram_join.prefix_length(len(s), percent))} for s in (sorted(x), sorted(y))]
+            assert runs[0] & runs[1], (x, y)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(common.connected_components(edges).collect())
