@@ -10,6 +10,9 @@ distribution over languages; a document's score for a language is the mean over
 The model is fitted on a bounded sample (``n_docs`` documents of lowest id hash, of at most ``max_chars``
 characters) and shipped to the tasks; then every text is labelled whole, in one pass without a shuffle.
 
+Texts are taken in runs of about 1 MB and words scored 4096 at a time, so a task's memory does not depend on how many rows
+come in a batch; of a very long text it keeps 4 bytes a word and the forward scores of one segment.
+
 Defined results: a null text, or one without letters, is ``und`` with score 0; a tie goes to the
 language that sorts first; repeated rows each give a row; without any training row all is ``und``;
 other columns are ignored.
@@ -23,11 +26,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_sample
+from .common import fold, hash_sample, release, text_slices
 
 #: Bounds of the fitting sample (documented parameters).
 N_DOCS, MAX_CHARS = 800, 40_000
@@ -107,41 +110,53 @@ class CRF:
         return np.exp(np.maximum(s - s.max(1, keepdims=True), -30))
 
 
-def forward_backward(chains: list[np.ndarray], emission: np.ndarray, transitions: np.ndarray, words: bool = False, pairs: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+def forward_backward(chains: list[np.ndarray], emission: np.ndarray, transitions: np.ndarray, words: bool = False, pairs: np.ndarray | None = None, segment: int = 1 << 15) -> tuple[np.ndarray, list[np.ndarray]]:
     """Summed marginals of each chain and, if ``words``, each word's.
 
     Chains are arrays of rows of ``emission``; they are swept together, longest first, so that step t works on
-    those that reach it.  ``pairs``, if given, gets the expected transition counts added.
+    those that reach it.  Forward scores are kept for ``segment`` steps: of longer chains those at the segments' starts stay,
+    and the others are made again when the backward sweep comes there.  ``pairs``, if given, gets the expected transition counts added.
     """
     k = emission.shape[1]
     sizes = np.array([len(c) for c in chains])
     order = np.argsort(-sizes, kind="stable")
     steps = int(sizes.max(initial=0))
-    ids = np.zeros((steps, len(chains)), np.int64)
+    ids = np.zeros((steps, len(chains)), np.int32)
     for j, i in enumerate(order):
         ids[: sizes[i], j] = chains[i]
-    active = (sizes[order][None, :] > np.arange(steps)[:, None]).sum(1) if steps else []
-    alpha = np.empty((steps, len(chains), k), np.float64)
+    active = len(chains) - np.searchsorted(np.sort(sizes), np.arange(steps), "right")
     a = np.exp(transitions)
-    for t in range(steps):
-        n = active[t]
-        now = emission[ids[t, :n]] * (alpha[t - 1, :n] @ a if t else 1.0)
-        alpha[t, :n] = now / now.sum(1, keepdims=True)
+
+    def forward(lo: int, before: np.ndarray | None) -> np.ndarray:
+        alpha = np.empty((min(segment, steps - lo), len(chains), k))
+        for t in range(lo, lo + len(alpha)):
+            n = active[t]
+            now = emission[ids[t, :n]] * (before[:n] @ a if t else 1.0)
+            alpha[t - lo, :n] = before = now / now.sum(1, keepdims=True)
+        return alpha
+
+    starts, alpha, carried = range(0, steps, segment), None, {0: None}
+    for lo in starts:
+        alpha = forward(lo, carried[lo])
+        carried[lo + segment] = alpha[-1].copy()
     beta, total = np.ones((len(chains), k)), np.zeros((len(chains), k))
     gammas = np.zeros((steps, len(chains), k)) if words else None
-    for t in range(steps - 1, -1, -1):
-        n = active[t]
-        g = alpha[t, :n] * beta[:n]
-        g /= g.sum(1, keepdims=True)
-        total[:n] += g
-        if words:
-            gammas[t, :n] = g
-        eb = emission[ids[t, :n]] * beta[:n]
-        if pairs is not None and t:
-            x = alpha[t - 1, :n, :, None] * a[None] * eb[:, None, :]
-            pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
-        back = eb @ a.T
-        beta[:n] = back / back.sum(1, keepdims=True)
+    for lo in reversed(starts):
+        if lo != starts[-1]:
+            alpha = forward(lo, carried[lo])
+        for t in range(lo + len(alpha) - 1, lo - 1, -1):
+            n = active[t]
+            g = alpha[t - lo, :n] * beta[:n]
+            g /= g.sum(1, keepdims=True)
+            total[:n] += g
+            if words:
+                gammas[t, :n] = g
+            eb = emission[ids[t, :n]] * beta[:n]
+            if pairs is not None and t:
+                x = (alpha[t - lo - 1] if t > lo else carried[lo])[:n, :, None] * a[None] * eb[:, None, :]
+                pairs += (x / x.sum((1, 2), keepdims=True)).sum(0)
+            back = eb @ a.T
+            beta[:n] = back / back.sum(1, keepdims=True)
     out = np.empty_like(total)
     out[order] = total
     if not words:
@@ -227,10 +242,10 @@ def train(docs: DataFrame, held_mod: int = 3, held: int = 1, id_col: str = "doc_
 
 
 class Tagger:
-    """Labels texts in a task; distinct words are scored once while the cache has room."""
+    """Labels texts in a task; distinct words are scored once while the table has room, ``block`` at a time."""
 
-    def __init__(self, model: CRF, max_words: int = 150_000) -> None:
-        self.model, self.max_words = model, max_words
+    def __init__(self, model: CRF, max_words: int = 100_000, block: int = 4096) -> None:
+        self.model, self.max_words, self.block = model, max_words, block
         self.clear()
 
     def clear(self) -> None:
@@ -240,20 +255,21 @@ class Tagger:
     def learn(self, new: list[str]) -> None:
         """Scores words that the table lacks; words without a letter stay out."""
         new = [w for w in new if any(map(str.isalpha, w))]
-        if new:
-            at = len(self.ids)
-            self.ids.update(zip(new, range(at, at + len(new)), strict=True))
-            self.table = np.concatenate([self.table[:at], self.model.emissions(new)])
+        at = len(self.ids)
+        self.ids.update(zip(new, range(at, at + len(new)), strict=True))
+        self.table = np.concatenate([self.table, *(self.model.emissions(new[i : i + self.block]) for i in range(0, len(new), self.block))])
 
     def chains(self, texts: list[str | None]) -> list[np.ndarray]:
         words = [words_of(t) for t in texts]
-        if len(self.ids) > self.max_words:
+        new = {w for own in words for w in own if w not in self.ids}
+        if self.ids and len(self.ids) + len(new) > self.max_words:  # what one call asks for has to be there at once
             self.clear()
-        self.learn(sorted({w for own in words for w in own if w not in self.ids}))
+            new = {w for own in words for w in own}
+        self.learn(sorted(new))
         get = self.ids.get
-        return [np.array([i for i in map(get, own) if i is not None], np.int64) for own in words]
+        return [np.array([i for i in map(get, own) if i is not None], np.int32) for own in words]
 
-    def marginals(self, texts: list[str | None], words: bool = False, block: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    def marginals(self, texts: list[str | None], words: bool = False, block: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """Mean distribution of each text, in order (empty without letters), and of its words if asked for."""
         chains = self.chains(texts)
         results: list[tuple[np.ndarray, np.ndarray | None]] = [(np.empty(0), None)] * len(texts)
@@ -273,19 +289,21 @@ def predict(docs: DataFrame, model: CRF | None, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         tagger = Tagger(model) if model else None
-        for pdf in batches:
-            langs, scores = [], []
-            for mean, _ in tagger.marginals([*pdf["text"]]) if tagger else ((np.empty(0), None) for _ in range(len(pdf))):
-                best = int(mean.argmax()) if len(mean) else -1
-                langs.append(model.languages[best] if best >= 0 else "und")
-                scores.append(float(min(1.0, mean[best])) if best >= 0 else 0.0)
-            yield pd.DataFrame({"id": pdf["id"], "lang_pred": langs, "score": scores})
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                langs, scores = [], []
+                for mean, _ in tagger.marginals(texts) if tagger else ((np.empty(0), None) for _ in texts):
+                    best = int(mean.argmax()) if len(mean) else -1
+                    langs.append(model.languages[best] if best >= 0 else "und")
+                    scores.append(float(min(1.0, mean[best])) if best >= 0 else 0.0)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def label_words(docs: DataFrame, model: CRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,14 +311,17 @@ def label_words(docs: DataFrame, model: CRF, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, languages = Tagger(shared.value), shared.value.languages
-        for pdf in batches:
-            rows = []
-            for text, (_, per) in zip(pdf["text"], tagger.marginals([*pdf["text"]], True), strict=True):
-                own = [w for w in words_of(text) if any(map(str.isalpha, w))]
-                rows.append([{"word": w, "lang": languages[int(g.argmax())], "p": float(g.max())} for w, g in zip(own, per if per is not None else [], strict=True)])
-            yield pd.DataFrame({"id": pdf["id"], "words": rows})
+        kinds = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                rows = []
+                for text, (_, per) in zip(texts, tagger.marginals(texts, True), strict=True):
+                    own = [w for w in words_of(text) if any(map(str.isalpha, w))]
+                    rows.append([{"word": w, "lang": languages[int(g.argmax())], "p": float(g.max())} for w, g in zip(own, per if per is not None else [], strict=True)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(rows, kinds)], ["id", "words"])
+        release()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, words array<struct<word:string,lang:string,p:double>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, words array<struct<word:string,lang:string,p:double>>").withColumnRenamed("id", id_col)
