@@ -2,25 +2,25 @@
 
 Every byte covered by a ``length``-byte string that also starts anywhere else is removed.
 
-**Ranks.**  Inside a task the rank of the 2h bytes at a position is made of the ranks of the h bytes there and
+**Ranks.**  The rank of the 2h bytes at a position is made of the ranks of the h bytes there and
 h further on (64-bit names instead of ordinals, so equal strings get equal ranks in every task).  Any
 longer string is named by the ranks of two overlapping powers of two.
 
 **Sampled positions.**  Each string of ``length`` bytes is led by the position of its least 64-byte rank (the
-leftmost of equals).  Equal strings are led at the same offset, so only leading positions, about one
-in 60, need be sorted.  Spark sorts them by the rank pair (64 bytes at the position; all bytes that a string it
-leads can hold, up to 336) and reranks: a position whose 64 bytes are unique is done; one whose longer
-rank is shared is past the threshold, all of it is repeated; for the others the strings they lead are ranked at
-full length, among positions of the same 64 bytes only.
+leftmost of equals; 64 bytes of short period come last).  Equal strings are led at the same offset, so only leading
+positions, about one in 60, need be sorted.  Spark sorts them by the rank pair (64 bytes at the position; all bytes of the
+strings that it leads, up to 336) and reranks: a position whose 64 bytes are unique is done; one whose longer
+rank is shared is past the threshold, every string that it leads is repeated; for the others Spark sorts the ranks of
+the single strings, 200 bytes long, and those that are shared are repeated.
 
 Sorting plain pairs for all positions instead would shuffle 16 bytes a byte and round; see README.
 
-A 64-byte rank shared by more than ``hot`` different surroundings is not gathered: its strings are counted by
-a pre-aggregated shuffle of their own ranks.
+A position that a text holds several times in the same surroundings (periodic text) goes as one row with its spans.
 
 Defined results: null counts as empty; matches do not cross documents; equal texts are matches of each other;
-repeated rows each give a row; empty tables give an empty result; other columns are ignored.  A text
-is known by its 64-bit hash and its length in bytes.
+repeated rows each give a row; empty tables give an empty result; very long texts are ranked by overlapping pieces of bounded
+size; other columns are ignored, and those in ``keep`` come back under their names (which should not be those of results).  A text
+is known by 88 bits of its hashes, a string by 128.
 """
 
 from __future__ import annotations
@@ -29,18 +29,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bit_map, materialize, may_hold, release, slices, utf8
 
 LENGTH, CORE = 200, 64
-HOT = 20_000
 #: Bytes ranked at once in a task.
 CHUNK = 1 << 19
+#: Low bits of an order key that hold the place in a chunk.
+PLACE_BITS = 22
 _U = np.uint64
+_SPAN = T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -75,221 +79,208 @@ class Ranks:
         return out
 
 
-def leading_positions(texts: list[bytes], length: int = LENGTH, core: int = CORE) -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, position, core rank, whole rank, first and last start led, rank table, offset of positions in its buffer) by chunk of texts."""
-    reach, at = length - core, 0
-    while at < len(texts):
-        first, size = at, 0
-        while at < len(texts) and (at == first or size + len(texts[at]) <= CHUNK):
-            size += len(texts[at])
-            at += 1
-        if size <= 2 * CHUNK:
-            yield from _chunk([(i, 0, texts[i], 0, len(texts[i])) for i in range(first, at)], length, core)
-        else:  # one long text: by overlapping pieces, each with all that a string it leads can hold
-            t = texts[first]
-            for a in range(0, len(t) - length + 1, CHUNK):
-                lo, hi = max(0, a - reach), min(len(t), a + CHUNK + 2 * length)
-                yield from _chunk([(first, lo, t[lo:hi], a - lo, min(a + CHUNK + length - 1, len(t)) - lo)], length, core)
-
-
-def _chunk(parts: list[tuple[int, int, bytes, int, int]], length: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """``parts``: text, place of the piece in it, the piece, and from and to where strings are looked at."""
-    buffer = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+def leading_positions(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, core: int = CORE) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, position, first and last start led, core rank, whole rank) of the texts between ``offsets``, by pieces of bounded size."""
+    if len(raw) <= 2 * CHUNK:
+        yield from _chunk(raw, offsets, [(i, 0, a, b) for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))], length, core)
+        return
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, b - length + 1, CHUNK):  # starts of this piece, with all that they lead to
+            end = min(at + CHUNK + length - 1, b)
+            yield from _chunk(raw[at:end], np.array([0, end - at]), [(i, at - a, 0, end - at)], length, core)
+
+
+def _chunk(buffer: np.ndarray, offsets: np.ndarray, parts: list[tuple[int, int, int, int]], length: int, core: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``parts``: text, place of the part in it, and where the part begins and ends in the buffer."""
     reach = length - core
-    sizes = np.array([len(p[2]) for p in parts], np.int64)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    starts = [np.arange(b + p[3], b + p[4] - length + 1) for b, p in zip(begin, parts, strict=True) if p[4] - p[3] >= length]
-    if not starts:
+    parts = [p for p in parts if p[3] - p[2] >= length]
+    if not parts:
         return
-    starts = np.concatenate(starts)
+    starts = np.concatenate([np.arange(a, b - length + 1) for _, _, a, b in parts])
+    owner = np.repeat(np.arange(len(parts)), [b - a - length + 1 for _, _, a, b in parts])
     ranks = Ranks(buffer, 256)
-    places = np.arange(len(buffer) - core + 1)
-    g = ranks.of(places, core)
-    bits = _U(int(len(g)).bit_length())
-    v = (g >> bits << bits) | places.astype(_U)
+    g = ranks.of(np.arange(len(buffer) - core + 1), core)
+    half = ranks.levels[(core // 2).bit_length() - 1]
+    periodic = np.zeros(len(g), bool)
+    for step in range(1, core // 2 + 1):
+        periodic |= half[: len(g)] == half[step : step + len(g)]
+    place = np.arange(len(g)).astype(_U)
+    v = (g >> _U(1) | periodic.astype(_U) << _U(63)) >> _U(PLACE_BITS) << _U(PLACE_BITS) | place
     w = 1
     while 2 * w <= reach + 1:
         v = np.minimum(v[:-w], v[w:])
         w *= 2
     if rest := reach + 1 - w:
         v = np.minimum(v[:-rest], v[rest:])
-    lead = (v[starts] & ((_U(1) << bits) - _U(1))).astype(np.int64)
-    # a leading position may lead strings of one text only, in one run
-    new = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1])]))
-    p, lo, hi = lead[new], starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1]
-    part = np.searchsorted(begin, p, "right") - 1
-    left, right = np.maximum(p - reach, begin[part]), np.minimum(p + length, begin[part] + sizes[part])
+    lead = (v[starts] & ((_U(1) << _U(PLACE_BITS)) - _U(1))).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (owner[1:] != owner[:-1])]))
+    p, lo, hi, own = lead[new], starts[new], starts[np.append(new[1:], len(starts)) - 1], owner[new]
     with np.errstate(over="ignore"):
-        whole = _mix(ranks.of(left, right - left), (p - left).astype(_U))
-    text, place = np.array([q[0] for q in parts])[part], np.array([q[1] for q in parts])[part] - begin[part]
-    yield text, p + place, g[p].view(np.int64), whole.view(np.int64), lo + place, hi + place, ranks, place
+        whole = _mix(ranks.of(lo, hi - lo + length), (p - lo).astype(_U))
+    text, shift = np.array([q[0] for q in parts])[own], np.array([q[1] - q[2] for q in parts])[own]
+    yield text, p + shift, lo + shift, hi + shift, g[p].view(np.int64), whole.view(np.int64)
 
 
-def _pack(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """Rows keyed by text, the text compressed for the shuffle."""
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+def _named(docs: DataFrame, text_col: str) -> tuple:
+    """Columns text (null: empty), key and tag: 64 and 24 bits that name the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"), F.xxhash64(text).alias("_key"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for pdf in batches:
-            raw = [t.encode() for t in pdf["_text"]]
-            yield pdf[[*keep, "_key"]].assign(_n=[len(b) for b in raw], _z=[z.compress(b) for b in raw])
-
-    return rows.mapInPandas(run, f"{kinds}_key long, _n int, _z binary")
-
-
-def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFrame:
-    """All leading positions: (core, whole, key, n, pos)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(text.alias("text"), F.xxhash64(text).alias("key")).where(F.octet_length("text") >= length)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raw, keys = [t.encode() for t in pdf["text"]], pdf["key"].to_numpy()
-            sizes = np.array([len(b) for b in raw])
-            last = None
-            for text, pos, c, w, *_ in leading_positions(raw, length, core):
-                # a position that leads strings of two pieces of a long text comes last in one and first in the next: it is one position
-                new = int((text[0], pos[0]) == last)
-                last = (text[-1], pos[-1])
-                text, pos = text[new:], pos[new:]
-                yield pd.DataFrame({"core": c[new:], "whole": w[new:], "key": keys[text], "at": sizes[text].astype(np.int64) << 32 | pos})
+    return text.alias("text"), F.xxhash64(text).alias("key"), F.shiftrightunsigned(F.xxhash64(F.lit(1), text), 40).alias("tag")
 
-    return rows.mapInPandas(run, "core long, whole long, key long, at long")
 
-
-def _strings(rows: DataFrame, length: int, core: int) -> DataFrame:
-    """For the positions in ``open``: the bytes of the strings that each leads, or their ranks where the position is hot."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            raw = [z.decompress(b) for b in pdf["_z"]]
-            wanted = [{o["pos"]: (o["twice"], o["hot"]) for o in row} for row in pdf["open"]]
-            keys, out = pdf["_key"].to_numpy(), []
-            for text, pos, c, _, lo, hi, ranks, place in leading_positions(raw, length, core):
-                for i in range(len(pos)):
-                    t, p = int(text[i]), int(pos[i])
-                    if (found := wanted[t].get(p)) is None:
-                        continue
-                    twice, hot = found
-                    a, b = int(lo[i]), int(hi[i])
-                    own = ranks.of(np.arange(a, b + 1) - int(place[i]), length).view(np.int64).tolist() if hot else None
-                    out.append((int(c[i]), keys[t], len(raw[t]), a, twice, None if hot else raw[t][a : b + length], own))
-            yield pd.DataFrame(out, columns=["core", "key", "n", "first", "twice", "bytes", "ranks"]).astype({"ranks": object})
-
-    return rows.mapInPandas(run, "core long, key long, n int, first int, twice boolean, bytes binary, ranks array<long>")
-
-
-def _repeated_in_groups(strings: DataFrame, length: int) -> DataFrame:
-    """(key, n, spans): byte spans of repeated strings, found among positions of the same core. Rows come sorted by core."""
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = np.array([len(b) for b in pdf["bytes"]], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        count = sizes - length + 1
-        owner = np.repeat(np.arange(len(pdf)), count)
-        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        ranks = Ranks(np.frombuffer(b"".join(pdf["bytes"]), np.uint8), 128)
-        with np.errstate(over="ignore"):
-            names = _mix(ranks.of(begin[owner] + step, length), pdf["core"].to_numpy().view(_U)[owner])
-        _, back, n = np.unique(names, return_inverse=True, return_counts=True)
-        weight = np.bincount(back, np.where(pdf["twice"].to_numpy(bool), 2, 1)[owner], len(n))
-        again = (weight[back] >= 2) & ~pdf["twice"].to_numpy(bool)[owner]
-        at = np.flatnonzero(again)
-        if not len(at):
-            return pd.DataFrame({"key": [], "n": [], "lo": [], "hi": []}).astype("int64")
-        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(owner[at]) != 0))
-        a, b = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
-        first, o = pdf["first"].to_numpy(np.int64), owner[a]
-        return pd.DataFrame({"key": pdf["key"].to_numpy()[o], "n": pdf["n"].to_numpy()[o], "lo": first[o] + step[a], "hi": first[o] + step[b] + length})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for pdf in batches:  # whole groups at a time; the last group of a batch may go on in the next
-            cores = pdf["core"].to_numpy()
-            for lo in range(0, len(pdf), 4000):
-                part, own = pdf.iloc[lo : lo + 4000], cores[lo : lo + 4000]
-                at = int(np.searchsorted(own != own[-1], False)) if own[0] == own[-1] else int(np.flatnonzero(own != own[-1])[-1]) + 1
-                if at or (kept and kept[-1]["core"].iloc[-1] != own[0]):
-                    if whole := [*kept, part.iloc[:at]]:
-                        whole = [w for w in whole if len(w)]
-                        if whole:
-                            yield resolve(pd.concat(whole, ignore_index=True))
-                    kept = []
-                kept.append(part.iloc[at:])
-        if kept:
-            yield resolve(pd.concat(kept, ignore_index=True))
-
-    return strings.mapInPandas(run, "key long, n int, lo int, hi int")
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(settled, found): for each text key the positions whose surroundings repeat whole, and single spans."""
-    p = _positions(docs, text_col, length, core)
-    by_core, by_both = Window.partitionBy("core"), Window.partitionBy("core", "whole")
-    ordered = Window.partitionBy("core").orderBy("whole", "key", "at")
-    p = p.repartition("core").withColumn("previous", F.lag("whole").over(ordered)).withColumn("next", F.lead("whole").over(ordered))
-    first = F.col("previous").isNull() | (F.col("previous") != F.col("whole"))
-    p = p.withColumn("first", first).withColumn("twice", ~first | (F.coalesce(F.col("next") == F.col("whole"), F.lit(False))))
-    p = p.withColumn("kinds", F.count_if("first").over(by_core))
-    open_ = F.when(F.col("first") & (F.col("kinds") > 1), F.struct(F.col("at").bitwiseAND(0x7FFFFFFF).cast("int").alias("pos"), "twice", (F.col("kinds") > hot).alias("hot")))
-    p = p.where(F.col("twice") | (F.col("kinds") > 1)).withColumn("settled", F.when(F.col("twice"), F.col("at").bitwiseAND(0x7FFFFFFF).cast("int"))).withColumn("open", open_)
-    n = F.shiftright("at", 32).cast("int")
-    known = p.groupBy("key", n.alias("n")).agg(F.collect_set("settled").alias("settled"), F.collect_set("open").alias("open"))
-    known = materialize(known)
-    open_rows = known.where(F.size("open") > 0).select(F.col("key").alias("_key"), F.col("n").alias("_n"), "open")
-    strings = _strings(_pack(docs, text_col, []).join(open_rows, ["_key", "_n"]), length, core)
-    # equal texts hold no open position that is not "twice": each of these is taken once
-    found = _repeated_in_groups(strings.where("bytes IS NOT NULL").repartition("core").sortWithinPartitions("core"), length)
-    if known.where(F.exists("open", lambda o: o["hot"])).limit(1).count():
-        each = strings.where("ranks IS NOT NULL").select("core", "key", "n", "first", "twice", F.posexplode("ranks").alias("step", "rank"))
-        again = each.groupBy("core", "rank").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1")
-        more = each.where(~F.col("twice")).join(again, ["core", "rank"]).select("key", "n", (F.col("first") + F.col("step")).alias("lo"), (F.col("first") + F.col("step") + length).alias("hi"))
-        found = found.unionByName(more)
-    return known.select("key", "n", "settled"), found
-
-
-def _merge(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
+def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans as maximal runs."""
     order = np.argsort(lo, kind="stable")
-    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(lo) else hi
     cut = np.flatnonzero(lo[1:] > hi[:-1]) + 1
-    return [*zip(lo[np.concatenate([[0], cut])].tolist(), hi[np.concatenate([cut - 1, [len(lo) - 1]])].tolist(), strict=True)] if len(lo) else []
+    return (lo[np.append(0, cut)], hi[np.append(cut - 1, len(lo) - 1)]) if len(lo) else (lo, hi)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: ``keep`` (default: the id), kept binary, n_bytes, n_removed, n_spans."""
-    keep = keep or [id_col]
-    settled, found = repeated_spans(docs, text_col, length, core, hot)
-    spans = found.groupBy(F.col("key").alias("_key"), F.col("n").alias("_n")).agg(F.collect_set(F.struct("lo", "hi")).alias("_found"))
-    settled = settled.where(F.size("settled") > 0).select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("settled").alias("_settled"))
-    known = settled.join(spans, ["_key", "_n"], "full_outer")
-    rows = _pack(docs, text_col, keep).join(known, ["_key", "_n"], "left")
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFrame:
+    """All leading positions: (core, whole, key, at, spans); ``at`` packs the text's tag, bytes led and first start; ``spans`` if a text has several of the same core and whole."""
+    rows = docs.select(*_named(docs, text_col)).where(F.octet_length("text") >= length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["core", "whole", "key", "at", "spans"]
+        for batch in batches:
+            keys, tags = (batch.column(c).to_numpy() for c in ("key", "tag"))
+            for first, last, raw, offsets in slices(*utf8(batch.column("text")), CHUNK):
+                own_keys, own_tags = keys[first:last], tags[first:last]
+                for text, _, lo, hi, c, w in leading_positions(raw, offsets, length, core):
+                    order = np.lexsort((lo, w, c, text))
+                    text, lo, hi, c, w = (x[order] for x in (text, lo, hi, c, w))
+                    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
+                    count = np.diff(np.append(new, len(lo)))
+                    at = own_tags[text] << 40 | (hi - lo + length) << 31 | lo
+                    for k, many in ((new[count == 1], False), (new[count > 1], True)):
+                        if not len(k):
+                            continue
+                        spans = pa.nulls(len(k), _SPANS)
+                        if many:
+                            runs = [_merge(lo[i : i + n], hi[i : i + n] + length) for i, n in zip(k, count[count > 1], strict=True)]
+                            spans = pa.array([[{"lo": a, "hi": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in runs], _SPANS)
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, (c[k], w[k], own_keys[text[k]], at[k])), spans], names)
+        release()
+
+    return rows.mapInArrow(run, "core long, whole long, key long, at long, spans array<struct<lo:int,hi:int>>")
+
+
+def _strings(docs: DataFrame, text_col: str, open_rows: DataFrame, length: int) -> DataFrame:
+    """(core, rank, key, at) of the strings that the positions in ``open`` lead; ``at`` packs the text's tag, whether they are known to be repeated, and the start."""
+    names = docs.sparkSession.sparkContext.broadcast(bit_map(open_rows.select(F.col("key").alias("name"))))
+    rows = docs.select(*_named(docs, text_col)).where(F.octet_length("text") >= length)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            once = np.zeros(len(keys), bool)
+            once[np.unique(keys, return_index=True)[1]] = True  # copies in a batch: one will do
+            part = batch.filter(pa.array(once & may_hold(names.value, keys)))
+            raw, offsets = utf8(part.column("text"))
+            texts = [z.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("tag"), pa.array(texts, pa.binary())], ["key", "tag", "z"])
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for key, tag, packed, row in zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), batch.column("z"), batch.column("open"), strict=True):
+                raw, fields = np.frombuffer(z.decompress(packed.as_buffer()), np.uint8), row.values.flatten()
+                core, lo, size, twice = (x.to_numpy(zero_copy_only=False) for x in fields)
+                for k in range(0, len(lo), 2000):  # positions at once
+                    here = slice(k, k + 2000)
+                    a, n = lo[here].astype(np.int64), size[here].astype(np.int64)
+                    buffer = np.concatenate([raw[i : i + m] for i, m in zip(a, n, strict=True)])
+                    count = n - length + 1
+                    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    ranks = Ranks(buffer, 128).of(np.repeat(np.cumsum(n) - n, count) + step, length)
+                    at = np.int64(tag) << np.int64(40) | np.repeat(twice[here].astype(np.int64), count) << 32 | np.repeat(a, count) + step
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(core[here], count)), pa.array(ranks.view(np.int64)), pa.array(np.full(len(at), key)), pa.array(at)], ["core", "rank", "key", "at"])
+        release()
+
+    texts = rows.mapInArrow(pack, "key long, tag long, z binary").groupBy("key", "tag").agg(F.first("z").alias("z"))
+    return texts.join(open_rows, ["key", "tag"]).select("key", "tag", "z", "open").mapInArrow(run, "core long, rank long, key long, at long")
+
+
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE) -> tuple[DataFrame, DataFrame]:
+    """(key, tag, settled) and (key, tag, starts): for each text the spans under repeated positions, and the starts of single repeated strings."""
+    p = _positions(docs, text_col, length, core).repartition("core")
+    by_core = Window.partitionBy("core")
+    ordered = by_core.orderBy("whole", "key", "at")
+    p = p.withColumn("previous", F.lag("whole").over(ordered)).withColumn("next", F.lead("whole").over(ordered))
+    first = F.col("previous").isNull() | (F.col("previous") != F.col("whole"))
+    p = p.withColumn("first", first).withColumn("twice", ~first | F.coalesce(F.col("next") == F.col("whole"), F.lit(False)) | F.col("spans").isNotNull())
+    p = p.withColumn("kinds", F.count_if("first").over(by_core)).where(F.col("twice") | (F.col("kinds") > 1))
+    lo, size = F.col("at").bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright("at", 31).bitwiseAND(0x1FF).cast("int")
+    span = F.array(F.struct(lo.alias("lo"), (lo + size).alias("hi")))
+    p = p.withColumn("settled", F.when(F.col("twice"), F.coalesce("spans", span)))
+    p = p.withColumn("open", F.when(F.col("first") & (F.col("kinds") > 1), F.struct("core", lo.alias("lo"), size.alias("size"), "twice")))
+    tag = F.shiftrightunsigned("at", 40)
+    known = materialize(p.groupBy("key", tag.alias("tag")).agg(F.flatten(F.collect_set("settled")).alias("settled"), F.collect_set("open").alias("open")))
+    strings = _strings(docs, text_col, known.where(F.size("open") > 0).select("key", "tag", "open"), length).repartition("rank")
+    known_twice = F.shiftright("at", 32).bitwiseAND(1)
+    times = F.sum(1 + known_twice).over(Window.partitionBy("rank", "core"))
+    again = strings.withColumn("times", times).where((F.col("times") > 1) & (known_twice == 0))
+    return known.where(F.size("settled") > 0).select("key", "tag", "settled"), again.groupBy("key", tag.alias("tag")).agg(F.collect_set(lo).alias("starts"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, keep: list[str] | None = None) -> DataFrame:
+    """One row per document: ``keep`` (default: the id), kept binary, n_bytes, n_removed, n_spans.
+
+    Only texts that a bit map of the keys of texts with repeats may hold are shuffled to be joined with their spans; the others are whole.
+    """
+    settled, again = repeated_spans(docs, text_col, length, core)
+    known = materialize(settled.join(again, ["key", "tag"], "full_outer"))
+    names = docs.sparkSession.sparkContext.broadcast(bit_map(known.select(F.col("key").alias("name"))))
+    rows = docs.select(F.struct(*(keep or [id_col])).alias("row"), *_named(docs, text_col))
+    row = rows.schema["row"]
+    binary, long = T.BinaryType(), T.LongType()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(names.value, batch.column("key").to_numpy())))
+            for lo, hi, raw, offsets in slices(*utf8(batch.column("text")), 8 * CHUNK):
+                texts = [z.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("row", "key", "tag")), pa.array(texts, pa.binary())], ["row", "key", "tag", "z"])
+        release()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~may_hold(names.value, batch.column("key").to_numpy())))
+            size, none = np.diff(utf8(batch.column("text"))[1]), pa.array(np.zeros(len(batch), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text").cast(pa.binary()), pa.array(size), none, none], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            kept, removed, runs = [], [], []
-            for packed, n, positions, single in zip(pdf["_z"], pdf["_n"], pdf["_settled"], pdf["_found"], strict=True):
-                raw = z.decompress(packed)
-                p = np.array(positions if positions is not None else [], np.int64)
-                single = single if single is not None else []
-                lo = np.concatenate([np.maximum(p - (length - core), 0), np.array([s["lo"] for s in single], np.int64)])
-                hi = np.concatenate([np.minimum(p + length, n), np.array([s["hi"] for s in single], np.int64)])
-                gone, at, rest = _merge(lo, hi), 0, []
-                for a, b in gone:
-                    rest.append(raw[at:a])
-                    at = b
-                kept.append(b"".join([*rest, raw[at:]]))
-                removed.append(sum(b - a for a, b in gone))
-                runs.append(len(gone))
-            yield pdf[keep].assign(kept=kept, n_bytes=pdf["_n"].to_numpy(np.int64), n_removed=removed, n_spans=runs)
-
-    return rows.mapInPandas(run, f"{kinds}kept binary, n_bytes long, n_removed long, n_spans long")
+        for batch in batches:
+            rows, out, size = batch.column("row"), [], 0
+
+            def done(end: int) -> pa.RecordBatch:
+                kept, *numbers = zip(*out, strict=True)
+                return pa.RecordBatch.from_arrays([rows.slice(end - len(out), len(out)), pa.array(kept, pa.binary()), *(pa.array(n, pa.int64()) for n in numbers)], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
+
+            for i, (packed, spans, single) in enumerate(zip(batch.column("z"), batch.column("settled"), batch.column("starts"), strict=True)):
+                raw = z.decompress(packed.as_buffer())
+                a, b = (x.to_numpy().astype(np.int64) for x in spans.values.flatten()) if spans.is_valid else (np.empty(0, np.int64),) * 2
+                starts = single.values.to_numpy().astype(np.int64) if single.is_valid else np.empty(0, np.int64)
+                lo, hi = _merge(np.append(a, starts), np.append(b, starts + length))
+                kept = b"".join(raw[x:y] for x, y in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)], strict=True))
+                out.append((kept, len(raw), int((hi - lo).sum()), len(lo)))
+                size += len(raw)
+                if size > 8 * CHUNK:
+                    yield done(i + 1)
+                    out, size = [], 0
+            if out:
+                yield done(len(batch))
+        release()
+
+    packed = rows.mapInArrow(pack, T.StructType([row, T.StructField("key", long), T.StructField("tag", long), T.StructField("z", binary)]))
+    found = packed.join(known, ["key", "tag"], "left").select("row", "z", "settled", "starts")
+    results = [T.StructField(c, long) for c in ("n_bytes", "n_removed", "n_spans")]
+    kind = T.StructType([row, T.StructField("kept", binary), *results])
+    return found.mapInArrow(run, kind).unionByName(rows.mapInArrow(whole, kind)).select("row.*", "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def digest(cleaned: DataFrame, id_col: str = "doc_id") -> DataFrame:

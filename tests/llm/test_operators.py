@@ -139,23 +139,33 @@ def test_suffix_dedup(spark, monkeypatch):
             t += other + " é" + other
         texts.append(t)
     texts += [texts[12], texts[12], "ab" * 400, "z" * 199, "y" * 200, "y" * 201, passage[:230], "é" * 150]
+    texts += [prose(rng, 30) + "Is one. " * k + prose(rng, 30) for k in (20, 27, 60, 60, 200)]
     want = suffix_dedup.brute_force(texts)
-    for hot, chunk in ((suffix_dedup.HOT, suffix_dedup.CHUNK), (2, 1 << 19)):
-        rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts), hot=hot)).collect()
-        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
-        bad = [i for i in range(len(texts)) if got[i] != want[i]]
-        assert not bad, (hot, bad, [(got[i], want[i]) for i in bad[:3]])
+    rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts))).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    bad = [i for i in range(len(texts)) if got[i] != want[i]]
+    assert not bad, (bad, [(got[i], want[i]) for i in bad[:3]])
     assert suffix_dedup.remove_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+def led(text):
+    """The strings that positions lead, by start: each start has to be there once."""
+    found = {}
+    for _, pos, lo, hi, core, _ in suffix_dedup.leading_positions(*common.utf8(pa.array([text]))):
+        for p, a, b, c in zip(pos.tolist(), lo.tolist(), hi.tolist(), core.tolist(), strict=True):
+            for i in range(a, b + 1):
+                assert i not in found and i <= p <= i + 136
+                found[i] = (p, c)
+    return found
+
+
 def test_long_texts_by_pieces(monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
     rng = random.Random(5)
-    text = prose(rng, 3000).encode()
-    pieces = {(int(p), int(c), int(w)) for _, pos, core, whole, *_ in suffix_dedup.leading_positions([text]) for p, c, w in zip(pos, core, whole, strict=True)}
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 19)
-    at_once = {(int(p), int(c), int(w)) for _, pos, core, whole, *_ in suffix_dedup.leading_positions([text]) for p, c, w in zip(pos, core, whole, strict=True)}
-    assert pieces == at_once
+    text = prose(rng, 3000) + "Is one. " * 90 + "ab" * 300 + prose(rng, 100)
+    at_once = led(text)
+    assert sorted(at_once) == list(range(len(text) - 199))
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 1 << 10)
+    assert led(text) == at_once
 
 
 def test_long_texts_keep_what_is_unique(spark, monkeypatch):
@@ -168,9 +178,8 @@ def test_long_texts_keep_what_is_unique(spark, monkeypatch):
     try:
         for chunk in (1 << 6, 1 << 10):
             monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
-            for hot in (suffix_dedup.HOT, 1):
-                rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts), hot=hot)).collect()
-                assert [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["doc_id"])] == want, (chunk, hot)
+            rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts))).collect()
+            assert [tuple(r)[1:] for r in sorted(rows, key=lambda r: r["doc_id"])] == want, chunk
     finally:
         cloudpickle.unregister_pickle_by_value(suffix_dedup)
 
