@@ -111,10 +111,15 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dg AS (SELECT rid, i, n, w[i:i + n - 1] AS g FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 h AS (SELECT rid, i, dg.n, item FROM dg JOIN bw ON dg.g = bw.g AND dg.n = bw.n),
 c AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
-t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+t AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid),
+dw AS (SELECT rid, unnest(w) AS term, unnest(range(len(w))) AS pos FROM d),
+it AS (SELECT item, term, min(o) AS o FROM (SELECT item, unnest(w) AS term, unnest(range(len(w))) AS o FROM b WHERE item IS NOT NULL) GROUP BY item, term),
+ir AS (SELECT it.*, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), term) AS r FROM it LEFT JOIN (SELECT term, count(*) AS n FROM dw GROUP BY term) USING (term)),
+two AS (SELECT item, min_by(term, r) AS a, min_by(o, r) AS oa, max_by(term, r) AS b, max_by(o, r) AS ob FROM ir WHERE r <= 2 GROUP BY item),
+near AS (SELECT x.rid, count(DISTINCT item) AS n_near FROM two JOIN dw x ON x.term = a JOIN dw y ON y.rid = x.rid AND y.term = b WHERE abs((y.pos - ob) - (x.pos - oa)) <= 5 GROUP BY x.rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid) LEFT JOIN near USING (rid)
 """
 
 OP9_SQL = """

@@ -215,18 +215,26 @@ def test_decontamination(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(texts, items)
     for limit in (50_000, 3):
-        hits = decontamination.phrase_matches(documents(spark, texts), benchmark, terms_per_pass=limit)
-        assert hits.count() > 0
-    rows = decontamination.contamination(documents(spark, texts), benchmark).collect()
-    got = {r["doc_id"]: tuple(r)[1:] for r in rows}
-    assert [got[i] for i in range(len(texts))] == want
+        rows = decontamination.contamination(documents(spark, texts), benchmark, terms_per_pass=limit).collect()
+        assert [tuple(r)[1:6] for r in sorted(rows, key=lambda r: r["doc_id"])] == want, limit
+    assert {r["doc_id"]: r["n_near"] for r in rows}[len(texts) - 1] >= 1
+    left = decontamination.clean(documents(spark, texts), benchmark).collect()
+    assert [r["doc_id"] for r in sorted(left, key=lambda r: r["doc_id"])] == [i for i, w in enumerate(want) if not w[4]]
     assert {r["doc_id"] for r in decontamination.contamination(documents(spark, texts), benchmark.limit(0)).where("n_hit = 0").collect()} == set(range(len(texts)))
     assert decontamination.contamination(documents(spark, texts).limit(0), benchmark).count() == 0
+    unnamed = spark.createDataFrame([(None, items[0][1])], "item_id long, text string")
+    hit = [r for r in decontamination.contamination(documents(spark, texts), unnamed).collect() if r["n_hit"]]
+    assert hit and all(r["n_items"] == r["n_near"] == 0 for r in hit)
 
 
 def test_proximity(spark):
     docs = documents(spark, ["rare one two three gem", "rare one two extra three gem", "gem rare", "nothing"])
-    found = decontamination.proximity_matches(docs, spark.createDataFrame([(1, "rare one two three gem")], "item_id long, text string"), slop=1).collect()
+    items = spark.createDataFrame([(1, "rare one two three gem")], "item_id long, text string")
+    words = spark.createDataFrame([(w,) for w in "rare one two three gem".split()], "term string")
+    pairs = decontamination.rarest_pairs(items, decontamination.term_counts(docs, words))
+    assert [(r["a"]["term"], r["b"]["term"]) for r in pairs.collect()] == [("one", "three")]
+    index = decontamination.postings(docs, words.select("term", F.lit(False).alias("led")))
+    found = decontamination.proximity_matches(index, pairs, slop=1).collect()
     assert sorted(r["shift"] for r in found) == [0, 1]
 
 
