@@ -103,6 +103,12 @@ def _words(raw: np.ndarray, offsets: np.ndarray, piece: int) -> tuple[np.ndarray
     return _mix(np.concatenate(sums), np.concatenate(lengths).astype(_U)), np.searchsorted(np.concatenate(places), offsets)
 
 
+def word_hashes(raw: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
+    """Hashes of the words of one text, ASCII letters without case."""
+    with np.errstate(over="ignore"):
+        return _words(raw, np.array([0, len(raw)]), piece)[0]
+
+
 def ngram_sets(raw: np.ndarray, offsets: np.ndarray, n: int, piece: int = 1 << 19) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of the texts between ``offsets`` of a buffer."""
     with np.errstate(over="ignore"):

@@ -1,17 +1,20 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled web text are described by a few structural features (shares of
-character classes, repetition, word and line shape).  The class prior is estimated first: for any
+Trusted positives and unlabelled web text are described by structural features (shares of
+character classes, repetition, word and line shape) and by the shares of their words and of their bytes' trigrams in
+``HASHED`` hash buckets each.  The class prior is estimated first: for any
 region A of feature space, P_U(A) >= prior * P_P(A), so the smallest ratio over the regions "score of a
 positive-against-unlabelled model >= t" bounds the prior, tightly where a region holds few negatives.
 Then a one-layer network minimises the non-negative unbiased risk
 ``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` with logistic loss.
 
-The model is fitted on a bounded sample (``n_positive`` and ``n_unlabelled`` rows of lowest id hash) and
-shipped to the tasks; every text is then scored whole, in one pass without a shuffle.
+The model is fitted on a bounded sample (``n_positive`` labelled and ``n_unlabelled`` other rows of lowest id hash; the
+rows and not what they say decide) and shipped to the tasks; every text is then scored whole, in one pass without a shuffle.  Texts are
+taken in runs of about 1 MB; a very long one is counted by pieces.
 
 Defined results: a text that is null, empty or white space scores 0; repeated rows each give a row;
-labels that are null count as absent; without any positive the score is 0.5; other columns are ignored.
+labels that are null count as absent; without any positive the score is 0.5; an empty table gives an empty result; other columns are
+ignored, and those in ``keep`` come back under their names (``score`` should not be one).
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fold, hash_sample
+from .common import fold, hash_sample, release, text_slices
+from .ngram_join import word_hashes
 
 #: Bounds of the fitting sample (documented parameters).
 N_POSITIVE, N_UNLABELLED = 12_000, 12_000
@@ -33,11 +38,27 @@ SYMBOLS = frozenset(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b" ", b"\n", bytes(range(65, 91)), bytes(range(48, 58)), b".,;:?'\"()-", b"!", b"|", b"*%$&#@^~_=+<>[]{}\\/`"), 1):
     _CLASS[list(_chars)] = _k
-N_FEATURES = 20
+#: Hash buckets for words, and for trigrams of bytes.
+HASHED = 128
+N_FEATURES = 20 + 2 * HASHED
+#: Hashed shares are many and each says little: they count for less than a structural feature, and the less the smaller the sample is.
+DAMPED = 15.0
+_PIECE = 1 << 20
+
+
+def hashed_shares(raw: bytes) -> np.ndarray:
+    """Square roots of the shares of a text's words and byte trigrams in hash buckets (ASCII letters without case)."""
+    b = np.frombuffer(raw, np.uint8)
+    word = np.bincount((word_hashes(b) >> np.uint64(40)).astype(np.int64) % HASHED, minlength=HASHED).astype(np.float64)
+    gram = np.zeros(HASHED)
+    for lo in range(0, max(0, len(b) - 2), _PIECE):
+        x = (b[lo : lo + _PIECE + 2] | 0x20).astype(np.uint32)
+        gram += np.bincount((((x[:-2] * 31 + x[1:-1]) * 31 + x[2:]) * np.uint32(2654435761)) >> np.uint32(32 - 7), minlength=HASHED)[:HASHED]
+    return np.sqrt(np.concatenate([word / max(word.sum(), 1), gram / max(gram.sum(), 1)]))
 
 
 def features(text: str) -> np.ndarray:
-    """Structural features of one whole text."""
+    """What a whole text is described by."""
     raw = text.encode("utf-8", "surrogatepass")
     n = len(raw)
     share = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=9) / max(n, 1)
@@ -58,6 +79,7 @@ def features(text: str) -> np.ndarray:
         len(zlib.compress(raw, 1)) / max(n, 1),
         np.log1p(n / len(lines)),
         len(text) / max(n, 1),
+        *hashed_shares(raw),
     ])
 
 
@@ -86,7 +108,8 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, steps
     d = p.shape[1]
     theta = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
-    x = np.vstack([p, u])
+    theta = [t.astype(np.float32) for t in theta]
+    x = np.vstack([p, u]).astype(np.float32)
     n, k = len(p), len(u)
     for step in range(1, steps + 1):
         h = np.tanh(x @ theta[0] + theta[1])
@@ -123,6 +146,7 @@ def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed:
     """A model from features of trusted positives and of unlabelled texts."""
     x = np.vstack([p, u])
     mean, scale = x.mean(0), x.std(0) + 1e-6
+    scale[-2 * HASHED :] *= DAMPED * max(1.0, (20_000 / len(x)) ** 0.5)
     zp, zu = (np.clip((a - mean) / scale, -8, 8) for a in (p, u))
     half_p, half_u = len(zp) // 2 or 1, len(zu) // 2 or 1
     w1, b1, w2, b2 = _train(zp[:half_p], zu[:half_u], None, hidden, steps // 2, seed)
@@ -132,14 +156,20 @@ def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed:
     return PUModel(mean, scale, w1, b1, w2, float(b2[0]), prior)
 
 
-def feature_table(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, p, x): features of each row's text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[keep].assign(x=[features(t or "") for t in pdf["text"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                x = np.array([features(t or "") for t in texts], np.float32).reshape(-1, N_FEATURES)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("p"), rows], ["id", "p", "x"])
+        release()
 
-    return docs.withColumn("text", F.col(text_col)).select(*keep, "text").mapInPandas(run, f"{kinds}, x array<double>")
+    rows = docs.select(F.col(id_col).alias("id"), "p", F.col(text_col).alias("text"))
+    kind = [rows.schema["id"], rows.schema["p"], T.StructField("x", T.ArrayType(T.FloatType()))]
+    return rows.mapInArrow(run, T.StructType(kind))
 
 
 def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> PUModel | None:
@@ -149,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1,
     chosen = hash_sample(positive, "id", n_positive).select("id", F.lit(1).alias("p"))
     web = hash_sample(docs.where(F.col(id_col).isNotNull()).select(ids), "id", n_unlabelled).distinct().select("id", F.lit(0).alias("p"))
     rows = docs.select(ids, F.col(text_col).alias("text")).join(F.broadcast(chosen.unionByName(web)), "id")
-    got = feature_table(rows, "id", "text", ["id", "p"])
+    got = feature_table(rows, "id", "text")
     got = got.orderBy(F.xxhash64("id"), "id", "p").limit(2 * (n_positive + n_unlabelled)).toPandas()
     p, u = (np.array([*got["x"][got["p"] == k]]).reshape(-1, N_FEATURES) for k in (1, 0))
     return fit(p, u) if len(p) and len(u) else None
@@ -157,17 +187,17 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1,
 
 def score(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: the id) and ``score``, for every row of ``docs``."""
-    keep = keep or [id_col]
+    rows = docs.select(F.struct(*(keep or [id_col])).alias("row"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    own = text_col if text_col in keep else "_scored_text"
-    rows = docs.select(*keep, *([] if own in keep else [F.col(text_col).alias(own)]))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.array([features(t or "") for t in pdf[own]]).reshape(-1, N_FEATURES)
-            y = shared.value.score(x) if shared.value else np.full(len(x), 0.5)
-            blank = [not (t or "").strip() for t in pdf[own]]
-            yield pdf[keep].assign(_score=np.where(blank, 0.0, y))
-
-    return rows.mapInPandas(run, f"{kinds}, _score double").withColumnRenamed("_score", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                x = np.array([features(t or "") for t in texts]).reshape(-1, N_FEATURES)
+                y = model.score(x) if model else np.full(len(x), 0.5)
+                blank = [not (t or "").strip() for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(np.where(blank, 0.0, y).astype(np.float64))], ["row", "score"])
+        release()
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])).select("row.*", "score")
