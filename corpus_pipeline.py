@@ -1,18 +1,24 @@
 """Corpus pipeline: quality filter, near duplicates, repeated strings, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but for the
-last, returns the columns of ``documents``.  A stage's result is written as Parquet and read again.
+last, returns the columns of ``documents``.  A stage's result is written as Parquet in the shared folder and read again.
+
+Defined results: null and empty texts score 0 for quality and go in the first stage (given to later stages, they pass
+the n-gram join, the suffix dedup and the decontamination, and the mix takes nothing of them); of repeated rows with equal id and
+text one stays in the n-gram join, of documents of one component that of least id; null ids are ids like others, and go before none;
+a null source is a source of its own; an empty table passes every stage empty; columns other than those of ``documents``, whatever
+their names, are dropped by the first stage that meets them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyfront.llm import decontamination, mixing, ngram_join, quality, suffix_dedup
+from skyfront.llm.common import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes under strings of 200 bytes that occur elsewhere go; a character that loses a byte goes with it."""
-    cleaned = suffix_dedup.remove_repeats(docs, keep=[c for c in COLUMNS if c != "text"])
+    cleaned = suffix_dedup.remove_repeats(docs.select(*COLUMNS), keep=[c for c in COLUMNS if c != "text"])
     kept = F.expr("string(kept)")
     text = F.when(F.is_valid_utf8(kept), kept).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")))
     return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -39,8 +45,7 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
-    return found.where(~F.col("contaminated")).select(*COLUMNS)
+    return decontamination.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +68,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written to the shared folder before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfront-")
-    place = f"{shared}/skyfront-pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/skyfront-pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{place}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
