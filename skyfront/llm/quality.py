@@ -109,7 +109,7 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, steps
     theta = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     theta = [t.astype(np.float32) for t in theta]
-    x = np.vstack([p, u]).astype(np.float32)
+    x = np.vstack([p, u]).astype(np.float32, copy=False)
     n, k = len(p), len(u)
     for step in range(1, steps + 1):
         h = np.tanh(x @ theta[0] + theta[1])
@@ -145,9 +145,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed: int = 0) -> PUModel:
     """A model from features of trusted positives and of unlabelled texts."""
     x = np.vstack([p, u])
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean, scale = x.mean(0, np.float64), x.std(0, np.float64) + 1e-6
     scale[-2 * HASHED :] *= DAMPED * max(1.0, (20_000 / len(x)) ** 0.5)
-    zp, zu = (np.clip((a - mean) / scale, -8, 8) for a in (p, u))
+    zp, zu = (np.clip((a - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8) for a in (p, u))
     half_p, half_u = len(zp) // 2 or 1, len(zu) // 2 or 1
     w1, b1, w2, b2 = _train(zp[:half_p], zu[:half_u], None, hidden, steps // 2, seed)
     held = [np.tanh(a @ w1 + b1) @ w2 + b2 for a in (zp[half_p:], zu[half_u:])]
@@ -157,18 +157,17 @@ def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed:
 
 
 def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, p, x): features of each row's text."""
+    """(id, p, x): features of each row's text, as the bytes of 32-bit floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 x = np.array([features(t or "") for t in texts], np.float32).reshape(-1, N_FEATURES)
-                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("p"), rows], ["id", "p", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("p"), pa.array([row.tobytes() for row in x], pa.binary())], ["id", "p", "x"])
         release()
 
     rows = docs.select(F.col(id_col).alias("id"), "p", F.col(text_col).alias("text"))
-    kind = [rows.schema["id"], rows.schema["p"], T.StructField("x", T.ArrayType(T.FloatType()))]
+    kind = [rows.schema["id"], rows.schema["p"], T.StructField("x", T.BinaryType())]
     return rows.mapInArrow(run, T.StructType(kind))
 
 
@@ -181,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1,
     rows = docs.select(ids, F.col(text_col).alias("text")).join(F.broadcast(chosen.unionByName(web)), "id")
     got = feature_table(rows, "id", "text")
     got = got.orderBy(F.xxhash64("id"), "id", "p").limit(2 * (n_positive + n_unlabelled)).toPandas()
-    p, u = (np.array([*got["x"][got["p"] == k]]).reshape(-1, N_FEATURES) for k in (1, 0))
+    p, u = (np.frombuffer(b"".join(got["x"][got["p"] == k]), np.float32).reshape(-1, N_FEATURES) for k in (1, 0))
     return fit(p, u) if len(p) and len(u) else None
 
 
