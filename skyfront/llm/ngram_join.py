@@ -347,9 +347,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     more = _verified(docs, text_col, classes, _open_pairs(_prefixes(docs, text_col, n, percent), classes, labels, percent), n, percent)
     labels = connected_components(links.unionByName(more))
     named = classes.select("key", "id", "copies").join(labels.toDF("key", "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = named.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("copies").alias("members"))
-    # only documents of a component of several need be told its id
-    told = materialize(named.join(least.where("members > 1"), "label").select("key", "component_id"))
+    # only documents of a component of several need be told its id; written first, so that joins on a large component's label can be split
+    least = materialize(named.groupBy("label").agg(F.min("id").alias("component_id"), F.sum("copies").alias("members")).where("members > 1"))
+    told = materialize(named.join(least, "label").select("key", "component_id"))
     out = rows.select("id", "n", "name", key.alias("key")).join(told, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("name").alias("text_name"))
 

@@ -145,7 +145,8 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed: int = 0) -> PUModel:
     """A model from features of trusted positives and of unlabelled texts."""
     x = np.vstack([p, u])
-    mean, scale = x.mean(0, np.float64), x.std(0, np.float64) + 1e-6
+    mean = x.mean(0, np.float64)
+    scale = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0)) + 1e-6
     scale[-2 * HASHED :] *= DAMPED * max(1.0, (20_000 / len(x)) ** 0.5)
     zp, zu = (np.clip((a - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8) for a in (p, u))
     half_p, half_u = len(zp) // 2 or 1, len(zu) // 2 or 1
@@ -181,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1,
     got = feature_table(rows, "id", "text")
     got = got.orderBy(F.xxhash64("id"), "id", "p").limit(2 * (n_positive + n_unlabelled)).toPandas()
     p, u = (np.frombuffer(b"".join(got["x"][got["p"] == k]), np.float32).reshape(-1, N_FEATURES) for k in (1, 0))
+    del got
     return fit(p, u) if len(p) and len(u) else None
 
 

@@ -122,6 +122,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid) LEFT JOIN near USING (rid)
 """
 
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, i, md5_number(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT rid, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT rid, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+m AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT rid, min(i) AS lo, max(i) + 200 AS hi FROM m GROUP BY rid, run),
+k AS (SELECT rid, lo, lag(hi, 1, 0) OVER (PARTITION BY rid ORDER BY lo) AS a, lo AS b FROM s UNION ALL SELECT rid, NULL, max(hi), NULL FROM s GROUP BY rid),
+t AS (SELECT k.rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (rid) GROUP BY k.rid),
+c AS (SELECT rid, sum(hi - lo) AS gone, count(*) AS spans FROM s GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y FROM p JOIN s a ON a.rid = x JOIN s b ON b.rid = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT x AS rid, x AS y FROM e UNION SELECT reach.rid, e.y FROM reach JOIN e ON e.x = reach.y)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, doc_id) AS component_id
+FROM d LEFT JOIN s USING (rid) LEFT JOIN (SELECT reach.rid, min(doc_id) AS least_id FROM reach JOIN d ON d.rid = reach.y GROUP BY reach.rid) USING (rid)
+"""
+
 OP9_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -133,4 +158,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op10_ngram_join": OP10_SQL}
