@@ -212,25 +212,18 @@ def rphi_directions(d: int, first: int, count: int) -> np.ndarray:
 
 
 def _to_sphere(u: np.ndarray, d: int) -> np.ndarray:
-    """Uniform values to directions, two coordinates at a time from the last."""
-    w, prod, at = np.empty((len(u), d)), np.ones(len(u)), 0
-    for i in range((d - 1) // 2 if d % 2 else d // 2 - 1):
-        free = d - 2 * i - 2
-        if d % 2 and free == 1:
-            break
-        t = u[:, free - 1] ** (1 / free)
-        side = prod * np.sqrt(np.maximum(0.0, 1 - t * t))
-        angle = math.pi / 2 * u[:, free]
-        w[:, at], w[:, at + 1] = side * np.sin(angle), side * np.cos(angle)
-        prod, at = prod * t, at + 2
-    if d % 2:
-        w[:, at] = prod * u[:, 0]
-        prod, angle = prod * np.sqrt(np.maximum(0.0, 1 - u[:, 0] ** 2)), math.pi / 2 * u[:, 1]
-        at += 1
-    else:
-        angle = math.pi / 2 * u[:, 0]
-    w[:, at], w[:, at + 1] = prod * np.sin(angle), prod * np.cos(angle)
-    return w
+    """Uniform values to directions: radii by powers, and two coordinates from the radius between two of them and an angle.
+
+    What is left of the radius once a pair of coordinates is set has, of ``free`` coordinates to come, the law of a uniform
+    value's ``free``-th root.  In odd dimension one coordinate is left over, which stands before the last pair.
+    """
+    free = np.arange(d - 2, -1, -2)
+    inner = np.where(free > 0, u[:, free - 1] ** (1 / np.maximum(free, 1)), 0.0)
+    left = np.cumprod(np.column_stack([np.ones(len(u)), inner]), axis=1)
+    turn = np.pi / 2 * u[:, free]
+    ring = left[:, :-1] * np.sqrt(np.maximum(0.0, 1 - inner**2))
+    pairs = np.stack([ring * np.sin(turn), ring * np.cos(turn)], axis=2).reshape(len(u), -1)
+    return np.insert(pairs, d - 3, left[:, -1], axis=1) if d % 2 else pairs
 
 
 def _least_prime(at_least: int) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.folders import shared_folder
 from ..functions.points import Direction, Names, Points, match
 from .dominance import skyline_points
 
@@ -44,9 +45,7 @@ def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = Fal
     fronts, level = None, base
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfront-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     left = left.checkpoint()
     while left.limit(1).count():
         front = skyline_points(left, list(p.by), p.names).checkpoint()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.folders import shared_folder
 from ..operators import approx, attainment, distance, dominance, hypervolume, r2, rank, transform, weighted
 from ..operators.apply import apply_within_sets
 from ..sources import generate, text_sets
@@ -363,9 +363,10 @@ def attsurf2df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.attsurf2df(attainment.eaf_as_dict(e, [4.0, 52.0, 100.0]), PS).select(*PS, r("percentile"))
 
 
-@query()
+@query(f"WITH {BRANDS}, {surfaces('p')} SELECT x AS p_retailprice, -m AS p_size, round(t * 100.0 / n, 6) AS percentile, (SELECT string_agg(CASE WHEN c.m <= e.m THEN '1' ELSE '0' END, '' ORDER BY s) FROM c WHERE c.x = e.x) AS attained FROM e, n")
 def eaf_attained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attainment.eaf_attained(part(spark, sf_dir), PS, "p_brand", UP)
+    e = attainment.eaf_attained(part(spark, sf_dir), PS, "p_brand", UP)
+    return e.select(*PS, r("percentile"), F.concat_ws("", F.transform("attained", lambda x: x.cast("int").cast("string"))).alias("attained"))
 
 
 @query()
@@ -373,14 +374,14 @@ def eaf_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.eaf(three(spark, sf_dir), [*PS, "third"], "p_type", maximise=[*UP, False])
 
 
-EVENTS = "p AS (SELECT event_type || user_id AS s, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 0 ELSE 1 END AS side, round(value, 2) AS f1, CAST(user_id % 13 + event_id % 29 AS DOUBLE) AS f2 FROM events WHERE event_type IN (SELECT min(event_type) FROM events UNION ALL SELECT max(event_type) FROM events) AND user_id % 6 = 0)"
+EVENTS = "p AS (SELECT event_type || user_id AS s, CASE event_type WHEN (SELECT min(event_type) FROM events) THEN 0 ELSE 1 END AS side, round(value, 2) AS f1, CAST(user_id % 13 + event_id % 29 AS DOUBLE) AS f2 FROM events WHERE event_type IN (SELECT min(event_type) FROM events UNION ALL SELECT max(event_type) FROM events))"
 DIFF = f"""WITH {EVENTS}, {surfaces('p')}, sides AS (SELECT DISTINCT s, side FROM p), k AS (SELECT count(*) FILTER (side = 0) AS nl, count(*) FILTER (side = 1) AS nr FROM sides),
 a AS (SELECT e.t, e.x, e.m, count(*) FILTER (side = 0) AS l, count(*) FILTER (side = 1) AS r FROM e JOIN c ON c.x = e.x AND c.m <= e.m JOIN sides ON sides.s = c.s GROUP BY e.t, e.x, e.m),
 d AS (SELECT t, x, m, floor((nl + nr) / 2) * (CAST(l AS DOUBLE) / nl - CAST(r AS DOUBLE) / nr) AS diff FROM a, k)"""
 
 
-def two_types(spark: SparkSession, sf_dir: str, every: int = 6) -> tuple[DataFrame, DataFrame]:
-    events = read(spark, sf_dir, "events").where(F.col("user_id") % every == 0).select("event_type", "user_id", F.round("value", 2).alias("f1"), (F.col("user_id") % 13 + F.col("event_id") % 29).cast("double").alias("f2"))
+def two_types(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read(spark, sf_dir, "events").select("event_type", "user_id", F.round("value", 2).alias("f1"), (F.col("user_id") % 13 + F.col("event_id") % 29).cast("double").alias("f2"))
     ends = read(spark, sf_dir, "events").agg(F.min("event_type").alias("a"), F.max("event_type").alias("b")).first()
     return events.where(F.col("event_type") == ends["a"]), events.where(F.col("event_type") == ends["b"])
 
@@ -412,31 +413,6 @@ def eafdiff_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("level", "colour", "side", F.size("vertices").alias("n_vertices"))
 
 
-# the four above read the users that their SQL reads, one in six; these read all
-
-
-@query()
-def eafdiff_points_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attainment.eafdiff(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id").select("f1", "f2", r("diff")).distinct()
-
-
-@query()
-def eafdiff_rectangles_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = attainment.eafdiff_rectangles(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id")
-    return d.select("xmin", "ymin", F.least("xmax", F.lit(1e6)).alias("xmax"), F.least("ymax", F.lit(1e6)).alias("ymax"), r("diff")).distinct()
-
-
-@query()
-def choose_eafdiff_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attainment.choose_eafdiff(attainment.eafdiff(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id"), left=False).select("f1", "f2", r("diff")).distinct()
-
-
-@query()
-def eafdiff_polygons_all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = attainment.eafdiff_polygons(*two_types(spark, sf_dir, 1), ["f1", "f2"], "user_id")
-    return p.select("level", "colour", "side", F.size("vertices").alias("n_vertices"))
-
-
 @query()
 def largest_eafdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.largest_eafdiff_table(part(spark, sf_dir), PS, "p_type", "p_brand", REF, UP).withColumn("value", F.round("value", 4))
@@ -470,17 +446,20 @@ def vorob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.level_volumes(part(spark, sf_dir), PS, "p_brand", REF, UP).select("level", r("hypervolume", 4))
 
 
-@query(f"""WITH RECURSIVE {BRANDS}, {surfaces('p')}, f AS (SELECT t, x AS f1, m AS f2 FROM e), v AS ({staircase('f', 't')}), s AS ({staircase('p', 's')}), g AS (SELECT avg(coalesce(hypervolume, 0)) AS average FROM l LEFT JOIN s USING (s)),
+VOROB = f"""WITH RECURSIVE {BRANDS}, {surfaces('p')}, f AS (SELECT t, x AS f1, m AS f2 FROM e), v AS ({staircase('f', 't')}), s AS ({staircase('p', 's')}), g AS (SELECT avg(coalesce(hypervolume, 0)) AS average FROM l LEFT JOIN s USING (s)),
 k AS (SELECT unnest(range(1, (SELECT n + 1 FROM n))) AS t), h AS (SELECT t, coalesce(hypervolume, 0) AS hv FROM k LEFT JOIN v USING (t)),
 r AS (SELECT 0.0::DOUBLE AS a, 100.0::DOUBLE AS b, 50.0::DOUBLE AS c, NULL::DOUBLE AS before, hv AS now FROM h, n WHERE t = greatest(1, ceil(n * 50.0 / 100 - 1.4901161193847656e-8))
   UNION ALL SELECT q.a, q.b, (q.a + q.b) / 2, q.now, hv FROM (SELECT CASE WHEN now > average THEN c ELSE a END AS a, CASE WHEN now > average THEN b ELSE c END AS b, now FROM r, g WHERE before IS NULL OR before <> now) q, h, n
-  WHERE h.t = greatest(1, ceil(n * ((q.a + q.b) / 2) / 100 - 1.4901161193847656e-8)))
-SELECT x AS p_retailprice, -m AS p_size FROM e, n WHERE t = (SELECT greatest(1, ceil(n.n * c / 100 - 1.4901161193847656e-8)) FROM r ORDER BY b - a LIMIT 1)""")
+  WHERE h.t = greatest(1, ceil(n * ((q.a + q.b) / 2) / 100 - 1.4901161193847656e-8)))"""
+EXPECTED = "(SELECT greatest(1, ceil(n.n * c / 100 - 1.4901161193847656e-8)) FROM r, n ORDER BY b - a LIMIT 1)"
+
+
+@query(f"{VOROB} SELECT x AS p_retailprice, -m AS p_size FROM e WHERE t = {EXPECTED}")
 def vorob_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.vorob_t(part(spark, sf_dir), PS, "p_brand", REF, UP).expectation
 
 
-@query()
+@query(f"{VOROB}, ve AS (SELECT x AS f1, m AS f2, 0 AS one FROM e WHERE t = {EXPECTED}), both_ AS (SELECT s, f1, f2 FROM p UNION ALL SELECT s, f1, f2 FROM l, ve), j AS ({staircase('both_', 's')}), w AS ({staircase('ve', 'one')}) SELECT round(2 * (SELECT avg(hypervolume) FROM j) - (SELECT average FROM g) - (SELECT hypervolume FROM w), 4) AS deviation")
 def vorob_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(attainment.vorob_dev(part(spark, sf_dir), PS, "p_brand", REF, UP), 4),)], "deviation double")
 
@@ -488,23 +467,15 @@ def vorob_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- approximations and sources
 
 
-@query("""WITH f AS (SELECT 10 - v.x AS z1, 10 - v.y AS z2 FROM (VALUES (5.0::DOUBLE, 5.0::DOUBLE), (4.0, 6.0), (2.0, 7.0), (7.0, 4.0)) v(x, y)),
-a AS (SELECT ((0.5 + (i + 1) * ((sqrt(5.0::DOUBLE) - 1) / 2)) % 1.0) * pi() / 2 AS a FROM range(4096) g(i)), b AS (SELECT a, max(least(z1 / sin(a), z2 / cos(a))) AS m FROM a, f GROUP BY a)
-SELECT round(avg(m * m) * pi() / 4, 5) AS hypervolume FROM b""")
-def hv_approx_rphi_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(5.0, 5.0), (4.0, 6.0), (2.0, 7.0), (7.0, 4.0)], "f1 double, f2 double")
-    return approx.rphi_2d(df, ["f1", "f2"], 10).select(r("hypervolume", 5))
-
-
 @query(f"""WITH {POINTS}, f AS (SELECT {R1} - f1 AS z1, {R2} - f2 AS z2 FROM p WHERE f1 < {R1} AND f2 < {R2}),
 a AS (SELECT ((0.5 + (i + 1) * ((sqrt(5.0::DOUBLE) - 1) / 2)) % 1.0) * pi() / 2 AS a FROM range(4096) g(i)), b AS (SELECT a, max(least(z1 / sin(a), z2 / cos(a))) AS m FROM a, f GROUP BY a)
 SELECT round(avg(m * m) * pi() / 4, 5) AS hypervolume FROM b""")
-def hv_approx_rphi_2d_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hv_approx_rphi_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approx.rphi_2d(part(spark, sf_dir), PS, REF, UP).select(r("hypervolume", 5))
 
 
 def _approx(method: str) -> Query:
-    return lambda spark, sf_dir: approx.hv_approx(three(spark, sf_dir), [*PS, "third"], [*REF, 30.0], [*UP, False], nsamples=65_536, seed=42, method=method, by="p_type")
+    return lambda spark, sf_dir: approx.hv_approx(three(spark, sf_dir), [*PS, "third"], [*REF, 30.0], [*UP, False], seed=42, method=method, by="p_type")
 
 
 for _name, _method in (("hv_approx_rphi", "Rphi-FWE+"), ("hv_approx_hw", "DZ2019-HW"), ("hv_approx_mc", "DZ2019-MC")):
@@ -526,7 +497,7 @@ def generate_ndset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part")
 def read_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfront-")
+    shared = shared_folder(spark)
     path = f"{shared}/skyfront-sets-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
     text_sets.write_datasets(transform.numbered_sets(part(spark, sf_dir), "p_brand"), path, PS)
     return text_sets.read_datasets(spark, f"{path}/*.txt", PS).select(*PS)
@@ -550,7 +521,7 @@ def streaming_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.archive import skyline_archive
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyfront-")
+    shared = shared_folder(spark)
     place = f"{shared}/skyfront-stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "part").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir).select("p_brand", *PS)

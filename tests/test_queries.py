@@ -8,7 +8,7 @@ from skyfront.plans import queries as points
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ("skyline_2d_within_sets", "skyline_2d_keep_weakly", "skyline_3d", "skyline_4d_mixed_directions", "any_dominated_per_set", "compare_sets", "pareto_rank_2d", "pareto_rank_peel", "ndsort_order", "normalise_bounds_maximise", "nondominated_job", "hv_2d_default_ref", "hv_4d_per_set", "hv_contributions_all", "igd_plus", "avg_hausdorff_p2", "epsilon_mult", "r2_exact", "eaf_2d_grouped", "eafdiff_rectangles", "total_whv_rect", "vorob_t", "read_write_roundtrip", "streaming_skyline")
+ALL = sorted(points.SQL)
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", ALL)
 def test_query(spark, db, name):
     got = points.QUERIES[name](spark, SMALL)
     columns = sorted(got.columns)
@@ -29,25 +29,6 @@ def test_query(spark, db, name):
     assert sorted(rows, key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["eafdiff_points", "eafdiff_rectangles", "choose_eafdiff"])
-def test_eafdiff_of_all_users(spark, db, name):
-    got = points.QUERIES[f"{name}_all_users"](spark, SMALL)
-    sql = points.SQL[name].replace(" AND user_id % 6 = 0", "")
-    assert sql != points.SQL[name]
-    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > points.QUERIES[name](spark, SMALL).count()
-
-
-def test_eafdiff_polygons_of_all_users(spark):
-    p = points.attainment.eafdiff_polygons(*points.two_types(spark, SMALL, 1), ["f1", "f2"], "user_id")
-    assert points.QUERIES["eafdiff_polygons_all_users"](spark, SMALL).count() == p.count() > points.QUERIES["eafdiff_polygons"](spark, SMALL).count()
-
-
-def test_rphi_2d_of_a_table(spark, db):
-    got = points.QUERIES["hv_approx_rphi_2d_part"](spark, SMALL).first()[0]
-    assert got == pytest.approx(db.execute(points.SQL["hv_approx_rphi_2d_part"]).fetchone()[0], abs=1e-5) and got > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
