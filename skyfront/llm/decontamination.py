@@ -3,9 +3,8 @@
 **Phrases.**  An item's *windows* are its runs of ``window`` words (the whole item, if it has fewer).  A window is looked for
 by its rarest terms, by counts over all training texts.  The index stores a posting per occurrence of these terms:
 text, position and, for a window's very rarest term, the words around it.  The lists of a window's ``LISTS`` rarest terms, each shifted
-by the term's offset, are intersected; of the places that are left the words around are compared with the whole
-window.  An aggregate by (window, text, start) does the intersection: a text's postings come from one task, so
-it is done before anything is shuffled.
+by the term's offset, are intersected: an aggregate by a hash of (window, text, start) collects which lists meet there.  Of the
+places where all do, the words around are compared with the whole window.
 
 **Proximity.**  The lists of the two rarest terms of an item are paired where they stand at most ``slop`` words out of place in one text.
 
@@ -100,12 +99,13 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(key, n_words, start, length, items): every occurrence of a window in an indexed text; ``windows`` as of :func:`window_lists`."""
     each = materialize(windows.select("window", F.size("lists").alias("size"), F.explode("lists").alias("l")).select("window", "size", "l.j", "l.term", "l.offset"))
     met = index.join(_small(each, LISTS * WINDOWS_BROADCAST), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
-    around = F.when(F.col("j") == 0, F.struct("first", "around"))
-    both = met.groupBy("window", "size", "key", "n_words", "start").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("lists"), F.any_value(around, True).alias("a"))
-    both = both.where(F.col("lists") == F.expr("shiftleft(1, size) - 1"))
-    held = both.join(_small(windows.select("window", "words", "items"), WINDOWS_BROADCAST), "window")
-    there = F.slice("a.around", F.greatest(F.lit(1), F.col("start") - F.col("a.first") + 1), F.size("words"))
-    return held.where((F.col("start") >= F.col("a.first")) & (there == F.col("words"))).select("key", "n_words", "start", F.size("words").alias("length"), "items")
+    met = met.withColumn("place", F.xxhash64("window", "key", "start"))  # two places of one hash would only be compared in vain
+    full = met.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("lists"), F.max("size").alias("size"))
+    full = full.where(F.col("lists") == F.expr("shiftleft(1, size) - 1")).select("place")
+    led = met.where("j = 0").groupBy("place", "window", "key", "n_words", "start").agg(F.min("first").alias("first"), F.first("around").alias("around"))
+    held = led.join(full, "place").join(_small(windows.select("window", "words", "items"), WINDOWS_BROADCAST), "window")
+    there = F.slice("around", F.greatest(F.lit(1), F.col("start") - F.col("first") + 1), F.size("words"))
+    return held.where((F.col("start") >= F.col("first")) & (there == F.col("words"))).select("key", "n_words", "start", F.size("words").alias("length"), "items")
 
 
 def rarest_pairs(items: DataFrame, counts: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
