@@ -29,7 +29,7 @@ from .common import lower_ascii, materialize, text_key
 
 #: Anything but digits, lower-case letters and characters beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-TERMS_PER_PASS, WINDOWS_BROADCAST, BROADCAST_TEXTS = 50_000, 200_000, 100_000
+TERMS_PER_PASS, WINDOWS_BROADCAST, BROADCAST_TEXTS, PLACES_BROADCAST = 50_000, 200_000, 100_000, 1_000_000
 #: Posting lists of a window that are intersected.
 LISTS = 3
 
@@ -101,9 +101,10 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     met = index.join(_small(each, LISTS * WINDOWS_BROADCAST), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
     met = met.withColumn("place", F.xxhash64("window", "key", "start"))  # two places of one hash would only be compared in vain
     full = met.groupBy("place").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("lists"), F.max("size").alias("size"))
-    full = full.where(F.col("lists") == F.expr("shiftleft(1, size) - 1")).select("place")
-    led = met.where("j = 0").groupBy("place", "window", "key", "n_words", "start").agg(F.min("first").alias("first"), F.first("around").alias("around"))
-    held = led.join(full, "place").join(_small(windows.select("window", "words", "items"), WINDOWS_BROADCAST), "window")
+    full = materialize(full.where(F.col("lists") == F.expr("shiftleft(1, size) - 1")).select("place"))
+    led = met.where("j = 0").join(_small(full, PLACES_BROADCAST), "place", "left_semi")
+    led = led.groupBy("window", "key", "n_words", "start").agg(F.min("first").alias("first"), F.first("around").alias("around"))
+    held = led.join(_small(windows.select("window", "words", "items"), WINDOWS_BROADCAST), "window")
     there = F.slice("around", F.greatest(F.lit(1), F.col("start") - F.col("first") + 1), F.size("words"))
     return held.where((F.col("start") >= F.col("first")) & (there == F.col("words"))).select("key", "n_words", "start", F.size("words").alias("length"), "items")
 
@@ -117,19 +118,25 @@ def rarest_pairs(items: DataFrame, counts: DataFrame, id_col: str = "item_id", t
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, slop: int = 5) -> DataFrame:
-    """(item, key, n_words, pos, shift): places where an item's two rarest terms stand at most ``slop`` words out of place.
+    """(item, key, pos, shift): places where an item's two rarest terms stand at most ``slop`` words out of place.
 
     An item with a single distinct term matches wherever that term stands, with shift 0.
     """
-    index = index.select("term", "key", "n_words", "pos").distinct()
-    pairs = materialize(pairs)
-    pairs = _small(pairs, WINDOWS_BROADCAST)
+    pairs = _small(materialize(pairs), WINDOWS_BROADCAST)
     bucket = lambda pos, offset: F.floor((pos - offset) / F.lit(slop + 1))
-    a = index.join(pairs, F.col("a.term") == F.col("term")).select("item", "a", "b", "key", "n_words", "pos")
-    a = a.withColumn("bucket", F.explode(F.array(*(bucket(F.col("pos"), F.col("a.offset")) + d for d in (-1, 0, 1)))))
-    b = index.join(pairs, F.col("b.term") == F.col("term")).select("item", "key", F.col("pos").alias("other"), bucket(F.col("pos"), F.col("b.offset")).alias("bucket"))
-    both = a.join(b, ["item", "key", "bucket"]).withColumn("shift", (F.col("other") - F.col("b.offset")) - (F.col("pos") - F.col("a.offset")))
-    return both.where(F.abs("shift") <= slop).select("item", "key", "n_words", "pos", "shift")
+
+    def side(name: str) -> DataFrame:
+        met = index.select("term", "key", "pos").join(pairs, F.col(f"{name}.term") == F.col("term"))
+        return met.select("item", "key", "pos", (F.col("pos") - F.col(f"{name}.offset")).alias("at"))
+
+    a = side("a").withColumn("bucket", F.explode(F.array(*(bucket(F.col("at"), F.lit(0)) + d for d in (-1, 0, 1)))))
+    b = side("b").withColumn("bucket", bucket(F.col("at"), F.lit(0)))
+    place = F.xxhash64("item", "key", "bucket")  # narrow rows first: places where both terms are; hashes that fall together only cost a comparison
+    both = a.select(place.alias("place"), F.lit(1).alias("side")).unionByName(b.select(place.alias("place"), F.lit(2).alias("side")))
+    full = materialize(both.groupBy("place").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("place"))
+    a, b = (x.withColumn("place", place).join(full, "place", "left_semi").distinct() for x in (a, b))
+    met = a.join(b.select("item", "key", "bucket", F.col("at").alias("other")), ["item", "key", "bucket"]).withColumn("shift", F.col("other") - F.col("at"))
+    return met.where(F.abs("shift") <= slop).select("item", "key", "pos", "shift")
 
 
 def text_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, terms_per_pass: int = TERMS_PER_PASS, slop: int = 5) -> DataFrame:
