@@ -5,7 +5,7 @@ uses are sorted and hashed; the hash selects a declarative mapping.  Paths that
 columns) do not change the fingerprint.
 
 **Template.**  A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  In a text, every control string of
-this and other common templates is broken by an escape character after its first character, and an
+this template, and those of other templates that :data:`CONTROL` lists, are broken by an escape character after its first character, and an
 escape character that the text already holds is doubled; both are undone by :func:`unescape`.  Roles are
 percent-encoded where they hold a character of the template.  Loss spans cover assistant texts.
 

@@ -13,7 +13,7 @@ configured for: its water level is found with one sorted window over one row per
 
 Defined results: a null text has 0 words and takes 0; a null source is a source of its own, sorted last;
 sources without words have target 0; repeated rows are documents of their own; of documents with equal
-ids, the smaller size comes first; an empty table gives an empty result; other columns are kept out unless named in ``keep``.
+ids, the smaller size comes first; an empty table gives an empty result; very long texts are only counted; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ searches all other shards.  Each shard returns at most k rows a query; they are
 
 Queries are a stated set; (query block, shard) pairs are searched as tasks of bounded size, never row pairs.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part; vectors of
+Defined results: components and scores beyond 64 bits stand at the end of that range (ranks are by whole scores); vectors that are null, or hold null or non-finite components, take no part; vectors of
 different length are not compared; ties go to the smaller id; rows that repeat an id are candidates of their own,
 but none of a query's own id, and an id asks once for each vector it has; fewer than k candidates give fewer rows; empty tables give an empty result.
 """
@@ -143,7 +143,7 @@ def _find(candidates: DataFrame, queries: DataFrame, k: int, leaf: int) -> DataF
             for i in range(len(a)):
                 s = [(-sum(int(u) * int(v) for u, v in zip(q["v"].iloc[i], w, strict=True)), int(j)) for w, j in zip(x["v"], xi, strict=True) if j != qi[i]]
                 for t, j in sorted(s)[:k]:
-                    row.append(i), found.append(j), score.append(-t)
+                    row.append(i), found.append(j), score.append(min(max(-t, -(1 << 63)), (1 << 63) - 1))
             row = np.array(row, np.int64)
         return pd.DataFrame({"query_id": qi[row], "vec_id": np.asarray(found, np.int64), "score": np.asarray(score).astype(np.int64)})
 

@@ -401,6 +401,12 @@ def test_top_k(spark):
     assert [(r["vec_id"], r["score"]) for r in top_k.top_k(huge, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(1, (64 * 20_000_000) ** 2 + 64 * 192), (2, 64 * 20_000_000 * 64 + 64 * 64)]
 
 
+def test_huge_components(spark):
+    rows = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0]), (2, [-1e18, 0.0]), (3, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in top_k.top_k(rows, F.col("vec_id") == 0).collect()}
+    assert got[1] == (1 << 63) - 1 and got[2] == -(1 << 63) and set(got) == {1, 2, 3}
+
+
 # --- 10 n-gram join
 
 
