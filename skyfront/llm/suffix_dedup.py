@@ -13,7 +13,7 @@ strings that it leads, up to 336) and reranks: a position whose 64 bytes are uni
 rank is shared is past the threshold, every string that it leads is repeated; for the others Spark sorts the ranks of
 the single strings, 200 bytes long, and those that are shared are repeated.
 
-Sorting plain pairs for all positions instead would shuffle 16 bytes a byte and round; see README.
+Sorting plain pairs for all positions instead would shuffle some 20 bytes a byte and round; see README.
 
 A position that a text holds several times in the same surroundings (periodic text) goes as one row with its spans.
 
