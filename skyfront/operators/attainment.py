@@ -24,28 +24,51 @@ def level_of(percentile: float, n: int) -> int:
     return max(1, int(np.ceil(n * percentile / 100 - TOLERANCE)))
 
 
-def _grid(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: list[str]) -> DataFrame:
-    """For each first-objective value and set of a group, the least second objective that the set attains there: ``_x``, ``_m``.
+#: Grid columns that one row is spread over at a time.
+SPREAD = 4096
 
-    Sets are first reduced to their fronts.
-    """
-    front = skyline_points(costs, [*by, sets, *carry], names)
-    xs = front.select(*by, F.col(names[0]).alias("_x")).distinct()
-    labels = costs.select(*by, sets, *carry).distinct()
-    cells = match(xs, labels, by)
-    front = front.select(*by, sets, F.col(names[0]).alias("_x"), F.col(names[1]).alias("_y"), *carry)
-    keys = [*by, sets, "_x", *carry]
-    cells = match(cells, front, keys, "left")
-    w = Window.partitionBy(*by, sets, *carry).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.withColumn("_m", F.min("_y").over(w)).drop("_y")
 
+def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: Names = (), blank: bool = False) -> DataFrame:
+    """Rows for each column of a group's grid, the columns being its sets' first objectives, numbered ``_i`` in their order.
+
+    Where a set attains something, a row with ``_cell`` 1 has the least second objective ``_v`` that it attains there; where
+    that has just fallen, a row with ``_cell`` 0 has what it was before.  ``_kept`` is 1 for the values of the column before.
+    ``blank``: also rows without ``_v`` for the sets that attain nothing yet (``_cell`` 0, ``_kept`` 0).
 
-def _surfaces(grid: DataFrame, by: list[str], order: Column | None = None) -> DataFrame:
-    """Corner points of all levels: numbered in each column of the grid, and kept where the level's step function falls."""
-    w = Window.partitionBy(*by, "_x").orderBy(F.col("_m").asc_nulls_last())
-    t = grid.withColumn("_t", F.row_number().over(w)).where("_m IS NOT NULL")
-    below = Window.partitionBy(*by, "_t").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    return t.withColumn("_low", F.min("_m").over(below)).where("_low IS NULL OR _m < _low").drop("_low")
+    Sets are first reduced to their fronts.  A front point is spread over the columns up to the set's next one, so no
+    column is joined with the sets; the column numbers come from one sort of a group's distinct first objectives.
+    """
+    front = skyline_points(costs, [*by, sets, *carry], names)
+    group = Window.partitionBy(*by)
+    xs = front.select(*by, names[0]).distinct().withColumn("_from", F.row_number().over(group.orderBy(names[0]))).withColumn("_columns", F.count("*").over(group))
+    own = Window.partitionBy(*by, sets, *carry).orderBy("_from")
+    runs = match(front, xs, [*by, names[0]]).withColumn("_to", F.coalesce(F.lead("_from").over(own) - 1, "_columns").cast("int")).withColumn("_was", F.lag(names[1]).over(own))
+    run = lambda lo, hi, v, cell, kept: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), v.cast("double").alias("_v"), F.lit(cell).alias("_cell"), F.lit(kept).alias("_kept"))
+    at, to, nothing = F.col("_from"), F.col("_to"), F.array().cast("array<struct<lo:int,hi:int,_v:double,_cell:int,_kept:int>>")
+    steps = lambda lo, hi, v, cell, kept: F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi), F.lit(SPREAD)), lambda c: run(c, F.least(c + SPREAD - 1, hi), v, cell, kept))).otherwise(nothing)
+    parts = [F.array(run(at, at, F.col(names[1]), 1, 0)), steps(at + 1, to, F.col(names[1]), 1, 1)]
+    parts.append(F.when(F.col("_was").isNotNull(), F.array(run(at, at, F.col("_was"), 0, 1))).otherwise(nothing))
+    if blank:
+        parts.append(F.when(F.col("_was").isNull(), steps(F.lit(1), at - 1, F.lit(None), 0, 0)).otherwise(nothing))
+    spread = runs.select(*by, sets, *carry, F.col(names[0]).alias("_x"), "_from", F.inline(F.concat(*parts)))
+    spread = spread.select(*by, sets, *carry, "_x", "_from", "_v", "_cell", "_kept", F.explode(F.sequence("lo", "hi")).alias("_i"))
+    return spread.withColumn("_x", F.when(F.col("_i") == F.col("_from"), F.col("_x"))).drop("_from")
+
+
+def _surfaces(cells: DataFrame, by: list[str], **counts: Column) -> DataFrame:
+    """Corner points ``_x``, ``_m`` of all levels ``_t``; ``counts``: conditions, for how many sets that attain the point they hold.
+
+    Level t is the t-th least value of a column.  It never rises from a column to the next, so it has a corner
+    where fewer than t values of the column before are as low: a column alone tells its corners.
+    """
+    column = Window.partitionBy(*by, "_i")
+    w = column.orderBy(F.col("_v").asc_nulls_last())
+    up_to = w.rangeBetween(Window.unboundedPreceding, 0)
+    t = cells.withColumns({
+        "_t": F.sum("_cell").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), "_before": F.sum("_kept").over(up_to),
+        **{name: F.count_if((F.col("_cell") == 1) & c).over(up_to) for name, c in counts.items()}, "_x": F.max("_x").over(column),
+    })
+    return t.where("_cell = 1 AND _before < _t").withColumnRenamed("_v", "_m").drop("_cell", "_kept", "_before", "_i")
 
 
 def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float] | None = None, maximise: Direction = False, groups: Names | str = (), levels: Sequence[int] | None = None) -> DataFrame:
@@ -60,7 +83,7 @@ def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float
     by = list(p.by)
     costs = p.add(df).select(*by, sets, *p.names)
     n = costs.groupBy(*by).agg(F.count_distinct(F.coalesce(F.col(sets).cast("string"), F.lit(""))).alias("_n"))
-    t = _surfaces(_grid(costs, by, sets, p.names, []), by).select(*by, F.col("_x").alias("_f0"), F.col("_m").alias("_f1"), "_t") if p.d == 2 else _eaf3(costs, by, sets, p.names)
+    t = _surfaces(_cells(costs, by, sets, p.names), by).select(*by, F.col("_x").alias("_f0"), F.col("_m").alias("_f1"), "_t") if p.d == 2 else _eaf3(costs, by, sets, p.names)
     joined = match(t, n, by)
     values = [p.back(i).alias(c) for i, c in enumerate(p.objectives)]
     if levels is not None:
@@ -103,10 +126,10 @@ def eaf_attained(df: DataFrame, objectives: Names, sets: str, maximise: Directio
     """Surfaces with ``attained``: an array of booleans, in order of the set labels, of the sets that attain the point."""
     p = Points.of(objectives, maximise, groups)
     by = list(p.by)
-    grid = _grid(p.add(df).select(*by, sets, *p.names), by, sets, p.names, [])
-    column = Window.partitionBy(*by, "_x")
-    each = F.array_sort(F.collect_list(F.struct(F.col(sets).alias("s"), F.col("_m").alias("m"))).over(column))
-    t = _surfaces(grid.withColumn("_all", each), by)
+    cells = _cells(p.add(df).select(*by, sets, *p.names), by, sets, p.names, blank=True)
+    own = F.when((F.col("_cell") == 1) | F.col("_v").isNull(), F.struct(F.col(sets).alias("s"), F.col("_v").alias("m")))
+    each = F.array_sort(F.collect_list(own).over(Window.partitionBy(*by, "_i")))
+    t = _surfaces(cells.withColumn("_all", each), by)
     attained = F.transform("_all", lambda s: F.coalesce(s["m"] <= F.col("_m"), F.lit(False)))
     percentile = F.col("_t") * 100.0 / F.size("_all")
     return t.select(*by, p.back(0, F.col("_x")).alias(p.objectives[0]), p.back(1, F.col("_m")).alias(p.objectives[1]), percentile.alias("percentile"), attained.alias("attained"))
@@ -138,10 +161,7 @@ def _differences(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: in
 def _count_sides(both: DataFrame, by: list[str], names: list[str], intervals: int | None) -> tuple[DataFrame, DataFrame]:
     labels = both.select(*by, "_set", "_side").distinct()
     n = labels.groupBy(*by).agg(F.count_if(F.col("_side") == 0).alias("_nl"), F.count_if(F.col("_side") == 1).alias("_nr"))
-    grid = _grid(both, by, "_set", names, ["_side"])
-    ties = Window.partitionBy(*by, "_x").orderBy(F.col("_m").asc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("_left", F.count_if(F.col("_side") == 0).over(ties)).withColumn("_right", F.count_if(F.col("_side") == 1).over(ties))
-    s = _surfaces(grid, by)
+    s = _surfaces(_cells(both, by, "_set", names, ["_side"]), by, _left=F.col("_side") == 0, _right=F.col("_side") == 1)
     s = match(s, n, by)
     cap = F.floor((F.col("_nl") + F.col("_nr")) / 2)
     k = cap if intervals is None else F.least(F.lit(int(intervals)), cap)
@@ -174,11 +194,10 @@ def _eafdiff3(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: int |
 
 def _strips(s: DataFrame, by: list[str]) -> DataFrame:
     """Rectangles between consecutive levels, as costs: ``_lx _ly _ux _uy _diff`` and the level ``_t``."""
-    upper = s.select(*by, (F.col("_t") - 1).alias("_t"), F.col("_m").alias("y"), F.col("_x").alias("xb"), F.lit(None).cast("double").alias("xa"), F.lit(None).cast("double").alias("d"))
-    lower = s.select(*by, "_t", F.col("_m").alias("y"), F.lit(None).cast("double").alias("xb"), F.col("_x").alias("xa"), F.col("_diff").alias("d"))
-    top = s.groupBy(*by).agg(F.max("_t").alias("_last"))
-    both = lower.unionByName(upper).where("_t >= 1")
-    both = match(both, top, by).where("_t < _last").drop("_last")
+    nothing, x = F.lit(None).cast("double"), F.col("_x")
+    end = lambda t, xa, xb, d: F.struct(t.cast("int").alias("_t"), xa.alias("xa"), xb.alias("xb"), d.alias("d"))
+    ends = F.array(end(F.col("_t"), x, nothing, F.col("_diff")), end(F.col("_t") - 1, nothing, x, nothing))
+    both = s.select(*by, F.col("_m").alias("y"), (F.col("_nl") + F.col("_nr")).alias("_last"), F.inline(ends)).where("_t >= 1 AND _t < _last").drop("_last")
     level = Window.partitionBy(*by, "_t")
     up = level.orderBy("y").rangeBetween(Window.unboundedPreceding, 0)
     y = both.withColumn("_xa", F.min("xa").over(up)).withColumn("_xb", F.min("xb").over(up)).withColumn("_d", F.min_by("d", "xa").over(up))
@@ -264,7 +283,7 @@ def level_volumes(df: DataFrame, objectives: Names, sets: str, ref: float | Sequ
     """(level, hypervolume) of every attainment surface, in one job."""
     p = Points.of(objectives, maximise)
     costs = p.add(df).select(sets, *p.names)
-    t = _surfaces(_grid(costs, [], sets, p.names, []), [])
+    t = _surfaces(_cells(costs, [], sets, p.names), [])
     q = Points.of(("_x", "_m"), False, "_t")
     point = p.point(ref)
     front = t.select("_t", F.col("_x").alias("_f0"), F.col("_m").alias("_f1")).where((F.col("_f0") < point[0]) & (F.col("_f1") < point[1]))
