@@ -369,7 +369,15 @@ def eaf_attained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(*PS, r("percentile"), F.concat_ws("", F.transform("attained", lambda x: x.cast("int").cast("string"))).alias("attained"))
 
 
-@query()
+EAF3 = f"""WITH p AS (SELECT p_type AS s, {COSTS}, CAST(p_partkey % 37 AS DOUBLE) AS f3 FROM part), l AS (SELECT DISTINCT s FROM p),
+g AS (SELECT s, f1 AS x, f2 AS y, min(f3) AS z FROM p GROUP BY s, f1, f2),
+f AS (SELECT s, x, y, g.z FROM (SELECT s, x, y FROM l, (SELECT DISTINCT f1 AS x FROM p), (SELECT DISTINCT f2 AS y FROM p)) LEFT JOIN g USING (s, x, y)),
+a AS (SELECT s, x, y, min(z) OVER (PARTITION BY s, y ORDER BY x) AS z FROM f), m AS (SELECT s, x, y, min(z) OVER (PARTITION BY s, x ORDER BY y) AS z FROM a),
+t AS (SELECT x, y, z, row_number() OVER (PARTITION BY x, y ORDER BY z NULLS LAST) AS t FROM m),
+e AS (SELECT *, lag(z) OVER (PARTITION BY t, y ORDER BY x) AS west, lag(z) OVER (PARTITION BY t, x ORDER BY y) AS south FROM t)"""
+
+
+@query(f"{EAF3} SELECT x AS p_retailprice, -y AS p_size, z AS third, CAST(t AS DOUBLE) * 100 / (SELECT count(*) FROM l) AS percentile FROM e WHERE z IS NOT NULL AND (west IS NULL OR z < west) AND (south IS NULL OR z < south)")
 def eaf_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.eaf(three(spark, sf_dir), [*PS, "third"], "p_type", maximise=[*UP, False])
 
@@ -407,13 +415,31 @@ def choose_eafdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.choose_eafdiff(attainment.eafdiff(*two_types(spark, sf_dir), ["f1", "f2"], "user_id"), left=False).select("f1", "f2", r("diff")).distinct()
 
 
-@query()
+POLYGONS = f"""{RECTANGLES}, b AS (SELECT *, trunc(diff) AS colour, coalesce(xb, 'inf'::DOUBLE) AS ux, coalesce(top, 'inf'::DOUBLE) AS uy FROM q WHERE xa IS NOT NULL AND (xb IS NULL OR xa < xb)),
+f AS (SELECT *, CASE WHEN lag(colour) OVER w = colour AND lag(y) OVER w = uy AND lag(xa) OVER w < ux AND lag(ux) OVER w > xa THEN 0 ELSE 1 END AS fresh FROM b WINDOW w AS (PARTITION BY t ORDER BY uy DESC)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY t ORDER BY uy DESC) AS run FROM f)"""
+
+
+@query(f"{POLYGONS} SELECT CAST(t AS INT) AS level, CAST(colour AS INT) AS colour, CASE WHEN colour > 0 THEN 'left' ELSE 'right' END AS side, CAST(4 * count(*) + 1 AS INT) AS n_vertices FROM runs WHERE colour <> 0 GROUP BY t, colour, run")
 def eafdiff_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = attainment.eafdiff_polygons(*two_types(spark, sf_dir), ["f1", "f2"], "user_id")
     return p.select("level", "colour", "side", F.size("vertices").alias("n_vertices"))
 
 
-@query()
+LARGEST = f"""WITH o AS (SELECT p_type, p_brand, {COSTS} FROM part), types AS (SELECT DISTINCT p_type FROM o), pairs AS (SELECT u.p_type AS a, v.p_type AS b FROM types u JOIN types v ON u.p_type < v.p_type),
+p AS (SELECT a, b, 'l' || p_brand AS s, f1, f2 FROM o JOIN pairs ON p_type = a UNION ALL SELECT a, b, 'r' || p_brand, f1, f2 FROM o JOIN pairs ON p_type = b), {surfaces('p', 'a, b')},
+k AS (SELECT a, b, count(*) FILTER (s LIKE 'l%') AS nl, count(*) FILTER (s LIKE 'r%') AS nr FROM l GROUP BY a, b),
+w AS (SELECT a, b, e.t, e.x, e.m, count(*) FILTER (c.s LIKE 'l%') AS left_n, count(*) FILTER (c.s LIKE 'r%') AS right_n FROM e JOIN c USING (a, b, x) WHERE c.m <= e.m GROUP BY a, b, e.t, e.x, e.m),
+d AS (SELECT a, b, t, x, m, nl + nr AS last, least(5, floor((nl + nr) / 2)) * (CAST(left_n AS DOUBLE) / nl - CAST(right_n AS DOUBLE) / nr) AS diff FROM w JOIN k USING (a, b)),
+y AS (SELECT DISTINCT a, b, t, y FROM (SELECT a, b, t, m AS y, last FROM d UNION ALL SELECT a, b, t - 1, m, last FROM d) WHERE t BETWEEN 1 AND last - 1),
+h AS (SELECT *, lead(y) OVER (PARTITION BY a, b, t ORDER BY y) AS top FROM y),
+q AS (SELECT h.a, h.b, h.t, h.y, any_value(top) AS top, min(x) FILTER (d.t = h.t) AS xa, min_by(diff, x) FILTER (d.t = h.t) AS diff, min(x) FILTER (d.t = h.t + 1) AS xb
+      FROM h JOIN d ON d.a = h.a AND d.b = h.b AND d.t BETWEEN h.t AND h.t + 1 AND d.m <= h.y GROUP BY h.a, h.b, h.t, h.y),
+v AS (SELECT a, b, diff, greatest(least(coalesce(xb, {R1}), {R1}) - xa, 0) * greatest(least(coalesce(top, {R2}), {R2}) - y, 0) AS area FROM q WHERE xa IS NOT NULL),
+z AS (SELECT a, b, coalesce(sum(area) FILTER (diff >= 1), 0) AS one, coalesce(sum(area) FILTER (diff <= -1), 0) AS other FROM v GROUP BY a, b)"""
+
+
+@query(f"{LARGEST} SELECT a AS left_dataset, b AS right_dataset, round(least(coalesce(one, 0), coalesce(other, 0)), 4) AS value FROM pairs LEFT JOIN z USING (a, b)")
 def largest_eafdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.largest_eafdiff_table(part(spark, sf_dir), PS, "p_type", "p_brand", REF, UP).withColumn("value", F.round("value", 4))
 
