@@ -407,6 +407,49 @@ def test_huge_components(spark):
     assert got[1] == (1 << 63) - 1 and got[2] == -(1 << 63) and set(got) == {1, 2, 3}
 
 
+def test_top_k_of_hot_vectors_and_widths(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 6)) for c in (-3, 0, 2)])
+    x[:60] = x[0]  # a third of the rows is one vector
+    x[60:64] *= 20_000  # components of 4 bytes
+    ids = np.arange(180)
+    ids[100:110] = 20  # rows that repeat an id
+    df = spark.createDataFrame([(int(i), v.tolist(), "a", 1) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, shard string, w int")
+    q = np.floor(64 * x).astype(np.int64)
+    got = {}
+    for r in top_k.top_k(df, F.col("vec_id") % 20 == 0, k=5, block=10, leaf=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for i in {int(j) for j in ids if j % 20 == 0}:
+        own = np.unique(q[ids == i], axis=0)
+        pairs = sorted((-int(s), int(j)) for v in own for s, j in zip(q @ v, ids, strict=True) if j != i)[:5]
+        assert sorted(got[i]) == [(n, j, -s) for n, (s, j) in enumerate(pairs, 1)]
+
+
+def test_packed_vectors():
+    import pandas as pd
+
+    x = np.array([[1, -2], [40_000, 0], [1 << 40, -(1 << 63)], [-(1 << 15), (1 << 15) - 1]])
+    out = [None] * len(x)
+    for rows, packed in top_k.pack(x):
+        for i, p in zip(rows, packed.to_pylist(), strict=True):
+            out[i] = p
+    assert [len(p) for p in out] == [4, 8, 16, 4] and (top_k.unpack(pd.Series(out), 2) == x).all()
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(9)
+    x = np.floor(rng.normal(0, 300, (500, 5))).astype(np.int64)
+    tree = top_k.BallTree(x, np.arange(500), 20)
+    again = top_k.BallTree.load(tree.dump())
+    q = x[::25].astype(float)
+    bounds = top_k.upper_bounds(q, again.centres, again.radii)
+    for b, (lo, hi, _, _) in zip(bounds.T, again.nodes, strict=True):
+        assert ((q @ again.x[lo:hi].T.astype(float)).max(1) <= b).all()
+    assert (x[again.ids] == again.x).all()
+    layout = top_k.Layout(5, x, 16)
+    assert len(layout.centres) == 16 and np.bincount(layout.cells(x.astype(float)), minlength=16).min() > 0
+
+
 # --- 10 n-gram join
 
 
