@@ -163,8 +163,8 @@ def exclusive(p: np.ndarray, others: np.ndarray, ref: np.ndarray) -> float:
     return max(0.0, whole - (_volume(limit[skyline(limit)], ref) if len(limit) else 0.0))
 
 
-def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int]) -> list[np.ndarray]:
-    """Attainment surfaces of three objectives, one array of points per level.
+def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int], marked: np.ndarray | None = None) -> list[np.ndarray]:
+    """Attainment surfaces of three objectives, one array of points per level, each with the numbers of ``marked`` (default: no) and other sets that attain it.
 
     For each z in order, the 2-D surface of the points at or below z is swept; a point is kept where
     the surface of the previous z doesn't cover it.
@@ -173,7 +173,10 @@ def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int]) -> list[np.ndarray]
     xs = np.unique(x[:, 0])
     reach = np.full((n_sets, len(xs)), np.inf)  # least y of each set at or left of each x
     number = np.unique(sets, return_inverse=True)[1].reshape(-1)
-    surfaces: list[list[tuple[float, float, float]]] = [[] for _ in levels]
+    own = np.zeros(n_sets, bool)
+    if marked is not None:
+        own[number] = marked
+    surfaces: list[list[np.ndarray]] = [[np.empty((0, 5))] for _ in levels]
     covered = np.full((len(levels), len(xs)), np.inf)
     for z in np.unique(x[:, 2]):
         for i in np.flatnonzero(x[:, 2] == z):
@@ -184,9 +187,11 @@ def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int]) -> list[np.ndarray]
             y = ordered[level - 1]
             before = np.concatenate([[np.inf], np.minimum.accumulate(y)[:-1]])
             new = np.flatnonzero((y < before) & (y < covered[k]))
-            surfaces[k] += [(xs[j], y[j], z) for j in new]
+            if len(new):
+                hit = reach[:, new] <= y[new]
+                surfaces[k].append(np.column_stack([xs[new], y[new], np.full(len(new), z), hit[own].sum(0), hit[~own].sum(0)]))
             covered[k] = np.minimum(covered[k], np.minimum.accumulate(y))
-    return [np.array(s).reshape(-1, 3) for s in surfaces]
+    return [np.concatenate(s) for s in surfaces]
 
 
 def legacy_rng(seed: int) -> np.random.Generator:

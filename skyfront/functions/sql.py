@@ -1,4 +1,4 @@
-"""Indicators for SQL text: grouped aggregates over array columns, and an EAF table function."""
+"""Indicators for SQL text: grouped aggregates over array columns."""
 
 from __future__ import annotations
 

@@ -96,17 +96,19 @@ def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float
     return asked.where(F.col("_t") == level).select(*by, *values, "percentile")
 
 
-def _eaf3(costs: DataFrame, by: list[str], sets: str, names: list[str]) -> DataFrame:
-    front = skyline_points(costs, [*by, sets], names)
+def _eaf3(costs: DataFrame, by: list[str], sets: str, names: list[str], side: str | None = None) -> DataFrame:
+    """Points of all levels ``_t`` with ``_left`` and ``_right``, the numbers of sets with ``side`` 0 and of others that attain them."""
+    front = skyline_points(costs, [*by, sets, *([side] if side else [])], names)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf[sets].nunique(dropna=False)
-        out = kernels.eaf3(pdf[names].to_numpy(float), pdf[sets].astype(str).to_numpy(), list(range(1, n + 1)))
+        labels, marked = pd.factorize(pdf[sets].astype(str) if side is None else pdf[side].astype(str) + ":" + pdf[sets].astype(str))[0], None if side is None else (pdf[side] == 0).to_numpy()
+        out = kernels.eaf3(pdf[names].to_numpy(float), labels, list(range(1, labels.max() + 2)), marked)
         rows = np.concatenate([np.column_stack([s, np.full(len(s), k)]) for k, s in enumerate(out, 1)])
         head = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame({**{names[i]: rows[:, i] for i in range(3)}, "_t": rows[:, 3].astype(np.int32)}).assign(**head)[[*by, *names, "_t"]]
+        counts = {c: rows[:, i].astype(np.int32) for i, c in ((5, "_t"), (3, "_left"), (4, "_right"))}
+        return pd.DataFrame({**{names[i]: rows[:, i] for i in range(3)}, **counts}).assign(**head)[[*by, *names, "_t", "_left", "_right"]]
 
-    schema = ", ".join([*(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in by), *(f"{n} double" for n in names), "_t int"])
+    schema = ", ".join([*(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in by), *(f"{n} double" for n in names), "_t int, _left int, _right int"])
     return front.groupBy(*by).applyInPandas(run, schema)
 
 
@@ -179,17 +181,14 @@ def eafdiff(x: DataFrame, y: DataFrame, objectives: Names, sets: str, intervals:
 
 def _eafdiff3(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: int | None) -> DataFrame:
     by = list(p.by)
-    part = lambda df, k: p.add(df).select(*by, F.concat(F.lit(f"{k}:"), F.col(sets).cast("string")).alias("_set"), *p.names)
+    part = lambda df, k: p.add(df).select(*by, F.col(sets).cast("string").alias("_set"), F.lit(k).alias("_side"), *p.names)
     both = part(x, 0).unionByName(part(y, 1))
-    points = _eaf3(both, by, "_set", p.names).select(*by, *p.names).distinct()
-    front = skyline_points(both, [*by, "_set"], p.names).toDF(*by, "_set", *(f"{n}s" for n in p.names))
-    hit = match(points, front, by).where(all_of([F.col(f"{n}s") <= F.col(n) for n in p.names]))
-    hit = hit.select(*points.columns, "_set").distinct().groupBy(*points.columns).agg(F.count_if(F.col("_set").startswith("0:")).alias("_l"), F.count_if(F.col("_set").startswith("1:")).alias("_r"))
-    n = both.select(*by, "_set").distinct().groupBy(*by).agg(F.count_if(F.col("_set").startswith("0:")).alias("_nl"), F.count_if(F.col("_set").startswith("1:")).alias("_nr"))
-    out = match(hit, n, by)
+    points = _eaf3(both, by, "_set", p.names, "_side").drop("_t").distinct()
+    n = both.select(*by, "_set", "_side").distinct().groupBy(*by).agg(F.count_if(F.col("_side") == 0).alias("_nl"), F.count_if(F.col("_side") == 1).alias("_nr"))
+    out = match(points, n, by)
     cap = F.floor((F.col("_nl") + F.col("_nr")) / 2)
     k = cap if intervals is None else F.least(F.lit(int(intervals)), cap)
-    return out.select(*by, *(p.back(i).alias(c) for i, c in enumerate(p.objectives)), (k * (F.col("_l") / F.col("_nl") - F.col("_r") / F.col("_nr"))).alias("diff"))
+    return out.select(*by, *(p.back(i).alias(c) for i, c in enumerate(p.objectives)), (k * (F.col("_left") / F.col("_nl") - F.col("_right") / F.col("_nr"))).alias("diff"))
 
 
 def _strips(s: DataFrame, by: list[str]) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.folders import shared_folder
 from ..operators import approx, attainment, distance, dominance, hypervolume, r2, rank, transform, weighted
 from ..operators.apply import apply_within_sets
+from ..functions.points import parse_objectives
 from ..sources import generate, text_sets
+from ..sources.catalog import Catalog
 from . import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +379,9 @@ t AS (SELECT x, y, z, row_number() OVER (PARTITION BY x, y ORDER BY z NULLS LAST
 e AS (SELECT *, lag(z) OVER (PARTITION BY t, y ORDER BY x) AS west, lag(z) OVER (PARTITION BY t, x ORDER BY y) AS south FROM t)"""
 
 
+THIRD_SIDES = "CASE WHEN p_brand < 'Brand#3' THEN 'l' ELSE 'r' END || p_type AS s"
+
+
 @query(f"{EAF3} SELECT x AS p_retailprice, -y AS p_size, z AS third, CAST(t AS DOUBLE) * 100 / (SELECT count(*) FROM l) AS percentile FROM e WHERE z IS NOT NULL AND (west IS NULL OR z < west) AND (south IS NULL OR z < south)")
 def eaf_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attainment.eaf(three(spark, sf_dir), [*PS, "third"], "p_type", maximise=[*UP, False])
@@ -529,6 +534,68 @@ def read_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_sets.read_datasets(spark, f"{path}/*.txt", PS).select(*PS)
 
 
+# --- batch jobs and three objectives
+
+
+@query(f"WITH {POINTS}, v AS ({staircase('p', '')}) SELECT round(hypervolume, 4) AS hypervolume FROM v")
+def hv_job_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.hv_job(part(spark, sf_dir), PS, "p_brand", REF, UP, union=True).select(r("hypervolume", 4))
+
+
+@query(f"""WITH {SETS}, i AS (SELECT p_brand, avg(dp) AS igd_plus, max(e) AS epsilon_additive, avg(d) AS igd FROM (SELECT p_brand, rid, min(d) AS d, min(dp) AS dp, min(e) AS e FROM c GROUP BY p_brand, rid) GROUP BY p_brand),
+g AS (SELECT p_brand, avg(d) AS gd FROM (SELECT p_brand, id, min(d) AS d FROM c GROUP BY p_brand, id) GROUP BY p_brand)
+SELECT p_brand, round(gd, 6) AS gd, round(igd, 6) AS igd, round(igd_plus, 6) AS igd_plus, round(greatest(gd, igd), 6) AS avg_hausdorff, round(epsilon_additive, 6) AS epsilon_additive FROM i JOIN g USING (p_brand)""")
+def indicators_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = part(spark, sf_dir)
+    names = ["gd", "igd", "igd_plus", "avg_hausdorff", "epsilon_additive"]
+    return jobs.indicators(p, p.where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13")), PS, "p_brand", UP, filter_ref=True).select("p_brand", *map(r, names))
+
+
+@query(f"""WITH p AS (SELECT p_type, p_size < 25 AS small, p_retailprice AS f1, CAST(p_partkey % 37 AS DOUBLE) AS f2 FROM part),
+e AS (SELECT small, max(x) AS x FROM (SELECT p.small, q.f1, q.f2, min(greatest(p.f1 - q.f1, p.f2 - q.f2)) AS x FROM p JOIN p q ON p.small <> q.small GROUP BY p.small, q.f1, q.f2) GROUP BY small)
+SELECT CASE WHEN a.x <= 0 AND b.x > 0 THEN -1 WHEN b.x <= 0 AND a.x > 0 THEN 1 ELSE 0 END AS better FROM e a JOIN e b ON a.small AND NOT b.small""")
+def epsilon_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = three(spark, sf_dir)
+    better = distance.epsilon_compare(p.where("p_size < 25"), p.where("p_size >= 25"), ["p_retailprice", "third"])
+    return spark.createDataFrame([(better,)], "better int")
+
+
+@query(f"{EAF3.replace('p_type AS s', THIRD_SIDES)}, c AS (SELECT DISTINCT x, y, z FROM e WHERE z IS NOT NULL AND (west IS NULL OR z < west) AND (south IS NULL OR z < south)), k AS (SELECT count(*) FILTER (s LIKE 'l%') AS nl, count(*) FILTER (s LIKE 'r%') AS nr FROM l), w AS (SELECT x, y, c.z, count(*) FILTER (s LIKE 'l%') AS a, count(*) FILTER (s LIKE 'r%') AS b FROM c JOIN m USING (x, y) WHERE m.z <= c.z GROUP BY x, y, c.z) SELECT x AS p_retailprice, -y AS p_size, z AS third, round(floor((nl + nr) / 2) * (CAST(a AS DOUBLE) / nl - CAST(b AS DOUBLE) / nr), 6) AS diff FROM w, k")
+def eafdiff_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, left = three(spark, sf_dir), F.col("p_brand") < "Brand#3"
+    return attainment.eafdiff(p.where(left), p.where(~left), [*PS, "third"], "p_type", maximise=[*UP, False]).select(*PS, "third", r("diff"))
+
+
+@query("WITH p AS (SELECT s_suppkey, s_acctbal AS f1, -CAST(s_nationkey AS DOUBLE) AS f2 FROM supplier) SELECT s_suppkey FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.f1 <= p.f1 AND q.f2 <= p.f2 AND (q.f1 < p.f1 OR q.f2 < p.f2))")
+def skyline_by_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, up = parse_objectives("-i+", ["s_acctbal", "third", "s_nationkey"])
+    return dominance.filter_dominated(supplier(spark, sf_dir), names, up, keep_weakly=True).select("s_suppkey")
+
+
+@query("SELECT p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def catalog_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.as_points(Catalog(spark, sf_dir).load("part.parquet"), PS).select("p_partkey", *PS)
+
+
+FOUR = "SELECT s_suppkey AS id, -s_acctbal AS f1, CAST(s_nationkey AS DOUBLE) AS f2, CAST(s_suppkey % 7 AS DOUBLE) AS f3, CAST(s_suppkey % 5 AS DOUBLE) AS f4 FROM supplier"
+
+
+@query(f"""WITH p AS ({FOUR}), z AS (SELECT f3 AS c, coalesce(lead(f3) OVER (ORDER BY f3), 7) - f3 AS h FROM (SELECT DISTINCT f3 FROM p)), y AS (SELECT f4 AS d, coalesce(lead(f4) OVER (ORDER BY f4), 5) - f4 AS g FROM (SELECT DISTINCT f4 FROM p)),
+s AS (SELECT c, h, d, g, f1, f2 FROM p JOIN z ON f3 <= c JOIN y ON f4 <= d), v AS ({staircase('s', 'c, h, d, g', '10000', '26')}) SELECT round(sum(hypervolume * h * g), 2) AS hypervolume FROM v""")
+def hv_4d_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four = supplier(spark, sf_dir).withColumn("fourth", F.col("s_suppkey") % 5)
+    v = hypervolume.hypervolume_parallel(four, ["s_acctbal", "s_nationkey", "third", "fourth"], [-10000.0, 26.0, 7.0, 5.0], [True, False, False, False])
+    return spark.createDataFrame([(round(v, 2),)], "hypervolume double")
+
+
+@query(f"""WITH p AS ({SUPPLIER}), n AS (SELECT *, count(*) OVER (PARTITION BY f1, f2, f3) AS times FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE {beats(3)})), z AS (SELECT f3 AS c, coalesce(lead(f3) OVER (ORDER BY f3), 7) - f3 AS h FROM (SELECT DISTINCT f3 FROM p)),
+o AS (SELECT id FROM n UNION ALL SELECT -1), x AS (SELECT o.id AS out, f1, f2, c, h FROM n JOIN z ON f3 <= c JOIN o ON o.id <> n.id), v AS ({staircase('x', 'out, c, h', '10000', '26')}), w AS (SELECT out, sum(hypervolume * h) AS v FROM v GROUP BY out)
+SELECT p.id AS s_suppkey, round(CASE WHEN n.id IS NULL OR times > 1 THEN 0 ELSE (SELECT v FROM w WHERE out = -1) - coalesce(w.v, 0) END, 3) AS hv_contribution FROM p LEFT JOIN n USING (id) LEFT JOIN w ON w.out = p.id""")
+def hv_contributions_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = hypervolume.hv_contributions(supplier(spark, sf_dir), ["s_acctbal", "s_nationkey", "third"], [-10000.0, 26.0, 7.0], [True, False, False])
+    return c.select("s_suppkey", r("hv_contribution", 3))
+
+
 # --- SQL text and streams
 
 
