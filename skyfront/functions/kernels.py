@@ -194,6 +194,68 @@ def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int], marked: np.ndarray
     return [np.concatenate(s) for s in surfaces]
 
 
+def measure(kind: str, x: np.ndarray, q: np.ndarray, up: list[bool] | None = None) -> np.ndarray:
+    """For each row of ``q`` and of ``x`` (costs): the squared distance, the squared excess ("plus"), the largest excess ("additive") or ratio ("ratio") of x over q."""
+    out = np.zeros((len(q), len(x))) if kind in ("distance", "plus") else np.full((len(q), len(x)), -np.inf)
+    for i in range(x.shape[1]):
+        a, b = x[None, :, i], q[:, i, None]
+        if kind == "ratio":
+            np.maximum(out, b / a if up[i] else a / b, out=out)
+        elif kind == "additive":
+            np.maximum(out, a - b, out=out)
+        else:
+            gap = a - b
+            out += (np.maximum(gap, 0.0) if kind == "plus" else gap) ** 2
+    return out
+
+
+class Boxes:
+    """Rows in leaves with bounding boxes, for the least of a :func:`measure` without looking at every row."""
+
+    def __init__(self, x: np.ndarray, leaf: int = 128) -> None:
+        order, self.leaves, stack = np.arange(len(x)), [], [(0, len(x))]
+        while stack:
+            lo, hi = stack.pop()
+            rows = x[order[lo:hi]]
+            width = np.ptp(rows, axis=0)
+            if hi - lo <= leaf or not width.max() > 0:
+                self.leaves.append((lo, hi))
+                continue
+            mid = (hi - lo) // 2
+            order[lo:hi] = order[lo:hi][np.argpartition(rows[:, width.argmax()], mid)]
+            stack += [(lo, lo + mid), (lo + mid, hi)]
+        self.x = x[order]
+        self.low = np.array([self.x[lo:hi].min(0) for lo, hi in self.leaves])
+        self.high = np.array([self.x[lo:hi].max(0) for lo, hi in self.leaves])
+
+    def _bounds(self, kind: str, q: np.ndarray, up: list[bool] | None) -> np.ndarray:
+        if kind != "distance":  # these rise with every cost
+            return measure(kind, self.low, q, up)
+        out = np.zeros((len(q), len(self.low)))
+        for i in range(q.shape[1]):
+            out += np.maximum(np.maximum(self.low[None, :, i] - q[:, i, None], q[:, i, None] - self.high[None, :, i]), 0.0) ** 2
+        return out
+
+    def least(self, kind: str, q: np.ndarray, up: list[bool] | None = None) -> np.ndarray:
+        """The least measure for each row of ``q``; leaves are taken in the order of their bounds."""
+        best = np.full(len(q), np.inf)
+        for at in range(0, len(q), 512):
+            part, own = q[at : at + 512], best[at : at + 512]
+            bounds = self._bounds(kind, part, up)
+            bounds[np.isnan(bounds)] = -np.inf  # differences of infinite values tell nothing
+            turn, live = np.argsort(bounds, axis=1, kind="stable"), np.arange(len(part))
+            for step in range(len(self.leaves)):
+                live = live[bounds[live, turn[live, step]] < own[live]]
+                if not len(live):
+                    break
+                near = turn[live, step]
+                for j in np.unique(near):
+                    rows = live[near == j]
+                    lo, hi = self.leaves[j]
+                    own[rows] = np.fmin(own[rows], np.fmin.reduce(measure(kind, self.x[lo:hi], part[rows], up), axis=1))
+        return best
+
+
 def legacy_rng(seed: int) -> np.random.Generator:
     """MT19937 with the classic seeding, for streams that are reproducible across languages."""
     bits = np.random.MT19937()

@@ -1,88 +1,139 @@
-"""Distances of sets to a reference set, and epsilon indicators."""
+"""Distances of sets to a reference set, and epsilon indicators.
+
+A reference set of a checked size is sent to every task, where box trees find the nearest points without comparing all
+pairs; a batch of rows tells each of its groups' least values per reference point, and these are combined before the
+shuffle.  All indicators of a call come from one pass.  A larger reference set is joined with the points.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.points import Direction, Names, Points, match
+from ..functions import kernels
+from ..functions.points import Direction, Names, Points
 from .dominance import skyline_points
 
-#: A reference set up to this many points is sent to every task; a larger one is dealt out with the pairs.
-BROADCAST_POINTS = 100_000
+#: A reference set of up to this many values (points times objectives) is sent to every task; a larger one is dealt out with the pairs.
+BROADCAST_VALUES = 1_000_000
+#: Kind of measure by indicator; gd is taken over the points, the others over the reference points.
+KINDS = {"gd": "distance", "igd": "distance", "igd_plus": "plus", "epsilon_additive": "additive", "epsilon_mult": "ratio"}
+SQUARED = ("gd", "igd", "igd_plus")
 
 
-def _pairs(df: DataFrame, ref: DataFrame, p: Points, front: bool) -> DataFrame:
-    """Every point with every reference point: ``_i`` points, ``_r`` reference points. ``front``: dominated points left out."""
+def _indicators(df: DataFrame, ref: DataFrame, p: Points, names: list[str], power: int = 1) -> DataFrame:
+    """One row per group: the indicators ``names``, gd and igd as power means."""
     costs = p.costs(df)
-    if front:
+    if not {"gd", "igd"} & {*names}:  # dominated points change nothing
         costs = skyline_points(costs, list(p.by), p.names)
-    a = costs.withColumn("_i", F.struct(*p.names)) if front else costs.withColumn("_i", F.monotonically_increasing_id())
-    r = Points.of(p.objectives, p.maximise).costs(ref).toDF(*(f"{n}r" for n in p.names)).withColumn("_r", F.monotonically_increasing_id())
-    if r.count() <= BROADCAST_POINTS:
-        r = F.broadcast(r)
-    return a.join(r, F.lit(True))
-
-
-def _sum(parts: list[Column]) -> Column:
-    return reduce(Column.__add__, parts)
-
-
-def _gap(p: Points, i: int, plus: bool) -> Column:
-    gap = F.col(f"_f{i}") - F.col(f"_f{i}r")
-    return F.greatest(gap, F.lit(0.0)) if plus else gap
+    known = Points.of(p.objectives, p.maximise).costs(ref)
+    most = BROADCAST_VALUES // p.d
+    some = known.limit(most + 1).toPandas().to_numpy(float)
+    least = _by_trees(costs, some, p, names, power) if len(some) <= most else _by_pairs(costs, known, p, names, power)
+    over_ref = [n for n in names if n != "gd"]
+    least = least.groupBy(*p.by, "_r").agg(*(F.min(f"_{n}").alias(f"_{n}") for n in over_ref), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    mean = lambda n: F.avg(f"_{n}") if power == 1 or n == "igd_plus" else F.pow(F.avg(F.pow(f"_{n}", F.lit(power))), F.lit(1.0 / power))
+    out = {n: F.max(f"_{n}") if n.startswith("epsilon") else mean(n) for n in over_ref}
+    if "gd" in names:
+        out["gd"] = F.sum("_sum") / F.sum("_n") if power == 1 else F.pow(F.sum("_sum") / F.sum("_n"), F.lit(1.0 / power))
+    return least.groupBy(*p.by).agg(*(out[n].alias(n) for n in names))
+
+
+def _by_trees(costs: DataFrame, ref: np.ndarray, p: Points, names: list[str], power: int) -> DataFrame:
+    """Rows of a batch: (groups, ``_r`` with the least values of the batch's points), and with ``_r`` -1 sums over the points."""
+    by, over_ref = list(p.by), [n for n in names if n != "gd"]
+    shared = costs.sparkSession.sparkContext.broadcast(ref)
+    up, costs = list(p.maximise), costs.select(*by, *p.names)
+    fields = [*by, "_r", *(f"_{n}" for n in over_ref), "_sum", "_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = shared.value
+        tree = kernels.Boxes(r) if "gd" in names and len(r) else None
+        for batch in batches:
+            if not len(batch) or not len(r):
+                continue
+            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in p.names])
+            groups = batch.select(by).to_pandas().groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(x))]
+            for rows in groups:
+                points = np.unique(x[rows], axis=0) if over_ref else None
+                size = len(r) * bool(over_ref) + ("gd" in names)
+                numbers, sums, counts = np.arange(size), np.full(size, np.nan), np.zeros(size, np.int64)
+                values = {n: np.full(size, np.nan) for n in over_ref}
+                if over_ref:
+                    own = kernels.Boxes(points)
+                    for n in over_ref:
+                        v = own.least(KINDS[n], r, up)
+                        values[n][: len(r)] = np.sqrt(v) if n in SQUARED else v
+                if "gd" in names:
+                    d = np.sqrt(tree.least("distance", x[rows]))
+                    numbers[-1], sums[-1], counts[-1] = -1, (d**power).sum(), len(d)
+                head = [batch.column(c).take(pa.array(np.full(size, rows[0]))) for c in by]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(numbers), *(pa.array(values[n], from_pandas=True) for n in over_ref), pa.array(sums, from_pandas=True), pa.array(counts)], fields)
+
+    schema = ", ".join([*(f"`{c}` {costs.schema[c].dataType.simpleString()}" for c in by), "_r long", *(f"_{n} double" for n in over_ref), "_sum double, _n long"])
+    return costs.mapInArrow(run, schema)
+
+
+def _by_pairs(costs: DataFrame, ref: DataFrame, p: Points, names: list[str], power: int) -> DataFrame:
+    """What :func:`_by_trees` returns, from a join of the points with the reference points."""
+    r = ref.toDF(*(f"{n}r" for n in p.names)).withColumn("_r", F.monotonically_increasing_id())
+    pairs = costs.withColumn("_i", F.monotonically_increasing_id()).join(r, F.lit(True))
+    gaps = [F.col(n) - F.col(f"{n}r") for n in p.names]
+    total = lambda parts: F.sqrt(reduce(Column.__add__, parts))
+    largest = lambda parts: F.greatest(*parts) if len(parts) > 1 else parts[0]
+    ratios = [F.col(f"{n}r") / F.col(n) if m else F.col(n) / F.col(f"{n}r") for n, m in zip(p.names, p.maximise, strict=True)]
+    distance, positive = total([g * g for g in gaps]), [F.greatest(g, F.lit(0.0)) for g in gaps]
+    values = {"igd": distance, "igd_plus": total([g * g for g in positive]), "epsilon_additive": largest(gaps), "epsilon_mult": largest(ratios)}
+    over_ref, by, parts = [n for n in names if n != "gd"], list(p.by), []
+    blank = F.lit(None).cast("double")
+    if over_ref:
+        parts.append(pairs.groupBy(*by, "_r").agg(*(F.min(values[n]).alias(f"_{n}") for n in over_ref)).select(*by, "_r", *(f"_{n}" for n in over_ref), blank.alias("_sum"), F.lit(0).cast("long").alias("_n")))
+    if "gd" in names:
+        near = pairs.groupBy(*by, "_i").agg(F.min(distance).alias("_d")).groupBy(*by).agg(F.sum(F.pow("_d", F.lit(power))).alias("_sum"), F.count("*").alias("_n"))
+        parts.append(near.select(*by, F.lit(-1).cast("long").alias("_r"), *(blank.alias(f"_{n}") for n in over_ref), "_sum", "_n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _nearest(df: DataFrame, ref: DataFrame, p: Points, key: str, plus: bool = False) -> DataFrame:
-    """Least distance for each ``key`` (``_r``: to the points, ``_i``: to the reference set)."""
-    squares = _sum([_gap(p, i, plus) * _gap(p, i, plus) for i in range(p.d)])
-    return _pairs(df, ref, p, plus).groupBy(*p.by, key).agg(F.sqrt(F.min(squares)).alias("_d"))
+def _power(p: int) -> int:
+    if p != int(p) or p < 1:
+        raise ValueError("p must be a positive integer")
+    return int(p)
 
 
-def _mean(near: DataFrame, p: Points, name: str, power: int = 1) -> DataFrame:
-    mean = F.avg("_d") if power == 1 else F.pow(F.avg(F.pow("_d", F.lit(power))), F.lit(1.0 / power))
-    return near.groupBy(*p.by).agg(mean.alias(name))
+def indicators(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), names: Names = ("gd", "igd", "igd_plus", "epsilon_additive")) -> DataFrame:
+    """One row per group with several of gd, igd, igd_plus, epsilon_additive and epsilon_mult, from one pass."""
+    return _indicators(df, ref, Points.of(objectives, maximise, by), list(names))
 
 
 def igd(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), p: int = 1) -> DataFrame:
     """Mean (power mean for ``p`` > 1) over the reference points of the distance to the nearest point."""
-    q = Points.of(objectives, maximise, by)
-    return _mean(_nearest(df, ref, q, "_r"), q, "igd", _power(p))
+    return _indicators(df, ref, Points.of(objectives, maximise, by), ["igd"], _power(p))
 
 
 def igd_plus(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = ()) -> DataFrame:
     """As :func:`igd`, counting only what a point is worse than the reference point."""
-    q = Points.of(objectives, maximise, by)
-    return _mean(_nearest(df, ref, q, "_r", True), q, "igd_plus")
+    return _indicators(df, ref, Points.of(objectives, maximise, by), ["igd_plus"])
 
 
 def gd(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), p: int = 1) -> DataFrame:
-    """Mean (power mean) over the points of the distance to the nearest reference point."""
-    q = Points.of(objectives, maximise, by)
-    return _mean(_nearest(df, ref, q, "_i"), q, "gd", _power(p))
-
-
-def _power(p: int) -> int:
-    if p != int(p) or p < 1:
-        raise ValueError("p must be a positive integer")
-    return int(p)
+    """Mean (power mean for ``p`` > 1) over the points of the distance to the nearest reference point."""
+    return _indicators(df, ref, Points.of(objectives, maximise, by), ["gd"], _power(p))
 
 
 def avg_hausdorff_dist(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), p: int = 1) -> DataFrame:
     """The larger of the power means of :func:`gd` and :func:`igd`."""
-    a, b = gd(df, ref, objectives, maximise, by, p), igd(df, ref, objectives, maximise, by, p)
-    by = [by] if isinstance(by, str) else [*by]
-    return match(a, b, by).select(*by, F.greatest("gd", "igd").alias("avg_hausdorff"))
+    q = Points.of(objectives, maximise, by)
+    return _indicators(df, ref, q, ["gd", "igd"], _power(p)).select(*q.by, F.greatest("gd", "igd").alias("avg_hausdorff"))
 
 
 def epsilon_additive(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = ()) -> DataFrame:
     """The least amount by which a set must be shifted to weakly dominate the reference set."""
-    p = Points.of(objectives, maximise, by)
-    gaps = [F.col(n) - F.col(f"{n}r") for n in p.names]
-    worst = F.greatest(*gaps) if p.d > 1 else gaps[0]
-    return _pairs(df, ref, p, True).groupBy(*p.by, "_r").agg(F.min(worst).alias("_e")).groupBy(*p.by).agg(F.max("_e").alias("epsilon_additive"))
+    return _indicators(df, ref, Points.of(objectives, maximise, by), ["epsilon_additive"])
 
 
 def epsilon_mult(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = ()) -> DataFrame:
@@ -91,9 +142,7 @@ def epsilon_mult(df: DataFrame, ref: DataFrame, objectives: Names, maximise: Dir
     for rows in (df, ref):
         if rows.where(F.least(*objectives) <= 0 if p.d > 1 else F.col(p.objectives[0]) <= 0).limit(1).count():
             raise ValueError("all values must be positive")
-    ratios = [F.col(f"{n}r") / F.col(n) if m else F.col(n) / F.col(f"{n}r") for n, m in zip(p.names, p.maximise, strict=True)]
-    worst = F.greatest(*ratios) if p.d > 1 else ratios[0]
-    return _pairs(df, ref, p, True).groupBy(*p.by, "_r").agg(F.min(worst).alias("_e")).groupBy(*p.by).agg(F.max("_e").alias("epsilon_mult"))
+    return _indicators(df, ref, p, ["epsilon_mult"])
 
 
 def epsilon_compare(a: DataFrame, b: DataFrame, objectives: Names, maximise: Direction = False) -> int:

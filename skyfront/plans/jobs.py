@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.points import Direction, Names, match
+from ..functions.points import Direction, Names
 from ..operators import distance, transform
 from ..operators.dominance import filter_dominated
 from ..operators.hypervolume import hv_contributions, hypervolume
@@ -35,11 +36,5 @@ def hv_job(df: DataFrame, objectives: Names, sets: Names | str = (), ref: Sequen
 def indicators(df: DataFrame, ref: DataFrame, objectives: Names, sets: str, maximise: Direction = False, filter_ref: bool = False) -> DataFrame:
     """gd, igd, igd_plus, avg_hausdorff and epsilon_additive of each set in one table; ``filter_ref`` drops dominated reference points."""
     ref = filter_dominated(ref, objectives, maximise) if filter_ref else ref
-    out = None
-    for f in (distance.gd, distance.igd, distance.igd_plus, distance.avg_hausdorff_dist, distance.epsilon_additive):
-        part = f(df, ref, objectives, maximise, sets)
-        if out is None:
-            out = part
-        else:
-            out = match(out, part, [sets])
-    return out
+    out = distance.indicators(df, ref, objectives, maximise, sets)
+    return out.select(sets, "gd", "igd", "igd_plus", F.greatest("gd", "igd").alias("avg_hausdorff"), "epsilon_additive")

@@ -290,3 +290,31 @@ def test_sql_aggregates(spark):
     frame(spark, HV4).createOrReplaceTempView("points4")
     assert spark.sql("SELECT hv(array(f1, f2), array(10D, 10D)) AS v FROM points4").first()[0] == 38
     assert spark.sql("SELECT front_size(array(f1, f2)) AS n FROM points4").first()[0] == 4
+
+
+@pytest.mark.parametrize("d", [1, 2, 4])
+def test_boxes_find_the_least(d):
+    rng = np.random.default_rng(d)
+    x, q = np.round(rng.uniform(1, 9, (700, d)), 1), np.round(rng.uniform(1, 9, (300, d)), 1)
+    x[:200] = x[0]
+    for kind in ("distance", "plus", "additive", "ratio"):
+        up = [i % 2 == 1 for i in range(d)]
+        a, b = (v * np.where(up, -1, 1) if kind == "ratio" else v for v in (x, q))
+        assert (kernels.Boxes(a, 16).least(kind, b, up) == kernels.measure(kind, a, b, up).min(1)).all()
+
+
+def test_large_reference_sets_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(s, *map(float, v)) for s in (1, None, 3) for v in np.round(rng.uniform(1, 9, (40, 3)), 1)]
+    df = spark.createDataFrame([*rows, (3, None, 1.0, 1.0)], "s long, x double, y double, z double")
+    ref = spark.createDataFrame([tuple(map(float, v)) for v in np.round(rng.uniform(1, 9, (30, 3)), 1)], "x double, y double, z double")
+    names = ["gd", "igd", "igd_plus", "epsilon_additive", "epsilon_mult"]
+    table = lambda: {r["s"]: [r[n] for n in names] for r in distance.indicators(df, ref, ["x", "y", "z"], [False, True, False], "s", names).collect()}
+    trees = table()
+    monkeypatch.setattr(distance, "BROADCAST_VALUES", 0)
+    pairs = table()
+    monkeypatch.undo()
+    assert set(trees) == set(pairs) == {1, None, 3}
+    assert all(np.allclose(trees[s], pairs[s], rtol=1e-12) for s in trees)
+    assert distance.indicators(df.limit(0), ref, ["x", "y", "z"], by="s", names=names).count() == 0
+    assert distance.indicators(df, ref.limit(0), ["x", "y", "z"], by="s", names=names).count() == 0
