@@ -341,13 +341,16 @@ def normal_directions(d: int, rng: np.random.Generator, count: int) -> np.ndarra
 
 
 def mean_power(z: np.ndarray, w: np.ndarray) -> float:
-    """Sum over the directions of (max over points of min over objectives of z / w) ^ d."""
+    """Sum over the directions of (max over points of min over objectives of z / w) ^ d; an objective with no share of a direction sets no limit."""
     total = 0.0
-    with np.errstate(divide="ignore", invalid="ignore"):
+    with np.errstate(divide="ignore"):
         for at in range(0, len(w), 4096):
-            part = w[at : at + 4096]
-            best = np.zeros(len(part))
+            part = np.maximum(w[at : at + 4096].T, 0.0, order="C")
+            best = np.zeros(part.shape[1])
             for p in z:
-                best = np.maximum(best, np.where(part > 0, p / part, np.inf).min(1))
+                reach = p[0] / part[0]
+                for v, share in zip(p[1:], part[1:], strict=True):
+                    np.minimum(reach, v / share, out=reach)
+                np.maximum(best, reach, out=best)
             total += float((best ** z.shape[1]).sum())
     return total

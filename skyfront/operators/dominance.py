@@ -140,3 +140,11 @@ def set_better_counts(df: DataFrame, objectives: Names, sets: str, dataset: str,
     c = compare_sets(d, objectives, "_set", maximise)
     c = c.select(F.col("left_set.d").alias("left_dataset"), F.col("right_set.d").alias("right_dataset"), "better").where("left_dataset < right_dataset")
     return c.groupBy("left_dataset", "right_dataset").agg(F.count_if(F.col("better") == -1).alias("left_better"), F.count_if(F.col("better") == 1).alias("right_better"), F.count("*").alias("pairs"))
+
+
+def set_better_shares(df: DataFrame, objectives: Names, sets: str, dataset: str, maximise: Direction = False) -> DataFrame:
+    """:func:`set_better_counts` as percentages of the pairs, with the percentage that neither wins."""
+    c = set_better_counts(df, objectives, sets, dataset, maximise)
+    share = lambda n: 100.0 * n / F.col("pairs")
+    left, right = F.col("left_better"), F.col("right_better")
+    return c.select("left_dataset", "right_dataset", share(left).alias("left_percent"), share(right).alias("right_percent"), share(F.col("pairs") - left - right).alias("neither_percent"))

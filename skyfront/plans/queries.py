@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.folders import shared_folder
@@ -129,6 +129,15 @@ def set_better_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.set_better_counts(part(spark, sf_dir), PS, "p_brand", "p_type", UP)
 
 
+SQL["set_better_shares"] = f"SELECT left_dataset, right_dataset, round(100.0 * left_better / pairs, 6) AS left_percent, round(100.0 * right_better / pairs, 6) AS right_percent, round(100.0 * (pairs - left_better - right_better) / pairs, 6) AS neither_percent FROM ({SQL['set_better_counts']})"
+
+
+@query()
+def set_better_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = dominance.set_better_shares(part(spark, sf_dir), PS, "p_brand", "p_type", UP)
+    return c.select("left_dataset", "right_dataset", r("left_percent"), r("right_percent"), r("neither_percent"))
+
+
 # --- ranks
 
 
@@ -596,6 +605,15 @@ def hv_contributions_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("s_suppkey", r("hv_contribution", 3))
 
 
+@query(f"WITH {POINTS} SELECT f1 AS p_retailprice, -f2 AS p_size, dense_rank() OVER (ORDER BY p_brand) AS set_id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.p_brand = p.p_brand AND {beats(2)})")
+def write_filtered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/skyfront-fronts-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    rows = dominance.is_nondominated_within_sets(transform.numbered_sets(part(spark, sf_dir), "p_brand"), PS, "set_id", UP, keep_weakly=True)
+    text_sets.write_datasets(rows, path, PS, keep="nondominated")
+    back = text_sets.read_datasets(spark, f"{path}/*.txt", PS, per_file=True)
+    return back.select(*PS, F.dense_rank().over(Window.orderBy("file", "set_id")).cast("long").alias("set_id"))
+
+
 # --- SQL text and streams
 
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.points import Names
@@ -103,8 +103,12 @@ def sets_as_text(df: DataFrame, objectives: Names, sets: str = "set_id") -> Data
     return rows.select(sets, F.concat(F.array_join(F.transform("r", lambda r: r["line"]), "\n"), F.lit("\n")).alias("value"))
 
 
-def write_datasets(df: DataFrame, path: str, objectives: Names, sets: str = "set_id") -> None:
-    """Text files of sets, in order of their labels; each set is headed by the names and followed by a blank line."""
+def write_datasets(df: DataFrame, path: str, objectives: Names, sets: str = "set_id", keep: Column | str | None = None) -> None:
+    """Text files of sets, in order of their labels; each set is headed by the names and followed by a blank line.
+
+    ``keep``: a condition; only rows for which it is true are written, and no set without any.
+    """
+    df = df if keep is None else df.where(keep)
     head = F.lit("# " + " ".join(objectives) + "\n")
     text = sets_as_text(df, objectives, sets)
     ordered = text.repartitionByRange(sets).sortWithinPartitions(sets)
