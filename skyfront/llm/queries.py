@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, language_id, mixing, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
+from . import chat_format, decontamination, importance, language_id, lexical_search, mixing, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
 from .common import fold, table
 
 
@@ -60,6 +60,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k, op10_ngram_join, op11_lexical_search, op12_importance, pipeline)}
 
 
 OP2_SQL = r"""
@@ -156,6 +164,40 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+_OP11_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_OP11_TERMS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS iid, item_id, {_OP11_TERMS} AS w FROM benchmark),
+a AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+p AS (SELECT rid, doc_id, term, n, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * big_n + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), a),
+q AS (SELECT iid, item_id, term, count(*) AS c FROM (SELECT iid, item_id, unnest(w) AS term FROM b) GROUP BY ALL),
+s AS (SELECT iid, item_id, rid, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), a GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (SELECT range AS i, range AS c, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_OP5_WORDS} AS w FROM documents),
+b AS (SELECT {_OP5_WORDS} AS w FROM benchmark),
+words AS (SELECT DISTINCT word, string_split(regexp_replace(hex(encode(word)), '(..)', '\\1 ', 'g'), ' ') AS bytes FROM (SELECT unnest(w) AS word FROM d UNION ALL SELECT unnest(w) FROM b)),
+h AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [CAST('0x' || x AS BIGINT) FOR x IN bytes IF x <> '']), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 10000 AS bucket FROM words, crc),
+dw AS (SELECT rid, bucket FROM (SELECT rid, unnest(w) AS word FROM d) JOIN h USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM dw GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(w) AS word FROM b) JOIN h USING (word) GROUP BY bucket),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS big_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS big_t),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), a),
+m AS (SELECT rid, CAST(sum(gain) AS BIGINT) AS gain, count(*) AS n FROM dw JOIN g USING (bucket) GROUP BY rid),
+x AS (SELECT rid, doc_id, len(w) AS words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight,
+        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u FROM d LEFT JOIN m USING (rid)),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((u + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (words >= 20) OVER () AS n_long FROM y)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN words >= 20 AND place <= 10 * n_long // 100 THEN place END AS rank FROM z
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_importance": OP12_SQL}
