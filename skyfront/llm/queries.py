@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, importance, language_id, lexical_search, mixing, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
+from . import chat_format, decontamination, importance, language_id, lexical_search, mixing, near_vectors, ngram_join, quality, suffix_dedup, token_counts, top_k, toxicity
 from .common import fold, table
 
 
@@ -68,6 +68,10 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k, op10_ngram_join, op11_lexical_search, op12_importance, pipeline)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_chat_format, op4_suffix_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_quality, op9_top_k, op10_ngram_join, op11_lexical_search, op12_importance, op13_near_vectors, pipeline)}
 
 
 OP2_SQL = r"""
@@ -198,6 +202,18 @@ z AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC,
 SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN words >= 20 AND place <= 10 * n_long // 100 THEN place END AS rank FROM z
 """
 
+OP13_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS v, len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) AS odd, len(list_filter(embedding, lambda x: x <> 0)) AS held FROM embeddings),
+n AS (SELECT rid, v, sqrt(list_inner_product(v, v)) AS n FROM d WHERE odd = 0 AND held > 0),
+l AS (SELECT a.rid AS x, b.rid AS y FROM n a JOIN n b ON a.rid < b.rid AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.95),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+c AS (SELECT x AS rid, count(*) AS n_links FROM e GROUP BY x),
+reach AS (SELECT x AS rid, x AS y FROM e UNION SELECT reach.rid, e.y FROM reach JOIN e ON e.x = reach.y),
+m AS (SELECT reach.rid, min(vec_id) AS least_id FROM reach JOIN d ON d.rid = reach.y GROUP BY reach.rid)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, CASE WHEN n_links IS NULL THEN vec_id ELSE least_id END AS component_id, (CASE WHEN n_links IS NULL THEN vec_id ELSE least_id END) IS NOT DISTINCT FROM vec_id AS kept
+FROM d LEFT JOIN c USING (rid) LEFT JOIN m USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_importance": OP12_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op9_top_k": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_lexical_search": OP11_SQL, "op12_importance": OP12_SQL, "op13_near_vectors": OP13_SQL}
