@@ -21,7 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,17 +158,27 @@ def canonical_turns(df: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> Da
     return df.select(F.col(m.id).alias("conv_id"), turns.cast(TURNS).alias("turns"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Runs of a few rows; ids stay Arrow columns, as pandas would turn longs beside a null into doubles."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def format_chats(df: DataFrame, layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """(conv_id, formatted string, loss_spans array<struct<start, end>>), spans in code points."""
     turns = canonical_turns(df, layouts)
     kind = turns.schema["conv_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [render([(t["role"], t["text"]) for t in row]) for row in pdf["turns"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"], "formatted": [x for x, _ in made], "loss_spans": [[{"start": a, "end": b} for a, b in s] for _, s in made]})
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            made = [render([(t["role"], t["text"]) for t in row]) for row in part.column("turns").to_pylist()]
+            loss = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in made], spans)
+            yield pa.RecordBatch.from_arrays([part.column("conv_id"), pa.array([x for x, _ in made], pa.string()), loss], ["conv_id", "formatted", "loss_spans"])
 
-    return turns.mapInPandas(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start:long,end:long>>")
+    return turns.mapInArrow(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start:long,end:long>>")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -176,13 +186,13 @@ def digest(formatted: DataFrame) -> DataFrame:
     kind = formatted.schema["conv_id"].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
             rows = []
-            for conv, text, spans in zip(pdf["conv_id"], pdf["formatted"], pdf["loss_spans"], strict=True):
+            for text, spans in zip(part.column("formatted").to_pylist(), part.column("loss_spans").to_pylist(), strict=True):
                 turns = parse(text)
                 loss = masked_text(text, [(s["start"], s["end"]) for s in spans])
-                rows.append((conv, len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), sha(loss), len(text)))
+            yield pa.RecordBatch.from_arrays([part.column("conv_id"), *map(pa.array, zip(*rows, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -20,10 +20,12 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_slices
+
 #: Default vocabulary: a SentencePiece file; any other path can be passed.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -113,12 +115,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(unigram_vocabulary() if vocabulary is None else vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nodes are many and never form a cycle
         trie, terminal = ForwardTrie(shared.value, max_nodes), {}
-        for pdf in batches:
+        for part, texts in (x for batch in batches for x in text_slices(batch)):
             tokens, pretokens = [], []
-            for text in pdf["text"]:
+            for text in texts:
                 words = Counter((text or "").split())
                 if new := sorted(w for w in words if w not in terminal):
                     if len(terminal) + len(new) > max_words:
@@ -130,7 +132,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         terminal[w] = trie.count(MARK + w)
                 tokens.append(sum(terminal[w] * n for w, n in words.items()))
                 pretokens.append(sum(words.values()))
-            yield pd.DataFrame({"id": pdf["id"], "n_tokens": tokens, "n_pretokens": pretokens})
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(tokens, pa.int64()), pa.array(pretokens, pa.int64())], ["id", "n_tokens", "n_pretokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(count, f"id {kind}, n_tokens long, n_pretokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(count, f"id {kind}, n_tokens long, n_pretokens long").withColumnRenamed("id", id_col)

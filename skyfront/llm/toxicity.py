@@ -3,7 +3,7 @@
 **Language model.**  Character trigrams of all documents (64 letter classes, so a table of fixed size).
 
 **Channel.**  A token that may be obfuscated (letters mixed with look-alike digits and signs, a letter
-three times or more, single letters set apart) is read as a lattice: a sign may stand for a letter, a
+three times or more, single letters set apart) is read as a lattice: a sign may stand for a letter or for itself, a
 repeated letter may be one or two, a mark between single letters may be dropped or end a word, each at a cost.  Viterbi
 decoding under the language model picks the cheapest word.  Other tokens stand as they are.
 
@@ -15,7 +15,8 @@ with its own counts taken out.
 The sample is bounded (``n_docs`` labelled rows of lowest id hash); the language model counts all texts.
 
 Defined results: null and empty texts have no words and get the model's score for that; repeated rows
-each give a row; labels that are null count as absent; without labels of both kinds the score is the
+each give a row; ids, null ones too, are handed on as they are; a very long text is restored in the task that holds it, beside no
+more than 1 MB of others; labels that are null count as absent; without labels of both kinds the score is the
 share of toxic labels; other columns are ignored.
 """
 
@@ -30,13 +31,14 @@ from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hash_sample
+from .common import fold, hash_sample, text_slices
 
-#: Bounds of the fitting sample and of the model (documented parameters).
-N_DOCS, N_TERMS = 16_000, 20_000
+#: Bound of the fitting sample (a documented parameter); it bounds the terms that the model can hold as well.
+N_DOCS = 16_000
 #: Letters that look-alike characters may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¢": "c", "*": "aeiou", "(": "c", "<": "c", "#": "h"}
 MARKS = " .-_*~'`,/\\"
@@ -50,11 +52,13 @@ _ANY = r"[^\W\d_]"
 _EDGE, _HARD = "!|*#(<.,_-~'`", "0-9@$€£¢+"
 #: What any match of MIXED has that ODD is to find in without its _EDGE: a sign between letters, a look-alike that is no punctuation on either side of a letter, a letter three times.
 CANDIDATE = re.compile(rf"{_ANY}[{_LOOK}._\-]+{_ANY}|[{_HARD}][{_LOOK}]*{_ANY}|{_ANY}[{_LOOK}]*[{_HARD}]|({_ANY})\1\1", re.IGNORECASE)
-TOKEN = re.compile(r"\S+")
+LETTER, TOKEN = re.compile(_ANY), re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 48  # longer tokens are decoded each time
 #: Costs of reading a gap in a spaced run as a word's end: a gap like the others, and one longer than the shortest.
 WORD_END, LONG_GAP = 3.0, 0.0
+#: Costs of reading a look-alike as the sign that it is: a digit at a token's edge (``1st``, ``covid19``), another sign there, any inside (``h2o``).
+DIGIT_AT_EDGE, SIGN_AT_EDGE, KEPT = 1.0, 5.0, 4.0
 
 CLASSES = 64
 _LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß"
@@ -75,18 +79,18 @@ def _codes(text: str) -> np.ndarray:
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of letter-class trigrams of all documents, words being framed by class 0."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
-        for pdf in batches:
-            for text in pdf["text"]:
+        for _, texts in (x for batch in batches for x in text_slices(batch)):
+            for text in texts:
                 if text:
                     c = np.concatenate([[0, 0], _codes(text), [0, 0]])
                     grams = c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:]
                     np.add.at(total, grams, 1)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": at, "n": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(CLASSES**3, np.int64)
     out[counts["gram"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     return out
@@ -122,6 +126,9 @@ class Restorer:
                         readings.append((x, 2.0))
                 if c in MARKS or c in "!|+":
                     readings.append(("", 1.0 if c in MARKS else 6.0))
+                if c in LOOKALIKES:
+                    at_edge = not at or end == len(t)
+                    readings.append((c * n, (DIGIT_AT_EDGE if c.isdigit() else SIGN_AT_EDGE) if at_edge else KEPT))
                 readings = readings or [("", 8.0)]
             out.append(readings)
             at = end
@@ -152,7 +159,7 @@ class Restorer:
                 for letters, extra in readings:
                     x, y, total = a, b, cost + extra
                     for ch in letters:
-                        z = 0 if ch == " " else _CODE.get(ch, _OTHER)
+                        z = _CODE.get(ch) or (_OTHER if ch.isalpha() else 0)
                         total += self.cost[x, y, z]
                         x, y = y, z
                     if (old := new.get((x, y))) is None or (total, text + letters) < old:
@@ -179,7 +186,7 @@ class Restorer:
             return t.replace(core, self.decode(core), 1)
 
         if SPACED.search(text):
-            text = SPACED.sub(lambda m: self.decode(m[0], True), text)
+            text = SPACED.sub(lambda m: self.decode(m[0], True) if LETTER.search(m[0]) else m[0], text)
         if not CANDIDATE.search(text):
             return text
         return TOKEN.sub(lambda m: MIXED.sub(token, m[0]) if CANDIDATE.search(m[0]) else m[0], text)
@@ -252,7 +259,7 @@ def _words(restorer: Restorer, text: str | None) -> list[str]:
     return WORD.findall(restorer.restore(text).lower()) if text else []
 
 
-def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_docs: int = N_DOCS, n_terms: int = N_TERMS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_docs: int = N_DOCS) -> Model:
     """Language model from all texts, term counts and weights from a bounded sample of labelled rows of the training folds."""
     spark = docs.sparkSession
     counts = trigram_counts(docs, text_col)
@@ -274,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 4, held: int = 2,
 
     sums = rows.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sums = sums.where((F.col("term") == "") | (F.col("toxic") >= 3) & (F.col("toxic") * 3 >= F.col("clean")))
-    got = sums.orderBy((F.col("term") != "").cast("int"), F.col("clean") - F.col("toxic"), "term").limit(n_terms + 1).toPandas()
+    got = sums.toPandas()
     totals = got[got["term"] == ""].sum()
     table = {t: (a, b) for t, a, b in zip(got["term"], got["toxic"].astype(int), got["clean"].astype(int), strict=True) if t}
     model = Model(counts, table, int(totals["toxic"] or 0), int(totals["clean"] or 0))
@@ -314,12 +321,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         restorer, values = Restorer(model.counts), {}
-        for pdf in batches:
+        for part, texts in (x for batch in batches for x in text_slices(batch)):
             x = []
-            for text in pdf["text"]:
+            for text in texts:
                 words = _words(restorer, text)
                 if len(values) > 200_000:
                     values.clear()
@@ -327,10 +334,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     if w not in values:
                         values[w] = model.value(w)
                 x.append(model.describe(words, values))
-            yield pd.DataFrame({"id": pdf["id"], "score": model.probability(np.array(x).reshape(-1, 9))})
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(model.probability(np.array(x).reshape(-1, 9)))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def restore_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,10 +345,10 @@ def restore_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model.counts)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "restored": [restorer.restore(t) if t else t for t in pdf["text"]]})
+        for part, texts in (x for batch in batches for x in text_slices(batch)):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([restorer.restore(t) if t else t for t in texts], pa.string())], ["id", "restored"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, restored string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, restored string").withColumnRenamed("id", id_col)

@@ -285,6 +285,61 @@ def test_restore():
     assert r.restore(plain) == plain
 
 
+@pytest.mark.parametrize("text", ["1st 2nd", "call 5 5 5 1 2 3 4", "at 1.2.3.4 now", "5 0 0 1 0 0"])
+def test_signs_that_are_meant_stay(text):
+    assert restorer("dumbass ass shit idiot trash yes so first second call at now " * 3 + "the film and the house on a street").restore(text) == text
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_viterbi_finds_the_cheapest_reading(seed):
+    """Against every path through small lattices."""
+    rng, r = random.Random(seed), restorer("you stupid idiot and moron of trash ass shit")
+    for _ in range(20):
+        token = "".join(rng.choice("aist05$1!dm") for _ in range(rng.randint(2, 7)))
+
+        def price(path):
+            x = y = 0
+            total = sum(extra for _, extra in path)
+            for ch in "".join(letters for letters, _ in path) + " ":
+                z = toxicity._CODE.get(ch, 0)
+                total, x, y = total + r.cost[x, y, z], y, z
+            return total
+
+        paths = [[]]
+        for readings in r.lattice(token):
+            paths = [[*p, q] for p in paths for q in readings]
+        best = min((price(p), "".join(x for x, _ in p)) for p in paths)
+        got = min(price(p) for p in paths if "".join(x for x, _ in p) == r.decode(token))
+        assert abs(got - best[0]) < 1e-9
+
+
+@pytest.mark.parametrize("run", [
+    lambda d, s: token_counts.token_counts(d, vocabulary={"▁": -1.0, "w": -2.0}),
+    lambda d, s: toxicity.score(d, toxicity.train(d, s.createDataFrame([(5, 1), (6, 0)], "doc_id long, toxic int"))),
+    lambda d, s: quality.score(d, quality.train(d, s.createDataFrame([(5, 1), (6, 0)], "doc_id long, quality int"))),
+    lambda d, s: language_id.predict(d, language_id.train(d)),
+    lambda d, s: mixing.mix(d),
+    lambda d, s: suffix_dedup.remove_repeats(d),
+    lambda d, s: decontamination.contamination(d, s.createDataFrame([(1, "word one two")], "item_id long, text string")),
+    lambda d, s: ngram_join.near_duplicates(d),
+])
+def test_ids_come_back_bit_for_bit(spark, run):
+    """Ids above 2^53 beside a null one, repeated rows, clashing names, a text of megabytes, an empty table."""
+    big = 1152921504606846977
+    texts = {big: "word one two", big + 1: "a stupid idiot said so", None: "nothing", 5: "you 1diot " * 5, 6: "the house on the street", 7: "lang " * 500_000}
+    rows = [(i, t, "en", "s", 1, 2, "x", "y") for i, t in [*texts.items(), (big, texts[big]), (None, None)]]
+    df = spark.createDataFrame(rows, DOCS + ", id long, row string, score string").coalesce(1)
+    got = run(df, spark)
+    assert sorted((r["doc_id"] for r in got.select("doc_id").collect()), key=str) == sorted((r[0] for r in rows), key=str)
+    assert run(df.limit(0), spark).count() == 0
+
+
+def test_chat_ids_come_back_bit_for_bit(spark):
+    rows = [(i, 0, "user", "ok") for i in (1152921504606846977, 1152921504606846978, None)]
+    got = chat_format.digest(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)))
+    assert {r["conv_id"] for r in got.collect()} == {r[0] for r in rows}
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     texts, labels = [*ODD], []
