@@ -50,8 +50,10 @@ ODD = re.compile(rf"[{_LOOK}._\-]|(.)\1\1", re.IGNORECASE)
 _ANY = r"[^\W\d_]"
 #: Signs that are punctuation at the end of a word, and look-alikes that are not.
 _EDGE, _HARD = "!|*#(<.,_-~'`", "0-9@$€£¢+"
-#: What any match of MIXED has that ODD is to find in without its _EDGE: a sign between letters, a look-alike that is no punctuation on either side of a letter, a letter three times.
-CANDIDATE = re.compile(rf"{_ANY}[{_LOOK}._\-]+{_ANY}|[{_HARD}][{_LOOK}]*{_ANY}|{_ANY}[{_LOOK}]*[{_HARD}]|({_ANY})\1\1", re.IGNORECASE)
+#: What any match of MIXED has that ODD is to find in without its _EDGE: a sign between letters, a look-alike that is no punctuation on either side of a letter
+#: (both told from the sign, as letters are too many to begin at), a letter three times.
+CANDIDATE = re.compile(rf"[{_LOOK}._\-](?:(?<={_ANY}.)[{_LOOK}._\-]*{_ANY}|(?<=[{_HARD}])[{_LOOK}]*{_ANY}|(?<={_ANY}[{_LOOK}])(?:(?<=[{_HARD}])|[{_LOOK}]*[{_HARD}]))", re.DOTALL)
+THRICE = re.compile(rf"({_ANY})\1\1", re.IGNORECASE)
 LETTER, TOKEN = re.compile(_ANY), re.compile(r"\S+")
 WORD = re.compile(r"[^\W\d_]+")
 CACHED = 48  # longer tokens are decoded each time
@@ -76,6 +78,14 @@ def _codes(text: str) -> np.ndarray:
     return np.where(low, _LUT[np.where(low, points, 0)], np.where(points < 0x2000, _OTHER, 0))
 
 
+def _thrice(text: str) -> bool:
+    """Has the text a letter three times in a row?"""
+    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = c[1:] == c[:-1]
+    at = np.flatnonzero(same[1:] & same[:-1])
+    return any(chr(c[i]).isalpha() for i in at)
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of letter-class trigrams of all documents, words being framed by class 0."""
 
@@ -187,9 +197,10 @@ class Restorer:
 
         if SPACED.search(text):
             text = SPACED.sub(lambda m: self.decode(m[0], True) if LETTER.search(m[0]) else m[0], text)
-        if not CANDIDATE.search(text):
+        odd, thrice = CANDIDATE.search(text), _thrice(text)
+        if not odd and not thrice:
             return text
-        return TOKEN.sub(lambda m: MIXED.sub(token, m[0]) if CANDIDATE.search(m[0]) else m[0], text)
+        return TOKEN.sub(lambda m: MIXED.sub(token, m[0]) if odd and CANDIDATE.search(m[0]) or thrice and THRICE.search(m[0]) else m[0], text)
 
 
 def terms(word: str) -> list[str]:
