@@ -17,11 +17,14 @@ def skyline(x: np.ndarray) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     order = np.lexsort((*x.T[::-1], x.sum(1)))
-    kept = np.empty(0, np.int64)
+    if n > 512:  # the rows of least sums strike out most others at once
+        strong = order[:16]
+        order = np.concatenate([strong, order[16:][~covered(x[order[16:]], x[strong])]])
+    n, kept = len(order), np.empty(0, np.int64)
     for at in range(0, n, 256):
         block = order[at : at + 256]
         if len(kept):
-            block = block[~_covered(x[block], x[kept])]
+            block = block[~covered(x[block], x[kept])]
         own = []
         for i in block:
             if not own or not (x[own] <= x[i]).all(1).any():
@@ -30,7 +33,15 @@ def skyline(x: np.ndarray) -> np.ndarray:
     return np.sort(kept)
 
 
-def _covered(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+def nondominated(x: np.ndarray) -> np.ndarray:
+    """Whether each row is dominated by none; equal rows don't dominate each other."""
+    points, back = np.unique(x, axis=0, return_inverse=True)
+    out = np.zeros(len(points), bool)
+    out[skyline(points)] = True
+    return out[back.reshape(-1)]
+
+
+def covered(x: np.ndarray, by: np.ndarray) -> np.ndarray:
     """Rows of x weakly dominated by a row of ``by``."""
     out = np.zeros(len(x), bool)
     for at in range(0, len(by), 512):
@@ -69,6 +80,32 @@ def pareto_rank(x: np.ndarray) -> np.ndarray:
     return rank[back]
 
 
+def rank_after(x: np.ndarray, earlier: np.ndarray, ranks: np.ndarray, base: int = 0) -> np.ndarray:
+    """Ranks of distinct rows that come after ``earlier`` ones of known ranks; at least ``base``.
+
+    A row's rank is one above the highest of the rows that dominate it, all of which come before it in lexicographic order.
+    """
+    order = np.lexsort(x.T[::-1])
+    x, out = x[order], np.full(len(x), base)
+    high = np.argsort(-ranks, kind="stable")
+    for at in range(0, len(x), 128):
+        part, own = x[at : at + 128], out[at : at + 128]
+        for lo in range(0, len(high), 1024):  # the highest ranks first
+            rows = high[lo : lo + 1024]
+            todo = np.flatnonzero(own <= ranks[rows[0]])
+            if not len(todo):
+                break
+            beats = (earlier[rows][None] <= part[todo, None]).all(2)
+            own[todo] = np.maximum(own[todo], np.where(beats, ranks[rows][None] + 1, 0).max(1))
+    for i in range(1, len(x)):
+        beats = (x[:i] <= x[i]).all(1)
+        if beats.any():
+            out[i] = max(out[i], out[:i][beats].max() + 1)
+    back = np.empty(len(x), np.int64)
+    back[order] = out
+    return back
+
+
 def hypervolume(x: np.ndarray, ref: np.ndarray) -> float:
     """Volume dominated by the rows and bounded by ``ref``: exclusive volumes against shrinking limit sets."""
     x = x[(x < ref).all(1)]
@@ -163,11 +200,12 @@ def exclusive(p: np.ndarray, others: np.ndarray, ref: np.ndarray) -> float:
     return max(0.0, whole - (_volume(limit[skyline(limit)], ref) if len(limit) else 0.0))
 
 
-def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int], marked: np.ndarray | None = None) -> list[np.ndarray]:
+def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int], marked: np.ndarray | None = None, below: np.ndarray | None = None) -> list[np.ndarray]:
     """Attainment surfaces of three objectives, one array of points per level, each with the numbers of ``marked`` (default: no) and other sets that attain it.
 
     For each z in order, the 2-D surface of the points at or below z is swept; a point is kept where
-    the surface of the previous z doesn't cover it.
+    the surface of the previous z doesn't cover it.  Rows that ``below`` marks are the state to begin with: they stand below all
+    others, whatever their z, and make no points.
     """
     n_sets = len(np.unique(sets))
     xs = np.unique(x[:, 0])
@@ -178,10 +216,19 @@ def eaf3(x: np.ndarray, sets: np.ndarray, levels: list[int], marked: np.ndarray
         own[number] = marked
     surfaces: list[list[np.ndarray]] = [[np.empty((0, 5))] for _ in levels]
     covered = np.full((len(levels), len(xs)), np.inf)
-    for z in np.unique(x[:, 2]):
-        for i in np.flatnonzero(x[:, 2] == z):
+
+    def enter(rows: np.ndarray) -> None:
+        for i in rows:
             j = np.searchsorted(xs, x[i, 0])
             reach[number[i], j:] = np.minimum(reach[number[i], j:], x[i, 1])
+
+    above = np.ones(len(x), bool) if below is None else ~below
+    if not above.all():
+        enter(np.flatnonzero(~above))
+        ordered = np.sort(reach, axis=0)
+        covered = np.minimum.accumulate(ordered[[level - 1 for level in levels]], axis=1)
+    for z in np.unique(x[above, 2]):
+        enter(np.flatnonzero(above & (x[:, 2] == z)))
         ordered = np.sort(reach, axis=0)
         for k, level in enumerate(levels):
             y = ordered[level - 1]

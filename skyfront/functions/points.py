@@ -102,3 +102,8 @@ def match(left: DataFrame, right: DataFrame, on: Names, how: str = "inner") -> D
     right = right.toDF(*(own.get(c, c) for c in right.columns))
     joined = left.join(right, all_of([F.col(c).eqNullSafe(F.col(r)) for c, r in own.items()]), how)
     return joined.drop(*own.values())
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has no more rows than that; ``df`` should be cheap to read twice."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.folders import materialize
 from ..functions.points import Direction, Names, Points, all_of, match
 from .dominance import skyline_points
+from .fronts import cells
 from .hypervolume import front_volumes, hypervolume
 from .weighted import whv_rect
 
@@ -24,8 +26,9 @@ def level_of(percentile: float, n: int) -> int:
     return max(1, int(np.ceil(n * percentile / 100 - TOLERANCE)))
 
 
-#: Grid columns that one row is spread over at a time.
+#: Grid columns that one row is spread over at a time; points of a block of three-objective surfaces, and its most blocks.
 SPREAD = 4096
+BLOCK_POINTS, MOST_BLOCKS = 2_000, 64
 
 
 def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: Names = (), blank: bool = False) -> DataFrame:
@@ -96,20 +99,37 @@ def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float
     return asked.where(F.col("_t") == level).select(*by, *values, "percentile")
 
 
-def _eaf3(costs: DataFrame, by: list[str], sets: str, names: list[str], side: str | None = None) -> DataFrame:
-    """Points of all levels ``_t`` with ``_left`` and ``_right``, the numbers of sets with ``side`` 0 and of others that attain them."""
-    front = skyline_points(costs, [*by, sets, *([side] if side else [])], names)
+def _eaf3(costs: DataFrame, by: list[str], sets: str, names: list[str], side: str | None = None, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """Points of all levels ``_t`` with ``_left`` and ``_right``, the numbers of sets with ``side`` 0 and of others that attain them.
+
+    A group's points are cut into blocks by quantiles of the third objective.  A block's sweep begins from what lies below it:
+    each set's staircase of the first two objectives over all earlier blocks.  So blocks don't wait for each other, and a task holds one block and those
+    staircases.
+    """
+    keys = [*by, sets, *([side] if side else [])]
+    front = materialize(skyline_points(costs, keys, names))
+    largest = front.groupBy(*by).agg(F.count("*").alias("_size")).agg(F.max("_size")).first()[0] or 0
+    cuts = min(MOST_BLOCKS, -(-largest // block_points))
+    if cuts > 1:
+        own = materialize(cells(front, by, [names[2]], cuts).withColumn("_block", F.element_at("_cell", 1)).drop("_cell"))
+        steps = skyline_points(own.drop(names[2]), [*keys, "_block"], names[:2]).withColumn("_later", F.explode(F.sequence(F.col("_block") + 1, F.greatest(F.col("_block") + 1, F.lit(cuts - 1)))))
+        steps = steps.where(F.col("_later") < cuts).select(*keys, F.col("_later").alias("_block"), *names[:2])
+        state = skyline_points(steps, [*keys, "_block"], names[:2]).withColumn(names[2], F.lit(0.0))
+        rows = own.withColumn("_below", F.lit(False)).unionByName(state.withColumn("_below", F.lit(True)))
+    else:
+        rows = front.withColumn("_block", F.lit(0)).withColumn("_below", F.lit(False))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         labels, marked = pd.factorize(pdf[sets].astype(str) if side is None else pdf[side].astype(str) + ":" + pdf[sets].astype(str))[0], None if side is None else (pdf[side] == 0).to_numpy()
-        out = kernels.eaf3(pdf[names].to_numpy(float), labels, list(range(1, labels.max() + 2)), marked)
+        below = pdf["_below"].to_numpy(bool)
+        out = kernels.eaf3(pdf[names].to_numpy(float), labels, list(range(1, labels.max() + 2)), marked, below) if not below.all() else [np.empty((0, 5))]
         rows = np.concatenate([np.column_stack([s, np.full(len(s), k)]) for k, s in enumerate(out, 1)])
         head = {c: pdf[c].iloc[0] for c in by}
         counts = {c: rows[:, i].astype(np.int32) for i, c in ((5, "_t"), (3, "_left"), (4, "_right"))}
         return pd.DataFrame({**{names[i]: rows[:, i] for i in range(3)}, **counts}).assign(**head)[[*by, *names, "_t", "_left", "_right"]]
 
     schema = ", ".join([*(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in by), *(f"{n} double" for n in names), "_t int, _left int, _right int"])
-    return front.groupBy(*by).applyInPandas(run, schema)
+    return rows.groupBy(*by, "_block").applyInPandas(run, schema)
 
 
 def eaf_named_levels(df: DataFrame, objectives: Names, sets: str, maximise: Direction = False, groups: Names | str = ()) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.points import Direction, Names, Points, all_of, any_of, match
+from ..functions.folders import materialize
+from ..functions.points import Direction, Names, Points, all_of, match, small
+from .fronts import matrix, nondominated_rows
 
 #: Parts that an ungrouped table is dealt into before a single sweep sees the survivors.
 PARTS = 64
@@ -19,8 +20,7 @@ def skyline_points(costs: DataFrame, by: list[str], names: list[str]) -> DataFra
     """Distinct nondominated points (group and cost columns) of each group.
 
     One objective: a minimum.  Two: the least second per first objective (combined before the shuffle), then a
-    running minimum, first inside hash parts and then over the survivors.  More: partition-local skylines,
-    merged per group.
+    running minimum, first inside hash parts and then over the survivors.  More: :mod:`fronts`.
     """
     if len(names) == 1:
         return costs.groupBy(*by).agg(F.min(names[0]).alias(names[0])).where(F.col(names[0]).isNotNull())
@@ -34,23 +34,7 @@ def skyline_points(costs: DataFrame, by: list[str], names: list[str]) -> DataFra
 
         dealt = best.withColumn("_part", F.pmod(F.hash(f1), F.lit(PARTS)))
         return sweep(sweep(dealt, [*by, "_part"]).drop("_part"), by)
-    schema = costs.select(*by, *names).schema
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for pdf in batches:
-            pdf = pdf.drop_duplicates()
-            kept = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
-            groups = kept.groupby(by, dropna=False, sort=False) if by else [((), kept)]
-            kept = pd.concat([g.iloc[kernels.skyline(g[names].to_numpy(float))] for _, g in groups], ignore_index=True) if len(kept) else kept
-        if kept is not None and len(kept):
-            yield kept
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[kernels.skyline(pdf[names].to_numpy(float))]
-
-    near = costs.select(*by, *names).mapInPandas(local, schema)
-    return near.groupBy(*by).applyInPandas(merge, schema)
+    return nondominated_rows(costs.select(*by, *names), by, names).distinct()
 
 
 def is_nondominated(df: DataFrame, objectives: Names, maximise: Direction = False, keep_weakly: bool = False, by: Names | str = (), order: Names | str = ()) -> DataFrame:
@@ -76,9 +60,11 @@ def filter_dominated(df: DataFrame, objectives: Names, maximise: Direction = Fal
     """The nondominated rows of each group."""
     p = Points.of(objectives, maximise, by)
     rows = p.add(df)
-    best = skyline_points(rows.select(*p.by, *p.names), list(p.by), p.names)
     on = [*p.by, *p.names]
-    out = match(rows, best, on, "left_semi")
+    if p.d > 2:  # rows go through the merge themselves, so nothing is joined
+        out = nondominated_rows(rows, list(p.by), p.names)
+    else:
+        out = match(rows, skyline_points(rows.select(*on), list(p.by), p.names), on, "left_semi")
     if not keep_weakly:
         turn = [order] if isinstance(order, str) else [*order]
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(*(turn or [F.lit(0)])))).where("_n = 1")
@@ -108,30 +94,74 @@ def compare_sets(df: DataFrame, objectives: Names, sets: str, maximise: Directio
 
     A set is better if it weakly dominates every point of the other and either dominates one of them or has
     another number of points.  Sets are compared as they are; the pairs are those of the labels.
+
+    One set covers another if its front covers the other's front, which is looked into only where its best values are
+    nowhere worse; it dominates none of the points that it covers only if all of them are on its own front.
     """
     p = Points.of(objectives, maximise, sets)
-    left = p.costs(df).withColumnRenamed(sets, "left_set")
-    right = p.costs(df if other is None else other).toDF("right_set", *(f"{n}r" for n in p.names))
-    weak = all_of([F.col(n) <= F.col(f"{n}r") for n in p.names])
-    strict = any_of([F.col(n) < F.col(f"{n}r") for n in p.names])
-    back = all_of([F.col(f"{n}r") <= F.col(n) for n in p.names])
-    left_sizes = left.groupBy("left_set").agg(F.count("*").alias("left_n"))
-    right_sizes = right.groupBy("right_set").agg(F.count("*").alias("right_n"))
-    right = right.withColumn("_id", F.struct(*(f"{n}r" for n in p.names))).groupBy("right_set", "_id", *(f"{n}r" for n in p.names)).agg(F.count("*").alias("_m"))
-    left = left.groupBy("left_set", *p.names).agg(F.count("*").alias("_k")).withColumn("_lid", F.struct(*p.names))
-    pairs = left.join(F.broadcast(right) if right.count() <= 50_000 else right, F.lit(True)).where(F.col("left_set") != F.col("right_set") if other is None else F.lit(True))
-    to_right = pairs.groupBy("left_set", "right_set", "_id").agg(F.bool_or(weak).alias("weak"), F.bool_or(weak & strict).alias("strict"))
-    to_left = pairs.groupBy("left_set", "right_set", "_lid").agg(F.bool_or(back).alias("weak"), F.bool_or(back & strict_back(p)).alias("strict"))
-    a = to_right.groupBy("left_set", "right_set").agg(F.bool_and("weak").alias("a_weak"), F.bool_or("strict").alias("a_strict"))
-    b = to_left.groupBy("left_set", "right_set").agg(F.bool_and("weak").alias("b_weak"), F.bool_or("strict").alias("b_strict"))
-    both = a.join(b, ["left_set", "right_set"]).join(left_sizes, "left_set").join(right_sizes, "right_set")
-    uneven = F.col("left_n") != F.col("right_n")
-    better = F.when(F.col("a_weak"), F.when(uneven | F.col("a_strict"), -1).otherwise(0)).when(F.col("b_weak") & (uneven | F.col("b_strict")), 1).otherwise(0)
+    sides = [p.costs(x).withColumnRenamed(sets, "_set").where(F.col("_set").isNotNull()) for x in ([df] if other is None else [df, other])]
+    points = [materialize(x.groupBy("_set", *p.names).agg(F.count("*").alias("_rows"))) for x in sides]
+    fronts = [materialize(skyline_points(x, ["_set"], p.names)) for x in points]
+    best = lambda x: x.groupBy("_set").agg(F.sum("_rows").alias("n"), F.count("*").alias("m"), *(F.min(n).alias(n) for n in p.names))
+    tables = [materialize(best(x)) for x in points]
+    side = lambda x, s: small(x.toDF(*(f"{s}{c}" for c in x.columns)))
+    distinct = F.col("left_set") != F.col("right_set") if other is None else F.lit(True)
+    # the result has a row for every pair of sets
+    pairs = side(tables[0], "left").join(side(tables[-1], "right"), distinct)
+    wins = []
+    for own, against in (("left", "right"), ("right", "left")):
+        k, j = (0, -1) if own == "left" else (-1, 0)
+        maybe = pairs.where(all_of([F.col(f"{own}{n}") <= F.col(f"{against}{n}") for n in p.names])).select(F.col(f"{own}_set").alias("_own"), F.col(f"{against}_set").alias("_other"), F.col(f"{against}m").alias("_m"))
+        weak = materialize(_covers(maybe, fronts[k], fronts[j], p).join(maybe, ["_own", "_other"]))
+        own_front = fronts[k].withColumnRenamed("_set", "_own")
+        shared = weak.join(points[j].withColumnRenamed("_set", "_other").select("_other", *p.names), "_other").join(own_front.toDF(*own_front.columns), ["_own", *p.names]).groupBy("_own", "_other").agg(F.count("*").alias("_shared"))
+        won = weak.join(shared, ["_own", "_other"], "left").select(F.col("_own").alias(f"{own}_set"), F.col("_other").alias(f"{against}_set"), F.lit(True).alias(f"{own}_weak"), (F.coalesce("_shared", F.lit(0)) < F.col("_m")).alias(f"{own}_strict"))
+        wins.append(won.toDF(*won.columns))
+    both = pairs.select("left_set", "right_set", (F.col("leftn") != F.col("rightn")).alias("uneven"))
+    for won in wins:
+        both = both.join(won, ["left_set", "right_set"], "left")
+    better = F.when(F.col("left_weak"), F.when(F.col("uneven") | F.col("left_strict"), -1).otherwise(0)).when(F.col("right_weak") & (F.col("uneven") | F.col("right_strict")), 1).otherwise(0)
     return both.select("left_set", "right_set", better.alias("better"))
 
 
-def strict_back(p: Points):  # noqa: ANN201
-    return any_of([F.col(f"{n}r") < F.col(n) for n in p.names])
+#: Parts that the points to be tested against one front are dealt into.
+SLOTS = 16
+
+
+def _covers(pairs: DataFrame, fronts: DataFrame, others: DataFrame, p: Points) -> DataFrame:
+    """The pairs (``_own``, ``_other``) in which the front of the one weakly dominates every point of the other's.
+
+    Two objectives: a merge of both in the order of the first, with a running minimum of the second.  More: a front
+    meets the others' points in a kernel.
+    """
+    slot = F.pmod(F.hash("_other"), F.lit(SLOTS))
+    asked = pairs.select("_own", "_other").join(others.withColumnRenamed("_set", "_other"), "_other").withColumn("_slot", slot).select("_own", "_slot", "_other", *p.names)
+    owners = pairs.select("_own", slot.alias("_slot")).distinct()
+    own = owners.toDF("_own", "_slot").join(fronts.withColumnRenamed("_set", "_own"), "_own").select("_own", "_slot", *p.names)
+    if p.d <= 2:
+        f1, f2 = p.names[0], p.names[-1]
+        rows = own.withColumn("_other", F.lit(None).cast(asked.schema["_other"].dataType)).withColumn("_asks", F.lit(0)).unionByName(asked.withColumn("_asks", F.lit(1)))
+        w = Window.partitionBy("_own", "_slot").orderBy(f1, "_asks").rowsBetween(Window.unboundedPreceding, 0)
+        met = rows.withColumn("_least", F.min(F.when(F.col("_asks") == 0, F.col(f2))).over(w)).where("_asks = 1")
+        return met.groupBy("_own", "_other").agg(F.bool_and(F.coalesce(F.col("_least") <= F.col(f2), F.lit(False))).alias("all")).where("all").select("_own", "_other")
+    schema = asked.select("_own", "_other").schema
+
+    def meet(front: pa.Table, points: pa.Table) -> pa.Table:
+        if not points.num_rows:
+            return points.select(["_own", "_other"])
+        out = kernels.covered(matrix(points, p.names), matrix(front, p.names))
+        first = [at[0] for at in _by_value(points.column("_other")).values() if out[at].all()]
+        return points.select(["_own", "_other"]).take(pa.array(first, pa.int64()))
+
+    asked, own = asked.toDF(*asked.columns), own.toDF(*own.columns)
+    return own.groupBy("_own", "_slot").cogroup(asked.groupBy("_own", "_slot")).applyInArrow(meet, schema)
+
+
+def _by_value(column: pa.ChunkedArray) -> dict:
+    out: dict = {}
+    for i, v in enumerate(column.to_pylist()):
+        out.setdefault(repr(v), []).append(i)
+    return {k: np.array(v) for k, v in out.items()}
 
 
 def set_better_counts(df: DataFrame, objectives: Names, sets: str, dataset: str, maximise: Direction = False) -> DataFrame:

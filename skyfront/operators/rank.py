@@ -8,30 +8,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.folders import shared_folder
-from ..functions.points import Direction, Names, Points, match
+from ..functions.folders import materialize
+from ..functions.points import Direction, Names, Points, all_of, match, small
 from .dominance import skyline_points
+from .fronts import MOST_CUTS, cells, corners
 
+#: Distinct points of a group that one task ranks.
+TASK_ROWS = 20_000
 
-def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0) -> DataFrame:
+
+def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
     """The rows with an integer ``rank``: the front that peeling puts them on, counted from ``base``; equal rows share it.
 
-    One objective is a dense rank.  Otherwise the distinct points of a group are ranked by a kernel; for a
-    group too large for a task see :func:`pareto_rank_peel`.
+    One objective is a dense rank.  Otherwise the distinct points of groups of up to ``task_rows`` are ranked by a kernel,
+    larger groups by :func:`_waves`.
     """
     p = Points.of(objectives, maximise, by)
     rows = p.add(df)
     if p.d == 1:
         w = Window.partitionBy(*p.by).orderBy(p.names[0])
         return rows.withColumn("rank", (F.dense_rank().over(w) - 1 + base).cast("int")).select(*df.columns, "rank")
-    points = rows.select(*p.by, *p.names).distinct()
+    points = materialize(rows.select(*p.by, *p.names).distinct())
+    sizes = points.groupBy(*p.by).agg(F.count("*").alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
 
     def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(rank=(kernels.pareto_rank(pdf[p.names].to_numpy(float)) + base).astype(np.int32))
+        return pdf.assign(rank=kernels.pareto_rank(pdf[p.names].to_numpy(float)).astype(np.int32))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema), "rank int"])
-    ranked = points.groupBy(*p.by).applyInPandas(rank, schema)
-    return match(rows, ranked, [*p.by, *p.names]).select(*df.columns, "rank")
+    if largest <= task_rows:
+        ranked = points.groupBy(*p.by).applyInPandas(rank, schema)
+    elif not p.by:
+        ranked = _waves(points, [], p.names, largest, task_rows)
+    else:
+        large = small(materialize(sizes.where(F.col("_size") > task_rows)))
+        ranked = match(points, large, p.by, "left_anti").groupBy(*p.by).applyInPandas(rank, schema).unionByName(_waves(match(points, large, p.by, "left_semi"), list(p.by), p.names, largest, task_rows))
+    return match(rows, ranked, [*p.by, *p.names]).select(*df.columns, (F.col("rank") + base).cast("int").alias("rank"))
+
+
+def _waves(points: DataFrame, by: list[str], names: list[str], largest: int, task_rows: int) -> DataFrame:
+    """Ranks of distinct points of large groups, cell by cell of a grid of quantiles.
+
+    Only points of a cell itself and of cells whose numbers are nowhere larger can dominate a cell's points, so the cells
+    whose numbers have one sum don't depend on each other: they are a wave, ranked in tasks of their own.  A cell that lies wholly
+    before another passes on one number, the highest of its ranks; of the other cells before it only the rows go that are nowhere worse
+    than its worst corner.  There are as many waves as sums, each written before the next.
+    """
+    cuts = max(2, min(MOST_CUTS, round((4 * largest / task_rows) ** (1 / max(2, len(names) - 1)))))
+    dealt = materialize(cells(points, by, names, cuts).withColumn("_row", F.monotonically_increasing_id()))
+    total = F.aggregate("_cell", F.lit(0), lambda a, x: a + x)
+    c = materialize(corners(dealt, by, names).withColumn("_wave", total).withColumn("_id", F.monotonically_increasing_id()))
+    a, b = c.alias("a"), c.alias("b")
+    low, high = all_of([F.col(f"a._lo{n}") <= F.col(f"b._hi{n}") for n in names]), all_of([F.col(f"a._hi{n}") <= F.col(f"b._lo{n}") for n in names])
+    near = a.join(b, all_of([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]) & (F.col("a._wave") < F.col("b._wave")) & low)
+    near = materialize(near.select(F.col("a._id").alias("_by"), F.col("b._id").alias("_id"), F.col("b._wave").alias("_wave"), high.alias("_whole"), *(F.col(f"b._hi{n}").alias(f"_hi{n}") for n in names)))
+    rows = materialize(match(dealt, c.select(*by, "_cell", "_id", "_wave"), [*by, "_cell"]).select("_id", "_row", "_wave", *names))
+
+    def rank(keys: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"_id": [], "_row": [], "rank": []}).astype("int64")
+        whole = before["_whole"].to_numpy(bool)
+        base = int(before["rank"][whole].max()) + 1 if whole.any() else 0
+        open_ = before[~whole]
+        got = kernels.rank_after(own[names].to_numpy(float), open_[names].to_numpy(float), open_["rank"].to_numpy(np.int64), base)
+        return pd.DataFrame({"_id": own["_id"], "_row": own["_row"], "rank": got})
+
+    done = None
+    for wave in sorted(r[0] for r in c.select("_wave").distinct().collect()):
+        own = rows.where(F.col("_wave") == wave).select("_id", "_row", *names)
+        pairs = near.where(F.col("_wave") == wave)
+        if done is None:
+            before = pairs.select("_id", "_whole", *(F.lit(0.0).alias(n) for n in names), F.lit(0).cast("long").alias("rank")).limit(0)
+        else:
+            tops = done.groupBy(F.col("_id").alias("_by")).agg(F.max("rank").alias("rank"))
+            whole = pairs.where("_whole").join(tops, "_by").groupBy("_id").agg(F.max("rank").alias("rank")).select("_id", F.lit(True).alias("_whole"), *(F.lit(0.0).alias(n) for n in names), "rank")
+            placed = done.withColumnRenamed("_id", "_by").join(rows.select("_row", *names), "_row")
+            part = pairs.where("NOT _whole").join(placed, "_by").where(all_of([F.col(n) <= F.col(f"_hi{n}") for n in names]))
+            before = whole.unionByName(part.select("_id", "_whole", *names, "rank"))
+        before = before.toDF(*before.columns)
+        new = materialize(own.toDF(*own.columns).groupBy("_id").cogroup(before.groupBy("_id")).applyInPandas(rank, "_id long, _row long, rank long"))
+        done = new if done is None else done.unionByName(new)
+    return dealt.join(done.select("_row", "rank"), "_row").select(*by, *names, F.col("rank").cast("int").alias("rank"))
 
 
 def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0) -> DataFrame:
@@ -43,15 +100,12 @@ def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = Fal
     rows = p.add(df)
     left = rows.select(*p.by, *p.names).distinct()
     fronts, level = None, base
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    left = left.checkpoint()
+    left = materialize(left)
     while left.limit(1).count():
-        front = skyline_points(left, list(p.by), p.names).checkpoint()
+        front = materialize(skyline_points(left, list(p.by), p.names))
         ranked = front.withColumn("rank", F.lit(level).cast("int"))
         fronts = ranked if fronts is None else fronts.unionByName(ranked)
-        left = match(left, front, [*p.by, *p.names], "left_anti").checkpoint()
+        left = materialize(match(left, front, [*p.by, *p.names], "left_anti"))
         level += 1
     if fronts is None:
         return rows.withColumn("rank", F.lit(None).cast("int")).select(*df.columns, "rank")
