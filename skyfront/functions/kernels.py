@@ -16,6 +16,8 @@ def skyline(x: np.ndarray) -> np.ndarray:
     n = len(x)
     if not n:
         return np.empty(0, np.int64)
+    if x.shape[1] == 3:
+        return _skyline3(x)
     order = np.lexsort((*x.T[::-1], x.sum(1)))
     if n > 512:  # the rows of least sums strike out most others at once
         strong = order[:16]
@@ -33,6 +35,30 @@ def skyline(x: np.ndarray) -> np.ndarray:
     return np.sort(kept)
 
 
+def _skyline3(x: np.ndarray) -> np.ndarray:
+    """By one sweep over the third objective that keeps the staircase of the first two."""
+    from bisect import bisect_left, bisect_right
+
+    order = np.lexsort((x[:, 1], x[:, 0], x[:, 2]))
+    if len(x) > 512:  # the rows of least sums strike out most others at once; of equal rows the first stays
+        with np.errstate(invalid="ignore"):
+            strong = np.argsort(x.sum(1), kind="stable")[:8]
+        out = np.zeros(len(x), bool)
+        for i in strong:
+            out |= (x >= x[i]).all(1) & (x > x[i]).any(1)
+        order = order[~out[order]]
+    xs, ys, kept = [], [], []
+    for i, a, b in zip(order.tolist(), x[order, 0].tolist(), x[order, 1].tolist(), strict=True):
+        if (at := bisect_right(xs, a)) and ys[at - 1] <= b:
+            continue
+        at = to = bisect_left(xs, a)
+        while to < len(xs) and ys[to] >= b:
+            to += 1
+        xs[at:to], ys[at:to] = [a], [b]
+        kept.append(i)
+    return np.sort(np.array(kept, np.int64))
+
+
 def nondominated(x: np.ndarray) -> np.ndarray:
     """Whether each row is dominated by none; equal rows don't dominate each other."""
     points, back = np.unique(x, axis=0, return_inverse=True)
@@ -176,20 +202,96 @@ def contributions(x: np.ndarray, ref: np.ndarray, ignore_dominated: bool = True)
     inside = np.flatnonzero((x < ref).all(1))
     points, back, count = np.unique(x[inside], axis=0, return_inverse=True, return_counts=True)
     back = back.reshape(-1)
-    if ignore_dominated and len(points):
-        front = skyline(points)
-        own = np.zeros(len(points))
+    if not len(inside):
+        return out
+    front = skyline(points)
+    own = np.zeros(len(points))
+    seen = front if ignore_dominated else np.arange(len(points))
+    if x.shape[1] == 3:
+        own[seen] = _contributions3(points[seen], ref)
+    else:
         for i in front:
             if count[i] == 1:
-                own[i] = exclusive(points[i], points[front[front != i]], ref)
-    else:
-        front = skyline(points)
-        own = np.array([exclusive(points[i], np.delete(points, i, 0), ref) if count[i] == 1 and i in set(front) else 0.0 for i in range(len(points))])
-    if len(inside):
-        out[inside] = own[back]
+                own[i] = exclusive(points[i], points[seen[seen != i]], ref)
+    own[count > 1] = 0.0
+    out[inside] = own[back]
     return out
 
 
+def _contributions3(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Contributions of distinct rows below ``ref`` by one sweep over the third objective.
+
+    The sweep keeps the staircase of the first two objectives.  What only a step covers of the plane is its rectangle up to its two
+    neighbours, less what its ``inner`` points cover: points that no other step covers.  A step's volume grows by that area
+    until the area changes, which happens only when a row enters beside it, above it or instead of it, so a row costs a search and what it takes away.
+    """
+    from bisect import bisect_left, bisect_right
+
+    top, side = float(ref[1]), float(ref[0])
+    xs, ys, ids = [-math.inf, side], [top, -math.inf], [-1, -1]
+    n = len(x)
+    volume, area, since = [0.0] * n, [0.0] * n, [0.0] * n
+    inner: list[list[tuple[float, float]]] = [[] for _ in range(n)]  # first objective rising, second falling
+
+    def settle(i: int, z: float) -> None:
+        volume[i] += area[i] * (z - since[i])
+        since[i] = z
+
+    def covered_alone(a: float, b: float, right: float, up: float, points: list[tuple[float, float]]) -> float:
+        total, at, height = 0.0, a, up
+        for u, v in points:
+            total += (u - at) * (height - b)
+            at, height = u, v
+        return total + (right - at) * (height - b)
+
+    rows = x.tolist()
+    for k in np.lexsort((x[:, 1], x[:, 0], x[:, 2])).tolist():
+        a, b, z = rows[k]
+        i = bisect_right(xs, a) - 1
+        if ys[i] <= b:  # covered: it matters to a step that alone covers it
+            if ys[i - 1] > b and ids[i] >= 0:
+                p = ids[i]
+                settle(p, z)
+                points = inner[p]
+                lo = hi = bisect_left(points, (a, -math.inf))
+                while hi < len(points) and points[hi][1] >= b:
+                    hi += 1
+                if not (lo and points[lo - 1][1] <= b):
+                    points[lo:hi] = [(a, b)]
+                    area[p] = covered_alone(xs[i], ys[i], xs[i + 1], ys[i - 1], points)
+            continue
+        i = j = bisect_left(xs, a)
+        while ys[j] >= b:
+            settle(ids[j], z)
+            j += 1
+        gone = [*zip(xs[i:j], ys[i:j], strict=True)]
+        for p in ids[i:j]:
+            area[p], inner[p] = 0.0, []
+        if (p := ids[i - 1]) >= 0:  # the step before loses what lies to the right of the row
+            settle(p, z)
+            points, edge = inner[p], xs[i]
+            while points and points[-1][0] >= a:
+                u, v = points.pop()
+                area[p] -= (edge - u) * (v - ys[i - 1])
+                edge = u
+            area[p] -= (edge - a) * ((points[-1][1] if points else ys[i - 2]) - ys[i - 1])
+        if (p := ids[j]) >= 0:  # the step after loses what lies above the row
+            settle(p, z)
+            points, edge, cut = inner[p], ys[j - 1], 0
+            while cut < len(points) and points[cut][1] >= b:
+                u, v = points[cut]
+                area[p] -= (edge - v) * (u - xs[j])
+                edge, cut = v, cut + 1
+            del points[:cut]
+            area[p] -= (edge - b) * ((points[0][0] if points else xs[j + 1]) - xs[j])
+        inner[k], since[k] = gone, z
+        area[k] = covered_alone(a, b, xs[j], ys[i - 1], gone)
+        xs[i:j], ys[i:j], ids[i:j] = [a], [b], [k]
+    for p in ids[1:-1]:
+        settle(p, float(ref[2]))
+    return np.array(volume)
+
+
 def exclusive(p: np.ndarray, others: np.ndarray, ref: np.ndarray) -> float:
     """Volume dominated by ``p`` and by none of ``others``."""
     whole = float(np.prod(ref - p))
@@ -286,6 +388,10 @@ class Boxes:
     def least(self, kind: str, q: np.ndarray, up: list[bool] | None = None) -> np.ndarray:
         """The least measure for each row of ``q``; leaves are taken in the order of their bounds."""
         best = np.full(len(q), np.inf)
+        if len(self.leaves) == 1:
+            for at in range(0, len(q), 2048):
+                best[at : at + 2048] = np.fmin(np.inf, np.fmin.reduce(measure(kind, self.x, q[at : at + 2048], up), axis=1))
+            return best
         for at in range(0, len(q), 512):
             part, own = q[at : at + 512], best[at : at + 512]
             bounds = self._bounds(kind, part, up)

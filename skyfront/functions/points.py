@@ -75,9 +75,14 @@ class Points:
         df = df.withColumns({n: self.cost(i) for i, n in enumerate(self.names)})
         return df.where(reduce(Column.__and__, (F.col(n).isNotNull() & ~F.isnan(n) for n in self.names)))
 
+    def wrap(self, df: DataFrame) -> DataFrame:
+        """As :meth:`add`, with the row in a struct ``_whole`` beside group and cost columns, so that no name of the caller's clashes with ours."""
+        rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_whole"), *self.by, *(self.cost(i).alias(n) for i, n in enumerate(self.names)))
+        return rows.where(reduce(Column.__and__, (F.col(n).isNotNull() & ~F.isnan(n) for n in self.names)))
+
     def costs(self, df: DataFrame) -> DataFrame:
         """Group and cost columns alone."""
-        return self.add(df).select(*self.by, *self.names)
+        return self.wrap(df).drop("_whole")
 
     def back(self, i: int, c: Column | None = None) -> Column:
         """A cost as a value of the objective."""
@@ -88,6 +93,11 @@ class Points:
         return [-v if m else v for v, m in zip(parse_point(value, self.d, name), self.maximise, strict=True)]
 
 
+def unwrap(df: DataFrame, *new: str) -> list[Column]:
+    """The columns of ``df`` out of ``_whole``, without those that ``new`` ones of the same name replace."""
+    return [F.col(f"_whole.`{c}`") for c in df.columns if c not in new]
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(Column.__and__, conditions, F.lit(True))
 

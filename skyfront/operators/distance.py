@@ -1,26 +1,28 @@
 """Distances of sets to a reference set, and epsilon indicators.
 
-A reference set of a checked size is sent to every task, where box trees find the nearest points without comparing all
-pairs; a batch of rows tells each of its groups' least values per reference point, and these are combined before the
-shuffle.  All indicators of a call come from one pass.  A larger reference set is joined with the points.
+A group's points meet the reference set in a task, where box trees find the nearest points without comparing all pairs; what
+leaves the task is a row a group.  A reference set of a checked size is sent to every task, a larger one is cut into blocks.  Points of groups of over
+``GROUP_ROWS`` are dealt into parts, whose least values are packed, a row a part and block, and merged.  All indicators of a call come from one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.points import Direction, Names, Points
+from ..functions.folders import materialize
+from ..functions.numbering import numbered
+from ..functions.points import Direction, Names, Points, match, small
 from .dominance import skyline_points
+from .fronts import matrix
 
-#: A reference set of up to this many values (points times objectives) is sent to every task; a larger one is dealt out with the pairs.
-BROADCAST_VALUES = 1_000_000
+#: A reference set of up to this many values (points times objectives) is sent to every task, as is each block of a larger one; points of a group, or of a part of it, in a task.
+BROADCAST_VALUES, GROUP_ROWS = 1_000_000, 500_000
 #: Kind of measure by indicator; gd is taken over the points, the others over the reference points.
 KINDS = {"gd": "distance", "igd": "distance", "igd_plus": "plus", "epsilon_additive": "additive", "epsilon_mult": "ratio"}
 SQUARED = ("gd", "igd", "igd_plus")
@@ -28,75 +30,152 @@ SQUARED = ("gd", "igd", "igd_plus")
 
 def _indicators(df: DataFrame, ref: DataFrame, p: Points, names: list[str], power: int = 1) -> DataFrame:
     """One row per group: the indicators ``names``, gd and igd as power means."""
+    by, over_ref = list(p.by), [n for n in names if n != "gd"]
     costs = p.costs(df)
     if not {"gd", "igd"} & {*names}:  # dominated points change nothing
-        costs = skyline_points(costs, list(p.by), p.names)
+        costs = materialize(skyline_points(costs, by, p.names))
     known = Points.of(p.objectives, p.maximise).costs(ref)
     most = BROADCAST_VALUES // p.d
     some = known.limit(most + 1).toPandas().to_numpy(float)
-    least = _by_trees(costs, some, p, names, power) if len(some) <= most else _by_pairs(costs, known, p, names, power)
-    over_ref = [n for n in names if n != "gd"]
-    least = least.groupBy(*p.by, "_r").agg(*(F.min(f"_{n}").alias(f"_{n}") for n in over_ref), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
-    mean = lambda n: F.avg(f"_{n}") if power == 1 or n == "igd_plus" else F.pow(F.avg(F.pow(f"_{n}", F.lit(power))), F.lit(1.0 / power))
-    out = {n: F.max(f"_{n}") if n.startswith("epsilon") else mean(n) for n in over_ref}
-    if "gd" in names:
-        out["gd"] = F.sum("_sum") / F.sum("_n") if power == 1 else F.pow(F.sum("_sum") / F.sum("_n"), F.lit(1.0 / power))
-    return least.groupBy(*p.by).agg(*(out[n].alias(n) for n in names))
-
-
-def _by_trees(costs: DataFrame, ref: np.ndarray, p: Points, names: list[str], power: int) -> DataFrame:
-    """Rows of a batch: (groups, ``_r`` with the least values of the batch's points), and with ``_r`` -1 sums over the points."""
-    by, over_ref = list(p.by), [n for n in names if n != "gd"]
+    if not len(some):
+        return costs.limit(0).select(*by, *(F.lit(0.0).alias(n) for n in names))
+    sizes = costs.groupBy(*by).agg(F.count("*").alias("_size"))
+    largest = sizes.agg(F.max("_size")).first()[0] or 0
+    if largest > GROUP_ROWS:  # a point takes the part that its values say, so equal ones meet
+        large = small(materialize(sizes.where(F.col("_size") > GROUP_ROWS)))
+        parts = F.when(F.col("_size").isNotNull(), F.pmod(F.xxhash64(*p.names), F.ceil(F.col("_size") / GROUP_ROWS))).otherwise(0)
+        costs = match(costs, large, by, "left").withColumn("_part", parts.cast("int")).drop("_size") if by else costs.withColumn("_part", F.pmod(F.xxhash64(*p.names), F.lit(-(-largest // GROUP_ROWS))).cast("int"))
+    else:
+        costs = costs.withColumn("_part", F.lit(0))
+    if len(some) <= most and largest <= GROUP_ROWS:
+        return _means(_whole_groups(costs, some, p, names, power), by, names, power)
+    if len(some) <= most:
+        met = _against(costs.withColumn("_block", F.lit(0)), some, None, p, names)
+    else:
+        met = _against(costs, None, known, p, names)
+    head = ", ".join([*(f"`{c}` {costs.schema[c].dataType.simpleString()}" for c in by), _SUMS.format(names="".join(f"_{n} double, " for n in over_ref))])
+    out = []
+    if over_ref:  # the least over a group's parts, for each reference point of a block
+        out.append(met.where("_part >= 0").groupBy(*by, "_block").applyInArrow(_merge(by, over_ref, power), head))
+    if "gd" in names:  # the least over the blocks, for each point of a part
+        out.append(met.where("_part < 0").groupBy(*by, "_part").applyInArrow(_merge(by, over_ref, power, True), head))
+    return _means(reduce(DataFrame.unionByName, out), by, names, power)
+
+
+#: Columns of partial sums: the sum (of a maximum, the largest) of each indicator, how many reference points it is over, and sum and number of distances of points.
+_SUMS = "{names}_refs long, _sum double, _n long"
+
+
+def _means(sums: DataFrame, by: list[str], names: list[str], power: int) -> DataFrame:
+    """The indicators from partial sums."""
+    root = lambda x: x if power == 1 else F.pow(x, F.lit(1.0 / power))
+    out = []
+    for n in names:
+        if n == "gd":
+            out.append(root(F.sum("_sum") / F.sum("_n")).alias(n))
+        elif n.startswith("epsilon"):
+            out.append(F.max(f"_{n}").alias(n))
+        else:
+            mean = F.sum(f"_{n}") / F.sum("_refs")
+            out.append((root(mean) if n == "igd" else mean).alias(n))
+    return sums.groupBy(*by).agg(*out)
+
+
+def _values(kind: str, tree: kernels.Boxes, q: np.ndarray, up: list[bool]) -> np.ndarray:
+    v = tree.least(KINDS[kind], q, up)
+    return np.sqrt(v) if kind in SQUARED else v
+
+
+def _total(name: str, v: np.ndarray, power: int) -> float | None:
+    v = v[~np.isnan(v)]
+    if not len(v):
+        return None
+    return float(v.max()) if name.startswith("epsilon") else float((v**power if name == "igd" else v).sum())
+
+
+def _whole_groups(costs: DataFrame, ref: np.ndarray, p: Points, names: list[str], power: int) -> DataFrame:
+    """Partial sums, one row a group: its points meet the whole reference set in one task."""
+    by, over_ref, up = list(p.by), [n for n in names if n != "gd"], list(p.maximise)
     shared = costs.sparkSession.sparkContext.broadcast(ref)
-    up, costs = list(p.maximise), costs.select(*by, *p.names)
-    fields = [*by, "_r", *(f"_{n}" for n in over_ref), "_sum", "_n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = shared.value
-        tree = kernels.Boxes(r) if "gd" in names and len(r) else None
-        for batch in batches:
-            if not len(batch) or not len(r):
-                continue
-            x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in p.names])
-            groups = batch.select(by).to_pandas().groupby(by, dropna=False, sort=False).indices.values() if by else [np.arange(len(x))]
-            for rows in groups:
-                points = np.unique(x[rows], axis=0) if over_ref else None
-                size = len(r) * bool(over_ref) + ("gd" in names)
-                numbers, sums, counts = np.arange(size), np.full(size, np.nan), np.zeros(size, np.int64)
-                values = {n: np.full(size, np.nan) for n in over_ref}
-                if over_ref:
-                    own = kernels.Boxes(points)
-                    for n in over_ref:
-                        v = own.least(KINDS[n], r, up)
-                        values[n][: len(r)] = np.sqrt(v) if n in SQUARED else v
-                if "gd" in names:
-                    d = np.sqrt(tree.least("distance", x[rows]))
-                    numbers[-1], sums[-1], counts[-1] = -1, (d**power).sum(), len(d)
-                head = [batch.column(c).take(pa.array(np.full(size, rows[0]))) for c in by]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(numbers), *(pa.array(values[n], from_pandas=True) for n in over_ref), pa.array(sums, from_pandas=True), pa.array(counts)], fields)
-
-    schema = ", ".join([*(f"`{c}` {costs.schema[c].dataType.simpleString()}" for c in by), "_r long", *(f"_{n} double" for n in over_ref), "_sum double, _n long"])
-    return costs.mapInArrow(run, schema)
-
-
-def _by_pairs(costs: DataFrame, ref: DataFrame, p: Points, names: list[str], power: int) -> DataFrame:
-    """What :func:`_by_trees` returns, from a join of the points with the reference points."""
-    r = ref.toDF(*(f"{n}r" for n in p.names)).withColumn("_r", F.monotonically_increasing_id())
-    pairs = costs.withColumn("_i", F.monotonically_increasing_id()).join(r, F.lit(True))
-    gaps = [F.col(n) - F.col(f"{n}r") for n in p.names]
-    total = lambda parts: F.sqrt(reduce(Column.__add__, parts))
-    largest = lambda parts: F.greatest(*parts) if len(parts) > 1 else parts[0]
-    ratios = [F.col(f"{n}r") / F.col(n) if m else F.col(n) / F.col(f"{n}r") for n, m in zip(p.names, p.maximise, strict=True)]
-    distance, positive = total([g * g for g in gaps]), [F.greatest(g, F.lit(0.0)) for g in gaps]
-    values = {"igd": distance, "igd_plus": total([g * g for g in positive]), "epsilon_additive": largest(gaps), "epsilon_mult": largest(ratios)}
-    over_ref, by, parts = [n for n in names if n != "gd"], list(p.by), []
-    blank = F.lit(None).cast("double")
-    if over_ref:
-        parts.append(pairs.groupBy(*by, "_r").agg(*(F.min(values[n]).alias(f"_{n}") for n in over_ref)).select(*by, "_r", *(f"_{n}" for n in over_ref), blank.alias("_sum"), F.lit(0).cast("long").alias("_n")))
-    if "gd" in names:
-        near = pairs.groupBy(*by, "_i").agg(F.min(distance).alias("_d")).groupBy(*by).agg(F.sum(F.pow("_d", F.lit(power))).alias("_sum"), F.count("*").alias("_n"))
-        parts.append(near.select(*by, F.lit(-1).cast("long").alias("_r"), *(blank.alias(f"_{n}") for n in over_ref), "_sum", "_n"))
-    return reduce(DataFrame.unionByName, parts)
+    known: list[kernels.Boxes] = []  # one a worker
+
+    def run(points: pa.Table) -> pa.Table:
+        r, x = shared.value, matrix(points, p.names)
+        tree = kernels.Boxes(np.unique(x, axis=0)) if over_ref else None
+        row = {c: points.column(c).slice(0, 1) for c in by} | {f"_{n}": pa.array([_total(n, _values(n, tree, r, up), power)], pa.float64()) for n in over_ref}
+        d = np.zeros(0)
+        if "gd" in names:
+            if not known:
+                known.append(kernels.Boxes(r))
+            d = np.sqrt(known[0].least("distance", x)) ** power
+        return pa.table(row | {"_refs": pa.array([len(r)]), "_sum": pa.array([float(d.sum())]), "_n": pa.array([len(d)])})
+
+    schema = ", ".join([*(f"`{c}` {costs.schema[c].dataType.simpleString()}" for c in by), _SUMS.format(names="".join(f"_{n} double, " for n in over_ref))])
+    return costs.groupBy(*by).applyInArrow(run, schema)
+
+
+def _against(costs: DataFrame, ref: np.ndarray | None, known: DataFrame | None, p: Points, names: list[str]) -> DataFrame:
+    """(groups, ``_part``, ``_block``, packed least values): each part of a group against each block of the reference set.
+
+    The reference set is one block that every task has (``ref``), or is cut into blocks of ``BROADCAST_VALUES`` in the order of its first objective
+    (``known``), which the points meet by slots of groups: points go once to each block, a block once to each slot.  What is over the points has
+    ``_part`` -1 - part, and follows the points' order by value.
+    """
+    by, over_ref, up = list(p.by), [n for n in names if n != "gd"], list(p.maximise)
+    fields = [*by, "_part", "_block", *(f"_{n}" for n in over_ref), "_near"]
+    schema = ", ".join([*(f"`{c}` {costs.schema[c].dataType.simpleString()}" for c in by), "_part int, _block int", *(f"_{n} binary" for n in over_ref), "_near binary"])
+
+    def meet(points: pa.Table, r: np.ndarray, block: int) -> pa.Table:
+        tree, rows = kernels.Boxes(r) if "gd" in names else None, []
+        keys = points.select([*by, "_part"]).to_pandas().groupby([*by, "_part"], dropna=False, sort=False).indices
+        x, parts, first = matrix(points, p.names), points.column("_part").to_numpy(), []
+        for at in keys.values():
+            if over_ref:
+                own = kernels.Boxes(np.unique(x[at], axis=0))
+                rows.append((int(parts[at[0]]), block, *(_values(n, own, r, up).tobytes() for n in over_ref), None)), first.append(at[0])
+            if tree is not None:
+                own = x[at][np.lexsort(x[at].T[::-1])]
+                rows.append((-1 - int(parts[at[0]]), block, *(None for _ in over_ref), np.sqrt(tree.least("distance", own)).tobytes())), first.append(at[0])
+        kinds = [pa.int32(), pa.int32(), *(pa.binary() for _ in over_ref), pa.binary()]
+        columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
+        head = [points.column(c).take(pa.array(first, pa.int64())) for c in by]
+        return pa.table([*head, *columns], names=fields)
+
+    if known is None:
+        shared = costs.sparkSession.sparkContext.broadcast(ref)
+        return costs.groupBy(*by, "_part").applyInArrow(lambda points: meet(points, shared.value, 0), schema)
+    placed = materialize(numbered(known, p.names, name="_place"))
+    size = max(1, BROADCAST_VALUES // p.d)
+    blocks = -(-placed.count() // size)
+    slots = max(1, costs.sparkSession.sparkContext.defaultParallelism)
+    slot = F.pmod(F.xxhash64(*by, "_part"), F.lit(slots)).cast("int")
+    points = costs.withColumn("_slot", slot).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    block = F.floor((F.col("_place") - 1) / size).cast("int")
+    rows = placed.select(*p.names, block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("_slot"))
+
+    def pair(points: pa.Table, r: pa.Table) -> pa.Table:
+        block = points.column("_block")[0].as_py() if points.num_rows else 0
+        return meet(points, matrix(r, p.names), block)
+
+    return points.groupBy("_block", "_slot").cogroup(rows.groupBy("_block", "_slot")).applyInArrow(pair, schema)
+
+
+def _merge(by: list[str], over_ref: list[str], power: int, points: bool = False):  # noqa: ANN202
+    """Partial sums from packed least values of the same reference points (or points)."""
+
+    def least(column: pa.ChunkedArray) -> np.ndarray:
+        return np.fmin.reduce([np.frombuffer(v.as_py()) for v in column])
+
+    def run(rows: pa.Table) -> pa.Table:
+        head = {c: rows.column(c).slice(0, 1) for c in by}
+        if points:
+            d = least(rows.column("_near")) ** power
+            return pa.table(head | {f"_{n}": pa.array([None], pa.float64()) for n in over_ref} | {"_refs": pa.array([0]), "_sum": pa.array([float(d.sum())]), "_n": pa.array([len(d)])})
+        values = {n: least(rows.column(f"_{n}")) for n in over_ref}
+        sums = {f"_{n}": pa.array([_total(n, v, power)], pa.float64()) for n, v in values.items()}
+        return pa.table(head | sums | {"_refs": pa.array([len(values[over_ref[0]])]), "_sum": pa.array([0.0]), "_n": pa.array([0])})
+
+    return run
 
 
 def _power(p: int) -> int:

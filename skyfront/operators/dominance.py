@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.folders import materialize
-from ..functions.points import Direction, Names, Points, all_of, match, small
+from ..functions.points import Direction, Names, Points, all_of, match, small, unwrap
 from .fronts import matrix, nondominated_rows
 
 #: Parts that an ungrouped table is dealt into before a single sweep sees the survivors.
@@ -41,34 +41,36 @@ def is_nondominated(df: DataFrame, objectives: Names, maximise: Direction = Fals
     """The rows with a boolean ``nondominated``.
 
     Of equal nondominated rows of a group only the first in ``order`` is, unless ``keep_weakly``.
-    Rows with a null or NaN objective go.
+    Rows with a null or NaN objective go; a column of that name is replaced.
     """
     p = Points.of(objectives, maximise, by)
-    rows = p.add(df)
+    rows = p.wrap(df)
     best = skyline_points(rows.select(*p.by, *p.names), list(p.by), p.names).withColumn("_front", F.lit(True))
     on = [*p.by, *p.names]
     out = match(rows, best, on, "left").withColumn("nondominated", F.coalesce("_front", F.lit(False)))
     if not keep_weakly:
-        turn = [order] if isinstance(order, str) else [*order]
         # row_number is needed only on the front: rows off it are dealt out by themselves
-        w = Window.partitionBy(*on).orderBy(*(turn or [F.lit(0)]))
+        w = Window.partitionBy(*on).orderBy(*_turn(order))
         out = out.withColumn("nondominated", F.col("nondominated") & (F.row_number().over(w) == 1))
-    return out.select(*df.columns, "nondominated")
+    return out.select(*unwrap(df, "nondominated"), "nondominated")
+
+
+def _turn(order: Names | str) -> list:
+    return [F.col(f"_whole.`{c}`") for c in ([order] if isinstance(order, str) else order)] or [F.lit(0)]
 
 
 def filter_dominated(df: DataFrame, objectives: Names, maximise: Direction = False, keep_weakly: bool = False, by: Names | str = (), order: Names | str = ()) -> DataFrame:
     """The nondominated rows of each group."""
     p = Points.of(objectives, maximise, by)
-    rows = p.add(df)
+    rows = p.wrap(df)
     on = [*p.by, *p.names]
     if p.d > 2:  # rows go through the merge themselves, so nothing is joined
         out = nondominated_rows(rows, list(p.by), p.names)
     else:
         out = match(rows, skyline_points(rows.select(*on), list(p.by), p.names), on, "left_semi")
     if not keep_weakly:
-        turn = [order] if isinstance(order, str) else [*order]
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(*(turn or [F.lit(0)])))).where("_n = 1")
-    return out.select(*df.columns)
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(*_turn(order)))).where("_n = 1")
+    return out.select("_whole.*")
 
 
 def is_nondominated_within_sets(df: DataFrame, objectives: Names, sets: Names | str, maximise: Direction = False, keep_weakly: bool = False, order: Names | str = ()) -> DataFrame:

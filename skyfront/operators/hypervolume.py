@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.points import Direction, Names, Points, all_of, match
+from ..functions.points import Direction, Names, Points, all_of, match, unwrap
 from .dominance import skyline_points
 
 Ref = float | Sequence[float]
@@ -108,13 +108,14 @@ class RelativeHypervolume(Hypervolume):
 def hv_contributions(df: DataFrame, objectives: Names, ref: Ref, maximise: Direction = False, ignore_dominated: bool = True, by: Names | str = ()) -> DataFrame:
     """The rows with ``hv_contribution``: the volume that only the row dominates; 0 for dominated and for equal rows.
 
-    With ``ignore_dominated`` dominated rows take nothing from nondominated ones.
+    With ``ignore_dominated`` dominated rows take nothing from nondominated ones.  Two objectives stay in the JVM; three are one
+    sweep a group, n log n; more measure each point against the others.
     """
     p = Points.of(objectives, maximise, by)
     if p.d < 2:
         raise ValueError("at least two objectives are needed")
     point, by_, f = p.point(ref), list(p.by), p.names
-    rows = p.add(df)
+    rows = p.wrap(df)
     inside = rows.where(all_of([F.col(n) < r for n, r in zip(f, point, strict=True)]))
     counted = inside.groupBy(*by_, *f).agg(F.count("*").alias("_n"))
     if p.d == 2 and ignore_dominated:
@@ -133,7 +134,7 @@ def hv_contributions(df: DataFrame, objectives: Names, ref: Ref, maximise: Direc
 
         schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in counted.schema), "_c double"])
         own = counted.groupBy(*by_).applyInPandas(each, schema)
-    return match(rows, own, [*by_, *f], "left").select(*df.columns, F.coalesce("_c", F.lit(0.0)).alias("hv_contribution"))
+    return match(rows, own, [*by_, *f], "left").select(*unwrap(df, "hv_contribution"), F.coalesce("_c", F.lit(0.0)).alias("hv_contribution"))
 
 
 def hypervolume_parallel(df: DataFrame, objectives: Names, ref: Ref, maximise: Direction = False) -> float:

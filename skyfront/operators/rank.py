@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.folders import materialize
-from ..functions.points import Direction, Names, Points, all_of, match, small
+from ..functions.points import Direction, Names, Points, all_of, match, small, unwrap
 from .dominance import skyline_points
 from .fronts import MOST_CUTS, cells, corners
 
@@ -24,10 +24,10 @@ def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, b
     larger groups by :func:`_waves`.
     """
     p = Points.of(objectives, maximise, by)
-    rows = p.add(df)
+    rows = p.wrap(df)
     if p.d == 1:
         w = Window.partitionBy(*p.by).orderBy(p.names[0])
-        return rows.withColumn("rank", (F.dense_rank().over(w) - 1 + base).cast("int")).select(*df.columns, "rank")
+        return rows.withColumn("rank", (F.dense_rank().over(w) - 1 + base).cast("int")).select(*unwrap(df, "rank"), "rank")
     points = materialize(rows.select(*p.by, *p.names).distinct())
     sizes = points.groupBy(*p.by).agg(F.count("*").alias("_size"))
     largest = sizes.agg(F.max("_size")).first()[0] or 0
@@ -43,7 +43,7 @@ def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, b
     else:
         large = small(materialize(sizes.where(F.col("_size") > task_rows)))
         ranked = match(points, large, p.by, "left_anti").groupBy(*p.by).applyInPandas(rank, schema).unionByName(_waves(match(points, large, p.by, "left_semi"), list(p.by), p.names, largest, task_rows))
-    return match(rows, ranked, [*p.by, *p.names]).select(*df.columns, (F.col("rank") + base).cast("int").alias("rank"))
+    return match(rows, ranked, [*p.by, *p.names]).select(*unwrap(df, "rank"), (F.col("rank") + base).cast("int").alias("rank"))
 
 
 def _waves(points: DataFrame, by: list[str], names: list[str], largest: int, task_rows: int) -> DataFrame:
@@ -97,7 +97,7 @@ def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = Fal
     What is left is checkpointed in every round.
     """
     p = Points.of(objectives, maximise, by)
-    rows = p.add(df)
+    rows = p.wrap(df)
     left = rows.select(*p.by, *p.names).distinct()
     fronts, level = None, base
     left = materialize(left)
@@ -108,8 +108,8 @@ def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = Fal
         left = materialize(match(left, front, [*p.by, *p.names], "left_anti"))
         level += 1
     if fronts is None:
-        return rows.withColumn("rank", F.lit(None).cast("int")).select(*df.columns, "rank")
-    return match(rows, fronts, [*p.by, *p.names]).select(*df.columns, "rank")
+        return rows.withColumn("rank", F.lit(None).cast("int")).select(*unwrap(df, "rank"), "rank")
+    return match(rows, fronts, [*p.by, *p.names]).select(*unwrap(df, "rank"), "rank")
 
 
 def ndsort(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = ()) -> DataFrame:
@@ -120,8 +120,8 @@ def ndsort(df: DataFrame, objectives: Names, maximise: Direction = False, by: Na
     from .hypervolume import hv_contributions
     from .transform import normalise
 
-    p = Points.of(objectives, maximise, by)
+    p = Points.of(objectives, maximise, [*Points.of(objectives, maximise, by).by, "rank"])
     ranked = pareto_rank(df, objectives, maximise, by)
-    scaled = normalise(p.add(ranked), p.names, to_range=(0.0, 0.9), by=[*p.by, "rank"])
-    out = hv_contributions(scaled, p.names, 1.0, by=[*p.by, "rank"])
-    return out.withColumn("order", F.col("rank") + (1 - F.col("hv_contribution"))).select(*df.columns, "rank", "order")
+    scaled = normalise(p.wrap(ranked), p.names, to_range=(0.0, 0.9), by=p.by)
+    out = hv_contributions(scaled, p.names, 1.0, by=p.by)
+    return out.select(*unwrap(df, "rank", "order"), "rank", (F.col("rank") + (1 - F.col("hv_contribution"))).alias("order"))

@@ -109,6 +109,42 @@ def test_sets_are_compared_by_fronts(spark, d):
     assert sorted(map(tuple, dominance.compare_sets(frame(sets), names, "g", other=frame(few)).collect())) == brute_comparison(sets, few, False)
 
 
+@pytest.mark.parametrize("ignore", [True, False])
+def test_contributions_of_three_objectives(ignore):
+    """The sweep against leaving each row out, with ties, equal and dominated rows."""
+    rng, ref = np.random.default_rng(7), np.array([9.0, 8.0, 10.0])
+    for _ in range(300):
+        x = rng.integers(0, rng.integers(3, 12), (rng.integers(1, 25), 3)).astype(float)
+        inside = (x < ref).all(1)
+        best = kernels.nondominated(x)
+        got = kernels.contributions(x, ref, ignore)
+        for i in range(len(x)):
+            others = inside & (np.arange(len(x)) != i) & (best if ignore else True)
+            alone = inside[i] and best[i] and not (x[others] == x[i]).all(1).any()
+            assert got[i] == pytest.approx(kernels.exclusive(x[i], x[others], ref) if alone else 0.0)
+
+
+def test_skyline_of_three_objectives():
+    rng = np.random.default_rng(8)
+    for t in range(300):
+        x = rng.integers(0, rng.integers(2, 12), (rng.integers(1, 40) if t % 30 else 800, 3)).astype(float)
+        x[rng.random(x.shape) < 0.05] = np.inf if t % 2 else -np.inf
+        low, less = (x[:, None] <= x[None]).all(2), (x[:, None] < x[None]).any(2)
+        assert kernels.skyline(x).tolist() == np.flatnonzero(~(low & (less | (np.arange(len(x))[:, None] < np.arange(len(x))[None]))).any(0)).tolist()
+
+
+def test_names_of_the_caller_stay(spark):
+    """Columns called as ours are handed back unchanged; one called as the result is replaced."""
+    rows = [(float(i % 4), float(-i), 7, 8, "n", 9, 1.5) for i in range(12)]
+    df = spark.createDataFrame(rows, "y0 double, y1 double, _f0 long, _front long, nondominated string, rank long, order double")
+    names, kept = ["y0", "y1"], ["y0", "y1", "_f0", "_front"]
+    for out, new in ((dominance.is_nondominated(df, names), "nondominated"), (rank.pareto_rank(df, names), "rank"), (rank.ndsort(df, names), "order"), (rank.pareto_rank_peel(df, names), "rank"), (dominance.filter_dominated(df, names), "rank")):
+        assert len(set(out.columns)) == len(out.columns) == len(df.columns) and new in out.columns
+        assert {tuple(r) for r in out.select(*kept).collect()} <= {r[:4] for r in rows}
+    three = dominance.filter_dominated(df.withColumn("y2", F.lit(1.0)), [*names, "y2"], keep_weakly=True)
+    assert {tuple(r) for r in three.select(*kept).collect()} <= {r[:4] for r in rows} and three.count() == 4
+
+
 def test_numbers(spark):
     rng = np.random.default_rng(6)
     rows = [(None if i % 5 == 0 else f"g{i % 3}", int(v), i) for i, v in enumerate(rng.integers(0, 50, 400))]

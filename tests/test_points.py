@@ -311,10 +311,14 @@ def test_large_reference_sets_give_the_same(spark, monkeypatch):
     names = ["gd", "igd", "igd_plus", "epsilon_additive", "epsilon_mult"]
     table = lambda: {r["s"]: [r[n] for n in names] for r in distance.indicators(df, ref, ["x", "y", "z"], [False, True, False], "s", names).collect()}
     trees = table()
-    monkeypatch.setattr(distance, "BROADCAST_VALUES", 0)
-    pairs = table()
-    monkeypatch.undo()
-    assert set(trees) == set(pairs) == {1, None, 3}
-    assert all(np.allclose(trees[s], pairs[s], rtol=1e-12) for s in trees)
+    one = lambda: [distance.indicators(df, ref, ["x", "y", "z"], names=names).first()[n] for n in names]
+    whole = one()
+    for limits in ({"BROADCAST_VALUES": 30}, {"GROUP_ROWS": 7}, {"BROADCAST_VALUES": 30, "GROUP_ROWS": 7}):
+        for name, value in limits.items():
+            monkeypatch.setattr(distance, name, value)
+        dealt, at_once = table(), one()
+        monkeypatch.undo()
+        assert set(trees) == set(dealt) == {1, None, 3}
+        assert all(np.allclose(trees[s], dealt[s], rtol=1e-12) for s in trees) and np.allclose(whole, at_once, rtol=1e-12)
     assert distance.indicators(df.limit(0), ref, ["x", "y", "z"], by="s", names=names).count() == 0
     assert distance.indicators(df, ref.limit(0), ["x", "y", "z"], by="s", names=names).count() == 0
