@@ -157,15 +157,16 @@ def _volume(x: np.ndarray, ref: np.ndarray) -> float:
         both = np.maximum(x[0], x[1])
         return float(np.prod(ref - x[0]) + np.prod(ref - x[1]) - np.prod(ref - both))
     # worst last objective first: a limit set then agrees in it, and can be measured without it
-    x = x[np.argsort(-x[:, -1], kind="stable")]
+    return first_volumes(x[np.argsort(-x[:, -1], kind="stable")], ref, n)
+
+
+def first_volumes(x: np.ndarray, ref: np.ndarray, count: int) -> float:
+    """Of mutually nondominated rows below ``ref``, the worst in the last objective first: what the first ``count`` dominate and no later row does."""
     total = 0.0
-    for i in range(n):
-        p = x[i]
-        limit = np.maximum(x[i + 1 :, :-1], p[:-1])
-        inner = float(np.prod(ref[:-1] - p[:-1]))
-        if len(limit):
-            inner -= _volume(limit[skyline(limit)], ref[:-1])
-        total += inner * (ref[-1] - p[-1])
+    for i in range(min(count, len(x))):
+        limit = np.maximum(x[i + 1 :, :-1], x[i, :-1])
+        inner = float(np.prod(ref[:-1] - x[i, :-1]))
+        total += (inner - (_volume(limit[skyline(limit)], ref[:-1]) if len(limit) else 0.0)) * (ref[-1] - x[i, -1])
     return total
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.folders import materialize
 from ..functions.points import Direction, Names, Points, all_of, match, small, unwrap
-from .fronts import matrix, nondominated_rows
+from .fronts import MERGE_ROWS, matrix, nondominated_rows
 
 #: Parts that an ungrouped table is dealt into before a single sweep sees the survivors.
 PARTS = 64
@@ -59,13 +61,13 @@ def _turn(order: Names | str) -> list:
     return [F.col(f"_whole.`{c}`") for c in ([order] if isinstance(order, str) else order)] or [F.lit(0)]
 
 
-def filter_dominated(df: DataFrame, objectives: Names, maximise: Direction = False, keep_weakly: bool = False, by: Names | str = (), order: Names | str = ()) -> DataFrame:
-    """The nondominated rows of each group."""
+def filter_dominated(df: DataFrame, objectives: Names, maximise: Direction = False, keep_weakly: bool = False, by: Names | str = (), order: Names | str = (), merge_rows: int = MERGE_ROWS) -> DataFrame:
+    """The nondominated rows of each group; for ``merge_rows`` see :mod:`fronts`."""
     p = Points.of(objectives, maximise, by)
     rows = p.wrap(df)
     on = [*p.by, *p.names]
     if p.d > 2:  # rows go through the merge themselves, so nothing is joined
-        out = nondominated_rows(rows, list(p.by), p.names)
+        out = nondominated_rows(rows, list(p.by), p.names, merge_rows)
     else:
         out = match(rows, skyline_points(rows.select(*on), list(p.by), p.names), on, "left_semi")
     if not keep_weakly:
@@ -82,13 +84,27 @@ def filter_dominated_within_sets(df: DataFrame, objectives: Names, sets: Names |
 
 
 def any_dominated(df: DataFrame, objectives: Names, maximise: Direction = False, keep_weakly: bool = False, by: Names | str = ()) -> DataFrame:
-    """One row per group: is any row weakly dominated by another (``keep_weakly``: equal rows don't count)?"""
+    """One row per group: is any row weakly dominated by another (``keep_weakly``: equal rows don't count)?
+
+    The row of least sum is a strong one, and most groups with a dominated row have one that it dominates: a scan decides them.
+    Only groups that are still open have their front counted.
+    """
     p = Points.of(objectives, maximise, by)
-    costs = p.costs(df)
-    rows = costs.distinct() if keep_weakly else costs
-    n = rows.groupBy(*p.by).agg(F.count("*").alias("_n"))
-    front = skyline_points(costs, list(p.by), p.names).groupBy(*p.by).agg(F.count("*").alias("_front"))
-    return match(n, front, p.by).select(*p.by, (F.col("_n") > F.col("_front")).alias("any_dominated"))
+    keys, costs = list(p.by), p.costs(df)
+    best = costs.groupBy(*keys).agg(F.min_by(F.struct(*p.names), reduce(Column.__add__, map(F.col, p.names))).alias("_best"))
+    met = match(costs, small(materialize(best)), keys)
+    weak = all_of([F.col(f"_best.{n}") <= F.col(n) for n in p.names])
+    same = all_of([F.col(f"_best.{n}") == F.col(n) for n in p.names])
+    hit = F.count_if(weak & ~same) > 0
+    seen = materialize(met.groupBy(*keys).agg((hit if keep_weakly else hit | (F.count_if(same) > 1)).alias("any_dominated")))
+    open_ = seen.where("NOT any_dominated").select(*keys)
+    if not open_.limit(1).count():
+        return seen
+    left = match(costs, small(open_), keys, "left_semi") if keys else costs
+    n = (left.distinct() if keep_weakly else left).groupBy(*keys).agg(F.count("*").alias("_n"))
+    front = skyline_points(left, keys, p.names).groupBy(*keys).agg(F.count("*").alias("_front"))
+    counted = match(n, front, keys).select(*keys, (F.col("_n") > F.col("_front")).alias("any_dominated"))
+    return seen.where("any_dominated").unionByName(counted)
 
 
 def compare_sets(df: DataFrame, objectives: Names, sets: str, maximise: Direction = False, other: DataFrame | None = None) -> DataFrame:

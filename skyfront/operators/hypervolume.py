@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.folders import materialize
+from ..functions.numbering import numbered
 from ..functions.points import Direction, Names, Points, all_of, match, unwrap
 from .dominance import skyline_points
+from .fronts import matrix
 
 Ref = float | Sequence[float]
 
@@ -137,21 +141,75 @@ def hv_contributions(df: DataFrame, objectives: Names, ref: Ref, maximise: Direc
     return match(rows, own, [*by_, *f], "left").select(*unwrap(df, "hv_contribution"), F.coalesce("_c", F.lit(0.0)).alias("hv_contribution"))
 
 
-def hypervolume_parallel(df: DataFrame, objectives: Names, ref: Ref, maximise: Direction = False) -> float:
-    """The volume of one large set of four or more objectives: the exclusive volume of each point of its front, in
-    a fixed order, against the later ones is a task of its own.
+#: Points of a block; subproblems of four and more objectives that a task row holds.
+TREE_BLOCK, TREE_SPLIT = 512, 64
+
+
+def hypervolume_tree(df: DataFrame, objectives: Names, ref: Ref, maximise: Direction = False, by: Names | str = (), block: int = TREE_BLOCK, split: int = TREE_SPLIT) -> DataFrame:
+    """:func:`hypervolume` of large sets of four and more objectives: exclusive volumes as rows, split where they are large.
+
+    In the order of the last objective, the worst first, each point adds what it dominates and no later point does: its box less the
+    volume, in one objective less, of the later points moved up to it.  Blocks of points meet pair by pair and leave, for each point of the
+    first, what is nondominated of the second's moved points; these limit sets are merged by point.  A limit set of over ``split`` points in
+    four or more objectives goes on as rows of ``split`` subproblems each.  No task holds more than two blocks, or one point's limit set.
     """
-    p = Points.of(objectives, maximise)
-    point = p.point(ref)
-    front = fronts_below(df, p, point).orderBy(F.desc(p.names[-1]), *p.names)
-    x = np.array([tuple(r) for r in front.toLocalIterator()]).reshape(-1, p.d)
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(x)
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            x, r = shared.value, np.array(point)
-            yield pd.DataFrame({"v": [kernels.exclusive(x[i], x[i + 1 :], r) for i in pdf["id"]]})
-
-    parts = max(1, min(len(x), 8 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, len(x), 1, parts).mapInPandas(run, "v double").agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0]
+    p = Points.of(objectives, maximise, by)
+    if p.d < 4:
+        return hypervolume(df, objectives, ref, maximise, by)
+    point, keys, names = p.point(ref), list(p.by), p.names
+    front = numbered(fronts_below(df, p, point), [F.desc(names[-1]), *names[:-1]], keys, "_place")
+    placed = materialize(front.select(*keys, F.col("_place").alias("_i"), F.floor((F.col("_place") - 1) / block).cast("int").alias("_block"), *names))
+    r = np.array(point)
+    head = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        return pa.table({c: rows.column(c).slice(0, 1) for c in [*keys, "_block"]} | {"_first": rows.column("_i").slice(0, 1), "_x": pa.array([matrix(rows, names).tobytes()], pa.binary())})
+
+    blocks = materialize(placed.groupBy(*keys, "_block").applyInArrow(packed, f"{head}_block int, _first long, _x binary"))
+    other = blocks.toDF(*(f"_b_{c}" for c in blocks.columns))
+    pairs = blocks.join(other, all_of([F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in keys]) & (F.col("_block") <= F.col("_b__block")))
+    pairs = pairs.select(*keys, "_first", "_x", (F.col("_block") == F.col("_b__block")).alias("_same"), F.col("_b__x").alias("_y")).repartition(8 * df.sparkSession.sparkContext.defaultParallelism)
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, len(names)) for c in ("_x", "_y"))
+                same, out = batch.column("_same")[k].as_py(), []
+                for i in range(len(x)):
+                    moved = np.maximum(y[i + 1 :, :-1] if same else y[:, :-1], x[i, :-1])
+                    moved = moved[(moved < r[:-1]).all(1)]
+                    out.append(moved[kernels.skyline(moved)].tobytes())
+                at = pa.array(np.full(len(x), k))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keys), pa.array(batch.column("_first")[k].as_py() + np.arange(len(x))), pa.array([v.tobytes() if same else None for v in x], pa.binary()), pa.array(out, pa.binary())], [*keys, "_i", "_p", "_limit"])
+
+    met = pairs.mapInArrow(limits, f"{head}_i long, _p binary, _limit binary")
+
+    def merge(rows: pa.Table) -> pa.Table:
+        own = next(v.as_py() for v in rows.column("_p") if v.is_valid)
+        x = np.concatenate([np.frombuffer(v.as_py()) for v in rows.column("_limit")]).reshape(-1, len(names) - 1)
+        x = x[kernels.skyline(x)]
+        x = x[np.argsort(-x[:, -1], kind="stable")]
+        starts = range(0, len(x), split) if len(names) > 4 and len(x) > split else [0]
+        at = pa.array(np.zeros(len(starts), np.int64))
+        return pa.table({c: rows.column(c).take(at) for c in keys} | {"_p": pa.array([own] * len(starts), pa.binary()), "_x": pa.array([x[s:].tobytes() for s in starts], pa.binary()), "_from": pa.array([*starts], pa.int64()), "_whole": pa.array([len(starts) == 1] * len(starts))})
+
+    tasks = materialize(met.groupBy(*keys, "_i").applyInArrow(merge, f"{head}_p binary, _x binary, _from long, _whole boolean"))
+
+    def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, raw, start, whole in zip(*(batch.column(c).to_pylist() for c in ("_p", "_x", "_from", "_whole")), strict=True):
+                q, x = np.frombuffer(own), np.frombuffer(raw).reshape(-1, len(names) - 1)
+                box = float(np.prod(r[:-1] - q[:-1])) if not start else 0.0
+                taken = kernels.hypervolume(x, r[:-1]) if whole else kernels.first_volumes(x, r[:-1], split)
+                out.append((box - taken) * (r[-1] - q[-1]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(out, pa.float64())], [*keys, "_v"])
+
+    found = tasks.repartition(8 * df.sparkSession.sparkContext.defaultParallelism).mapInArrow(volumes, f"{head}_v double")
+    return _all_groups(df, found.groupBy(*keys).agg(F.sum("_v").alias("hypervolume")), p)
+
+
+def hypervolume_parallel(df: DataFrame, objectives: Names, ref: Ref, maximise: Direction = False) -> float:
+    """The volume of one large set of four or more objectives, by :func:`hypervolume_tree`."""
+    return hypervolume_tree(df, objectives, ref, maximise).first()[0]

@@ -104,21 +104,42 @@ def skyline_4d_mixed_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.filter_dominated(order_points(spark, sf_dir), ["price", "quantity", "discount", "tax"], [False, True, True, False], keep_weakly=True)
 
 
+@query("WITH p AS (SELECT l_orderkey, -min(l_extendedprice) AS f1, max(l_extendedprice) AS f2, -max(l_discount) AS f3 FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE " + beats(3) + ")")
+def skyline_3d_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objectives that pull against each other (no order of one line beats another by its lowest and highest price), so that the front is long; merged by cells."""
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("lowest"), F.max("l_extendedprice").alias("highest"), F.max("l_discount").alias("discount"))
+    return dominance.filter_dominated(lines, ["lowest", "highest", "discount"], [True, False, True], keep_weakly=True, merge_rows=500).select("l_orderkey")
+
+
 @query(f"WITH p AS (SELECT p_partkey, p_brand, {COSTS} FROM part) SELECT p_brand, bool_or(EXISTS (SELECT 1 FROM p q WHERE q.p_brand = p.p_brand AND {beats(2, tie='p_partkey')})) AS any_dominated FROM p GROUP BY p_brand")
 def any_dominated_per_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.any_dominated(part(spark, sf_dir), PS, UP, by="p_brand")
 
 
-PAIRS = f"""p AS (SELECT p_brand AS s, p_partkey AS id, {COSTS} FROM part), n AS (SELECT s, count(*) AS n FROM p GROUP BY s),
-w AS (SELECT a.s AS ls, p.s AS rs, p.id, bool_or(a.f1 <= p.f1 AND a.f2 <= p.f2) AS weak, bool_or(a.f1 <= p.f1 AND a.f2 <= p.f2 AND (a.f1 < p.f1 OR a.f2 < p.f2)) AS strict FROM p JOIN p a ON a.s <> p.s GROUP BY a.s, p.s, p.id),
+def comparison(source: str, d: int = 2) -> str:
+    """SQL: ``g``, for each pair of sets whether the left one covers the right one and dominates a point of it, and ``n``, the sets' sizes."""
+    weak = " AND ".join(f"a.f{i} <= p.f{i}" for i in range(1, d + 1))
+    less = " OR ".join(f"a.f{i} < p.f{i}" for i in range(1, d + 1))
+    return f"""p AS ({source}), n AS (SELECT s, count(*) AS n FROM p GROUP BY s),
+w AS (SELECT a.s AS ls, p.s AS rs, p.id, bool_or({weak}) AS weak, bool_or({weak} AND ({less})) AS strict FROM p JOIN p a ON a.s <> p.s GROUP BY a.s, p.s, p.id),
 g AS (SELECT ls, rs, bool_and(weak) AS weak, bool_or(strict) AS strict FROM w GROUP BY ls, rs)"""
 
 
-@query(f"WITH {PAIRS} SELECT a.ls AS left_set, a.rs AS right_set, CASE WHEN a.weak THEN CASE WHEN x.n <> y.n OR a.strict THEN -1 ELSE 0 END WHEN b.weak AND (x.n <> y.n OR b.strict) THEN 1 ELSE 0 END AS better FROM g a JOIN g b ON a.ls = b.rs AND a.rs = b.ls JOIN n x ON x.s = a.ls JOIN n y ON y.s = a.rs")
+BETTER = "SELECT a.ls AS left_set, a.rs AS right_set, CASE WHEN a.weak THEN CASE WHEN x.n <> y.n OR a.strict THEN -1 ELSE 0 END WHEN b.weak AND (x.n <> y.n OR b.strict) THEN 1 ELSE 0 END AS better FROM g a JOIN g b ON a.ls = b.rs AND a.rs = b.ls JOIN n x ON x.s = a.ls JOIN n y ON y.s = a.rs"
+PAIRS = comparison(f"SELECT p_brand AS s, p_partkey AS id, {COSTS} FROM part")
+
+
+@query(f"WITH {PAIRS} {BETTER}")
 def compare_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.compare_sets(part(spark, sf_dir), PS, "p_brand", UP)
 
 
+@query(f"WITH {comparison('SELECT s_nationkey AS s, s_suppkey AS id, -s_acctbal AS f1, CAST(s_suppkey % 7 AS DOUBLE) AS f2, CAST(s_suppkey % 3 AS DOUBLE) AS f3 FROM supplier', 3)} {BETTER}")
+def compare_sets_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = supplier(spark, sf_dir).withColumn("fourth", F.col("s_suppkey") % 3)
+    return dominance.compare_sets(df, ["s_acctbal", "third", "fourth"], "s_nationkey", [True, False, False])
+
+
 @query(f"""WITH b AS (SELECT p_type AS d, p_brand AS s, p_partkey AS id, {COSTS} FROM part), n AS (SELECT d, s, count(*) AS n FROM b GROUP BY d, s),
 w AS (SELECT a.d AS ld, a.s AS ls, p.d AS rd, p.s AS rs, p.id, bool_or(a.f1 <= p.f1 AND a.f2 <= p.f2) AS weak, bool_or(a.f1 <= p.f1 AND a.f2 <= p.f2 AND (a.f1 < p.f1 OR a.f2 < p.f2)) AS strict FROM b p JOIN b a ON a.d <> p.d GROUP BY ALL),
 g AS (SELECT ld, ls, rd, rs, bool_and(weak) AS weak, bool_or(strict) AS strict FROM w GROUP BY ld, ls, rd, rs),
@@ -149,8 +170,8 @@ def pareto_rank_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUPPLIER = "SELECT s_suppkey AS id, -s_acctbal AS f1, CAST(s_nationkey AS DOUBLE) AS f2, CAST(s_suppkey % 7 AS DOUBLE) AS f3 FROM supplier"
 
 
-def ranks(d: int) -> str:
-    return f"p AS ({SUPPLIER}), d AS (SELECT q.id AS better, p.id AS worse FROM p JOIN p q ON {beats(d)}), r(id, lvl) AS (SELECT id, 0 FROM p UNION SELECT d.worse, r.lvl + 1 FROM r JOIN d ON d.better = r.id), k AS (SELECT id, CAST(max(lvl) AS INTEGER) AS rank FROM r GROUP BY id)"
+def ranks(d: int, source: str = SUPPLIER) -> str:
+    return f"p AS ({source}), d AS (SELECT q.id AS better, p.id AS worse FROM p JOIN p q ON {beats(d)}), r(id, lvl) AS (SELECT id, 0 FROM p UNION SELECT d.worse, r.lvl + 1 FROM r JOIN d ON d.better = r.id), k AS (SELECT id, CAST(max(lvl) AS INTEGER) AS rank FROM r GROUP BY id)"
 
 
 def supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +193,16 @@ def pareto_rank_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.pareto_rank_peel(supplier(spark, sf_dir), ["s_acctbal", "s_nationkey"], [True, False]).select("s_suppkey", "rank")
 
 
+CUSTOMER = "SELECT c_custkey AS id, -c_acctbal AS f1, CAST(c_nationkey AS DOUBLE) AS f2, CAST(c_custkey % 11 AS DOUBLE) AS f3 FROM customer"
+
+
+@query(f"WITH RECURSIVE {ranks(3, CUSTOMER)} SELECT id AS c_custkey, rank FROM k")
+def pareto_rank_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group in many tasks, whatever its size."""
+    customers = read(spark, sf_dir, "customer").withColumn("third", F.col("c_custkey") % 11)
+    return rank.pareto_rank(customers, ["c_acctbal", "c_nationkey", "third"], [True, False, False], task_rows=500).select("c_custkey", "rank")
+
+
 @query(f"""WITH RECURSIVE {ranks(2)}, b AS (SELECT p.id, rank, f1, f2 FROM p JOIN k USING (id)),
 m AS (SELECT rank, min(f1) AS l1, max(f1) AS u1, min(f2) AS l2, max(f2) AS u2 FROM b GROUP BY rank),
 s AS (SELECT id, rank, 0.9 * (f1 - l1) / CASE WHEN u1 = l1 THEN 1 ELSE u1 - l1 END AS x, 0.9 * (f2 - l2) / CASE WHEN u2 = l2 THEN 1 ELSE u2 - l2 END AS y FROM b JOIN m USING (rank)),
@@ -593,8 +624,7 @@ FOUR = "SELECT s_suppkey AS id, -s_acctbal AS f1, CAST(s_nationkey AS DOUBLE) AS
 s AS (SELECT c, h, d, g, f1, f2 FROM p JOIN z ON f3 <= c JOIN y ON f4 <= d), v AS ({staircase('s', 'c, h, d, g', '10000', '26')}) SELECT round(sum(hypervolume * h * g), 2) AS hypervolume FROM v""")
 def hv_4d_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = supplier(spark, sf_dir).withColumn("fourth", F.col("s_suppkey") % 5)
-    v = hypervolume.hypervolume_parallel(four, ["s_acctbal", "s_nationkey", "third", "fourth"], [-10000.0, 26.0, 7.0, 5.0], [True, False, False, False])
-    return spark.createDataFrame([(round(v, 2),)], "hypervolume double")
+    return hypervolume.hypervolume_tree(four, ["s_acctbal", "s_nationkey", "third", "fourth"], [-10000.0, 26.0, 7.0, 5.0], [True, False, False, False]).select(r("hypervolume", 2))
 
 
 @query(f"""WITH p AS ({SUPPLIER}), n AS (SELECT *, count(*) OVER (PARTITION BY f1, f2, f3) AS times FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE {beats(3)})), z AS (SELECT f3 AS c, coalesce(lead(f3) OVER (ORDER BY f3), 7) - f3 AS h FROM (SELECT DISTINCT f3 FROM p)),

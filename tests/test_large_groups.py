@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyfront.functions import kernels
 from skyfront.functions.numbering import numbered
-from skyfront.operators import attainment, dominance, fronts, rank
+from skyfront.operators import attainment, dominance, fronts, hypervolume, rank
 
 
 def cloud(spark, d, n=900, seed=0):
@@ -133,6 +133,27 @@ def test_skyline_of_three_objectives():
         assert kernels.skyline(x).tolist() == np.flatnonzero(~(low & (less | (np.arange(len(x))[:, None] < np.arange(len(x))[None]))).any(0)).tolist()
 
 
+@pytest.mark.parametrize(("d", "sizes"), [(4, {}), (4, {"block": 7, "split": 3}), (5, {"block": 9, "split": 2}), (6, {"block": 50, "split": 4})])
+def test_hypervolume_as_a_tree_of_tasks(spark, d, sizes):
+    rng = np.random.default_rng(9)
+    rows = [(g, *map(float, np.round(rng.random(d), 2))) for g in ("a", None) for _ in range(60)] + [("far", *[2.0] * d)]
+    names = [f"y{i}" for i in range(d)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in names))
+    got = {r["g"]: r["hypervolume"] for r in hypervolume.hypervolume_tree(df, names, 0.9, by="g", **sizes).collect()}
+    for g in ("a", None, "far"):
+        assert got[g] == pytest.approx(kernels.hypervolume(np.array([r[1:] for r in rows if r[0] == g]), np.full(d, 0.9)))
+    assert hypervolume.hypervolume_parallel(df, names, 0.9) == pytest.approx(kernels.hypervolume(np.array([r[1:] for r in rows]), np.full(d, 0.9)))
+
+
+@pytest.mark.parametrize("keep_weakly", [False, True])
+def test_any_dominated_goes_on_where_the_strongest_row_tells_nothing(spark, keep_weakly):
+    sets = {"no": [(0, 3), (3, 0)], "by the best": [(0, 0), (1, 1)], "by another": [(0, 0.5), (5, -1), (6, -0.5)], "equal": [(0, 1), (1, 0), (1, 0)], None: [(1, 1)], "equal best": [(0, 0), (0, 0)]}
+    df = spark.createDataFrame([(g, float(x), float(y)) for g, points in sets.items() for x, y in points], "g string, x double, y double")
+    want = dict.fromkeys(sets, False) | {"by the best": True, "by another": True, "equal": not keep_weakly, "equal best": not keep_weakly}
+    assert {r["g"]: r["any_dominated"] for r in dominance.any_dominated(df, ["x", "y"], keep_weakly=keep_weakly, by="g").collect()} == want
+    assert [r[0] for r in dominance.any_dominated(df, ["x", "y"], keep_weakly=keep_weakly).collect()] == [True]
+
+
 def test_names_of_the_caller_stay(spark):
     """Columns called as ours are handed back unchanged; one called as the result is replaced."""
     rows = [(float(i % 4), float(-i), 7, 8, "n", 9, 1.5) for i in range(12)]
