@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.folders import materialize
-from ..functions.points import Direction, Names, Points, all_of, match
+from ..functions.numbering import numbered
+from ..functions.points import Direction, Names, Points, match, small
 from .dominance import skyline_points
 from .fronts import cells
 from .hypervolume import front_volumes, hypervolume
@@ -28,9 +29,20 @@ def level_of(percentile: float, n: int) -> int:
 
 #: Grid columns that one row is spread over at a time; points of a block of three-objective surfaces, and its most blocks.
 SPREAD = 4096
+#: Distinct first objectives of a group that one task sorts.
+COLUMNS_A_TASK = 200_000
 BLOCK_POINTS, MOST_BLOCKS = 2_000, 64
 
 
+def _columns(xs: DataFrame, by: list[str], x: str) -> DataFrame:
+    """Distinct first objectives with their place ``_from`` in the group and their number ``_columns``; by ranges of values, unless a task can sort a group's."""
+    counts = xs.groupBy(*by).agg(F.count("*").alias("_columns"))
+    if (counts.agg(F.max("_columns")).first()[0] or 0) > COLUMNS_A_TASK:
+        return match(numbered(xs, [x], by, "_from"), small(materialize(counts)), by)
+    group = Window.partitionBy(*by)
+    return xs.withColumn("_from", F.row_number().over(group.orderBy(x))).withColumn("_columns", F.count("*").over(group))
+
+
 def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: Names = (), blank: bool = False) -> DataFrame:
     """Rows for each column of a group's grid, the columns being its sets' first objectives, numbered ``_i`` in their order.
 
@@ -39,11 +51,10 @@ def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry:
     ``blank``: also rows without ``_v`` for the sets that attain nothing yet (``_cell`` 0, ``_kept`` 0).
 
     Sets are first reduced to their fronts.  A front point is spread over the columns up to the set's next one, so no
-    column is joined with the sets; the column numbers come from one sort of a group's distinct first objectives.
+    column is joined with the sets.
     """
-    front = skyline_points(costs, [*by, sets, *carry], names)
-    group = Window.partitionBy(*by)
-    xs = front.select(*by, names[0]).distinct().withColumn("_from", F.row_number().over(group.orderBy(names[0]))).withColumn("_columns", F.count("*").over(group))
+    front = materialize(skyline_points(costs, [*by, sets, *carry], names))
+    xs = _columns(front.select(*by, names[0]).distinct(), by, names[0])
     own = Window.partitionBy(*by, sets, *carry).orderBy("_from")
     runs = match(front, xs, [*by, names[0]]).withColumn("_to", F.coalesce(F.lead("_from").over(own) - 1, "_columns").cast("int")).withColumn("_was", F.lag(names[1]).over(own))
     run = lambda lo, hi, v, cell, kept: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), v.cast("double").alias("_v"), F.lit(cell).alias("_cell"), F.lit(kept).alias("_kept"))

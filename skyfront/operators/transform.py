@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.points import Direction, Names, Points, all_of, match, parse_maximise, parse_point
+from ..functions.folders import materialize
+from ..functions.numbering import numbered
+from ..functions.points import Direction, Names, Points, all_of, match, parse_maximise, parse_point, small
 
 
 def transform_maximise(df: DataFrame, objectives: Names, maximise: Direction) -> DataFrame:
@@ -72,8 +74,8 @@ def rbind_datasets(x: DataFrame, y: DataFrame, sets: str = "set_id") -> DataFram
 
 def numbered_sets(df: DataFrame, sets: str, into: str = "set_id") -> DataFrame:
     """Labels as numbers from 1, in order."""
-    labels = df.select(sets).distinct().withColumn(into, F.row_number().over(Window.orderBy(sets)).cast("long"))
-    return df.join(F.broadcast(labels), sets)
+    labels = numbered(df.select(sets).distinct(), [sets], name=into)
+    return df.join(small(materialize(labels)), sets)
 
 
 def as_points(df: DataFrame, objectives: Names) -> DataFrame:

@@ -507,9 +507,9 @@ def whv_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.whv_rect(minimised(spark, sf_dir), rectangles(spark), PS, [R1, R2], "p_type").select("p_type", r("whv", 4))
 
 
-@query(f"WITH {WHV}, v AS ({staircase('p', 'p_type')}), i AS (SELECT abs(({R1} - min(f1)) * ({R2} - min(f2))) AS box FROM p) SELECT p_type, round(hypervolume + 0.1 * box * whv, 0) AS total_whv FROM v JOIN w USING (p_type), i")
+@query(f"WITH {WHV}, v AS ({staircase('p', 'p_type')}), i AS (SELECT abs(({R1} - min(f1)) * ({R2} - min(f2))) AS box FROM p) SELECT p_type, round(hypervolume + 0.1 * box * whv, 4) AS total_whv FROM v JOIN w USING (p_type), i")
 def total_whv_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted.total_whv_rect(minimised(spark, sf_dir), rectangles(spark), PS, [R1, R2], by="p_type").select("p_type", r("total_whv", 0))
+    return weighted.total_whv_rect(minimised(spark, sf_dir), rectangles(spark), PS, [R1, R2], by="p_type").select("p_type", r("total_whv", 4))
 
 
 @query(f"WITH {BRANDS}, {surfaces('p')}, f AS (SELECT t, x AS f1, m AS f2 FROM e), v AS ({staircase('f', 't')}) SELECT CAST(t AS INTEGER) AS level, round(hypervolume, 4) AS hypervolume FROM v")
@@ -546,12 +546,19 @@ def hv_approx_rphi_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _approx(method: str) -> Query:
-    return lambda spark, sf_dir: approx.hv_approx(three(spark, sf_dir), [*PS, "third"], [*REF, 30.0], [*UP, False], seed=42, method=method, by="p_type")
+    return lambda spark, sf_dir: approx.hv_approx(three(spark, sf_dir), [*PS, "third"], [*REF, 30.0], [*UP, False], seed=42, method=method, by="p_type").select("p_type", r("hypervolume", 3))
 
 
 for _name, _method in (("hv_approx_rphi", "Rphi-FWE+"), ("hv_approx_hw", "DZ2019-HW"), ("hv_approx_mc", "DZ2019-MC")):
     QUERIES[_name] = _approx(_method)
 
+#: Directions of the additive sequence in three objectives: the first coordinate is uniform, the others turn around it.
+SQL["hv_approx_rphi"] = f"""WITH p AS (SELECT p_type, p_retailprice AS f1, -CAST(p_size AS DOUBLE) AS f2, CAST(p_partkey % 37 AS DOUBLE) AS f3 FROM part WHERE p_retailprice < {R1} AND p_size > {-R2} AND p_partkey % 37 < 30),
+f AS (SELECT DISTINCT p_type, {R1} - f1 AS z1, {R2} - f2 AS z2, 30 - f3 AS z3 FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.p_type = p.p_type AND {beats(3)})),
+u AS (SELECT i, (0.5 + (i + 1) * ((1 / 1.324717957244746::DOUBLE) % 1.0)) % 1.0 AS a, pi() / 2 * ((0.5 + (i + 1) * ((1 / (1.324717957244746::DOUBLE * 1.324717957244746::DOUBLE)) % 1.0)) % 1.0) AS t FROM range(262144) g(i)),
+w AS (SELECT i, a, sqrt(1 - a * a) * sin(t) AS b, sqrt(1 - a * a) * cos(t) AS c FROM u), m AS (SELECT p_type, i, max(least(z1 / a, z2 / b, z3 / c)) AS m FROM f, w GROUP BY p_type, i),
+v AS (SELECT p_type, sum(m * m * m) / 262144 * pi() / 6 AS v FROM m GROUP BY p_type) SELECT p_type, round(coalesce(v, 0), 3) AS hypervolume FROM (SELECT DISTINCT p_type FROM part) LEFT JOIN v USING (p_type)"""
+
 
 def _hype(dist: str, mu: object) -> Query:
     return lambda spark, sf_dir: approx.whv_hype(minimised(spark, sf_dir), PS, [R1, R2], [900.0, -50.0], seed=42, dist=dist, mu=mu, by="p_type")
@@ -574,6 +581,14 @@ def read_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_sets.read_datasets(spark, f"{path}/*.txt", PS).select(*PS)
 
 
+@query("SELECT p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def split_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets written with padded numbers and read in the pieces that Spark cuts files into."""
+    path = f"{shared_folder(spark)}/skyfront-padded-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    text_sets.write_datasets(part(spark, sf_dir), path, PS, "p_brand", number=text_sets.PADDED)
+    return text_sets.read_split_sets(spark, path, PS).select(*PS)
+
+
 # --- batch jobs and three objectives
 
 

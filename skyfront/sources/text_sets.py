@@ -9,10 +9,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.points import Names
+from ..functions.folders import materialize
+from ..functions.points import Names, small
 
 #: Names of the errors, by code.
 ERRORS = ("NO_ERROR", "READ_INPUT_FILE_EMPTY", "READ_INPUT_WRONG_INITIAL_DIM", "ERROR_FOPEN", "ERROR_CONVERSION", "ERROR_COLUMNS")
@@ -96,20 +98,88 @@ def read_datasets(spark: SparkSession, path: str | io.StringIO, objectives: Name
     return out if per_file else out.drop("file")
 
 
-def sets_as_text(df: DataFrame, objectives: Names, sets: str = "set_id") -> DataFrame:
-    """(set, value): each set's rows as the lines of a text, ordered by the objectives; a set is a unit."""
-    line = F.concat_ws(" ", *(F.col(c).cast("double").cast("string") for c in objectives))
-    rows = df.groupBy(sets).agg(F.sort_array(F.collect_list(F.struct(*(F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(objectives)), line.alias("line")))).alias("r"))
-    return rows.select(sets, F.concat(F.array_join(F.transform("r", lambda r: r["line"]), "\n"), F.lit("\n")).alias("value"))
+def read_split_sets(spark: SparkSession, path: str, objectives: Names | None = None, per_file: bool = False) -> DataFrame:
+    """:func:`read_datasets` for files of any size: a file is read in as many pieces as Spark cuts it into.
 
-
-def write_datasets(df: DataFrame, path: str, objectives: Names, sets: str = "set_id", keep: Column | str | None = None) -> None:
+    Each piece numbers the sets that begin in it and tells whether its first and last lines are rows; a running sum over a
+    file's pieces, a row each, then gives every set its number, and joins the set that goes on across two pieces.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tell(rows: list[tuple]) -> pa.RecordBatch:
+            columns = [*zip(*rows, strict=True)] or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], schema.names)
+
+        schema = pa.schema([("file", pa.string()), ("piece", pa.int64()), ("local", pa.int64()), ("row", pa.list_(pa.float64())), ("begins", pa.bool_()), ("ends", pa.bool_())])
+        kinds, at, local, begins, ends = schema.types, None, 0, False, False
+        for batch in batches:
+            rows = []
+            for file, piece, line in zip(*(batch.column(c).to_pylist() for c in ("file", "piece", "value")), strict=True):
+                tokens = line.split()
+                is_row = bool(tokens) and not tokens[0].startswith("#")
+                if (file, piece) != at:
+                    if at is not None:
+                        rows.append((*at, local, None, begins, ends))
+                    at, local, begins, ends = (file, piece), 0, is_row, is_row
+                elif is_row and not ends:
+                    local += 1
+                ends = is_row
+                if is_row:
+                    rows.append((file, piece, local, [_number(t) for t in tokens], None, None))
+            yield tell(rows)
+        if at is not None:
+            yield tell([(*at, local, None, begins, ends)])
+
+    parsed = materialize(lines.mapInArrow(run, "file string, piece long, local long, row array<double>, begins boolean, ends boolean"))
+    rows = parsed.where("row IS NOT NULL")
+    least, most = rows.agg(F.min(F.size("row")), F.max(F.size("row"))).first()
+    if least is None:
+        raise ReadDatasetsError(1)
+    if least != most:
+        raise ReadDatasetsError(5)
+    names = list(objectives or [f"f{i + 1}" for i in range(least)])
+    if len(names) != least:
+        raise ReadDatasetsError(2)
+    in_order = Window.partitionBy("file").orderBy("piece")
+    new = (F.col("begins") & ~F.coalesce(F.lag("ends").over(in_order), F.lit(False))).cast("long")
+    pieces = parsed.where("row IS NULL").withColumn("new", new)
+    before = F.coalesce(F.sum(F.col("local") + F.col("new")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("file", "piece", (before + F.col("new")).alias("before"))
+    numbered_rows = rows.drop("begins", "ends").join(small(materialize(pieces)), ["file", "piece"])
+    values = [F.col("row")[i].alias(n) for i, n in enumerate(names)]
+    return numbered_rows.select(*values, (F.col("before") + F.col("local")).alias("set_id"), *(["file"] if per_file else []))
+
+
+#: Fixed value: the padded number format.
+PADDED = "%-22.15g"
+
+
+def write_datasets(df: DataFrame, path: str, objectives: Names, sets: str = "set_id", keep: Column | str | None = None, number: str | None = None) -> None:
     """Text files of sets, in order of their labels; each set is headed by the names and followed by a blank line.
 
-    ``keep``: a condition; only rows for which it is true are written, and no set without any.
+    ``keep``: a condition; only rows for which it is true are written, and no set without any.  ``number``: a printf format
+    (:data:`PADDED`); by default a number is as short as it can be.  A set's rows stand in one file, by their objectives; they are sorted and written as a
+    stream, and never held together.
     """
     df = df if keep is None else df.where(keep)
-    head = F.lit("# " + " ".join(objectives) + "\n")
-    text = sets_as_text(df, objectives, sets)
-    ordered = text.repartitionByRange(sets).sortWithinPartitions(sets)
-    ordered.select(F.concat(head, F.col("value")).alias("value")).write.mode("overwrite").text(path)
+    rows = df.select(F.col(sets).alias("_set"), *(F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(objectives)))
+    values = [f"_v{i}" for i in range(len(objectives))]
+    ordered = rows.repartitionByRange("_set").sortWithinPartitions("_set", *values)
+    ordered = ordered.select("_set", *(F.col(v).cast("string").alias(v) for v in values) if number is None else values)
+    head = "# " + " ".join(objectives)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, last = False, None
+        for batch in batches:
+            labels, columns, lines = batch.column("_set").to_pylist(), [batch.column(v).to_pylist() for v in values], []
+            for label, row in zip(labels, zip(*columns, strict=True), strict=True):
+                if not begun or label != last:
+                    lines += ["", head] if begun else [head]
+                    begun, last = True, label
+                lines.append(" ".join(row if number is None else (number % v for v in row)))
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([""])], ["value"])
+
+    ordered.mapInArrow(run, "value string").write.mode("overwrite").text(path)

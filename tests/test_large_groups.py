@@ -82,6 +82,16 @@ def test_surfaces_in_blocks(spark):
     assert sorted(map(str, attainment._eaf3(df, [], "_set", names, None, 10).collect())) == one
 
 
+def test_columns_are_numbered_by_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame([(g, k, float(x), float(y)) for g in ("a", None) for k in range(6) for x, y in rng.integers(0, 30, (8, 2))], "g string, s long, x double, y double")
+    for groups in ((), ("g",)):
+        whole = sorted(map(str, attainment.eaf(df, ["x", "y"], "s", groups=groups).collect()))
+        monkeypatch.setattr(attainment, "COLUMNS_A_TASK", 5)
+        assert sorted(map(str, attainment.eaf(df, ["x", "y"], "s", groups=groups).collect())) == whole
+        monkeypatch.undo()
+
+
 def brute_comparison(left, right, same):
     def wins(a, b):
         low = (a[:, None] <= b[None]).all(2)

@@ -322,3 +322,38 @@ def test_large_reference_sets_give_the_same(spark, monkeypatch):
         assert all(np.allclose(trees[s], dealt[s], rtol=1e-12) for s in trees) and np.allclose(whole, at_once, rtol=1e-12)
     assert distance.indicators(df.limit(0), ref, ["x", "y", "z"], by="s", names=names).count() == 0
     assert distance.indicators(df, ref.limit(0), ["x", "y", "z"], by="s", names=names).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_files_are_read_in_pieces(spark, tmp_path, seed):
+    """Sets keep their numbers wherever Spark cuts a file, also inside a set, a comment or a run of blank lines."""
+    rng = np.random.default_rng(seed)
+    for k in range(2):
+        lines = []
+        for _ in range(rng.integers(5, 30)):
+            lines += [["", "# a comment", " "][rng.integers(3)] for _ in range(rng.integers(0, 3))]
+            lines += [f"{rng.random():.3f} {i}" for i in range(rng.integers(0, 6))]
+        (tmp_path / f"{k}.txt").write_text("\n".join([*lines, "1 2"]) + "\n" * int(rng.integers(0, 2)))
+    order = lambda df: sorted(map(tuple, df.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = text_sets.read_split_sets(spark, str(tmp_path), ["a", "b"])
+        assert order(got) == order(text_sets.read_datasets(spark, str(tmp_path), ["a", "b"]))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_padded_numbers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.1, 1e300), (1, -2.0, 1 / 3), (2, 5.0, 6.0)], "set_id long, a double, b double")
+    text_sets.write_datasets(df, str(tmp_path / "out"), ["a", "b"], number=text_sets.PADDED)
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().split("\n") if x and x[0] != "#"]
+    assert sorted(lines) == sorted(f"{a:<22.15g} {b:<22.15g}" for _, a, b in df.collect())
+    assert sorted(map(tuple, text_sets.read_split_sets(spark, str(tmp_path / "out"), ["a", "b"]).select("a", "b").collect())) == [(-2.0, 0.333333333333333), (0.1, 1e300), (5.0, 6.0)]
+    (tmp_path / "ragged").write_text("1 2\n3\n")
+    (tmp_path / "none").write_text("# nothing\n\n")
+    for name, code in (("ragged", 5), ("none", 1)):
+        with pytest.raises(text_sets.ReadDatasetsError) as e:
+            text_sets.read_split_sets(spark, str(tmp_path / name))
+        assert e.value.error == code
