@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 ESCAPE = "⁠"
 START, END = "<|im_start|>", "<|im_end|>\n"
-#: Heads of the control strings of common templates; each is broken after its first character.
-CONTROL = re.compile(r"<\|[A-Za-z_]+\|>|</?s>|\[/?INST\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>")
+#: Control strings of common templates by their shapes (``<|...|>``, ``[UPPER_CASE]`` and ``<tool_...>`` among them); each is broken after its first character.
+CONTROL = re.compile(r"<\|[A-Za-z0-9_]+\|>|</?s>|\[/?[A-Z][A-Z_]*\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>|</?tool_[a-z]+>")
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 

@@ -16,7 +16,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    first = F.round(F.get("copies", F.lit(0))["position"], 9).alias("position")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", first, F.size("copies").cast("long").alias("copies"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,12 +93,18 @@ r AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio FROM w),
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
          / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS level FROM r),
 water AS (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, key LIMIT 1),
-t AS (SELECT key, source_size, least(CAST(cap AS DOUBLE), water.level * w) AS target FROM l, water),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY key ORDER BY hash, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+t AS (SELECT key, source_size, rank, least(CAST(cap AS DOUBLE), water.level * w) AS target FROM l, water),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY key ORDER BY hash, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+i AS (SELECT *, start / greatest(target, 1.0) AS demand, floor(target + 0.5) - start AS left_ FROM p JOIN t USING (key)),
+-- the demand that a schedule has built up by a time, inverted: sources fade from 1.2 to 0.8, stay, or rise from 0.6 to 1.4
+q AS (SELECT *, CASE WHEN demand >= 1 OR rank % 3 = 1 THEN demand
+    WHEN rank % 3 = 0 AND demand < 0.55 THEN (sqrt(1.44 - 0.8 * demand) - 1.2) / -0.4 WHEN rank % 3 = 0 THEN 0.5 + (sqrt(1 - 0.8 * (demand - 0.55)) - 1) / -0.4
+    WHEN demand < 0.4 THEN (sqrt(0.36 + 1.6 * demand) - 0.6) / 0.8 ELSE 0.5 + (sqrt(1 + 1.6 * (demand - 0.4)) - 1) / 0.8 END AS at_time FROM i)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, floor(target + 0.5) - start)) + greatest(0, least(size, floor(target + 0.5) - start - source_size))
-            + greatest(0, least(size, floor(target + 0.5) - start - 2 * source_size)) AS BIGINT) AS taken
-FROM p JOIN t USING (key)
+       CAST(greatest(0, least(size, left_)) + greatest(0, least(size, left_ - source_size)) + greatest(0, least(size, left_ - 2 * source_size)) AS BIGINT) AS taken,
+       CASE WHEN size > 0 AND left_ > 0 THEN round(at_time, 9) END AS position,
+       CAST(CASE WHEN size > 0 THEN (left_ > 0)::INT + (left_ > source_size)::INT + (left_ > 2 * source_size)::INT ELSE 0 END AS BIGINT) AS copies
+FROM q
 """
 
 OP3_SQL = r"""
@@ -105,7 +112,7 @@ WITH c AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c),
 f AS (SELECT *, length(text) + length(text) - length(replace(text, chr(8288), ''))
-    + len(regexp_extract_all(text, '<\|[A-Za-z_]+\|>|</?s>|\[/?INST\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>')) AS escaped_chars FROM t)
+    + len(regexp_extract_all(text, '<\|[A-Za-z0-9_]+\|>|</?s>|\[/?[A-Z][A-Z_]*\]|<</?SYS>>|<(?:start|end)_of_turn>|<(?:bos|eos|pad|unk)>|</?tool_[a-z]+>')) AS escaped_chars FROM t)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

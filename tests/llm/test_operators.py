@@ -334,6 +334,12 @@ def test_ids_come_back_bit_for_bit(spark, run):
     assert run(df.limit(0), spark).count() == 0
 
 
+@pytest.mark.parametrize("text", ["<|reserved_special_token_0|>", "[AVAILABLE_TOOLS]", "[/TOOL_CALLS]", "<tool_call>", "</tool_response>", "<|im_start|>"])
+def test_control_strings_are_broken(text):
+    broken = chat_format.escape(f"a {text} b")
+    assert text not in broken and chat_format.unescape(broken) == f"a {text} b"
+
+
 def test_chat_ids_come_back_bit_for_bit(spark):
     rows = [(i, 0, "user", "ok") for i in (1152921504606846977, 1152921504606846978, None)]
     got = chat_format.digest(chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)))
