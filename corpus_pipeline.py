@@ -61,7 +61,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: SQL can't express the classifier; tests hold each stage against a plain version.
+#: SQL can't express the classifier; tests hold it against labels and each other stage against a plain version.
 ORACLE_SQL = None
 
 
