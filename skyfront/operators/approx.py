@@ -20,8 +20,8 @@ CHUNK = 16_384
 def hv_approx(df: DataFrame, objectives: Names, ref: float | Sequence[float], maximise: Direction = False, nsamples: int = 262_144, seed: int | None = None, method: str = "Rphi-FWE+", by: Names | str = ()) -> DataFrame:
     """One row per group: the hypervolume estimated from rays in ``nsamples`` directions.
 
-    The two quasi-random methods deal (group, chunk of directions) out as tasks.  ``DZ2019-MC`` draws one stream for a
-    seed, so a group is one task there.
+    (group, chunk of directions) pairs are tasks.  ``DZ2019-MC`` draws one stream for a seed: a task begins where its chunk does
+    (:func:`kernels.skip_normal`), so the estimate is that of one stream however it is dealt out.
     """
     p = Points.of(objectives, maximise, by)
     if method not in METHODS:
@@ -33,7 +33,7 @@ def hv_approx(df: DataFrame, objectives: Names, ref: float | Sequence[float], ma
     point, d = p.point(ref), p.d
     front = fronts_below(df, p, point).select(*p.by, F.array(*(F.lit(r) - F.col(n) for n, r in zip(p.names, point, strict=True))).alias("z"))
     groups = front.groupBy(*p.by).agg(F.collect_list("z").alias("z")).where(F.size("z") > 0)
-    chunk = nsamples if method == "DZ2019-MC" else CHUNK
+    chunk = 4 * CHUNK if method == "DZ2019-MC" else CHUNK
     starts = F.sequence(F.lit(0).cast("long"), F.lit(nsamples - 1).cast("long"), F.lit(chunk).cast("long"))
     tasks = groups.select(*p.by, "z", F.explode(starts).alias("start"))
     tasks = tasks.repartition(max(1, min(200, 2 * df.sparkSession.sparkContext.defaultParallelism)), *p.by, "start")
@@ -50,7 +50,7 @@ def hv_approx(df: DataFrame, objectives: Names, ref: float | Sequence[float], ma
                 elif method == "DZ2019-HW":
                     w = kernels.lattice_directions(d, nsamples, start, n)
                 else:
-                    w = kernels.normal_directions(d, kernels.legacy_rng(seed), n)
+                    w = kernels.normal_directions(d, kernels.skip_normal(kernels.legacy_rng(seed), start, d), n)
                 sums.append(kernels.mean_power(np.array([*z], float), w))
             yield pdf[keep].assign(_s=sums)
 
@@ -76,8 +76,8 @@ def rphi_2d(df: DataFrame, objectives: Names, ref: float | Sequence[float], maxi
 def whv_hype(df: DataFrame, objectives: Names, ref: float | Sequence[float], ideal: float | Sequence[float], maximise: Direction = False, nsamples: int = 100_000, seed: int | None = None, dist: str = "uniform", mu: float | Sequence[float] | None = None, by: Names | str = ()) -> DataFrame:
     """One row per group: the volume weighted by a distribution of samples, two objectives.
 
-    Samples are drawn once for all groups from one stream for the seed, between ``ideal`` and ``ref``; the
-    estimate is the share of samples that a group's points weakly dominate, times the volume of the box.
+    Samples are one stream for the seed, between ``ideal`` and ``ref``, the same for all groups; (group, chunk of samples) pairs are tasks, each of which
+    begins the stream where its chunk does.  The estimate is the share of samples that a group's points weakly dominate, times the volume of the box.
     """
     p = Points.of(objectives, maximise, by)
     if p.d != 2:
@@ -85,37 +85,40 @@ def whv_hype(df: DataFrame, objectives: Names, ref: float | Sequence[float], ide
     if dist not in ("uniform", "exponential", "point"):
         raise ValueError(f"unknown distribution {dist!r}")
     high, low = np.array(p.point(ref)), np.array(p.point(ideal, "ideal"))
-    rng = kernels.legacy_rng(int(np.random.default_rng().integers(1 << 31)) if seed is None else seed)
-    if dist == "uniform":
-        samples = rng.random((nsamples, 2))
-    elif dist == "exponential":
-        rate = 0.2 if mu is None else float(mu)
-        half = nsamples // 2
-        samples = np.empty((nsamples, 2))
-        draws = rng.random((nsamples, 2))
-        first, second = draws[:half], draws[half:]
-        samples[:half, 0], samples[:half, 1] = -rate * np.log(first[:, 0]), first[:, 1]
-        samples[half:, 0], samples[half:, 1] = second[:, 0], -rate * np.log(second[:, 1])
-    else:
-        centre = (np.array(p.point(mu, "mu")) - low) / (high - low)
-        shared = rng.standard_normal((nsamples, 2))[:, 0]
-        samples = centre + 0.25 * shared[:, None]
-    front = fronts_below(df, p, p.point(ref)).groupBy(*p.by).agg(F.collect_list(F.array(*p.names)).alias("z"))
-    shared_samples = df.sparkSession.sparkContext.broadcast(samples)
+    seed = int(np.random.default_rng().integers(1 << 31)) if seed is None else seed
+    rate = 0.2 if mu is None or dist != "exponential" else float(mu)
+    centre = (np.array(p.point(mu, "mu")) - low) / (high - low) if dist == "point" else None
+    front = fronts_below(df, p, p.point(ref)).groupBy(*p.by).agg(F.collect_list(F.array(*p.names)).alias("z")).where(F.size("z") > 0)
+    starts = F.sequence(F.lit(0).cast("long"), F.lit(nsamples - 1).cast("long"), F.lit(4 * CHUNK).cast("long"))
+    tasks = front.select(*p.by, "z", F.explode(starts).alias("start"))
+    tasks = tasks.repartition(max(1, min(200, 2 * df.sparkSession.sparkContext.defaultParallelism)), *p.by, "start")
     keep = list(p.by)
 
+    def samples(start: int, n: int) -> np.ndarray:
+        rng = kernels.legacy_rng(seed)
+        if dist == "point":
+            return centre + 0.25 * kernels.skip_normal(rng, start, 2).standard_normal((n, 2))[:, :1]
+        for at in range(0, start, CHUNK):
+            rng.random((min(CHUNK, start - at), 2))
+        out = rng.random((n, 2))
+        if dist == "exponential":  # the first half of the stream along the one axis, the second along the other
+            first = np.arange(start, start + n) < nsamples // 2
+            out[first, 0], out[~first, 1] = -rate * np.log(out[first, 0]), -rate * np.log(out[~first, 1])
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = shared_samples.value
+        drawn: dict[int, np.ndarray] = {}
         for pdf in batches:
             out = []
-            for z in pdf["z"]:
-                x = (np.array([*z], float) - low) / (high - low)
-                order = np.argsort(x[:, 0], kind="stable")
-                x = x[order]
+            for z, start in zip(pdf["z"], pdf["start"], strict=True):
+                if start not in drawn:
+                    drawn = {start: samples(start, min(4 * CHUNK, nsamples - start))}
+                s, x = drawn[start], (np.array([*z], float) - low) / (high - low)
+                x = x[np.argsort(x[:, 0], kind="stable")]
                 at = np.searchsorted(x[:, 0], s[:, 0], "right") - 1
-                covered = (at >= 0) & (np.minimum.accumulate(x[:, 1])[np.maximum(at, 0)] <= s[:, 1])
-                out.append(float(covered.mean() * np.prod(high - low)))
-            yield pdf[keep].assign(hypervolume=out)
+                out.append(int(((at >= 0) & (np.minimum.accumulate(x[:, 1])[np.maximum(at, 0)] <= s[:, 1])).sum()))
+            yield pdf[keep].assign(_hits=out)
 
-    schema = ", ".join([*(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in keep), "hypervolume double"])
-    return _all_groups(df, front.mapInPandas(run, schema), p)
+    schema = ", ".join([*(f"`{c}` {front.schema[c].dataType.simpleString()}" for c in keep), "_hits long"])
+    share = F.sum("_hits") / F.lit(nsamples) * F.lit(float(np.prod(high - low)))
+    return _all_groups(df, tasks.mapInPandas(run, schema).groupBy(*keep).agg(share.alias("hypervolume")), p)

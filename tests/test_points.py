@@ -207,6 +207,17 @@ def test_hype(spark):
         assert one(approx.whv_hype(frame(spark, [point]), XY, 4, 1, seed=42, dist=kind, mu=mu)) == pytest.approx(want, abs=1e-5), (point, kind)
 
 
+def test_streams_are_the_same_however_dealt_out(spark, monkeypatch):
+    df = frame(spark, [(2, 2, "a"), (3, 1, "a"), (3, 3, "b")], ", s string")
+    runs = [lambda: approx.hv_approx(df, XY, 10, seed=7, nsamples=1000, method="DZ2019-MC", by="s")]
+    runs += [lambda k=k, mu=mu: approx.whv_hype(df, XY, 4, 1, seed=7, nsamples=1001, dist=k, mu=mu, by="s") for k, mu in (("uniform", None), ("exponential", 0.3), ("point", [2.9, 0.9]))]
+    table = lambda f: {r["s"]: r["hypervolume"] for r in f().collect()}
+    whole = [table(f) for f in runs]
+    monkeypatch.setattr(approx, "CHUNK", 33)
+    for f, want in zip(runs, whole, strict=True):
+        assert table(f) == pytest.approx(want, rel=1e-12)
+
+
 def test_approximations(spark):
     df = frame(spark, HV4)
     for method, want in (("Rphi-FWE+", 37.99998), ("DZ2019-HW", 37.99996), ("DZ2019-MC", 38.00081)):
