@@ -671,6 +671,31 @@ def hv_in_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT p_type, round(hv(array(p_retailprice, p_size), array({R1}D, {R2}D)), 4) AS hypervolume FROM skyfront_part GROUP BY p_type")
 
 
+SQL["hv_two_phases_in_sql"] = SQL["hv_in_sql_text"]
+
+
+def hv_two_phases_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fronts where the rows are, then a volume a group, in SQL text."""
+    from ..functions.sql import register
+
+    register(spark)
+    minimised(spark, sf_dir).createOrReplaceTempView("skyfront_part")
+    fronts = "SELECT * FROM set_front(TABLE(SELECT p_type, array(p_retailprice, p_size) FROM skyfront_part))"
+    return spark.sql(f"SELECT label AS p_type, round(hypervolume, 4) AS hypervolume FROM set_hv(TABLE({fronts}) PARTITION BY (label), array({R1}D, {R2}D))")
+
+
+QUERIES["hv_two_phases_in_sql"] = hv_two_phases_in_sql
+
+
+@query(f"WITH {BRANDS}, {surfaces('p', 'p_type')} SELECT p_type AS label, x, m AS y, CAST(t AS INTEGER) AS level FROM e")
+def eaf_in_sql_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.sql import register
+
+    register(spark)
+    minimised(spark, sf_dir).createOrReplaceTempView("skyfront_part")
+    return spark.sql("SELECT * FROM set_eaf(TABLE(SELECT p_type, p_brand, array(p_retailprice, p_size) AS point FROM skyfront_part) PARTITION BY (p_type) ORDER BY (point[0]))")
+
+
 @query(f"WITH p AS (SELECT p_partkey, p_brand, p_retailprice, p_size, {COSTS} FROM part) SELECT DISTINCT p_brand, p_retailprice, p_size FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.p_brand = p.p_brand AND {beats(2)})")
 def streaming_skyline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyfront.functions import kernels
+from skyfront.functions import kernels, sql
 from skyfront.functions.numbering import numbered
 from skyfront.operators import attainment, dominance, fronts, hypervolume, rank
 
@@ -187,3 +187,20 @@ def test_numbers(spark):
         own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
         assert [got[r[2]] for r in own] == [*range(1, len(own) + 1)]
     assert numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_table_functions_keep_a_front(monkeypatch):
+    """Fronts are formed while rows come in, null and NaN points are left out, and surfaces follow a moving staircase."""
+    monkeypatch.setattr(sql, "BUFFER", 16)
+    rng = np.random.default_rng(12)
+    rows = [("a" if i % 3 else None, v.tolist()) for i, v in enumerate(rng.integers(0, 20, (300, 3)).astype(float))] + [("a", None), ("a", [1.0, None, 1.0]), ("b", [float("nan")] * 3)]
+    front, volume = sql.SetFront(), sql.SetHypervolume()
+    for row in rows:
+        front.eval(row)
+    for row in front.terminate():
+        volume.eval(row, [21.0, 21.0, 21.0])
+    want = {g: kernels.hypervolume(np.array([p for h, p in rows[:300] if h == g]), np.full(3, 21.0)) for g in ("a", None)}
+    assert dict(volume.terminate()) == pytest.approx(want)
+    eaf = sql.SetEaf()
+    rows = sorted([("g", "s", [1.0, 5.0]), ("g", "t", [1.0, 4.0]), ("g", "s", [2.0, 3.0]), ("g", "t", [2.0, 4.0]), ("g", "t", None)], key=lambda r: r[2] or [0.0])
+    assert [*(c for r in rows for c in eaf.eval(r)), *eaf.terminate()] == [("g", 1.0, 4.0, 1), ("g", 1.0, 5.0, 2), ("g", 2.0, 3.0, 1), ("g", 2.0, 4.0, 2)]
