@@ -268,7 +268,8 @@ def test_candidates_are_all_odd_matches():
     for _ in range(4000):
         text = "".join(rng.choice("ab1$+!(.,- \"é") for _ in range(rng.randint(1, 12)))
         odd = [m[0] for m in toxicity.MIXED.finditer(text) if toxicity.ODD.search(m[0].strip(toxicity._EDGE))]
-        assert not odd or toxicity.CANDIDATE.search(text), text
+        assert not odd or toxicity.CANDIDATE.search(text) or toxicity._thrice(text), text
+        assert toxicity._thrice(text) == bool(toxicity.THRICE.search(text)), text
         r.restore(text)
 
 
