@@ -15,7 +15,12 @@ the single strings, 200 bytes long, and those that are shared are repeated.
 
 Sorting plain pairs for all positions instead would shuffle some 20 bytes a byte and round; see README.
 
-A position that a text holds several times in the same surroundings (periodic text) goes as one row with its spans.
+A position that a text holds several times in the same surroundings (periodic text) goes as one row with its spans; of copies
+of a text a task ranks two.
+
+**Hot strings.**  A sample of at most ``HOT_TEXTS`` texts tells which first 64 bytes many texts share: those are dealt by the longer rank as
+well.  A string that the sample itself shows to be repeated needs no partner and is dealt by its place.  The sample decides where rows
+meet, never what is repeated.
 
 Defined results: null counts as empty; matches do not cross documents; equal texts are matches of each other;
 repeated rows each give a row; empty tables give an empty result; very long texts are ranked by overlapping pieces of bounded
@@ -27,11 +32,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +48,10 @@ LENGTH, CORE = 200, 64
 CHUNK = 1 << 19
 #: Low bits of an order key that hold the place in a chunk.
 PLACE_BITS = 22
+#: Bounds of the sample of texts that tells hot strings (texts, bytes of a text), and how many of its texts make a string hot.
+HOT_TEXTS, HOT_BYTES, HOT = 16_000, 1 << 16, 16
+#: Texts whose copies a task tells apart; beyond that it begins anew, which costs rows and changes nothing.
+KNOWN_TEXTS = 1 << 20
 _U = np.uint64
 _SPAN = T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -135,13 +145,52 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (lo[np.append(0, cut)], hi[np.append(cut - 1, len(lo) - 1)]) if len(lo) else (lo, hi)
 
 
-def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFrame:
-    """All leading positions: (core, whole, key, at, spans); ``at`` packs the text's tag, bytes led and first start; ``spans`` if a text has several of the same core and whole."""
+_NONE = np.empty(0, np.int64)
+
+
+@dataclass
+class Hot:
+    """Cores that many texts share; strings known to be repeated: (core, whole rank, key and at of one of them) and (core, rank), by second column."""
+
+    cores: np.ndarray = field(default_factory=lambda: _NONE)
+    wholes: tuple[np.ndarray, ...] = (_NONE,) * 4
+    strings: tuple[np.ndarray, ...] = (_NONE,) * 2
+
+
+def _hits(table: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The place of each (a, b) in a table ordered by its second column, or -1."""
+    if not len(table[1]):
+        return np.full(len(a), -1)
+    i = np.minimum(np.searchsorted(table[1], b), len(table[1]) - 1)
+    return np.where((table[1][i] == b) & (table[0][i] == a), i, -1)
+
+
+def _apart(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Values other than 0 that deal rows one by one."""
+    with np.errstate(over="ignore"):
+        return _mix(key.view(_U), at.view(_U)).view(np.int64) | 1
+
+
+def _positions(docs: DataFrame, text_col: str, length: int, core: int, hot: Hot) -> DataFrame:
+    """All leading positions: (core, part, whole, key, at, state, spans).
+
+    ``part``: 0, or for hot cores what deals their rows; ``at`` packs the text's tag, bytes led and first start; ``state``: 1 for a whole known
+    to be repeated, 2 for the one that stands for it; ``spans`` if a text has several of the same core and whole.
+    """
     rows = docs.select(*_named(docs, text_col)).where(F.octet_length("text") >= length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "whole", "key", "at", "spans"]
+        names = ["core", "part", "whole", "key", "at", "state", "spans"]
+        times: dict[tuple[int, int], int] = {}
         for batch in batches:
+            stay = []
+            for text in zip(batch.column("key").to_pylist(), batch.column("tag").to_pylist(), strict=True):
+                times[text] = n = times.get(text, 0) + 1
+                stay.append(n <= 2)  # two rows tell that a text is repeated, more copies tell no more
+            if len(times) > KNOWN_TEXTS:
+                times.clear()
+            if not all(stay):
+                batch = batch.filter(pa.array(stay))
             keys, tags = (batch.column(c).to_numpy() for c in ("key", "tag"))
             for first, last, raw, offsets in slices(*utf8(batch.column("text")), CHUNK):
                 own_keys, own_tags = keys[first:last], tags[first:last]
@@ -150,7 +199,12 @@ def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFr
                     text, lo, hi, c, w = (x[order] for x in (text, lo, hi, c, w))
                     new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
                     count = np.diff(np.append(new, len(lo)))
-                    at = own_tags[text] << 40 | (hi - lo + length) << 31 | lo
+                    at, key = own_tags[text] << 40 | (hi - lo + length) << 31 | lo, own_keys[text]
+                    hit = _hits(hot.wholes, c, w)
+                    state, part = (hit >= 0).astype(np.int8), np.where(np.isin(c, hot.cores), w | 1, 0) if len(hot.cores) else np.zeros(len(c), np.int64)
+                    if state.any():
+                        part = np.where(state > 0, _apart(key, at), part)
+                        state[(state > 0) & (hot.wholes[2][hit] == key) & (hot.wholes[3][hit] == at)] = 2
                     for k, many in ((new[count == 1], False), (new[count > 1], True)):
                         if not len(k):
                             continue
@@ -158,14 +212,17 @@ def _positions(docs: DataFrame, text_col: str, length: int, core: int) -> DataFr
                         if many:
                             runs = [_merge(lo[i : i + n], hi[i : i + n] + length) for i, n in zip(k, count[count > 1], strict=True)]
                             spans = pa.array([[{"lo": a, "hi": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in runs], _SPANS)
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, (c[k], w[k], own_keys[text[k]], at[k])), spans], names)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(x[k]) for x in (c, part, w, key, at, state)), spans], names)
         release()
 
-    return rows.mapInArrow(run, "core long, whole long, key long, at long, spans array<struct<lo:int,hi:int>>")
+    return rows.mapInArrow(run, "core long, part long, whole long, key long, at long, state byte, spans array<struct<lo:int,hi:int>>")
+
 
+def _strings(docs: DataFrame, text_col: str, open_rows: DataFrame, length: int, hot: Hot) -> DataFrame:
+    """(core, rank, key, at, part) of the strings that the positions in ``open`` lead.
 
-def _strings(docs: DataFrame, text_col: str, open_rows: DataFrame, length: int) -> DataFrame:
-    """(core, rank, key, at) of the strings that the positions in ``open`` lead; ``at`` packs the text's tag, whether they are known to be repeated, and the start."""
+    ``at`` packs the text's tag, whether they are known to be repeated, and the start; ``part`` is 0 but for strings that are known to be hot.
+    """
     names = docs.sparkSession.sparkContext.broadcast(bit_map(open_rows.select(F.col("key").alias("name"))))
     rows = docs.select(*_named(docs, text_col)).where(F.octet_length("text") >= length)
 
@@ -195,32 +252,67 @@ def _strings(docs: DataFrame, text_col: str, open_rows: DataFrame, length: int)
                     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     ranks = Ranks(buffer, 128).of(np.repeat(np.cumsum(n) - n, count) + step, length)
                     at = np.int64(tag) << np.int64(40) | np.repeat(twice[here].astype(np.int64), count) << 32 | np.repeat(a, count) + step
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(core[here], count)), pa.array(ranks.view(np.int64)), pa.array(np.full(len(at), key)), pa.array(at)], ["core", "rank", "key", "at"])
+                    cores, ranks, keys = np.repeat(core[here], count), ranks.view(np.int64), np.full(len(at), key)
+                    part = np.where(_hits(hot.strings, cores, ranks) >= 0, _apart(keys, at), 0) if len(hot.strings[0]) else np.zeros(len(at), np.int64)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (cores, ranks, keys, at, part))], ["core", "rank", "key", "at", "part"])
         release()
 
     texts = rows.mapInArrow(pack, "key long, tag long, z binary").groupBy("key", "tag").agg(F.first("z").alias("z"))
-    return texts.join(open_rows, ["key", "tag"]).select("key", "tag", "z", "open").mapInArrow(run, "core long, rank long, key long, at long")
+    return texts.join(open_rows, ["key", "tag"]).select("key", "tag", "z", "open").mapInArrow(run, "core long, rank long, key long, at long, part long")
+
+
+def _lo_size() -> tuple[Column, Column]:
+    return F.col("at").bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright("at", 31).bitwiseAND(0x1FF).cast("int")
+
+
+def _columns(rows: DataFrame, *names: str, by: str) -> tuple[np.ndarray, ...]:
+    got = rows.select(*names).toPandas().sort_values(by)
+    return tuple(got[c].to_numpy(np.int64) for c in names)
+
+
+def hot_strings(docs: DataFrame, text_col: str, length: int = LENGTH, core: int = CORE) -> Hot:
+    """Cores, wholes and single strings that at least ``HOT`` texts of a sample share; as the sample is bounded, so are they."""
+    share = min(1.0, HOT_TEXTS / max(docs.count(), 1))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sample = docs.select(text.alias("text")).where((F.octet_length("text") <= HOT_BYTES) & (F.pmod(F.xxhash64(F.lit(2), "text"), F.lit(1 << 40)) < int(share * (1 << 40))))
+    p = materialize(_positions(sample, "text", length, core, Hot()).select("core", "whole", "key", "at").distinct())
+    texts = F.count_distinct("key").alias("texts")
+    cores = p.groupBy("core").agg(texts).where(F.col("texts") >= HOT)
+    found = Hot(_columns(cores, "core", by="core")[0])
+    if not len(found.cores):
+        return found
+    p = p.join(F.broadcast(cores.select("core")), "core")
+    wholes = p.groupBy("core", "whole").agg(texts, F.min(F.struct("key", "at")).alias("one")).where(F.col("texts") >= HOT).select("core", "whole", "one.key", "one.at")
+    found.wholes = _columns(wholes, "core", "whole", "key", "at", by="whole")
+    lo, size = _lo_size()
+    single = p.join(F.broadcast(wholes.select("core", "whole")), ["core", "whole"], "left_anti")
+    single = single.groupBy("key", F.shiftrightunsigned("at", 40).alias("tag")).agg(F.collect_set(F.struct("core", lo.alias("lo"), size.alias("size"), F.lit(False).alias("twice"))).alias("open"))
+    strings = _strings(sample, "text", materialize(single), length, Hot()).groupBy("core", "rank").agg(texts).where(F.col("texts") >= HOT)
+    found.strings = _columns(strings, "core", "rank", by="rank")
+    return found
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, core: int = CORE) -> tuple[DataFrame, DataFrame]:
     """(key, tag, settled) and (key, tag, starts): for each text the spans under repeated positions, and the starts of single repeated strings."""
-    p = _positions(docs, text_col, length, core).repartition("core")
-    by_core = Window.partitionBy("core")
+    hot = hot_strings(docs, text_col, length, core)
+    p = _positions(docs, text_col, length, core, hot).repartition("core", "part")
+    by_core = Window.partitionBy("core", "part")
     ordered = by_core.orderBy("whole", "key", "at")
     p = p.withColumn("previous", F.lag("whole").over(ordered)).withColumn("next", F.lead("whole").over(ordered))
-    first = F.col("previous").isNull() | (F.col("previous") != F.col("whole"))
-    p = p.withColumn("first", first).withColumn("twice", ~first | F.coalesce(F.col("next") == F.col("whole"), F.lit(False)) | F.col("spans").isNotNull())
-    p = p.withColumn("kinds", F.count_if("first").over(by_core)).where(F.col("twice") | (F.col("kinds") > 1))
-    lo, size = F.col("at").bitwiseAND(0x7FFFFFFF).cast("int"), F.shiftright("at", 31).bitwiseAND(0x1FF).cast("int")
+    first = F.when(F.col("state") > 0, F.col("state") == 2).otherwise(F.col("previous").isNull() | (F.col("previous") != F.col("whole")))
+    p = p.withColumn("first", first).withColumn("twice", (F.col("state") > 0) | ~first | F.coalesce(F.col("next") == F.col("whole"), F.lit(False)) | F.col("spans").isNotNull())
+    several = (F.col("kinds") > 1) | (F.col("part") != 0)  # of a hot core not all rows are here
+    p = p.withColumn("kinds", F.count_if("first").over(by_core)).where(F.col("twice") | several)
+    lo, size = _lo_size()
     span = F.array(F.struct(lo.alias("lo"), (lo + size).alias("hi")))
     p = p.withColumn("settled", F.when(F.col("twice"), F.coalesce("spans", span)))
-    p = p.withColumn("open", F.when(F.col("first") & (F.col("kinds") > 1), F.struct("core", lo.alias("lo"), size.alias("size"), "twice")))
+    p = p.withColumn("open", F.when(F.col("first") & several, F.struct("core", lo.alias("lo"), size.alias("size"), "twice")))
     tag = F.shiftrightunsigned("at", 40)
     known = materialize(p.groupBy("key", tag.alias("tag")).agg(F.flatten(F.collect_set("settled")).alias("settled"), F.collect_set("open").alias("open")))
-    strings = _strings(docs, text_col, known.where(F.size("open") > 0).select("key", "tag", "open"), length).repartition("rank")
+    strings = _strings(docs, text_col, known.where(F.size("open") > 0).select("key", "tag", "open"), length, hot).repartition("rank", "part")
     known_twice = F.shiftright("at", 32).bitwiseAND(1)
-    times = F.sum(1 + known_twice).over(Window.partitionBy("rank", "core"))
-    again = strings.withColumn("times", times).where((F.col("times") > 1) & (known_twice == 0))
+    times = F.sum(1 + known_twice).over(Window.partitionBy("rank", "core", "part"))
+    again = strings.withColumn("times", times).where(((F.col("times") > 1) | (F.col("part") != 0)) & (known_twice == 0))
     return known.where(F.size("settled") > 0).select("key", "tag", "settled"), again.groupBy("key", tag.alias("tag")).agg(F.collect_set(lo).alias("starts"))
 
 
