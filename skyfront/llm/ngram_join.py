@@ -29,6 +29,7 @@ of bounded size (what is kept is 8 bytes a word); other columns, whatever their
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,11 +139,32 @@ def _class_keys(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
+#: Classes that a task remembers having sent; beyond that it begins anew, which costs rows and changes nothing.
+KNOWN_CLASSES = 1 << 20
+
+
+def _new_ones(key: np.ndarray, done: set[tuple[int, int]]) -> np.ndarray:
+    """The places of keys that are not in ``done``, each key once; they are put into it."""
+    if len(done) > KNOWN_CLASSES:
+        done.clear()
+    out = []
+    for i, k in enumerate(zip(*key.T.tolist(), strict=True)):
+        if k not in done:
+            done.add(k)
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def _needed(total: Column, percent: int) -> Column:
     """Least overlap of linked sets of this total size: 100 i >= percent (total - i)."""
     return F.ceil(percent * total / F.lit(100 + percent)).cast("int")
 
 
+def size_band(size: Column, percent: int) -> Column:
+    """Bands of sizes; the larger of two linked sets lies in the smaller one's band or in the next."""
+    return F.floor(F.ln(size) / ((1 + 1e-9) * max(math.log(100 / percent), 1e-6)))
+
+
 def run_length(percent: int) -> int:
     """N-grams in a row that a candidate's sides must share: two, if links of different sets leave any pair at all."""
     return 2 if percent >= 70 else 1
@@ -258,12 +280,13 @@ def _fragments(docs: DataFrame, text_col: str, names: Broadcast, n: int) -> Data
     rows = docs.select(text.alias("text"), F.xxhash64(text).alias("name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(names.value, batch.column("name").to_numpy())))
             for lo, hi, raw, offsets in slices(*utf8(batch.column("text"))):
                 sets = ngram_sets(raw, offsets, n)
                 key = _class_keys(sets)
-                once = np.unique(key, axis=0, return_index=True)[1]
+                once = _new_ones(key, done)
                 once = once[[len(sets[i]) > 0 for i in once]] if len(once) else once
                 cuts = np.arange(1, FRAGMENTS, dtype=_U) << _U(64 - FRAGMENTS.bit_length() + 1)
                 bounds = np.array([[0, *np.searchsorted(sets[i], cuts), len(sets[i])] for i in once], np.int64).reshape(-1, FRAGMENTS + 1)
@@ -302,16 +325,19 @@ def _prefixes(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame
     r = run_length(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
             for _, _, raw, offsets in slices(*utf8(batch.column("text"))):
                 sets = ngram_sets(raw, offsets, n)
                 key = _class_keys(sets)
-                once = np.unique(key, axis=0, return_index=True)[1]
+                once = _new_ones(key, done)
                 fronts = [sets[i][: prefix_length(len(sets[i]), percent) + r - 1] for i in once]
                 fronts = [s if len(s) >= r else s[:0] for s in fronts]
                 with np.errstate(over="ignore"):
                     runs = [_mix(s[:-1], s[1:]) if r == 2 else s for s in fronts]
                 sizes = [len(s) for s in runs]
+                if not sum(sizes):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs).view(np.int64)), pa.array(np.repeat(key[once, 0], sizes))], ["run", "ka"])
         release()
 
@@ -330,10 +356,14 @@ def _open_pairs(prefixes: DataFrame, classes: DataFrame, labels: DataFrame, perc
     named = materialize(named.select("key", "ka", F.xxhash64(F.coalesce("label", "key")).alias("label"), "n", "bits"))
     shared = mixed(prefixes.repartition("run"), "ka").distinct()
     many = mixed(shared.join(named.select("ka", "label"), "ka").repartition("run"), "label")
-    many = many.drop("label").join(named, "ka").repartition("run")
-    x, y = many.alias("x"), many.alias("y")
-    pairs = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent))
-    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    # linked sizes lie in one band or in neighbouring ones, so a row waits in its own for smaller partners and seeks larger ones there and in the next
+    band = size_band(F.col("n"), percent)
+    many = many.drop("label").join(named, "ka").select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("in"))
+    many = many.select("run", "key", "label", "n", "bits", "in.band", "in.own").repartition("run", "band")
+    x, y = many.alias("x"), many.where("own").alias("y")
+    ordered = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key"))
+    pairs = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.band") == F.col("y.band")) & ordered & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent))
+    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

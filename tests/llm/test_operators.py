@@ -148,6 +148,25 @@ def test_suffix_dedup(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("known", [1 << 20, 3])
+def test_suffix_dedup_of_hot_strings(spark, monkeypatch, known):
+    """Copies, lines that lie in many texts (shorter than a string, about as long, longer than all that a position leads): a sample that finds them changes nothing."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    monkeypatch.setattr(suffix_dedup, "KNOWN_TEXTS", known)
+    rng = random.Random(41)
+    fresh = lambda n: " ".join(f"f{rng.randrange(10**9)}" for _ in range(n))
+    lines = [fresh(40)[:n] for n in (90, 150, 199, 200, 230, 300, 400)]
+    texts = [fresh(rng.randint(0, 12)) + lines[i % 7] + fresh(rng.randint(0, 12)) + (lines[(i + 3) % 7] if i % 4 == 0 else "") for i in range(70)]
+    texts += [fresh(60)] * 9 + [texts[0]] * 3 + ["ab" * 300] * 5 + [lines[6] + lines[5] + lines[6]] * 4 + [fresh(50) for _ in range(5)] + [None, ""]
+    rng.shuffle(texts)
+    hot = suffix_dedup.hot_strings(documents(spark, texts), "text")
+    assert len(hot.cores) and len(hot.wholes[0]) and len(hot.strings[0])
+    want = suffix_dedup.brute_force(texts)
+    rows = suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, texts).repartition(3))).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def led(text):
     """The strings that positions lead, by start: each start has to be there once."""
     found = {}
@@ -551,6 +570,25 @@ def test_ngram_join(spark, n, percent):
     assert ngram_join.near_duplicates(documents(spark, texts).limit(0), n, percent).count() == 0
 
 
+def test_ngram_join_sends_a_class_once_a_task(spark, monkeypatch):
+    rng = random.Random(16)
+    texts = [prose(rng, 60), prose(rng, 80)] * 200
+    rows = documents(spark, texts).coalesce(1)
+    runs = ngram_join._prefixes(rows, "text", 4, 85)
+    assert runs.count() == runs.distinct().count()
+    monkeypatch.setattr(ngram_join, "KNOWN_CLASSES", 1)
+    assert {r["component_id"] for r in ngram_join.near_duplicates(rows, 4, 85).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("percent", [1, 50, 85, 100])
+def test_linked_sizes_lie_in_neighbouring_bands(spark, percent):
+    sizes = range(1, 3000)
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", ngram_join.size_band(F.col("n"), percent).alias("band"))
+    band = dict(rows.collect())
+    for n in sizes:
+        assert {band[m] - band[n] for m in (n, min(n * 100 // percent, 2999))} <= {0, 1}
+
+
 def test_ngram_join_of_long_texts(spark):
     rng = random.Random(14)
     base = [f"u{rng.randrange(10**6)}" for _ in range(900)]
