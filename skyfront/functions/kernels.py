@@ -18,6 +18,10 @@ def skyline(x: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     if x.shape[1] == 3:
         return _skyline3(x)
+    if x.shape[1] == 2:
+        order = np.lexsort((x[:, 1], x[:, 0]))
+        least = np.minimum.accumulate(x[order, 1])
+        return np.sort(order[np.append(True, least[1:] < least[:-1])])
     order = np.lexsort((*x.T[::-1], x.sum(1)))
     if n > 512:  # the rows of least sums strike out most others at once
         strong = order[:16]
@@ -111,6 +115,8 @@ def rank_after(x: np.ndarray, earlier: np.ndarray, ranks: np.ndarray, base: int
 
     A row's rank is one above the highest of the rows that dominate it, all of which come before it in lexicographic order.
     """
+    if x.shape[1] in (2, 3):
+        return _rank_sweep(x, earlier, ranks, base)
     order = np.lexsort(x.T[::-1])
     x, out = x[order], np.full(len(x), base)
     high = np.argsort(-ranks, kind="stable")
@@ -132,6 +138,44 @@ def rank_after(x: np.ndarray, earlier: np.ndarray, ranks: np.ndarray, base: int
     return back
 
 
+def _rank_sweep(x: np.ndarray, earlier: np.ndarray, ranks: np.ndarray, base: int) -> np.ndarray:
+    """:func:`rank_after` for two and three objectives, by one sweep over the first.
+
+    The highest rank up to a value of the last objective is a staircase.  For three objectives a Fenwick tree over the values of the second one
+    (or of the third, whichever has fewer) holds such staircases.
+    """
+    from bisect import bisect_right
+
+    points = np.concatenate([earlier, x])
+    known = np.concatenate([np.asarray(ranks, np.int64), np.full(len(x), -1)])
+    order = np.lexsort((known < 0, *points.T[::-1]))
+    last, code = points[:, -1], np.ones(len(points), np.int64)
+    if x.shape[1] == 3:
+        two = [np.unique(points[:, i], return_inverse=True) for i in (1, 2)]
+        k = int(len(two[1][0]) < len(two[0][0]))
+        code, last = two[k][1].reshape(-1) + 1, points[:, 2 - k]
+    size, out = int(code.max(initial=0)), known.copy()
+    values, highs = [[] for _ in range(size + 1)], [[] for _ in range(size + 1)]
+    for i, c, v, rank in zip(order.tolist(), code[order].tolist(), last[order].tolist(), known[order].tolist(), strict=True):
+        if rank < 0:
+            rank, at = base, c
+            while at:
+                if (to := bisect_right(values[at], v)) and highs[at][to - 1] >= rank:
+                    rank = highs[at][to - 1] + 1
+                at -= at & -at
+            out[i] = rank
+        while c <= size:
+            vs, hs = values[c], highs[c]
+            to = bisect_right(vs, v)
+            if not to or hs[to - 1] < rank:
+                lo = to - 1 if to and vs[to - 1] == v else to
+                while to < len(hs) and hs[to] <= rank:
+                    to += 1
+                vs[lo:to], hs[lo:to] = [v], [rank]
+            c += c & -c
+    return out[len(earlier) :]
+
+
 def hypervolume(x: np.ndarray, ref: np.ndarray) -> float:
     """Volume dominated by the rows and bounded by ``ref``: exclusive volumes against shrinking limit sets."""
     x = x[(x < ref).all(1)]

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import kernels
-from ..functions.folders import materialize
-from ..functions.points import Direction, Names, Points, all_of, match, small, unwrap
+from ..functions.folders import materialize, shared_folder
+from ..functions.points import Direction, Names, Points, match, small, unwrap
 from .dominance import skyline_points
-from .fronts import MOST_CUTS, cells, corners
+from .fronts import cells, matrix
 
-#: Distinct points of a group that one task ranks.
-TASK_ROWS = 20_000
+#: Distinct points of a group that one task ranks; parts at most that an objective of a larger group is cut into.
+TASK_ROWS, MOST_TILES = 20_000, 16
+#: Rows of a wave: results, and what goes to the next tile of the row, of the column, and across.
+OWN, ROW, COLUMN, ACROSS = range(4)
 
 
 def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -47,48 +54,56 @@ def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, b
 
 
 def _waves(points: DataFrame, by: list[str], names: list[str], largest: int, task_rows: int) -> DataFrame:
-    """Ranks of distinct points of large groups, cell by cell of a grid of quantiles.
+    """Ranks of distinct points of large groups, tile by tile of a grid of quantiles of two objectives.
 
-    Only points of a cell itself and of cells whose numbers are nowhere larger can dominate a cell's points, so the cells
-    whose numbers have one sum don't depend on each other: they are a wave, ranked in tasks of their own.  A cell that lies wholly
-    before another passes on one number, the highest of its ranks; of the other cells before it only the rows go that are nowhere worse
-    than its worst corner.  There are as many waves as sums, each written before the next.
+    Only points of tiles whose two numbers are nowhere larger can dominate a tile's points, so the tiles whose numbers have one
+    sum don't depend on each other: they are a wave, ranked in tasks of their own.  A tile gets from the two tiles before it what later ones need of all earlier
+    ones, and passes that on with its own points: to the next of its row, to the next of its column, and to the one across.  An objective by which the receiver lies wholly after no longer
+    matters, and of the others and the rank only the front (low values, high ranks) can count.  So a wave reads the two before it, whatever came earlier.
     """
-    cuts = max(2, min(MOST_CUTS, round((4 * largest / task_rows) ** (1 / max(2, len(names) - 1)))))
-    dealt = materialize(cells(points, by, names, cuts).withColumn("_row", F.monotonically_increasing_id()))
-    total = F.aggregate("_cell", F.lit(0), lambda a, x: a + x)
-    c = materialize(corners(dealt, by, names).withColumn("_wave", total).withColumn("_id", F.monotonically_increasing_id()))
-    a, b = c.alias("a"), c.alias("b")
-    low, high = all_of([F.col(f"a._lo{n}") <= F.col(f"b._hi{n}") for n in names]), all_of([F.col(f"a._hi{n}") <= F.col(f"b._lo{n}") for n in names])
-    near = a.join(b, all_of([F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]) & (F.col("a._wave") < F.col("b._wave")) & low)
-    near = materialize(near.select(F.col("a._id").alias("_by"), F.col("b._id").alias("_id"), F.col("b._wave").alias("_wave"), high.alias("_whole"), *(F.col(f"b._hi{n}").alias(f"_hi{n}") for n in names)))
-    rows = materialize(match(dealt, c.select(*by, "_cell", "_id", "_wave"), [*by, "_cell"]).select("_id", "_row", "_wave", *names))
-
-    def rank(keys: tuple, own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if not len(own):
-            return pd.DataFrame({"_id": [], "_row": [], "rank": []}).astype("int64")
-        whole = before["_whole"].to_numpy(bool)
-        base = int(before["rank"][whole].max()) + 1 if whole.any() else 0
-        open_ = before[~whole]
-        got = kernels.rank_after(own[names].to_numpy(float), open_[names].to_numpy(float), open_["rank"].to_numpy(np.int64), base)
-        return pd.DataFrame({"_id": own["_id"], "_row": own["_row"], "rank": got})
-
-    done = None
-    for wave in sorted(r[0] for r in c.select("_wave").distinct().collect()):
-        own = rows.where(F.col("_wave") == wave).select("_id", "_row", *names)
-        pairs = near.where(F.col("_wave") == wave)
-        if done is None:
-            before = pairs.select("_id", "_whole", *(F.lit(0.0).alias(n) for n in names), F.lit(0).cast("long").alias("rank")).limit(0)
-        else:
-            tops = done.groupBy(F.col("_id").alias("_by")).agg(F.max("rank").alias("rank"))
-            whole = pairs.where("_whole").join(tops, "_by").groupBy("_id").agg(F.max("rank").alias("rank")).select("_id", F.lit(True).alias("_whole"), *(F.lit(0.0).alias(n) for n in names), "rank")
-            placed = done.withColumnRenamed("_id", "_by").join(rows.select("_row", *names), "_row")
-            part = pairs.where("NOT _whole").join(placed, "_by").where(all_of([F.col(n) <= F.col(f"_hi{n}") for n in names]))
-            before = whole.unionByName(part.select("_id", "_whole", *names, "rank"))
-        before = before.toDF(*before.columns)
-        new = materialize(own.toDF(*own.columns).groupBy("_id").cogroup(before.groupBy("_id")).applyInPandas(rank, "_id long, _row long, rank long"))
-        done = new if done is None else done.unionByName(new)
-    return dealt.join(done.select("_row", "rank"), "_row").select(*by, *names, F.col("rank").cast("int").alias("rank"))
+    cuts = max(2, min(MOST_TILES, round((4 * largest / task_rows) ** 0.5)))
+    if len(names) > 2:  # the two objectives of the most values are cut
+        values = points.agg(*(F.approx_count_distinct(n) for n in names)).first()
+        names = [names[i] for i in sorted(range(len(names)), key=lambda i: -values[i])]
+    numbers = points.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id()) if by else points.sparkSession.range(1).select(F.col("id").alias("_g"))
+    dealt = match(cells(points, by, names[:2], cuts), small(materialize(numbers)), by)
+    dealt = dealt.select(*by, *names, "_g", *(F.element_at("_cell", k + 1).alias(c) for k, c in enumerate(("_i", "_j"))))
+    path = f"{shared_folder(points.sparkSession)}/skyfront-tiles-{uuid.uuid4().hex}"
+    wave = F.col("_i") + F.col("_j")
+    dealt.repartitionByRange(wave, "_g", "_i").withColumn("_wave", wave).write.partitionBy("_wave").parquet(path)
+    tiles = points.sparkSession.read.schema(", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), "_wave int"])).parquet(path)
+    ends = tiles.agg(F.max("_i"), F.max("_j")).first()
+    schema = StructType([*(StructField(f.name, f.dataType) for f in dealt.schema), StructField("rank", IntegerType()), StructField("_to", IntegerType())])
+    keys = ["_g", "_i", "_j"]
+
+    def rank(key: tuple, own: pa.Table, before: pa.Table) -> pa.Table:
+        g, i, j = (k.as_py() for k in key)
+        x, old = matrix(own, names), matrix(before, names)
+        ranks, to = before.column("rank").to_numpy().astype(np.int64), before.column("_to").to_numpy()
+        new = kernels.rank_after(x, old, ranks)
+        out = [own.append_column("rank", pa.array(new, pa.int32())).append_column("_to", pa.array(np.full(len(x), OWN, np.int32)))]
+        for kind, from_, passed, (di, dj) in ((ROW, (ROW,), [0], (1, 0)), (COLUMN, (COLUMN,), [1], (0, 1)), (ACROSS, (ROW, COLUMN, ACROSS), [0, 1], (1, 1))):
+            if i + di > ends[0] or j + dj > ends[1]:
+                continue
+            seen = np.isin(to, from_)
+            rows, high = np.concatenate([old[seen], x]), np.concatenate([ranks[seen], new])
+            rows[:, passed] = -np.inf
+            kept = kernels.skyline(np.column_stack([np.delete(rows, passed, 1), -high]))
+            place = {"_g": (g, pa.int64()), "_i": (i + di, pa.int32()), "_j": (j + dj, pa.int32()), "_to": (kind, pa.int32())}
+            columns = {n: pa.array(rows[kept, k]) for k, n in enumerate(names)} | {"rank": pa.array(high[kept], pa.int32())}
+            columns |= {n: pa.array(np.full(len(kept), v), t) for n, (v, t) in place.items()}
+            out.append(pa.table([columns[f.name] if f.name in columns else pa.nulls(len(kept), f.type) for f in out[0].schema], out[0].schema))
+        return pa.concat_tables(out)
+
+    done, last = [], []
+    for number in range(ends[0] + ends[1] + 1):
+        own = tiles.where(F.col("_wave") == number).drop("_wave")
+        before = reduce(DataFrame.unionByName, last).where((F.col("_to") != OWN) & (wave == number)) if last else own.limit(0).withColumns({"rank": F.lit(0), "_to": F.lit(ROW)})
+        before = before.select(*keys, *names, "rank", "_to")
+        new = materialize(own.toDF(*own.columns).groupBy(*keys).cogroup(before.toDF(*before.columns).groupBy(*keys)).applyInArrow(rank, schema))
+        done.append(new.where(F.col("_to") == OWN).select(*by, *names, "rank"))
+        last = [*last, new][-2:]
+    return reduce(DataFrame.unionByName, done)
 
 
 def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0) -> DataFrame:

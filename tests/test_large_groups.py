@@ -70,6 +70,33 @@ def test_rank_after_is_the_longest_chain():
     assert (kernels.rank_after(x, x[:0], whole[:0]) == whole).all()
 
 
+@pytest.mark.parametrize("d", [2, 3])
+def test_rank_after_fronts_of_earlier_rows(d):
+    """Of earlier rows only the front by the later objectives and the rank is passed on, so that ranks below it may be missing."""
+    rng = np.random.default_rng(8)
+    x = np.unique(np.column_stack([rng.integers(0, 200, 500), *(rng.integers(0, 4, 500) for _ in range(d - 1))]).astype(float), axis=0)
+    whole = kernels.pareto_rank(x)
+    before = x[:, 0] < 120
+    old, high = x[before], whole[before]
+    old[:, 0] = -np.inf
+    kept = kernels.skyline(np.column_stack([old[:, 1:], -high]))
+    assert len(kept) < len(old) / 4
+    assert (kernels.rank_after(x[~before], old[kept], high[kept]) == whole[~before]).all()
+
+
+def test_a_wave_reads_two_waves(spark, monkeypatch):
+    """What a wave gets does not grow with the waves before it: one group of long chains."""
+    rng = np.random.default_rng(9)
+    x = np.unique(np.column_stack([rng.integers(0, 900, 1500), rng.integers(0, 5, 1500), rng.integers(0, 3, 1500)]).astype(float), axis=0)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    sizes, write = [], rank.materialize
+    monkeypatch.setattr(rank, "materialize", lambda d: (made := write(d), sizes.append(made.count()))[0])
+    monkeypatch.setattr(rank, "MOST_TILES", 6)
+    got = {r["id"]: r["rank"] for r in rank.pareto_rank(df, ["a", "b", "c"], task_rows=100).collect()}
+    assert got == dict(enumerate(kernels.pareto_rank(x).tolist()))
+    assert sum(sizes) < 5 * len(x)
+
+
 def test_surfaces_in_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(g, k, *map(float, rng.integers(0, 15, 3))) for g in ("a", None) for k in range(5) for _ in range(40)]
