@@ -22,6 +22,8 @@ from .fronts import cells, matrix
 TASK_ROWS, MOST_TILES = 20_000, 16
 #: Rows of a wave: results, and what goes to the next tile of the row, of the column, and across.
 OWN, ROW, COLUMN, ACROSS = range(4)
+#: Fronts that ``pareto_rank_peel`` takes one by one, at most.
+ROUNDS = 16
 
 
 def pareto_rank(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0, task_rows: int = TASK_ROWS) -> DataFrame:
@@ -109,19 +111,25 @@ def _waves(points: DataFrame, by: list[str], names: list[str], largest: int, tas
 def pareto_rank_peel(df: DataFrame, objectives: Names, maximise: Direction = False, by: Names | str = (), base: int = 0) -> DataFrame:
     """:func:`pareto_rank` by rounds of distributed skylines: for groups of any size and few fronts.
 
-    What is left is checkpointed in every round.
+    What is left is checkpointed in every round.  A front that is less than a ``ROUNDS``-th of it tells of many more fronts, and so
+    do ``ROUNDS`` rounds: what is left then is ranked by :func:`pareto_rank`, from the next number on.
     """
     p = Points.of(objectives, maximise, by)
     rows = p.wrap(df)
     left = rows.select(*p.by, *p.names).distinct()
     fronts, level = None, base
     left = materialize(left)
-    while left.limit(1).count():
+    size, share = left.count(), 1.0
+    while size:
+        if share < 1 / ROUNDS or level - base == ROUNDS:
+            fronts = fronts.unionByName(pareto_rank(left, p.names, by=p.by, base=level).select(*fronts.columns))
+            break
         front = materialize(skyline_points(left, list(p.by), p.names))
         ranked = front.withColumn("rank", F.lit(level).cast("int"))
         fronts = ranked if fronts is None else fronts.unionByName(ranked)
         left = materialize(match(left, front, [*p.by, *p.names], "left_anti"))
-        level += 1
+        before, size, level = size, left.count(), level + 1
+        share = 1 - size / before
     if fronts is None:
         return rows.withColumn("rank", F.lit(None).cast("int")).select(*unwrap(df, "rank"), "rank")
     return match(rows, fronts, [*p.by, *p.names]).select(*unwrap(df, "rank"), "rank")

@@ -97,6 +97,18 @@ def test_a_wave_reads_two_waves(spark, monkeypatch):
     assert sum(sizes) < 5 * len(x)
 
 
+def test_peel_of_many_fronts(spark, monkeypatch):
+    """A chain of 300 points has 300 fronts; they aren't taken by a round each."""
+    rounds, take = [], rank.skyline_points
+    monkeypatch.setattr(rank, "skyline_points", lambda *a: (rounds.append(1), take(*a))[1])
+    rows = [(g, i, float(i // 2), float(i // 3)) for g in ("a", None) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double")
+    got = {(r["g"], r["id"]): r["rank"] for r in rank.pareto_rank_peel(df, ["x", "y"], by="g", base=2).collect()}
+    want = (kernels.pareto_rank(np.array([r[2:] for r in rows[:600]])) + 2).tolist()
+    assert got == {(g, i): want[i] for g in ("a", None) for i in range(600)}
+    assert len(rounds) <= rank.ROUNDS
+
+
 def test_surfaces_in_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(g, k, *map(float, rng.integers(0, 15, 3))) for g in ("a", None) for k in range(5) for _ in range(40)]
