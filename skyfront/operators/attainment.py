@@ -43,8 +43,10 @@ def _columns(xs: DataFrame, by: list[str], x: str) -> DataFrame:
     return xs.withColumn("_from", F.row_number().over(group.orderBy(x))).withColumn("_columns", F.count("*").over(group))
 
 
-def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: Names = (), blank: bool = False) -> DataFrame:
-    """Rows for each column of a group's grid, the columns being its sets' first objectives, numbered ``_i`` in their order.
+def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry: Names = (), blank: bool = False) -> tuple[DataFrame, bool]:
+    """Rows for each column of a group's grid, the columns being its sets' first objectives, numbered ``_i`` in their order; and whether the two objectives have changed places.
+
+    They do where the fronts have fewer values of the second one, as a set has a row for each column from its first point on.
 
     Where a set attains something, a row with ``_cell`` 1 has the least second objective ``_v`` that it attains there; where
     that has just fallen, a row with ``_cell`` 0 has what it was before.  ``_kept`` is 1 for the values of the column before.
@@ -54,6 +56,9 @@ def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry:
     column is joined with the sets.
     """
     front = materialize(skyline_points(costs, [*by, sets, *carry], names))
+    values = front.agg(*(F.count_distinct(F.struct(*by, n)) for n in names)).first()
+    turned = values[1] < values[0]
+    names = names[::-1] if turned else names
     xs = _columns(front.select(*by, names[0]).distinct(), by, names[0])
     own = Window.partitionBy(*by, sets, *carry).orderBy("_from")
     runs = match(front, xs, [*by, names[0]]).withColumn("_to", F.coalesce(F.lead("_from").over(own) - 1, "_columns").cast("int")).withColumn("_was", F.lag(names[1]).over(own))
@@ -66,23 +71,27 @@ def _cells(costs: DataFrame, by: list[str], sets: str, names: list[str], carry:
         parts.append(F.when(F.col("_was").isNull(), steps(F.lit(1), at - 1, F.lit(None), 0, 0)).otherwise(nothing))
     spread = runs.select(*by, sets, *carry, F.col(names[0]).alias("_x"), "_from", F.inline(F.concat(*parts)))
     spread = spread.select(*by, sets, *carry, "_x", "_from", "_v", "_cell", "_kept", F.explode(F.sequence("lo", "hi")).alias("_i"))
-    return spread.withColumn("_x", F.when(F.col("_i") == F.col("_from"), F.col("_x"))).drop("_from")
+    return spread.withColumn("_x", F.when(F.col("_i") == F.col("_from"), F.col("_x"))).drop("_from"), turned
 
 
-def _surfaces(cells: DataFrame, by: list[str], **counts: Column) -> DataFrame:
+def _surfaces(cells: DataFrame, turned: bool, by: list[str], levels: bool = True, **counts: Column) -> DataFrame:
     """Corner points ``_x``, ``_m`` of all levels ``_t``; ``counts``: conditions, for how many sets that attain the point they hold.
 
     Level t is the t-th least value of a column.  It never rises from a column to the next, so it has a corner
-    where fewer than t values of the column before are as low: a column alone tells its corners.
+    where fewer than t values of the column before are as low: a column alone tells its corners.  Sets of one value in a column are counted before
+    they meet there, so it has no more rows than values.  Without ``levels`` a point has one row, not one for each level.
     """
+    held = cells.where(F.col("_v").isNotNull()).groupBy(*by, "_i", "_v").agg(
+        F.sum("_cell").alias("_own"), F.sum("_kept").alias("_before"), F.max("_x").alias("_x"), *(F.count_if((F.col("_cell") == 1) & c).alias(n) for n, c in counts.items())
+    )
     column = Window.partitionBy(*by, "_i")
-    w = column.orderBy(F.col("_v").asc_nulls_last())
-    up_to = w.rangeBetween(Window.unboundedPreceding, 0)
-    t = cells.withColumns({
-        "_t": F.sum("_cell").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), "_before": F.sum("_kept").over(up_to),
-        **{name: F.count_if((F.col("_cell") == 1) & c).over(up_to) for name, c in counts.items()}, "_x": F.max("_x").over(column),
-    })
-    return t.where("_cell = 1 AND _before < _t").withColumnRenamed("_v", "_m").drop("_cell", "_kept", "_before", "_i")
+    up_to = column.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    t = held.withColumns({"_t": F.sum("_own").over(up_to), **{n: F.sum(n).over(up_to) for n in ("_before", *counts)}, "_x": F.max("_x").over(column)})
+    t = t.withColumn("_least", F.greatest(F.col("_t") - F.col("_own"), "_before") + 1).where("_own > 0 AND _least <= _t")
+    if levels:
+        t = t.withColumn("_t", F.explode(F.sequence(F.col("_least").cast("int"), F.col("_t").cast("int"))))
+    t = t.drop("_own", "_before", "_least")
+    return t.withColumnRenamed("_x", "_m").withColumnRenamed("_v", "_x") if turned else t.withColumnRenamed("_v", "_m")
 
 
 def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float] | None = None, maximise: Direction = False, groups: Names | str = (), levels: Sequence[int] | None = None) -> DataFrame:
@@ -97,7 +106,7 @@ def eaf(df: DataFrame, objectives: Names, sets: str, percentiles: Sequence[float
     by = list(p.by)
     costs = p.add(df).select(*by, sets, *p.names)
     n = costs.groupBy(*by).agg(F.count_distinct(F.coalesce(F.col(sets).cast("string"), F.lit(""))).alias("_n"))
-    t = _surfaces(_cells(costs, by, sets, p.names), by).select(*by, F.col("_x").alias("_f0"), F.col("_m").alias("_f1"), "_t") if p.d == 2 else _eaf3(costs, by, sets, p.names)
+    t = _surfaces(*_cells(costs, by, sets, p.names), by).select(*by, F.col("_x").alias("_f0"), F.col("_m").alias("_f1"), "_t") if p.d == 2 else _eaf3(costs, by, sets, p.names)
     joined = match(t, n, by)
     values = [p.back(i).alias(c) for i, c in enumerate(p.objectives)]
     if levels is not None:
@@ -159,11 +168,11 @@ def eaf_attained(df: DataFrame, objectives: Names, sets: str, maximise: Directio
     """Surfaces with ``attained``: an array of booleans, in order of the set labels, of the sets that attain the point."""
     p = Points.of(objectives, maximise, groups)
     by = list(p.by)
-    cells = _cells(p.add(df).select(*by, sets, *p.names), by, sets, p.names, blank=True)
+    cells, turned = _cells(p.add(df).select(*by, sets, *p.names), by, sets, p.names, blank=True)
     own = F.when((F.col("_cell") == 1) | F.col("_v").isNull(), F.struct(F.col(sets).alias("s"), F.col("_v").alias("m")))
-    each = F.array_sort(F.collect_list(own).over(Window.partitionBy(*by, "_i")))
-    t = _surfaces(cells.withColumn("_all", each), by)
-    attained = F.transform("_all", lambda s: F.coalesce(s["m"] <= F.col("_m"), F.lit(False)))
+    each = cells.groupBy(*by, "_i").agg(F.array_sort(F.collect_list(own)).alias("_all"))
+    t = match(_surfaces(cells, turned, by), each, [*by, "_i"])
+    attained = F.transform("_all", lambda s: F.coalesce(s["m"] <= F.col("_x" if turned else "_m"), F.lit(False)))
     percentile = F.col("_t") * 100.0 / F.size("_all")
     return t.select(*by, p.back(0, F.col("_x")).alias(p.objectives[0]), p.back(1, F.col("_m")).alias(p.objectives[1]), percentile.alias("percentile"), attained.alias("attained"))
 
@@ -183,18 +192,18 @@ def attsurf2df(surfaces: dict[float, DataFrame], objectives: Names) -> DataFrame
     return last
 
 
-def _differences(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: int | None) -> tuple[DataFrame, DataFrame]:
-    """(surfaces of the union with ``_left`` and ``_right`` counts and ``_diff``, number of sets a group)."""
+def _differences(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: int | None, levels: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(surfaces of the union with ``_left`` and ``_right`` counts and ``_diff``, number of sets a group); without ``levels`` their points, once each."""
     by = list(p.by)
     side = lambda df, k: p.add(df).select(*by, F.struct(F.lit(k).alias("side"), F.col(sets).cast("string").alias("label")).alias("_set"), F.lit(k).alias("_side"), *p.names)
     both = side(x, 0).unionByName(side(y, 1))
-    return _count_sides(both, by, p.names, intervals)
+    return _count_sides(both, by, p.names, intervals, levels)
 
 
-def _count_sides(both: DataFrame, by: list[str], names: list[str], intervals: int | None) -> tuple[DataFrame, DataFrame]:
+def _count_sides(both: DataFrame, by: list[str], names: list[str], intervals: int | None, levels: bool = True) -> tuple[DataFrame, DataFrame]:
     labels = both.select(*by, "_set", "_side").distinct()
     n = labels.groupBy(*by).agg(F.count_if(F.col("_side") == 0).alias("_nl"), F.count_if(F.col("_side") == 1).alias("_nr"))
-    s = _surfaces(_cells(both, by, "_set", names, ["_side"]), by, _left=F.col("_side") == 0, _right=F.col("_side") == 1)
+    s = _surfaces(*_cells(both, by, "_set", names, ["_side"]), by, levels, _left=F.col("_side") == 0, _right=F.col("_side") == 1)
     s = match(s, n, by)
     cap = F.floor((F.col("_nl") + F.col("_nr")) / 2)
     k = cap if intervals is None else F.least(F.lit(int(intervals)), cap)
@@ -206,8 +215,8 @@ def eafdiff(x: DataFrame, y: DataFrame, objectives: Names, sets: str, intervals:
     p = Points.of(objectives, maximise, groups)
     if p.d == 3:
         return _eafdiff3(x, y, p, sets, intervals)
-    s, _ = _differences(x, y, p, sets, intervals)
-    return s.select(*p.by, p.back(0, F.col("_x")).alias(p.objectives[0]), p.back(1, F.col("_m")).alias(p.objectives[1]), F.col("_diff").alias("diff")).distinct()
+    s, _ = _differences(x, y, p, sets, intervals, levels=False)
+    return s.select(*p.by, p.back(0, F.col("_x")).alias(p.objectives[0]), p.back(1, F.col("_m")).alias(p.objectives[1]), F.col("_diff").alias("diff"))
 
 
 def _eafdiff3(x: DataFrame, y: DataFrame, p: Points, sets: str, intervals: int | None) -> DataFrame:
@@ -313,7 +322,7 @@ def level_volumes(df: DataFrame, objectives: Names, sets: str, ref: float | Sequ
     """(level, hypervolume) of every attainment surface, in one job."""
     p = Points.of(objectives, maximise)
     costs = p.add(df).select(sets, *p.names)
-    t = _surfaces(_cells(costs, [], sets, p.names), [])
+    t = _surfaces(*_cells(costs, [], sets, p.names), [])
     q = Points.of(("_x", "_m"), False, "_t")
     point = p.point(ref)
     front = t.select("_t", F.col("_x").alias("_f0"), F.col("_m").alias("_f1")).where((F.col("_f0") < point[0]) & (F.col("_f1") < point[1]))

@@ -109,6 +109,31 @@ def test_peel_of_many_fronts(spark, monkeypatch):
     assert len(rounds) <= rank.ROUNDS
 
 
+@pytest.mark.parametrize("few", [0, 1])
+def test_surfaces_are_spread_over_the_objective_of_fewer_values(spark, monkeypatch, few):
+    """Many sets whose first points are early and whose values of one objective are all different: the grid has a column for each of three values, whichever objective has them."""
+    rng = np.random.default_rng(6)
+    many, three = rng.permutation(900).astype(float), rng.integers(0, 3, 900).astype(float)
+    x = np.column_stack([three, many] if not few else [many, three])
+    names, sets = ["a", "b"], 300
+    df = spark.createDataFrame([(k % sets, *map(float, v)) for k, v in enumerate(x)], "s long, a double, b double")
+    spread, make = [], attainment._cells
+    monkeypatch.setattr(attainment, "_cells", lambda *a, **k: (made := make(*a, **k), spread.append(made[0].count()))[0])
+    left, right = df.where("s % 2 = 0"), df.where("s % 2 = 1")
+    got = {(r["a"], r["b"], round(r["diff"], 6)) for r in attainment.eafdiff(left, right, names, "s").collect()}
+    assert spread[0] <= 6 * sets
+    v = [np.unique(c) for c in x.T]
+    hit = np.stack([(x[k::sets, 0, None, None] <= v[0][:, None]) & (x[k::sets, 1, None, None] <= v[1][None]) for k in range(sets)]).reshape(sets, -1, len(v[0]), len(v[1])).any(1)
+    count = hit.sum(0)
+    west, south = np.pad(count, ((1, 0), (0, 0)))[:-1], np.pad(count, ((0, 0), (1, 0)))[:, :-1]
+    diff = hit[::2].sum(0) - hit[1::2].sum(0)
+    assert got == {(v[0][i], v[1][j], float(diff[i, j])) for i, j in zip(*np.nonzero(count > np.maximum(west, south)), strict=True)}
+    levels = {(r["a"], r["b"], round(r["percentile"] * sets / 100)) for r in attainment.eaf(df, names, "s").collect()}
+    assert levels == {(v[0][i], v[1][j], t) for i, j in np.ndindex(count.shape) for t in range(max(west[i, j], south[i, j]) + 1, count[i, j] + 1)}
+    every = attainment.eaf_attained(df, names, "s").collect()
+    assert len(every) == len(levels) and all(list(r["attained"]) == hit[:, v[0].searchsorted(r["a"]), v[1].searchsorted(r["b"])].tolist() for r in every)
+
+
 def test_surfaces_in_blocks(spark):
     rng = np.random.default_rng(3)
     rows = [(g, k, *map(float, rng.integers(0, 15, 3))) for g in ("a", None) for k in range(5) for _ in range(40)]
