@@ -8,10 +8,11 @@ Two documents link when the Jaccard similarity of their n-gram sets is at least
 paired with one likely partner, the class that leads a group of equal min-hash; the links found make
 components.  Then all classes are searched: sets that differ in few places have runs of the order in
 common, so they share two n-grams that follow each other in both.  Of a set's adjacent pairs as many
-are taken from the order's front as linked sets can't all miss (:func:`prefix_length`), and joined.  A passage
-that many documents hold makes no group of them, as its n-grams lie scattered between each document's own.  A
-candidate is left out if both sides are of one component already (its link would change none), if their
-sizes differ too much, or if parity bits (256, then 1024, then as many as the set's size asks for) show that the
+are taken from the order's front as linked sets can't all miss (:func:`prefix_length`).  Classes that share a pair meet
+under its leader, the least of their keys: near copies share hundreds of pairs and have few leaders, so they meet a few times and
+bring their parity bits along.  A passage that many documents hold makes no group of them, as its n-grams lie scattered between
+each document's own.  A candidate is made only if its sides are not of one component already (its link would change none), if their
+sizes differ little, and if parity bits (1024, for larger sets as many as the set's size asks for) don't show that the
 sets differ in more places than linked ones can.
 
 **Verification.**  For each pair the overlaps in the fragments are counted separately and summed.
@@ -40,8 +41,10 @@ from pyspark.sql import functions as F
 
 from .common import bit_map, connected_components, materialize, may_hold, release, slices, utf8
 
-#: Fragments of the order, min-hashes of the first round, words of the parity maps: the one that goes with every candidate, and a finer one.
+#: Fragments of the order, min-hashes of the first round, words of the parity maps: the first round's, and a finer one.
 FRAGMENTS, SIGNATURES, PARITY, FINE = 8, 6, 4, 16
+#: Words of the largest parity map that goes with a set to each of its leaders (sets of up to 8191 n-grams); larger sets' maps meet once a pair.
+CARRIED = 256
 _U = np.uint64
 _RNG = np.random.default_rng(20240607)
 #: A random value for each place in a word (beyond the table, mixed with the round) and byte.
@@ -214,26 +217,39 @@ def _rows(docs: DataFrame, text_col: str, id_col: str, n: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         for k, x in enumerate(_SALT):
                             low[full, k] = np.minimum.reduceat(_mix(every, x), begin).view(np.int64)
-                wide = [_parity(s, np.zeros(len(s), np.int64), 1, 1 << (2 * len(s) // 64).bit_length()).tobytes() if len(s) > 24 * FINE else None for s in sets]
+                wide = [_parity(s, np.zeros(len(s), np.int64), 1, 1 << (2 * len(s) // 64).bit_length())[0] if len(s) > 24 * FINE else None for s in sets]
                 key = _class_keys(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), batch.column("name").slice(lo, hi - lo), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(sizes), _lists(bits), _lists(fine), pa.array(wide, pa.binary()), _lists(low)],
+                    [batch.column("id").slice(lo, hi - lo), batch.column("name").slice(lo, hi - lo), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(sizes), _lists(bits), _lists(fine), pa.array(wide, pa.list_(pa.int64())), _lists(low)],
                     ["id", "name", "ka", "kb", "n", "bits", "fine", "wide", "low"],
                 )
         release()
 
-    return rows.mapInArrow(run, f"id {kind}, name long, {KEYS}, n long, bits array<long>, fine array<long>, wide binary, low array<long>")
+    return rows.mapInArrow(run, f"id {kind}, name long, {KEYS}, n long, bits array<long>, fine array<long>, wide array<long>, low array<long>")
 
 
 def _apart(x: str, y: str, words: int) -> Column:
     return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(words)), F.lit(0))
 
 
-def _alike(x: str, y: str, percent: int) -> Column:
+def _alike(x: str, y: str, percent: int, bits: str = "bits", words: int = PARITY) -> Column:
     """What sizes and parity bits leave possible; both sides have n and bits."""
     total = F.col(f"{x}.n") + F.col(f"{y}.n")
     needed = _needed(total, percent)
-    return (needed <= F.least(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (_apart(f"{x}.bits", f"{y}.bits", PARITY) <= total - 2 * needed)
+    return (needed <= F.least(F.col(f"{x}.n"), F.col(f"{y}.n"))) & (_apart(f"{x}.{bits}", f"{y}.{bits}", words) <= total - 2 * needed)
+
+
+def _alike_wide(x: str, y: str, percent: int) -> Column:
+    """What the maps that grow with the set leave possible; true if a side has none or one is over twice as long as the other."""
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    words = F.least(F.size(f"{x}.wide"), F.size(f"{y}.wide"))
+
+    def folded(c: str) -> Column:
+        halves = F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(c) == 2 * words, halves).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(folded(f"{x}.wide"), folded(f"{y}.wide"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return F.coalesce(apart <= total - 2 * _needed(total, percent), F.lit(True))
 
 
 def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -250,7 +266,7 @@ def _close(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 if not (x.is_valid and y.is_valid):
                     stay.append(True)
                     continue
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = (v.values.to_numpy().view(np.uint64) for v in (x, y))
                 w = min(len(x), len(y))
                 x, y = (np.bitwise_xor.reduce(v.reshape(-1, w)) for v in (x, y))
                 stay.append(int(np.bitwise_count(x ^ y).sum()) <= most)
@@ -352,17 +368,20 @@ def _open_pairs(prefixes: DataFrame, classes: DataFrame, labels: DataFrame, perc
         """Rows of runs that different values of ``c`` share."""
         return rows.withColumn("lo", F.min(c).over(by_run)).withColumn("hi", F.max(c).over(by_run)).where("lo <> hi").drop("lo", "hi")
 
-    named = classes.select("key", F.col("key.a").alias("ka"), "n", "bits").join(labels.toDF("key", "label"), "key", "left")
-    named = materialize(named.select("key", "ka", F.xxhash64(F.coalesce("label", "key")).alias("label"), "n", "bits"))
+    named = classes.select("key", F.col("key.a").alias("ka")).join(labels.toDF("key", "label"), "key", "left")
+    named = materialize(named.select("key", "ka", F.xxhash64(F.coalesce("label", "key")).alias("label")))
     shared = mixed(prefixes.repartition("run"), "ka").distinct()
     many = mixed(shared.join(named.select("ka", "label"), "ka").repartition("run"), "label")
+    many = many.select(F.min("ka").over(by_run).alias("leader"), "ka").distinct()
+    own = classes.select("key", "n", "fine", F.when(F.size("wide") <= CARRIED, F.col("wide")).alias("wide"))
     # linked sizes lie in one band or in neighbouring ones, so a row waits in its own for smaller partners and seeks larger ones there and in the next
     band = size_band(F.col("n"), percent)
-    many = many.drop("label").join(named, "ka").select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("in"))
-    many = many.select("run", "key", "label", "n", "bits", "in.band", "in.own").repartition("run", "band")
+    many = many.join(named, "ka").drop("ka").join(own, "key").select("*", F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("own")), F.struct((band + 1).alias("band"), F.lit(False).alias("own")))).alias("in"))
+    many = many.select("leader", "key", "label", "n", "fine", "wide", "in.band", "in.own").repartition("leader", "band")
     x, y = many.alias("x"), many.where("own").alias("y")
     ordered = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key"))
-    pairs = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.band") == F.col("y.band")) & ordered & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent))
+    alike = ordered & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent, "fine", FINE) & _alike_wide("x", "y", percent)
+    pairs = x.join(y, (F.col("x.leader") == F.col("y.leader")) & (F.col("x.band") == F.col("y.band")) & alike)
     return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 

@@ -580,6 +580,34 @@ def test_ngram_join_sends_a_class_once_a_task(spark, monkeypatch):
     assert {r["component_id"] for r in ngram_join.near_duplicates(rows, 4, 85).collect()} == {0, 1}
 
 
+def test_ngram_join_makes_no_pairs_of_copies_that_miss_the_threshold(spark, monkeypatch):
+    """Copies of a long text that differ in more places than linked ones share hundreds of runs; small parity maps can't tell them from links."""
+    rng, found = random.Random(17), []
+    base = [f"u{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(f"v{rng.randrange(10**6)}" if rng.random() < 0.04 else w for w in base) for _ in range(30)]
+    texts.append(" ".join(w if i % 120 else "other" for i, w in enumerate(texts[7].split())))  # links with one of them
+    open_pairs = ngram_join._open_pairs
+    monkeypatch.setattr(ngram_join, "_open_pairs", lambda *a: found.append(open_pairs(*a)) or found[0])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(documents(spark, texts), 5, 80).collect()}
+    assert [got[i] for i in range(len(texts))] == [c for _, c in brute_components(texts, 5, 80)] and got[30] == 7
+    assert found[0].count() <= 30  # of 465
+
+
+@pytest.mark.parametrize("percent", [20, 50, 80, 85])
+def test_wide_maps_leave_out_no_link(spark, percent):
+    rng, rows = np.random.default_rng(percent), []
+    wide = lambda s: ngram_join._parity(s, np.zeros(len(s), np.int64), 1, 1 << (2 * len(s) // 64).bit_length())[0].tolist() if len(s) > 24 * ngram_join.FINE else None
+    for size in (300, 420, 500, 511, 512, 700, 1000, 1020, 1023, 1024, 1030, 2000, 2100, 4090) * 4:
+        x = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        same, new = rng.integers(size * percent // 100 + 1, size + 1), 0
+        new = rng.integers(0, max(1, 100 * same // percent - size + 1))
+        y = np.concatenate([x[:same], rng.integers(0, 1 << 63, new, dtype=np.uint64)])
+        if 100 * same >= percent * (size + new):
+            rows.append(((len(x), wide(x)), (len(y), wide(y))))
+    df = spark.createDataFrame(rows, "x struct<n long, wide array<long>>, y struct<n long, wide array<long>>")
+    assert df.count() > 20 and df.where(ngram_join._alike_wide("x", "y", percent)).count() == df.count()
+
+
 @pytest.mark.parametrize("percent", [1, 50, 85, 100])
 def test_linked_sizes_lie_in_neighbouring_bands(spark, percent):
     sizes = range(1, 3000)
