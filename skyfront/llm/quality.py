@@ -102,17 +102,28 @@ class PUModel:
         return _sigmoid(np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2)
 
 
-def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, steps: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Weights by Adam. ``prior=None``: plain logistic loss of positives against unlabelled."""
+#: Rows that are standardised or multiplied (in doubles) at a time: the driver holds the sample once, and while the prior is estimated half of it again.
+_ROWS = 1024
+
+
+def _parts(x: np.ndarray) -> list[np.ndarray]:
+    return [x[lo : lo + _ROWS] for lo in range(0, len(x), _ROWS)]
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([part @ w for part in _parts(x)]) if len(x) else x @ w
+
+
+def _train(x: np.ndarray, n: int, prior: float | None, hidden: int, steps: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Weights by Adam for ``n`` positives and the unlabelled rows after them. ``prior=None``: plain logistic loss of positives against unlabelled."""
     rng = np.random.default_rng(seed)
-    d = p.shape[1]
+    d = x.shape[1]
     theta = [rng.normal(0, d**-0.5, (d, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     theta = [t.astype(np.float32) for t in theta]
-    x = np.vstack([p, u]).astype(np.float32, copy=False)
-    n, k = len(p), len(u)
+    k = len(x) - n
     for step in range(1, steps + 1):
-        h = np.tanh(x @ theta[0] + theta[1])
+        h = np.tanh(_times(x, theta[0]) + theta[1])
         f = h @ theta[2] + theta[3]
         s = _sigmoid(f)
         if prior is None:
@@ -125,7 +136,7 @@ def _train(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, steps
             else:  # the part that must not fall below zero is pushed back
                 g = np.concatenate([prior * s[:n] / n, -s[n:] / k])
         back = np.outer(g, theta[2]) * (1 - h * h)
-        grads = [x.T @ back + 1e-4 * theta[0], back.sum(0), h.T @ g + 1e-4 * theta[2], np.array([g.sum()])]
+        grads = [sum(a.T @ b for a, b in zip(_parts(x), _parts(back), strict=True)) + 1e-4 * theta[0], back.sum(0), h.T @ g + 1e-4 * theta[2], np.array([g.sum()])]
         for i, grad in enumerate(grads):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad * grad
@@ -144,16 +155,24 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def fit(p: np.ndarray, u: np.ndarray, hidden: int = 12, steps: int = 250, seed: int = 0) -> PUModel:
     """A model from features of trusted positives and of unlabelled texts."""
-    x = np.vstack([p, u])
-    mean = x.mean(0, np.float64)
-    scale = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0)) + 1e-6
+    return _fit(np.vstack([p, u]).astype(np.float32, copy=False), len(p), hidden, steps, seed)
+
+
+def _fit(x: np.ndarray, n: int, hidden: int = 12, steps: int = 250, seed: int = 0) -> PUModel:
+    """A model from ``n`` positives and the unlabelled rows after them, which are standardised in place."""
+    parts = _parts(x)
+    mean = sum(part.sum(0, np.float64) for part in parts) / len(x)
+    scale = np.sqrt(np.maximum(sum(np.einsum("ij,ij->j", part, part, dtype=np.float64) for part in parts) / len(x) - mean**2, 0)) + 1e-6
     scale[-2 * HASHED :] *= DAMPED * max(1.0, (20_000 / len(x)) ** 0.5)
-    zp, zu = (np.clip((a - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8) for a in (p, u))
-    half_p, half_u = len(zp) // 2 or 1, len(zu) // 2 or 1
-    w1, b1, w2, b2 = _train(zp[:half_p], zu[:half_u], None, hidden, steps // 2, seed)
-    held = [np.tanh(a @ w1 + b1) @ w2 + b2 for a in (zp[half_p:], zu[half_u:])]
+    for part in parts:
+        part -= mean.astype(np.float32)
+        part /= scale.astype(np.float32)
+        np.clip(part, -8, 8, out=part)
+    half_p, half_u = n // 2 or 1, (len(x) - n) // 2 or 1
+    w1, b1, w2, b2 = _train(np.vstack([x[:half_p], x[n : n + half_u]]), half_p, None, hidden, steps // 2, seed)
+    held = [np.tanh(_times(a, w1) + b1) @ w2 + b2 for a in (x[half_p:n], x[n + half_u :])]
     prior = estimate_prior(*held) if all(map(len, held)) else 0.5
-    w1, b1, w2, b2 = _train(zp, zu, prior, hidden, steps, seed)
+    w1, b1, w2, b2 = _train(x, n, prior, hidden, steps, seed)
     return PUModel(mean, scale, w1, b1, w2, float(b2[0]), prior)
 
 
@@ -172,6 +191,18 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType(kind))
 
 
+def sample(rows: pa.Table) -> tuple[np.ndarray, int]:
+    """The features of a table (p, x), positives first and each in the table's order, and the number of positives."""
+    p = rows.column("p").to_numpy()
+    n, x = int((p == 1).sum()), np.empty((len(p), N_FEATURES), np.float32)
+    place, lo = np.where(p == 1, np.cumsum(p == 1) - 1, n + np.cumsum(p != 1) - 1), 0
+    for part in rows.column("x").chunks:
+        for i, v in enumerate(part, lo):
+            x[place[i]] = np.frombuffer(v.as_buffer(), np.float32)
+        lo += len(part)
+    return x, n
+
+
 def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", n_positive: int = N_POSITIVE, n_unlabelled: int = N_UNLABELLED) -> PUModel | None:
     """Fit on positives of the training folds and on unlabelled texts, each a bounded sample; None without both."""
     ids = F.col(id_col).alias("id")
@@ -180,10 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, held_mod: int = 3, held: int = 1,
     web = hash_sample(docs.where(F.col(id_col).isNotNull()).select(ids), "id", n_unlabelled).distinct().select("id", F.lit(0).alias("p"))
     rows = docs.select(ids, F.col(text_col).alias("text")).join(F.broadcast(chosen.unionByName(web)), "id")
     got = feature_table(rows, "id", "text")
-    got = got.orderBy(F.xxhash64("id"), "id", "p").limit(2 * (n_positive + n_unlabelled)).toPandas()
-    p, u = (np.frombuffer(b"".join(got["x"][got["p"] == k]), np.float32).reshape(-1, N_FEATURES) for k in (1, 0))
+    got = got.orderBy(F.xxhash64("id"), "id", "p").limit(2 * (n_positive + n_unlabelled)).select("p", "x").toArrow()
+    x, n = sample(got)
     del got
-    return fit(p, u) if len(p) and len(u) else None
+    release()
+    model = _fit(x, n) if 0 < n < len(x) else None
+    del x
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: PUModel | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

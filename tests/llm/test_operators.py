@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -608,6 +609,20 @@ def test_wide_maps_leave_out_no_link(spark, percent):
     assert df.count() > 20 and df.where(ngram_join._alike_wide("x", "y", percent)).count() == df.count()
 
 
+def test_quality_fit_holds_its_sample_once():
+    """Beside what is given: one copy, half of another while the prior is estimated, and less than half for the rest."""
+    rng = np.random.default_rng(3)
+    p, u = (rng.random((3000, quality.N_FEATURES), np.float32) for _ in range(2))
+    tracemalloc.start()
+    quality.fit(p, u, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * (p.nbytes + u.nbytes)
+    rows = pa.table({"p": [0, 1, 0, 1], "x": [np.full(quality.N_FEATURES, k, np.float32).tobytes() for k in range(4)]})
+    x, n = quality.sample(rows)
+    assert n == 2 and x[:, 0].tolist() == [1, 3, 0, 2] and quality.sample(rows.slice(0, 0))[1] == 0
+
+
 @pytest.mark.parametrize("percent", [1, 50, 85, 100])
 def test_linked_sizes_lie_in_neighbouring_bands(spark, percent):
     sizes = range(1, 3000)
